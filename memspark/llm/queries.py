@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import ann, lines, mixing, packing, quality
+from memspark.llm import ann, jaccard, lines, mixing, packing, quality
 from memspark.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,6 +22,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,7 +41,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann, op4_line_dedup, op7_packing, op8_mixing, op10_quality)
+    f.__name__: f for f in (op1_ann, op4_line_dedup, op5_jaccard, op7_packing, op8_mixing, op10_quality)
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -68,6 +72,16 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text,
                coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
         FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id""",
+    "op5_jaccard": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                     ELSE list_distinct([array_to_string(words[i:i + 3], ' ') FOR i IN range(1, len(words) - 2)]) END AS grams FROM w),
+        g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+        l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        r(doc_id, seen) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.seen = l.x)
+        SELECT s.doc_id, len(grams)::BIGINT AS n_shingles, c.component_id
+        FROM s JOIN (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id) c ON s.doc_id = c.doc_id""",
     "op10_quality": rf"""
         WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS words FROM documents),
         p AS (SELECT doc_id, unnest(range(1, len(words) - 3)) AS i, words FROM w WHERE len(words) >= 5),
