@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,7 +38,8 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete tables made by ``saved`` that no later plan reads."""
+    """Delete tables made by ``saved`` that no later plan reads, and let the driver
+    collect its garbage: Spark removes shuffle files once their plans are collected."""
     for df in frames:
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._memspark_path)
@@ -47,3 +49,5 @@ def discard(*frames: DataFrame) -> None:
 def n_words(text: Column) -> Column:
     """Number of words; 0 for a null text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    gc.collect()
+    jvm.System.gc()

@@ -12,14 +12,17 @@ of two linked sets lie among the first |A| - need(A) + l of A and likewise of B.
 * The boundary is the size at which the subsets of the light sets would cost
   more than scanning lists, summed over the histogram of all set sizes.
 
-The order puts frequent shingles last.  Frequencies come from one counter array
-of fixed size, filled from all sets; any order gives the same links, so its
-collisions cost time only.
-
-Equal sets are one node from the start.  In a list each set is first paired
-with the list's least one only, so a group of m near-copies makes m pairs; sets
-still in different components are then paired with each other, without which no
-link is given up.  A pair is checked by bounds from 256-bin histograms of the
+The order puts frequent shingles last.  The most frequent come from one counter
+array of fixed size, filled from all sets; then the lists that this order would
+make are counted, and the shingles of lists longer than LONG_LIST go last too.
+Any order gives the same links: what the counters miss costs time only.
+
+Equal sets are one node from the start.  Each list has its
+least set as hub, and a set is first paired with the hub it shares most lists
+with only, so a group of m near-copies makes m pairs.  While the lists hold
+many more pairs from different components than sets, this is repeated with
+other hubs; then all sets of a list that are still in different components are
+paired, so no link is given up.  A pair is checked by bounds from 256-bin histograms of the
 two sets and then by their exact intersection, so the components are those of
 all links between different texts.
 
@@ -46,6 +49,10 @@ from memspark.llm.common import discard, saved
 #: Counters of the frequency array, in pieces of PIECE; bins of a set's histogram.
 SLOTS, PIECE, BINS = 1 << 21, 1 << 18, 256
 FILTER_BITS = 1 << 23
+#: Sets in a list from which its shingle counts as frequent; hub rounds; pairs per set that end them.
+LONG_LIST, HUB_ROUNDS, FEW_PAIRS = 12, 3, 16
+#: Sets in a block of a list; lists of a set that are known to it.
+LIST_BLOCK, FIRST_LISTS = 512, 64
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -74,32 +81,38 @@ def set_id(s: np.ndarray) -> int:
     return int(np.add.reduce(tv.mix(s ^ tv.GOLD), dtype=np.uint64).astype(np.int64))
 
 
+def histogram(s: np.ndarray) -> bytes:
+    """How many shingles fall in each of BINS bins, at most 255 each."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def needed(n: int, num: int, den: int) -> int:
     return -(-n * num // den)
 
 
 def summaries(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """A row per document, and rows with the pieces of this task's frequency counters."""
-    names = ["doc_id", "n", "set", "piece", "counts"]
+    names = ["doc_id", "n", "set", "hist", "piece", "counts"]
     counts = np.zeros(SLOTS, dtype=np.uint32)
     seen: set[int] = set()
     for batch in tv.chunks(batches):
-        size, ids, fresh = [], [], []
+        size, ids, hist, fresh = [], [], [], []
         for s in shingle_sets(batch.column("text"), n):
             name = set_id(s) if len(s) else None
             size.append(len(s))
             ids.append(name)
+            hist.append(histogram(s) if len(s) else None)
             if name is not None and name not in seen:
                 seen.add(name)
                 fresh.append(s)
         if fresh:
             counts += np.bincount((np.concatenate(fresh) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
         rows = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), pa.array(hist, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
     for at in range(0, SLOTS, PIECE):
         part = counts[at : at + PIECE]
         if part.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([at // PIECE], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([at // PIECE], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names)
 
 
 def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,14 +161,21 @@ def light_boundary(sizes: dict[int, int], list_scan: float, num: int, den: int)
     return best
 
 
-def postings_of(s: np.ndarray, levels: np.ndarray, boundary: int, num: int, den: int) -> np.ndarray:
-    """The list keys of one set."""
-    n = len(s)
+def in_order(s: np.ndarray, levels: np.ndarray, long: np.ndarray | None) -> np.ndarray:
+    """The shingles of a set in the common order: by level, then by hash."""
+    level = levels[(s % np.uint64(SLOTS)).astype(np.int64)]
+    if long is not None:
+        level = np.maximum(level, long[filter_slot(s)])
+    return s[np.argsort(level, kind="stable")]
+
+
+def postings_of(ordered: np.ndarray, boundary: int, num: int, den: int) -> np.ndarray:
+    """The list keys of one set, given in the common order."""
+    n = len(ordered)
     p = n - needed(n, num, den) + 1
-    order = np.argsort(levels[(s % np.uint64(SLOTS)).astype(np.int64)], kind="stable")
     keys = []
     if n < boundary:
-        first = s[order[: p + 1]]
+        first = ordered[: p + 1]
         if n == 1:
             keys.append(tv.mix(first + np.uint64(3)))
         else:
@@ -163,7 +183,7 @@ def postings_of(s: np.ndarray, levels: np.ndarray, boundary: int, num: int, den:
             lo, hi = np.minimum(first[a], first[b]), np.maximum(first[a], first[b])
             keys.append(tv.mix(tv.mix(lo * tv.GOLD + np.uint64(2)) + hi))
     if n * den >= boundary * num:
-        keys.append(tv.mix(s[order[:p]] + np.uint64(1)))
+        keys.append(tv.mix(ordered[:p] + np.uint64(1)))
     return np.concatenate(keys)
 
 
@@ -191,20 +211,27 @@ def components(nodes_edges: DataFrame, label: str = "comp") -> DataFrame:
     return edges.select(F.col("u").alias("set"), F.col("v").alias(label)).unionByName(edges.select(F.col("v").alias("set"), F.col("v").alias(label)).distinct())
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) of sets that link, checked on the whole sets.
+def checked(left: DataFrame, right: DataFrame, columns: list[str], test: Callable[..., bool]) -> DataFrame:
+    """Those pairs (a, b) of ``left`` whose rows in ``right`` (set and ``columns``) pass ``test``."""
+    for end in ("b", "a"):
+        left = left.join(right.select(F.col("set").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns]), end)
+    names = [f"{end}_{c}" for end in ("a", "b") for c in columns]
 
-    Only texts of documents that stand for a set in a pair are read again: a
-    bit filter of fixed size, made from their ids, passes them, and a join drops
-    what it lets through by chance.
-    """
-    spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(reps, "set").select("set", "rep")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [test(*row) for row in zip(*[batch.column(c) for c in names], strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return left.select("a", "b", *names).mapInArrow(run, "a long, b long")
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def bit_filter(ids: DataFrame) -> np.ndarray:
+    """A bit per hash value of the column ``rep``: FILTER_BITS bits for any number of ids."""
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(FILTER_BITS, dtype=bool)
         for batch in batches:
-            out[(tv.mix(batch.column("rep").to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)] = True
+            out[filter_slot(batch.column("rep").to_numpy())] = True
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(out).tobytes(), 1)], pa.binary())], ["bits"])
 
     def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,112 +242,190 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, num: in
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())], ["bits"])
 
     passed = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for row in wanted.select("rep").mapInArrow(bits, "bits binary").coalesce(4).mapInArrow(either, "bits binary").collect():  # at most 4 rows of 1 MB
+    for row in ids.mapInArrow(gathered, "bits binary").repartition(4).mapInArrow(either, "bits binary").collect():  # 4 rows of at most 1 MB
         passed |= np.frombuffer(zlib.decompress(row.bits), dtype=np.uint8)
-    known = spark.sparkContext.broadcast(np.unpackbits(passed).astype(bool))
+    return np.unpackbits(passed).astype(bool)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            some = batch.filter(pa.array(known.value[(tv.mix(ids.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)]))
-            for part in tv.chunks(iter([some])):
-                found = list(shingle_sets(part.column("text"), n))
-                hist = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes() for s in found]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([set_id(s) if len(s) else None for s in found], pa.int64()), pa.array(hist, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())],
-                    ["rep", "set", "hist", "items"],
-                )
 
-    stored = saved(docs.where(F.col("doc_id").isNotNull()).mapInArrow(sets, "rep long, set long, hist binary, items binary").join(wanted, ["rep", "set"], "left_semi").dropDuplicates(["set"]), "sets")
+def filter_slot(ids: np.ndarray) -> np.ndarray:
+    return (tv.mix(ids.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
 
-    def check(column: str, test: Callable[[np.ndarray, np.ndarray], bool], kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x, y = batch.column(f"a_{column}"), batch.column(f"b_{column}")
-                good = [test(np.frombuffer(p.as_buffer(), kind), np.frombuffer(q.as_buffer(), kind)) for p, q in zip(x, y, strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, num: int, den: int, filtered: bool = False) -> DataFrame:
+    """Those of the pairs (a, b) of sets that link, checked on the whole sets.
 
-        return run
+    Pairs that their histograms rule out go first, unless they have gone
+    (``filtered``).  Then the texts of the
+    documents that stand for a set in a pair are read again: a bit filter of
+    fixed size passes them, and what it lets through by chance finds no pair.
+    """
 
-    def near(p: np.ndarray, q: np.ndarray) -> bool:
+    def near(p: pa.Scalar, n_p: pa.Scalar, q: pa.Scalar, n_q: pa.Scalar) -> bool:
         """|A - B| + |B - A| is at least the distance of the histograms."""
-        p, q = p.astype(np.int64), q.astype(np.int64)
-        total, apart = int(p.sum() + q.sum()), int(np.abs(p - q).sum())
+        total = n_p.as_py() + n_q.as_py()
+        apart = int(np.abs(np.frombuffer(p.as_buffer(), np.uint8).astype(np.int16) - np.frombuffer(q.as_buffer(), np.uint8)).sum())
         return den * (total - apart) >= num * (total + apart)
 
-    def linked(p: np.ndarray, q: np.ndarray) -> bool:
+    def linked(p: pa.Scalar, q: pa.Scalar) -> bool:
+        p, q = np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8")
         both = np.sort(np.concatenate([p, q]))
         common = int(np.count_nonzero(both[1:] == both[:-1]))
         return den * common >= num * (len(p) + len(q) - common)
 
-    def joined(left: DataFrame, column: str) -> DataFrame:
-        part = stored.select("set", column)
-        for end in ("b", "a"):
-            left = left.join(part.select(F.col("set").alias(end), F.col(column).alias(f"{end}_{column}")), end)
-        return left.select("a", "b", f"a_{column}", f"b_{column}")
+    hopeful = pairs if filtered else saved(checked(pairs, reps, ["hist", "n"], near), "hopeful")
+    wanted = hopeful.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(reps.select("set", "rep"), "set").select("rep")
+    known = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(known.value[filter_slot(batch.column("doc_id").to_numpy())]))
+            for part in tv.chunks(iter([some])):
+                found = [s for s in shingle_sets(part.column("text"), n) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["set", "items"])
 
-    hopeful = saved(joined(pairs, "hist").mapInArrow(check("hist", near, "<u2"), "a long, b long"), "hopeful")
-    out = saved(joined(hopeful, "items").mapInArrow(check("items", linked, "<u8"), "a long, b long"), "links")
-    discard(stored, hopeful)
+    items = docs.where(F.col("doc_id").isNotNull()).mapInArrow(sets, "set long, items binary")
+    out = saved(checked(hopeful, items, ["items"], linked).distinct(), "links")
+    if not filtered:
+        discard(hopeful)
     return out
 
 
+def list_pairs(lists: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of sets that share a list, are in different components and may
+    link by size and histogram.
+
+    Lists are cut into blocks of about LIST_BLOCK sets and each pair of blocks of
+    a list is one row, so no task holds a long list whole.  A pair is left to the
+    first list that it shares, as far as the FIRST_LISTS first lists of its sets tell.
+    """
+    first = lists.groupBy("set").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_LISTS).alias("keys"))
+    members = lists.join(reps.select("set", "hist"), "set").join(first, "set")
+    block = F.pmod(F.xxhash64("set"), F.ceil(F.col("members") / LIST_BLOCK)).cast("int").alias("block")
+    packed = members.groupBy("key", block).agg(F.collect_list(F.struct("set", "n", "comp", "hist", "keys")).alias("rows"))
+    x, y = packed.select("key", F.col("block").alias("x"), F.col("rows").alias("xs")), packed.select("key", F.col("block").alias("y"), F.col("rows").alias("ys"))
+
+    def columns(rows: pa.ListScalar) -> list[np.ndarray]:
+        v = rows.values
+        hist = np.frombuffer(b"".join(v.field("hist").to_pylist()), np.uint8).reshape(len(v), BINS)
+        return [*[v.field(c).to_numpy() for c in ("set", "n", "comp")], hist.astype(np.int16)]
+
+    def met_before(xs: pa.ListScalar, ys: pa.ListScalar, key: int) -> np.ndarray:
+        """Which pairs of two blocks share a list that comes before ``key``."""
+        sides = []
+        for rows in (xs, ys):
+            keys = rows.values.field("keys")
+            flat, row = keys.flatten().to_numpy(), np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy())
+            sides.append((flat[flat < key], row[flat < key], len(keys)))
+        common = np.intersect1d(sides[0][0], sides[1][0])
+        if not len(common):
+            return np.zeros((sides[0][2], sides[1][2]), bool)
+        hit = []
+        for flat, row, m in sides:
+            at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+            inside = common[at] == flat
+            table = np.zeros((m, len(common)), np.float32)
+            table[row[inside], at[inside]] = 1
+            hit.append(table)
+        return hit[0] @ hit[1].T > 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.zeros((2, 0), np.int64)]
+            for i in range(batch.num_rows):
+                a_set, a_n, a_comp, a_hist = columns(batch.column("xs")[i])
+                b_set, b_n, b_comp, b_hist = columns(batch.column("ys")[i])
+                small, large = np.minimum(a_n[:, None], b_n), np.maximum(a_n[:, None], b_n)
+                fits = (a_comp[:, None] != b_comp) & (small * den >= large.astype(np.int64) * num)
+                p, q = np.nonzero(fits & ~met_before(batch.column("xs")[i], batch.column("ys")[i], batch.column("key")[i].as_py()))
+                for lo in range(0, len(p), 20_000):
+                    u, v = p[lo : lo + 20_000], q[lo : lo + 20_000]
+                    apart, total = np.abs(a_hist[u] - b_hist[v]).sum(axis=1), a_n[u].astype(np.int64) + b_n[v]
+                    good = den * (total - apart) >= num * (total + apart)
+                    pair = np.stack([a_set[u[good]], b_set[v[good]]])
+                    out.append(np.sort(pair, axis=0))
+            both = np.unique(np.concatenate(out, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    return x.join(y, "key").where("x <= y").select("key", "xs", "ys").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``df`` (doc_id, text)."""
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long"), "text")
-    summary = saved(docs.mapInArrow(lambda it: summaries(it, n), "doc_id long, n long, set long, piece int, counts binary"), "summary")
+    summary = saved(docs.mapInArrow(lambda it: summaries(it, n), "doc_id long, n long, set long, hist binary, piece int, counts binary"), "summary")
     levels = frequency_levels(summary)
-    rows = summary.where(F.col("piece").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "set")
-    reps = rows.where(F.col("set").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    rows = summary.where(F.col("piece").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "set", "hist")
+    reps = rows.where(F.col("set").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("hist").alias("hist"))
     reps = saved(reps, "reps")
-    # sizes above 400 are heavy under any boundary; they are counted as one class
-    sizes = {r.n: r["count"] for r in reps.groupBy(F.least("n", F.lit(401)).alias("n")).count().collect()}
-    boundary = light_boundary({k: v for k, v in sizes.items() if k <= 400}, 2.0, num, den)
+    # sizes above 400 are heavy under any boundary
+    sizes = {r.n: r["count"] for r in reps.where("n <= 400").groupBy("n").count().collect()}
+    boundary = light_boundary(sizes, 2.0, num, den)
     shared = spark.sparkContext.broadcast(levels)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fresh_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray]]]:
+        """The sets of each chunk of texts that this task has not met before."""
         seen: set[int] = set()
         for batch in tv.chunks(batches):
-            keys, sets, size = [], [], []
+            new = []
             for s in shingle_sets(batch.column("text"), n):
-                if not len(s):
-                    continue
-                name = set_id(s)
-                if name in seen:
-                    continue
-                seen.add(name)
-                k = postings_of(s, shared.value, boundary, num, den)
-                keys.append(k)
-                sets.append(np.full(len(k), name))
-                size.append(np.full(len(k), len(s)))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([k.view(np.int64) for k in keys], sets, [z.astype(np.int32) for z in size])], ["key", "set", "n"])
-
-    listed = saved(docs.where(F.col("doc_id").isNotNull()).mapInArrow(post, "key long, set long, n int"), "postings")
-    shared_keys = listed.groupBy("key").agg(F.min("set").alias("hub"), F.max("set").alias("other")).where("hub <> other").drop("other")
-    lists = saved(listed.join(shared_keys, "key").select("key", "set", "n", "hub").distinct(), "lists")
-    discard(listed)
-    hubs = reps.select(F.col("set").alias("hub"), F.col("n").alias("hub_n"))
+                name = set_id(s) if len(s) else None
+                if name is not None and name not in seen:
+                    seen.add(name)
+                    new.append((name, s))
+            if new:
+                yield new
+
+    def first_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for new in fresh_sets(batches):
+            out = [in_order(s, shared.value, None)[: len(s) - needed(len(s), num, den) + 1] for _, s in new]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["rep"])
+
+    texts = docs.where(F.col("doc_id").isNotNull())
+    counted = texts.mapInArrow(first_shingles, "rep long").groupBy("rep").count().where(F.col("count") > LONG_LIST)
+    long = spark.sparkContext.broadcast(bit_filter(counted.select("rep")))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for new in fresh_sets(batches):
+            keys = [postings_of(in_order(s, shared.value, long.value), boundary, num, den) for _, s in new]
+            per = [len(k) for k in keys]
+            cols = (np.concatenate(keys).view(np.int64), np.repeat([name for name, _ in new], per), np.repeat([len(s) for _, s in new], per).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "set", "n"])
+
+    listed = saved(texts.mapInArrow(post, "key long, set long, n int"), "postings")
+    shared_keys = listed.groupBy("key").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo <> hi").select("key")
+    every = saved(listed.join(shared_keys, "key").select("key", "set", "n").distinct(), "lists")
+    # near-copies share most of their lists: of lists with the same members one is enough
+    same = every.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("set").cast("decimal(20,0)")).alias("name"))
+    lists = saved(every.join(same.groupBy("name", "members").agg(F.min("key").alias("key")).select("key", "members"), "key"), "lists")
+    discard(listed, every)
     fits = lambda x, y: (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
-    star = lists.where("set <> hub").groupBy("set", "hub").agg(F.first("n").alias("n")).join(hubs, "hub").where(fits("n", "hub_n"))
-    star = star.groupBy("set").agg(F.min("hub").alias("hub"))
-    links = verified(saved(star.select(F.col("hub").alias("a"), F.col("set").alias("b")), "star"), docs, reps, n, num, den)
-    comp = saved(components(links), "components")
-    # sets of one list that are not yet in one component, with each other
-    labelled = lists.join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set")).select("key", "set", "n", "comp")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_lists = saved(labelled.join(mixed, "key"), "open")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.comp") != F.col("y.comp")) & fits("x.n", "y.n"))
-    rest = saved(rest.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct(), "rest")
-    more = verified(rest, docs, reps, n, num, den)
+    open_lists, links, comp = lists.withColumn("comp", F.col("set")), None, None
+    for turn in range(HUB_ROUNDS):
+        hub = F.struct(F.xxhash64(F.lit(turn), "set").alias("h"), F.col("set").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
+        star = open_lists.join(open_lists.groupBy("key").agg(F.min(hub).alias("least")).select("key", "least.*"), "key").where((F.col("comp") != F.col("hub_comp")) & fits("n", "hub_n"))
+        star = star.groupBy("set", "hub").agg(F.count("*").alias("lists")).groupBy("set").agg(F.max(F.struct("lists", "hub"))["hub"].alias("hub"))
+        star = saved(star.select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct(), "star")
+        found = verified(star, docs, reps, n, num, den)
+        links = found if links is None else saved(links.unionByName(found), "links")
+        comp = saved(components(links), "components")
+        # what is left: sets of one list that are in different components
+        labelled = lists.join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set")).select("key", "members", "set", "n", "comp")
+        mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        open_lists = saved(labelled.join(mixed, "key"), "open")
+        per = open_lists.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("inside"))
+        pairs = per.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("inside")) / 2), F.lit(0.0)), F.coalesce(F.sum("all"), F.lit(0))).first()
+        discard(star)
+        if pairs[0] <= FEW_PAIRS * pairs[1]:
+            break
+    rest = saved(list_pairs(open_lists, reps, num, den), "rest")
+    more = verified(rest, docs, reps, n, num, den, filtered=True)
     comp = saved(components(links.unionByName(more)), "components")
     discard(lists, open_lists, rest, links, more)
     # a component's id is its smallest document id
-    named = reps.join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    named = reps.drop("hist").join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     groups = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     labels = named.select("set", "comp").join(groups, "comp").select("set", "component_id")
-    out = rows.join(labels, "set", "left")
+    out = rows.drop("hist").join(labels, "set", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.cast("long").alias("component_id"))
