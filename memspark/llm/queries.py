@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import ann, jaccard, lines, mixing, packing, quality
+from memspark.llm import ann, jaccard, langid, lines, mixing, packing, quality
 from memspark.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,12 +36,30 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("row_hash")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: the column lang is the declaration, the source is the host."""
+    out = langid.identify(table(spark, sf_dir, "documents"), F.col("lang"), F.col("source"))
+    return out.select("doc_id", "lang_id", "confidence", "accepted")
+
+
+def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages: markup language, address suffix and host all give evidence."""
+    pages = table(spark, sf_dir, "pages")
+    body = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>", " ")
+    host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)
+    rows = pages.withColumns({"text": body, "markup": F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z]+)", 1), "site": host})
+    blank = lambda c: F.when(F.col(c) != "", F.lower(c))
+    suffix = F.regexp_extract("site", r"\.([A-Za-z]+)$", 1)
+    out = langid.identify(rows, blank("markup"), blank("site"), F.when(suffix != "", F.lower(suffix)))
+    return out.select("page_id", "lang_id", "confidence", "accepted")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann, op4_line_dedup, op5_jaccard, op7_packing, op8_mixing, op10_quality)
+    f.__name__: f for f in (op1_ann, op4_line_dedup, op5_jaccard, op7_packing, op8_mixing, op9_language_id, langid_pages, op10_quality)
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
