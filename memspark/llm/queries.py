@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import ann, jaccard, langid, lines, mixing, packing, quality
+from memspark.llm import ann, html_text, jaccard, langid, lines, mixing, packing, quality, toxicity
 from memspark.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -17,6 +17,16 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels tell low quality and toxicity; the chain predicts them in this order."""
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.score(table(spark, sf_dir, "documents"), labels, {"low_quality": "1 - quality", "toxic": "toxic"})
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.remove_boilerplate(table(spark, sf_dir, "documents"), min_sites=8)
     return out.select("doc_id", "text", "n_lines", "n_removed")
@@ -59,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann, op4_line_dedup, op5_jaccard, op7_packing, op8_mixing, op9_language_id, langid_pages, op10_quality)
+    f.__name__: f for f in (op1_ann, op2_toxicity, op3_html, op4_line_dedup, op5_jaccard, op7_packing, op8_mixing, op9_language_id, langid_pages, op10_quality)
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
