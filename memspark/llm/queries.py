@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import ann, html_text, jaccard, langid, lines, mixing, packing, quality, toxicity
+from memspark.llm import ann, html_text, jaccard, langid, lines, maxent, mixing, packing, quality, toxicity
 from memspark.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,6 +36,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,7 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann, op2_toxicity, op3_html, op4_line_dedup, op5_jaccard, op7_packing, op8_mixing, op9_language_id, langid_pages, op10_quality)
+    f.__name__: f for f in (op1_ann, op2_toxicity, op3_html, op4_line_dedup, op5_jaccard, op6_lm_score, op7_packing, op8_mixing, op9_language_id, langid_pages, op10_quality)
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
