@@ -179,10 +179,10 @@ def train(texts: DataFrame, own: np.ndarray, bias: np.ndarray) -> Model:
         part = texts.where(F.col("turn") == turn).select("text")
         tasks = part.rdd.getNumPartitions()
         parts = part.mapInArrow(lambda it, shared=shared: trained_part(it, shared.value), schema)
-        while tasks > FAN_IN:
+        while tasks > 1:
             tasks = -(-tasks // FAN_IN)
             parts = parts.repartition(tasks * 8, "piece", F.crc32("weights") % tasks).mapInArrow(averaged, schema)
-        found = parts.collect()  # at most FAN_IN models, of one size whatever the input
+        found = parts.collect()  # one model, of one size whatever the input
         sums, n = np.zeros(ROWS * CLASSES), np.zeros(8)
         piece = ROWS * CLASSES // 8
         for r in found:
