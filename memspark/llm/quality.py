@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade (operator 10).
 
-Every rule is a test on counts of one text.  On a bounded sample of rows the
+Every rule is a test on counts of one text.  On a sample of about ``sample_rows`` rows the
 planner measures what each feature costs to compute and which rows each rule
 rejects, then orders the rules greedily by (rows still alive that the rule
 rejects) / (cost of the features it adds).  The cascade computes a feature only
@@ -176,8 +176,9 @@ def verdicts(batch: pa.RecordBatch, order: list[str], rules: tuple[Rule, ...] =
 
 
 def sample_batches(df: DataFrame, rows: int = 2000) -> list[pa.RecordBatch]:
-    """At most ``rows`` texts, spread over the table by a hash of the text; used for costs only."""
-    part = df.select("text").where(F.col("text").isNotNull()).limit(rows * 4).where(F.pmod(F.xxhash64("text"), F.lit(4)) == 0).limit(rows)
+    """About ``rows`` texts from all over the table; used for costs and rejection rates only."""
+    total = df.count()
+    part = df.select("text").sample(fraction=min(1.0, rows / max(total, 1)), seed=7)
     return list(tv.chunks(iter(part.toArrow().to_batches())))
 
 
