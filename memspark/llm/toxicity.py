@@ -35,7 +35,7 @@ from memspark.llm.quality import SYMBOLS, per_doc
 #: Bytes that are not part of a word here become spaces; A-Z become a-z.
 PLAIN = tv.LOWER.copy()
 PLAIN[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
-FOLDS, MAX_FEATURES, MIN_ROWS = 4, 5000, 4
+FOLDS, MAX_FEATURES, MIN_ROWS = 4, 1000, 4
 N_SHARES = 6
 
 
@@ -81,7 +81,7 @@ class Matrix:
         return np.bincount(row, weights=w[self.index], minlength=len(self.dense)) + self.dense @ d
 
 
-def fit_logistic(x: Matrix, y: np.ndarray, width: int, l2: float = 0.02, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+def fit_logistic(x: Matrix, y: np.ndarray, width: int, l2: float = 0.02, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Word and dense weights by full-batch Adam."""
     w, d = np.zeros(width), np.zeros(x.dense.shape[1])
     if y.min(initial=1) == y.max(initial=0):
