@@ -1 +1,223 @@
-SQL = {}
+"""DuckDB SQL that defines the result of each registered query independently."""
+
+from __future__ import annotations
+
+from memspark.functions.text import ARTICLES, MONTHS, NUMBER_WORDS, PUNCTUATION, REFUSAL
+from memspark.sources.fixtures import TURNS_SQL
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def tokens(c: str) -> str:
+    return f"regexp_extract_all(lower({c}), '[a-z0-9'']+')"
+
+
+def count(c: str) -> str:
+    return f"greatest(1, length({c}) // 4)"
+
+
+DATE = r"nullif(regexp_extract(session_date, '\d{4}/\d{2}/\d{2}'), '')"
+NUMBERS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in NUMBER_WORDS.items()) + "}"
+IN_MONTHS = "(" + ", ".join(f"'{m}'" for m in MONTHS) + ")"
+IN_ARTICLES = "('', " + ", ".join(f"'{a}'" for a in ARTICLES) + ")"
+
+
+def normal(c: str) -> str:
+    parts = f"string_split_regex(translate(lower({c}), {quoted(PUNCTUATION)}, '{' ' * len(PUNCTUATION)}'), '\\s+')"
+    digits = f"list_transform({parts}, lambda t: regexp_replace(t, '^([0-9]+)(st|nd|rd|th)$', '\\1'))"
+    one = (
+        f"CASE WHEN {NUMBERS}[t] IS NOT NULL THEN {NUMBERS}[t] WHEN t IN {IN_MONTHS} THEN left(t, 3) "
+        "WHEN length(t) <= 3 OR NOT ends_with(t, 's') OR ends_with(t, 'ss') OR ends_with(t, 'us') OR ends_with(t, 'is') THEN t "
+        "WHEN regexp_matches(t, '(ss|x|z|ch|sh)es$') THEN left(t, length(t) - 2) ELSE left(t, length(t) - 1) END"
+    )
+    return f"list_filter(list_transform({digits}, lambda t: {one}), lambda t: t NOT IN {IN_ARTICLES})"
+
+
+def contains(t: str, g: str) -> str:
+    return f"(len({g}) > 0 AND contains(' ' || array_to_string({t}, ' ') || ' ', ' ' || array_to_string({g}, ' ') || ' '))"
+
+
+TURNS = f"turns AS ({TURNS_SQL})"
+UNITS = f"{TURNS}, units AS (SELECT question_id, turn_index AS unit_id, role || ': ' || content AS text, session_id, session_date, session_index, has_answer AS is_evidence FROM turns)"
+WORDS = r"list_filter(string_split_regex(content, '\s+'), lambda w: w <> '')"
+QUESTIONS = f"""questions AS (SELECT question_id, array_to_string({WORDS}[1:8], ' ') AS question, array_to_string({WORDS}[4:6], ' ') AS gold,
+    ['knowledge-update', 'multi-session', 'temporal-reasoning'][regexp_extract(question_id, '\\d+')::INT % 3 + 1] AS question_type FROM turns WHERE has_answer)"""
+UNIT_COLS = "question_id, unit_id, text, session_id, session_date, session_index, is_evidence"
+
+
+def ranked(order: str, score: str, k: int) -> str:
+    return f"""SELECT question_id AS query_id, unit_id, rank, {score} AS score FROM
+        (SELECT *, (row_number() OVER (PARTITION BY question_id ORDER BY {order}) - 1)::INT AS rank FROM units) r WHERE rank < {k}"""
+
+
+NEWEST = f"{DATE} DESC NULLS LAST, session_index DESC"
+ORACLE_ALL, RECENT_ALL = ranked("is_evidence DESC, unit_id", "is_evidence::INT::DOUBLE", 100), ranked(f"{NEWEST}, unit_id", "-rank::DOUBLE", 100)
+
+
+def fused(parts: list[tuple[str, float]], k: int = 10) -> str:
+    union = " UNION ALL ".join(f"SELECT query_id, unit_id, {i} AS i, rank, {w}::DOUBLE / (61 + rank) AS part FROM ({sql}) f{i}" for i, (sql, w) in enumerate(parts))
+    return f"""SELECT query_id, unit_id, rank, score FROM (
+        SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) - 1)::INT AS rank FROM (
+            SELECT query_id, unit_id, round(sum(part), 9) AS score, min([i, rank]) AS seen FROM ({union}) u GROUP BY ALL) s) t WHERE rank < {k}"""
+
+
+BM25 = f"""
+    docs AS (SELECT doc_id AS unit_id, coalesce(text, '') AS text FROM documents),
+    tok AS (SELECT unit_id, CASE WHEN len({tokens('text')}) > 0 THEN {tokens('text')} ELSE ['<empty>'] END AS t FROM docs),
+    post AS (SELECT unit_id, term, count(*) AS tf, any_value(dl)::INT AS dl FROM (SELECT unit_id, len(t) AS dl, unnest(t) AS term FROM tok) x GROUP BY unit_id, term),
+    size AS (SELECT count(*) AS n, avg(len(t)) AS mean_dl FROM tok),
+    raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM post, size GROUP BY term),
+    idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+    q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({tokens("coalesce(text, '')")}) AS term FROM benchmark) b GROUP BY item_id, term),
+    found AS (SELECT query_id, unit_id, sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean_dl))) AS score
+              FROM q JOIN idf USING (term) JOIN post USING (term), size GROUP BY query_id, unit_id),
+    every AS (SELECT item_id AS query_id, docs.unit_id, round(coalesce(score, 0), 6) AS score FROM benchmark CROSS JOIN docs LEFT JOIN found ON found.query_id = item_id AND found.unit_id = docs.unit_id),
+    hits AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) - 1)::INT AS rank FROM every) r WHERE rank < 20)"""
+
+QBM25 = f"""
+    tok AS (SELECT question_id, unit_id, CASE WHEN len({tokens('text')}) > 0 THEN {tokens('text')} ELSE ['<empty>'] END AS t FROM units),
+    post AS (SELECT question_id, unit_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT question_id, unit_id, len(t) AS dl, unnest(t) AS term FROM tok) x GROUP BY ALL),
+    size AS (SELECT question_id, count(*) AS n, avg(len(t)) AS mean_dl FROM tok GROUP BY question_id),
+    raw AS (SELECT question_id, term, any_value(mean_dl) AS mean_dl, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM post JOIN size USING (question_id) GROUP BY ALL),
+    idf AS (SELECT *, CASE WHEN raw < 0 THEN 0.25::DOUBLE * avg(raw) OVER (PARTITION BY question_id) ELSE raw END AS idf FROM raw),
+    qt AS (SELECT question_id, term, count(*) AS qtf FROM (SELECT question_id, unnest({tokens('question')}) AS term FROM questions) b GROUP BY ALL),
+    found AS (SELECT question_id, unit_id, sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean_dl))) AS score
+              FROM qt JOIN idf USING (question_id, term) JOIN post USING (question_id, term) GROUP BY ALL),
+    every AS (SELECT u.question_id AS query_id, u.unit_id, round(coalesce(f.score, 0), 6) AS score FROM units u SEMI JOIN questions USING (question_id)
+              LEFT JOIN found f ON f.question_id = u.question_id AND f.unit_id = u.unit_id),
+    qhits AS (SELECT query_id, unit_id, rank, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) - 1)::INT AS rank FROM every) r WHERE rank < 100)"""
+
+PRED = f"{TURNS}, {QUESTIONS}, pred AS (SELECT t.question_id, turn_index, content AS pred, gold, {normal('content')} AS p, {normal('gold')} AS g FROM turns t JOIN questions q ON t.question_id = q.question_id)"
+
+
+def graded(p: str, raw: str) -> str:
+    return f"CASE WHEN len(g) > 12 THEN NULL WHEN regexp_matches(trim({raw}), {quoted(REFUSAL)}) THEN false ELSE {contains(p, 'g')} END"
+
+
+COSTED = f"costed AS (SELECT *, {count('text')} AS tokens, sum({count('text')}) OVER (PARTITION BY question_id) AS total FROM units)"
+
+
+def greedy(source: str, order: str, fraction: float) -> str:
+    """kept(question_id, ord) of a greedy fill, and ranked rows ``r`` with ord."""
+    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY {order}) AS ord FROM {source}),
+    f AS (SELECT question_id, list_reduce(list_prepend({{'u': 0::BIGINT, 't': 0::BIGINT, 'k': []::BIGINT[]}}, list({{'u': 0::BIGINT, 't': tokens::BIGINT, 'k': [ord]::BIGINT[]}} ORDER BY ord)),
+            lambda a, x: CASE WHEN a.u + x.t <= b THEN {{'u': a.u + x.t, 't': 0::BIGINT, 'k': list_concat(a.k, x.k)}} ELSE a END).k AS k
+          FROM (SELECT *, total * {fraction}::DOUBLE AS b FROM r) rb GROUP BY question_id, b),
+    kept AS (SELECT r.* FROM r JOIN (SELECT question_id, unnest(k) AS ord FROM f) x ON x.question_id = r.question_id AND x.ord = r.ord)"""
+
+
+SENTENCES = f"""{COSTED},
+    cut AS (SELECT question_id, unit_id, total, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+([A-Z0-9"''])', '\\1' || chr(57344) || '\\2', 'g'), chr(57344)), lambda s: trim(s)), lambda s: s <> '') AS parts FROM costed),
+    sent AS (SELECT question_id, unit_id, total, n, pos::INT AS pos, s AS sentence, {count('s')} AS tokens FROM (
+        SELECT question_id, unit_id, total, len(p) AS n, unnest(p) AS s, unnest(range(len(p))) AS pos FROM (SELECT *, CASE WHEN len(parts) > 0 THEN parts ELSE [text] END AS p FROM cut) c) s)"""
+
+
+def by_sentence(order: str) -> str:
+    return f"""WITH {UNITS}, {SENTENCES}, {greedy('sent', order, 0.25)},
+        joined AS (SELECT question_id, unit_id, string_agg(sentence, ' ' ORDER BY pos) AS text FROM kept GROUP BY ALL)
+        SELECT u.question_id, (row_number() OVER (PARTITION BY u.question_id ORDER BY u.unit_id) - 1)::INT AS unit_id, j.text, session_id, session_date, session_index, false AS is_evidence
+        FROM units u JOIN joined j ON j.question_id = u.question_id AND j.unit_id = u.unit_id"""
+
+
+def truncated(order: str) -> str:
+    return f"""WITH {UNITS}, {COSTED}, {greedy('costed', order, 0.25)}
+        SELECT question_id, (row_number() OVER (PARTITION BY question_id ORDER BY unit_id) - 1)::INT AS unit_id, text, session_id, session_date, session_index, is_evidence FROM kept"""
+
+
+ARMS = "arms AS (SELECT l.doc_id, lang, quality = 1 AS system, n_chars > 1000 AS control FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+CONT = f"""{ARMS}, cont AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE system AND control) AS "both", count(*) FILTER (WHERE system AND NOT control) AS system_only,
+    count(*) FILTER (WHERE NOT system AND control) AS control_only, count(*) FILTER (WHERE NOT system AND NOT control) AS neither FROM arms WHERE system IS NOT NULL AND control IS NOT NULL GROUP BY lang)"""
+SURVIVAL = f"""{UNITS}, {QUESTIONS}, st AS (SELECT u.question_id, unit_id, question_type, {normal('text')} AS t, {normal('gold')} AS g FROM units u JOIN questions q ON u.question_id = q.question_id),
+    surv AS (SELECT question_id, question_type, CASE WHEN len(any_value(g)) <= 1 THEN '1' WHEN len(any_value(g)) <= 3 THEN '2-3' ELSE '4+' END AS gold_len_bucket,
+        bool_or({contains('t', 'g')}) AS record, bool_or(len(g) > 0 AND len(list_filter(g, lambda x: NOT list_contains(t, x))) = 0) AS soft,
+        {contains('flatten(list(t ORDER BY unit_id))', 'any_value(g)')} AS union_hit, count(*) AS n_records FROM st GROUP BY question_id, question_type)"""
+LEDGER = """ledger AS (SELECT user_id, CASE WHEN event_type = 'purchase' THEN 'write' ELSE 'read' END AS phase, count(*) AS calls, sum(length(coalesce(props, '')))::BIGINT AS tokens FROM events GROUP BY ALL)"""
+METRIC_COLS = ", ".join(
+    [f"round(avg(len(list_filter(ranks, lambda r: r < {k})) / n_evidence) FILTER (WHERE n_evidence > 0), 6) AS recall_{k}" for k in (1, 3, 5, 10, 20)]
+    + [f"round(avg((len(list_filter(ranks, lambda r: r < {k})) > 0)::INT::DOUBLE) FILTER (WHERE n_evidence > 0), 6) AS any_hit_{k}" for k in (1, 3, 5, 10, 20)]
+)
+
+SQL: dict[str, str] = {
+    "bm25_topk": f"WITH {BM25} SELECT query_id, unit_id, rank, score FROM hits WHERE rank < 10",
+    "bm25_metrics": f"""WITH {BM25}, ev AS (SELECT item_id AS query_id, doc_id AS unit_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+        f AS (SELECT query_id, list(rank ORDER BY rank) AS ranks FROM hits SEMI JOIN ev USING (query_id, unit_id) GROUP BY query_id),
+        w AS (SELECT query_id, count(*) AS n_evidence FROM ev GROUP BY query_id),
+        p AS (SELECT item_id, coalesce(n_evidence, 0) AS n_evidence, coalesce(ranks, []) AS ranks FROM benchmark LEFT JOIN w ON w.query_id = item_id LEFT JOIN f ON f.query_id = item_id)
+        SELECT count(*) AS n_total, count(*) FILTER (WHERE n_evidence > 0) AS n_scorable, count(*) FILTER (WHERE n_evidence = 0) AS n_zero_evidence,
+               round(avg(CASE WHEN len(ranks) > 0 THEN 1.0::DOUBLE / (ranks[1] + 1) ELSE 0 END) FILTER (WHERE n_evidence > 0), 6) AS mrr, {METRIC_COLS} FROM p""",
+    "bm25_idf": f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf",
+    "bm25_postings": f"WITH {BM25} SELECT unit_id, term, tf, dl FROM post",
+    "dense_topk": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS unit_id, round(list_reduce(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]), lambda a, b: a + b), 6) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 25 = 0)
+        SELECT query_id, unit_id, rank, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) - 1)::INT AS rank FROM s) r WHERE rank < 10""",
+    "units_turn": f"WITH {UNITS} SELECT {UNIT_COLS} FROM units",
+    "units_user_turn": f"""WITH {TURNS} SELECT question_id, (row_number() OVER (PARTITION BY question_id ORDER BY turn_index) - 1)::INT AS unit_id, content AS text,
+        session_id, session_date, session_index, has_answer AS is_evidence FROM turns WHERE role = 'user'""",
+    "units_session": f"""WITH {TURNS}, s AS (SELECT question_id, session_id, min(turn_index) AS first, string_agg(role || ': ' || content, chr(10) ORDER BY turn_index) AS text,
+        arg_min(session_date, turn_index) AS session_date, arg_min(session_index, turn_index) AS session_index, bool_or(has_answer) AS is_evidence FROM turns GROUP BY ALL)
+        SELECT question_id, (row_number() OVER (PARTITION BY question_id ORDER BY first) - 1)::INT AS unit_id, text, session_id, session_date, session_index, is_evidence FROM s""",
+    "store_check": f"""WITH {UNITS} SELECT question_id, count(*) AS n_units, min(unit_id) = 0 AND max(unit_id) = count(*) - 1 AND count(DISTINCT unit_id) = count(*) AS contiguous,
+        count(*) FILTER (WHERE {DATE} IS NULL) AS bad_dates FROM units GROUP BY question_id""",
+    "stratified_subset": """WITH s AS (SELECT doc_id, lang, md5('0|' || doc_id) AS draw, greatest(1, round_even(count(*) OVER (PARTITION BY lang) * 50.0::DOUBLE / count(*) OVER (), 0)) AS quota FROM documents),
+        n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY draw) AS nth FROM s) SELECT doc_id, lang FROM n WHERE nth <= quota ORDER BY draw LIMIT 50""",
+    "question_bm25_topk": f"WITH {UNITS}, {QUESTIONS}, {QBM25} SELECT * FROM qhits WHERE rank < 10",
+    "recency_topk": f"WITH {UNITS} " + ranked(f"{NEWEST}, unit_id DESC", "-rank::DOUBLE", 10),
+    "recency_ranking_hybrid": f"WITH {UNITS} " + ranked(f"{NEWEST}, unit_id", "-rank::DOUBLE", 10),
+    "oracle_topk": f"WITH {UNITS} " + ranked("is_evidence DESC, unit_id", "is_evidence::INT::DOUBLE", 10),
+    "random_topk": f"WITH {UNITS} " + ranked("md5('0|' || question_id || '|' || unit_id)", "0.0::DOUBLE", 10),
+    "none_topk": f"WITH {UNITS} SELECT question_id AS query_id, unit_id, 0::INT AS rank, 0.0::DOUBLE AS score FROM units WHERE false",
+    "rrf_fuse": f"WITH {UNITS} " + fused([(ORACLE_ALL, 1.0), (RECENT_ALL, 1.0)]),
+    "rrf_weighted": f"WITH {UNITS} " + fused([(ORACLE_ALL, 1.0), (RECENT_ALL, 0.25)]),
+    "rrf_zero_weight": f"WITH {UNITS} " + fused([(ORACLE_ALL, 1.0)]),
+    "hybrid_topk": f"WITH {UNITS}, {QUESTIONS}, {QBM25} " + fused([("SELECT * FROM qhits", 1.0), (f"SELECT x.* FROM ({RECENT_ALL}) x SEMI JOIN questions ON questions.question_id = x.query_id", 0.5)]),
+    "normalize_tokens": f"""SELECT conv_id, turn, array_to_string({normal("coalesce(text, '')")}, ' ') AS tokens FROM conversations""",
+    "is_refusal": f"SELECT conv_id, turn, regexp_matches(trim(coalesce(text, '')), {quoted(REFUSAL)}) AS refusal FROM conversations",
+    "grade": f"WITH {PRED} SELECT question_id, turn_index, {graded('p', 'pred')} AS correct FROM pred",
+    "token_f1": f"""WITH {PRED}, c AS (SELECT *, list_sum(list_transform(list_distinct(g), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda x: x = t))))) AS common FROM pred)
+        SELECT question_id, turn_index, round(CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1 WHEN len(p) = 0 OR len(g) = 0 THEN 0 ELSE 2.0::DOUBLE * coalesce(common, 0) / (len(p) + len(g)) END, 6) AS f1 FROM c""",
+    "length_decay": f"""WITH {PRED}, capped AS (SELECT cap, g, array_to_string(list_filter(string_split_regex(pred, '\\s+'), lambda w: w <> '')[1:cap], ' ') AS short FROM pred, (VALUES (8), (15), (25), (40)) v(cap))
+        SELECT cap, count(*) AS n, count(*) FILTER (WHERE {graded(normal('short'), 'short')}) AS correct FROM capped GROUP BY cap""",
+    "truncated_recency": truncated(f"{NEWEST}, unit_id DESC"),
+    "truncated_random": truncated("md5('1|' || question_id || '|' || unit_id)"),
+    "token_budget": f"WITH {UNITS}, {COSTED} SELECT question_id, max(total)::BIGINT AS total, max(total) * 0.25::DOUBLE AS budget FROM costed GROUP BY question_id",
+    "sentence_split": f"WITH {UNITS}, {SENTENCES} SELECT question_id, unit_id, pos, sentence FROM sent",
+    "leadk": by_sentence("pos, unit_id"),
+    "tailk": by_sentence("n - pos, unit_id"),
+    "sentence_idf": f"""WITH {UNITS}, {SENTENCES}, n AS (SELECT question_id, count(*) AS n FROM sent GROUP BY question_id),
+        d AS (SELECT question_id, term, count(*) AS df FROM (SELECT question_id, unnest(list_distinct({tokens('sentence')})) AS term FROM sent) x GROUP BY ALL)
+        SELECT d.question_id, term, df, round(ln(n / (1 + df)::DOUBLE) + 1, 6) AS idf FROM d JOIN n ON n.question_id = d.question_id""",
+    "survival_outcomes": f"WITH {SURVIVAL} SELECT * FROM surv",
+    "survival_summary": f"""WITH {SURVIVAL}, s AS (SELECT question_type, count(*) AS n, count(*) FILTER (WHERE record) AS record FROM surv GROUP BY question_type),
+        w AS (SELECT *, record / n::DOUBLE AS p, 1.96::DOUBLE AS z FROM s),
+        b AS (SELECT *, (p + z * z / (2 * n)) / (1 + z * z / n) AS mid, z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n) AS h FROM w)
+        SELECT question_type, n, record, round(greatest(0, least(1, mid - h)), 6) AS lo, round(greatest(0, least(1, mid + h)), 6) AS hi, round((p - 0.25::DOUBLE) / 0.75::DOUBLE, 6) AS corrected FROM b""",
+    "contingency": f"WITH {CONT} SELECT * FROM cont",
+    "mcnemar": f"""WITH {CONT} SELECT lang, round(CASE WHEN system_only + control_only = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(system_only, control_only) + 1),
+        lambda i: exp(lgamma(system_only + control_only + 1) - lgamma(i + 1) - lgamma(system_only + control_only - i + 1) - (system_only + control_only) * ln(2))))) END, 9) AS p FROM cont""",
+    "lift_report": f"""WITH {CONT}, a AS (SELECT lang, n, ("both" + system_only) / n::DOUBLE AS s, ("both" + control_only) / n::DOUBLE AS c FROM cont)
+        SELECT lang, n, round(s, 6) AS system_accuracy, round(c, 6) AS control_accuracy, round(s - c, 6) AS lift, round(CASE WHEN s > 0 THEN (s - c) / s END, 6) AS attributable FROM a""",
+    "cohens_kappa": f"""WITH {ARMS}, m AS (SELECT count(*) AS n, avg((system = control)::INT) AS a, avg(system::INT) AS h, avg(control::INT) AS j, avg(CASE WHEN NOT system THEN control::INT END) AS fa
+        FROM arms WHERE system IS NOT NULL AND control IS NOT NULL), e AS (SELECT *, h * j + (1 - h) * (1 - j) AS pe FROM m)
+        SELECT n, round(a, 6) AS agreement, round(CASE WHEN pe >= 1 THEN 1 ELSE (a - pe) / (1 - pe) END, 6) AS kappa, round(fa, 6) AS false_accept FROM e""",
+    "bootstrap_ci": f"""WITH {ARMS}, v AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, system::INT - control::INT AS value FROM arms WHERE system IS NOT NULL AND control IS NOT NULL),
+        n AS (SELECT count(*) AS n, avg(value) AS point FROM v),
+        dr AS (SELECT b, ('0x' || substr(md5('0|' || b || '|' || pos), 1, 8))::BIGINT % n AS pos FROM range(200) r(b), v, n),
+        m AS (SELECT b, avg(value) AS m FROM dr JOIN v ON v.pos = dr.pos GROUP BY b), o AS (SELECT m, row_number() OVER (ORDER BY m, b) - 1 AS r FROM m)
+        SELECT n, round(point, 6) AS point, round((SELECT m FROM o WHERE r = 5), 6) AS lo, round((SELECT m FROM o WHERE r = 195), 6) AS hi FROM n""",
+    "token_stats": f"""WITH t AS (SELECT lang, {count("coalesce(text, '')")}::BIGINT AS tokens FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY tokens) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n FROM t)
+        SELECT lang, count(*) AS n, round(avg(tokens), 6) AS mean, max(tokens) FILTER (WHERE r = floor(0.5::DOUBLE * n)) AS median, max(tokens) FILTER (WHERE r = floor(0.9::DOUBLE * n)) AS p90, max(tokens) AS max FROM r GROUP BY lang""",
+    "ledger_rollup": f"WITH {LEDGER} SELECT user_id, phase, calls, tokens, round(tokens * 0.15::DOUBLE / 1000000::DOUBLE, 9) AS dollars FROM ledger",
+    "amortisation": f"""WITH {LEDGER}, o AS (SELECT coalesce(sum(tokens) FILTER (WHERE phase = 'write'), 0) AS w, sum(tokens) FILTER (WHERE phase = 'read') / (sum(calls) FILTER (WHERE phase = 'read'))::DOUBLE AS r FROM ledger)
+        SELECT n_queries, round(w + n_queries * r, 6) AS tokens FROM range(1, 101) x(n_queries), o""",
+    "batches_pair": f"""WITH {TURNS}, b AS (SELECT *, ((row_number() OVER (PARTITION BY question_id, session_id ORDER BY turn_index) - 1) // 2)::INT AS batch FROM turns)
+        SELECT question_id, session_id, batch, count(*) AS n_turns, min(turn_index) AS first_turn, sum({count('content')})::BIGINT AS tokens FROM b GROUP BY ALL""",
+    "resent_context": f"""WITH {TURNS} SELECT question_id, turn_index, coalesce(sum({count('content')}) OVER (PARTITION BY question_id ORDER BY turn_index ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0)::BIGINT AS resent FROM turns""",
+    "prompt_render": f"""WITH {UNITS}, h AS ({ranked(f"{NEWEST}, unit_id DESC", "0", 3)}) SELECT query_id, string_agg('[' || session_date || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS context
+        FROM h JOIN units u ON u.question_id = h.query_id AND u.unit_id = h.unit_id GROUP BY query_id""",
+    "parse_session_date": f"WITH {TURNS} SELECT DISTINCT session_id, session_date, {DATE} AS date_key FROM turns",
+    "embed_cache_hits": """WITH k AS (SELECT doc_id, lang, sha1(coalesce(text, '')) AS key FROM documents), c AS (SELECT DISTINCT key FROM k WHERE doc_id % 2 = 0)
+        SELECT lang, count(*) FILTER (WHERE c.key IS NOT NULL) AS hits, count(*) FILTER (WHERE c.key IS NULL) AS misses FROM k LEFT JOIN c ON c.key = k.key GROUP BY lang""",
+    "oracle_gap_pivot": f"WITH {ARMS} SELECT lang, round(avg(system::INT), 6) AS system, round(avg(control::INT), 6) AS control FROM arms GROUP BY lang",
+}
