@@ -12,8 +12,8 @@ shares of the whole text (signs, upper case, digits, repeats).  Training rows ar
 models are trained on the driver from hashed features, never from texts.
 Scoring reads every text whole.
 
-Defined cases: a null or empty text has no word features and is scored by its
-shares; rows whose label of a category is null do not train that category;
+Defined cases: a text without any of the associated words, such as a null or
+empty one, is never toxic, whatever its shares say; rows whose label of a category is null do not train that category;
 copies of a label row count once; a category with one class among its training
 rows has a constant probability; an empty table gives an empty result; other
 columns are ignored.
@@ -191,7 +191,8 @@ def score(docs: DataFrame, labels: DataFrame, categories: dict[str, str], train_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tv.chunks(batches):
             words, h, shares = text_features(batch.column("text"))
-            p = shared.value.predict(shared.value.matrix(words.first, h, shares))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c) for c in p.T], pa.array(p[:, -1] >= threshold)], ["doc_id", *[f"p_{n}" for n in names], "toxic"])
+            x = shared.value.matrix(words.first, h, shares)
+            p = shared.value.predict(x)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c) for c in p.T], pa.array((p[:, -1] >= threshold) & (np.diff(x.first) > 0))], ["doc_id", *[f"p_{n}" for n in names], "toxic"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(["doc_id long", *[f"p_{n} double" for n in names], "toxic boolean"]))

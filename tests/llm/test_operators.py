@@ -1,0 +1,261 @@
+"""Training-data operators on small tables with nulls, ties, repeats, empty tables
+and clashing columns, against brute force."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from memspark.llm import ann, html_text, jaccard, langid, lines, maxent, mixing, packing, quality, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+def words(t):
+    return WORD.findall(t or "")
+
+
+def odd_texts():
+    rng = random.Random(3)
+    vocab = ["the", "of", "Größe", "été", "x", "Word", "a#b", "日本", "run", "far", "idle", "blue"]
+    base = [" ".join(rng.choices(vocab, k=n)) for n in (60, 45, 200, 12, 4, 3)]
+    near = base[0].split()
+    near[3] = "changed"
+    out = [*base, " ".join(near), base[0], base[0].upper(), None, "", " \n\t ", "one", "one two", "x\n\nx\nlong line here\nlong line here\n", " nbsp wide", "y" * 5000, " ".join(rng.choices(vocab, k=30_000))]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    texts = odd_texts()
+    rows = [(i, t, ["en", "de", None][i % 3], [f"s{i % 9}", None][i % 7 == 0], 0) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[0], (None, "null id text here with words", "en", "s1", 0)], DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_ann_matches_brute_force(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(150, 8)).astype(np.float32)
+    base[20:60] = base[5]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(base)]
+    rows += [(900, None, 0), (901, [0.0] * 8, 0), (902, [float("nan")] * 8, 0), (903, [1.0, None] * 4, 0), (904, [float("inf")] * 8, 0), (None, base[0].tolist(), 0), (0, base[0].tolist(), 0), (905, [], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
+    got: dict = {}
+    for r in ann.nearest(df, F.col("id") % 20 == 0, k=20, block_rows=16, query_rows=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    x = base.astype(np.float64)
+    for q in range(0, 150, 20):
+        s = np.zeros(150)
+        for d in range(8):
+            s += x[q, d] * x[:, d]
+        want = sorted((-s[i], i) for i in range(150) if i != q)[:20]
+        assert got[q] == [(i, -v) for v, i in want]
+    few = spark.createDataFrame(rows[:3], df.schema)
+    assert ann.nearest(few, F.col("id") % 20 == 0).count() == 2
+    assert ann.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_html():
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+    <header><h1>Site name of the newspaper</h1></header><nav><ul><li><a href=x>Home</a><li>News</ul></nav><div class="cookie-notice">We use cookies</div>
+    <article><header><h1>A &amp; B</h1></header><p>First   paragraph of<br>text&nbsp;here.</p><p>En.</p><div class="ad">Buy</div><form>Email <input></form><ul><li>one</li><li>two</ul>
+    <p><b>Unclosed<p>Last</p></article><aside>More</aside><section class="comments"><p>I think that this is a very long comment.</p></section><footer>&copy; 2024</footer>"""
+    assert html_text.main_text(page) == "A & B\nFirst paragraph of text here.\nEn.\none\ntwo\nUnclosed\nLast"
+    assert [html_text.main_text(x) for x in (None, "", "<p>", "plain", "<p>cut <b")] == ["", "", "", "plain", "cut"]
+
+
+def test_html_rows(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a b</p>"), (2, None, None), (1, "u", "<p>a b</p>")], "page_id long, url string, html string").withColumn("text", F.lit("x"))
+    assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()) == [(1, "a b", 3), (1, "a b", 3), (2, "", 0)]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("broadcast_lines", [1000, 0])
+def test_lines_match_brute_force(spark, empty, broadcast_lines):
+    rows = [(i, f"own {i}\n  shared line \nend {i}\n\nshared line", "en", [f"s{i % 6}", None][i == 4], 0) for i in range(9)]
+    rows += [(20, "rare\nrare", "en", "s0", 0), (21, None, "en", "s1", 0), (22, "", "en", "s2", 0), rows[2]]
+    df = spark.createDataFrame(rows, DOCS).withColumn("n_removed", F.lit("clash"))
+    got = sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in lines.remove_boilerplate(df, min_sites=5, broadcast_lines=broadcast_lines).collect() if r.text is not None)
+    want = [(0, "own 0\n  shared line \nend 0\n", 4, 1), *[(i, f"own {i}\nend {i}\n", 4, 2) for i in range(1, 9)], (2, "own 2\nend 2\n", 4, 2), (20, "rare\nrare", 2, 0), (22, "", 0, 0)]
+    assert got == sorted(want)
+    assert lines.remove_boilerplate(empty, broadcast_lines=broadcast_lines).count() == 0
+
+
+@pytest.mark.parametrize(("n", "num"), [(4, 85), (5, 80)])
+def test_jaccard_matches_brute_force(spark, docs, empty, n, num):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    extra = []
+    for i in range(60):
+        t = base[:]
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 8])):
+            t[rng.randrange(120)] = f"z{rng.randrange(10**6)}"
+        extra.append((100 + i, " ".join(t), "en", "s", 0))
+    df = docs.unionByName(spark.createDataFrame(extra, DOCS)).withColumn("component_id", F.lit("clash"))
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    sets = []
+    for _, t in rows:
+        w = words(lower(t or ""))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set()))
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if rows[i][0] is not None and rows[j][0] is not None and both and 100 * both >= num * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    want = sorted(((d, len(sets[i]), None if d is None else least[find(i)]) for i, (d, _) in enumerate(rows)), key=str)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, n, num, 100).collect()), key=str)
+    assert got == want
+    assert jaccard.near_duplicates(empty, n, num, 100).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_lm_base_matches_brute_force(docs, empty, limit):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    toks = [[*words(lower(t or "")), None] for _, t in rows]
+    held = [zlib.crc32(b"" if d is None else str(d).encode()) % 5 == 1 for d, _ in rows]
+    count: dict = {}
+    for t, h in zip(toks, held, strict=True):
+        for w in t if not h else ():
+            count[w] = count.get(w, 0) + 1
+    total, v = sum(count.values()), len(count)
+    base = [float(sum(np.log10((count.get(w, 0) + 0.5) / (total + 0.5 * (v + 1))) for w in t)) for t in toks]
+    want = sorted(((d, h, len(t), sum(w in count for w in t), total, round(b, 4)) for (d, _), h, t, b in zip(rows, held, toks, base, strict=True)), key=str)
+    scored = maxent.score(docs.withColumn("score", F.lit("clash")), broadcast_tokens=limit).collect()
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in scored), key=str) == want
+    assert all(r.score < 0 for r in scored)
+    assert maxent.score(empty, broadcast_tokens=limit).count() == 0
+
+
+def test_packing_round_trip(spark, docs, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    slow = Tokenizer.from_file(path)
+    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    got = packing.pack(one, path, 256, with_ids=True).collect()
+    assert len({r.sequence_id for r in got}) == len(got) and all(r.offset == 0 and r.length & (r.length - 1) == 0 and r.length <= 256 for r in got)
+    for row in one.collect():
+        pieces = sorted((r for r in got if r.doc_id == row.doc_id), key=lambda r: r.start)
+        ids = [i for p in pieces for i in p.ids]
+        assert ids == [*slow.encode(row.text or "", add_special_tokens=False).ids, 0]
+        assert [p.start for p in pieces] == list(np.cumsum([0, *[p.length for p in pieces[:-1]]]))
+        assert all(p.ids_crc32 == zlib.crc32(np.array(p.ids, "<u4").tobytes()) and p.doc_tokens == len(ids) for p in pieces)
+    assert packing.pack(empty, path).count() == 0
+    with pytest.raises(ValueError, match="power"):
+        packing.pack(empty, path, 1000)
+
+
+def waterfill(sizes, weights, cap):
+    """Targets by resharing the excess round after round."""
+    total, target, fixed = sum(sizes), [0.0] * len(sizes), [s == 0 for s in sizes]
+    while True:
+        left = total - sum(cap * s for s, f in zip(sizes, fixed, strict=True) if f)
+        w = sum(x for x, f in zip(weights, fixed, strict=True) if not f)
+        target = [cap * s if f else left * x / w for s, x, f in zip(sizes, weights, fixed, strict=True)]
+        over = [i for i, f in enumerate(fixed) if not f and target[i] > cap * sizes[i] + 1e-9]
+        if not over:
+            return target
+        for i in over:
+            fixed[i] = True
+
+
+def test_mixing(spark, docs, empty):
+    df = docs.withColumn("taken", F.lit("clash"))
+    rows = mixing.mix(df, block_docs=2).collect()
+    again = sorted(((r.doc_id, r.size, r.taken) for r in mixing.mix(df, block_docs=2).collect()), key=str)
+    assert again == sorted(((r.doc_id, r.size, r.taken) for r in rows), key=str)
+    per: dict = {}
+    for r in rows:
+        assert 0 <= r.taken <= 3 * r.size and sum(d.words for d in r.draws) == r.taken
+        per.setdefault(r.source, []).append(r)
+    names = sorted(per, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r.size for r in per[s]) for s in names]
+    want = waterfill(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))], 3)
+    for s, w in zip(names, want, strict=True):
+        assert per[s][0].target == pytest.approx(w) and sum(r.taken for r in per[s]) == round(w)
+    mixed = mixing.mixed_rows(docs, block_docs=2)
+    assert sum(len(words(r.text)) for r in mixed.collect()) == sum(r.taken for r in rows)
+    assert mixing.mix(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
+
+
+def test_splitting_tree_is_exact():
+    draws = np.array([1000, 0, 7, 313])
+    quota = mixing.split_tree(draws, 12, np.random.default_rng(0))
+    assert (quota.sum(axis=0) == draws).all() and quota.min() >= 0 and np.ptp(quota.sum(axis=1)) <= 4
+
+
+def test_language_id(spark, empty):
+    rng = random.Random(5)
+    vocab = {"en": ["the", "and", "this", "with", "from", "thing"], "de": ["der", "und", "nicht", "schön", "über", "zeit"]}
+    rows = [(i, " ".join(rng.choices(vocab[l], k=20)), l, f"h{i % 4}", 0) for i in range(80) for l in (["en", "de"][i % 2],)]
+    rows += [(100, "der und nicht schön über zeit der und nicht", "en", "h0", 0), (101, None, "en", None, 0), (102, "123 456", "de", "h1", 0), (103, "the and this", None, None, 0)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("confidence", F.lit("clash"))
+    got = {r.doc_id: r for r in langid.identify(df, F.col("lang"), F.col("source")).collect()}
+    assert all(got[r[0]].lang_id == r[2] and got[r[0]].accepted for r in rows[:80])
+    assert got[100].lang_id == "de" and got[103].lang_id == "en" and not got[101].accepted and not got[102].accepted
+    assert langid.identify(empty, F.col("lang"), F.col("source")).count() == 0
+    assert langid.identify(df, F.lit(None), F.col("source")).where("accepted").count() == 0
+
+
+def test_toxicity_finds_held_out_rows(spark, empty):
+    rng = random.Random(9)
+    plain, bad = [f"w{i}" for i in range(40)], ["scum", "idiot", "loser"]
+    rows, marks = [], []
+    for i in range(400):
+        toxic = i % 5 == 0
+        w = rng.choices(plain, k=25) + ([rng.choice(bad).upper() + "!!"] if toxic else [])
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), "en", "s", 0))
+        if i < 300:
+            marks.append((i, 1 if i % 7 else 0, int(toxic)))
+    labels = spark.createDataFrame([*marks, (0, None, 1), (None, 1, 1), (999, 1, 1)], "doc_id long, quality int, toxic int")
+    chain = {"low_quality": "1 - quality", "toxic": "toxic"}
+    df = spark.createDataFrame([*rows, (500, None, "en", "s", 0)], DOCS).withColumn("toxic", F.lit("clash"))
+    got = {r.doc_id: r.toxic for r in toxicity.score(df, labels, chain).collect()}
+    assert all(got[i] == (i % 5 == 0) for i in range(300, 400)) and got[500] is False
+    assert toxicity.score(empty, labels.limit(0), chain).count() == 0
+
+
+def test_quality_matches_brute_force(docs, empty):
+    def brute(t):
+        t = t or ""
+        w, full = words(t), [x for x in t.split("\n") if words(x)]
+        seen: dict = {}
+        for i in range(len(w) - 4):
+            seen.setdefault(tuple(w[i : i + 5]), []).append(i)
+        covered = {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(5)}
+        return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(full) - len(set(full)), len(covered)
+
+    rows = quality.measure(docs.withColumn("kept", F.lit("clash"))).collect()
+    want = sorted(((r.doc_id, *brute(r.text)) for r in docs.collect()), key=str)
+    assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows), key=str) == want
+    kept = sorted(((r.doc_id, r.kept) for r in rows), key=str)
+    assert sorted(((r.doc_id, r.kept) for r in quality.cascade(docs).collect()), key=str) == kept
+    assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) for r in rows) and not any(r.kept and r.base_failed for r in rows)
+    assert quality.measure(empty).count() == 0 and quality.cascade(empty).count() == 0
