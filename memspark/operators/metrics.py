@@ -34,7 +34,7 @@ def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Colum
     """Bounds of the Wilson interval, (0, 0) for n = 0."""
     p, nn = successes / F.when(n > 0, n), F.when(n > 0, n).cast("double")
     mid, spread = (p + z * z / (2 * nn)) / (1 + z * z / nn), z * F.sqrt(p * (1 - p) / nn + z * z / (4 * nn * nn)) / (1 + z * z / nn)
-    bound = lambda c: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), F.lit(0.0))
+    bound = lambda c: F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))).otherwise(0.0)
     return bound(mid - spread), bound(mid + spread)
 
 
