@@ -15,6 +15,8 @@ from memspark.functions import text as T
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SCORE_DIGITS = 6
 RRF_K = 60
+#: Distinct query terms that may be broadcast.
+BROADCAST_TERMS = 1_000_000
 
 
 def top(scored: DataFrame, k: int, *order: Column | str) -> DataFrame:
@@ -22,17 +24,28 @@ def top(scored: DataFrame, k: int, *order: Column | str) -> DataFrame:
     return ranked.where(F.col("rank") < k).select("query_id", "unit_id", "rank", "score")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` on all cores: a small table comes as one or two input splits."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
+def tokenised(docs: DataFrame) -> DataFrame:
+    return docs.select("unit_id", T.bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """(unit_id, term, tf, dl) of docs(unit_id, text); a document without terms has one of its own."""
-    tokens = T.bm25_tokens(F.coalesce("text", F.lit("")))
-    tokens = F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit("<empty>")))
-    rows = docs.select("unit_id", tokens.alias("tokens")).select("unit_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return rows.groupBy("unit_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    rows = tokenised(docs).select("unit_id", F.greatest(F.size("tokens"), F.lit(1)).alias("dl"), F.explode_outer("tokens").alias("term"))
+    return rows.groupBy("unit_id", F.coalesce("term", F.lit("<empty>")).alias("term")).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def idf_table(posted: DataFrame, n: int) -> DataFrame:
     """(term, df, idf): negative values become EPSILON times the vocabulary's mean."""
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
+    return with_idf(posted.groupBy("term").agg(F.count("*").alias("df")), n)
+
+
+def with_idf(df: DataFrame, n: int) -> DataFrame:
     raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -41,19 +54,24 @@ def idf_table(posted: DataFrame, n: int) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Okapi BM25 of queries(query_id, text) over one corpus docs(unit_id, text).
 
-    Postings are cut to the queries' terms before they are joined; documents
-    without a common term fill up to k in id order with score 0.
+    Document frequencies are counted over the whole vocabulary, for its mean idf;
+    postings are made of the queries' terms alone, while the terms number at most
+    BROADCAST_TERMS in one broadcast join before any shuffle.  Documents without a common term fill up to k in id order with score 0.
     """
-    n, length = docs.agg(F.count("*"), F.avg(F.greatest(F.size(T.bm25_tokens(F.coalesce("text", F.lit("")))), F.lit(1)))).first()
-    posted = postings(docs)
+    rows = tokenised(spread(docs))
+    n, length = rows.agg(F.count("*"), F.avg(F.greatest(F.size("tokens"), F.lit(1)))).first()
+    seen = rows.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).groupBy(F.coalesce("term", F.lit("<empty>")).alias("term")).agg(F.count("*").alias("df"))
     terms = queries.select("query_id", F.explode(T.bm25_tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighted = terms.join(idf_table(posted, n), "term")
+    wanted = terms.select("term").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+    posted = rows.select("unit_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("unit_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    weighted = terms.join(with_idf(seen, n), "term")
     score = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(length or 1))))
-    found = posted.join(weighted, "term").groupBy("query_id", "unit_id").agg(F.round(F.sum(score), SCORE_DIGITS).alias("score"))
+    parts = posted.join(weighted, "term").select("query_id", "unit_id", score.alias("part"))
     # 2k ids are enough: fewer than k of them can have been found for a query that needs any
-    spare = queries.select("query_id").crossJoin(F.broadcast(docs.select("unit_id").orderBy("unit_id").limit(2 * k)))
-    filler = spare.join(found.select("query_id", "unit_id"), ["query_id", "unit_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return top(found.unionByName(filler), k, F.col("score").desc(), "unit_id")
+    spare = queries.select("query_id").crossJoin(F.broadcast(docs.select("unit_id").orderBy("unit_id").limit(2 * k))).withColumn("part", F.lit(0.0))
+    found = parts.unionByName(spare).groupBy("query_id", "unit_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
+    return top(found, k, F.col("score").desc(), "unit_id")
 
 
 def dense(units: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
