@@ -16,10 +16,33 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 ARTICLES = ("a", "an", "the")
 EXTRACTIVE_TOKENS = 12
 PRIMARY_TOKENS = 2
-REFUSAL = (
-    r"(?i)(\bi (do not|don't|don’t) (know|have)\b|\b(not|never) mention|\bno (information|mention|record)\b|\bnot enough information\b"
-    r"|\bcannot (find|determine|answer)\b|\bcan't (find|determine|answer)\b|\bunable to (find|determine|answer)\b|\binsufficient information\b)"
+REFUSALS = (
+    r"\bdo(?:n't| not)\s+know\b",
+    r"\b(?:can(?:'t|not)|unable to)\s+(?:find|determine|tell|answer|recall)\b",
+    r"\bno\s+(?:information|mention|record|reference|details?)\b",
+    r"\bnot\s+(?:mentioned|specified|provided|discussed|stated|available|included)\b",
+    r"\bis(?:n't| not)\s+(?:mentioned|specified|provided|discussed|stated)\b",
+    r"\bdo(?:es)?(?:n't| not)\s+(?:contain|mention|specify|say|include)\b",
+    r"\bwas(?:n't| not)\s+(?:mentioned|discussed|specified)\b",
+    r"\bnever\s+(?:mentioned|discussed|stated)\b",
+    r"\bno\s+such\s+\w+\b",
+    r"\binsufficient\s+(?:information|context|detail)\b",
+    r"\bdo(?:n't| not)\s+have\s+(?:enough|sufficient|any|access)\b",
+    r"\b(?:not|isn't|is not)\s+enough\s+(?:information|context|detail)\b",
+    r"\bno\s+way\s+to\s+(?:know|tell|determine)\b",
 )
+GOLD_ABSTAINS = (
+    r"(?i)\b(?:information provided is not enough|not enough information|did(?:n't| not) mention|was not mentioned|cannot be answered"
+    r"|no information (?:about|on|regarding))\b"
+)
+ALSO_ACCEPTABLE = r"(?i)\s*(?:is|are|would be)?\s*(?:also\s+)?acceptable(?:\s+too)?\s*\.?"
+ABBREVIATION = (
+    r"(?i)\b(dr|mr|mrs|ms|messrs|prof|rev|hon|sgt|capt|lt|col|gen|st|jr|sr|mt|no|vs|approx|etc|inc|ltd|co|corp|dept|est|avg|fig|vol|pp)\."
+)
+ORDER_QUESTION = r"(?i)\b(order|sequence|chronological|earliest|latest)\b"
+# End of fixed values.
+REFUSAL = "(?i)" + "|".join(REFUSALS)
+MASK = "\ue000"
 DATE = r"\d{4}/\d{2}/\d{2}"
 
 
@@ -83,7 +106,7 @@ def token_f1(pred: Column, gold: Column) -> Column:
 
 
 def is_refusal(text: Column) -> Column:
-    return F.trim(text).rlike(REFUSAL)
+    return text.rlike(REFUSAL)
 
 
 def is_extractive(gold_tokens: Column) -> Column:
@@ -94,16 +117,65 @@ def length_bucket(gold_tokens: Column) -> Column:
     return F.when(F.size(gold_tokens) <= 1, "1").when(F.size(gold_tokens) <= 3, "2-3").otherwise("4+")
 
 
-def grade(pred: Column, gold: Column, is_abstention: Column) -> Column:
-    """True, false or null (not gradable): an abstention must refuse; long golds are not
-    gradable; a refusal is wrong; otherwise the answer must contain the gold."""
-    g = normal_tokens(gold)
-    return F.when(is_abstention, is_refusal(pred)).when(~is_extractive(g), F.lit(None).cast("boolean")).when(is_refusal(pred), False).otherwise(contains_span(normal_tokens(pred), g))
+def gold_abstains(gold: Column) -> Column:
+    return gold.rlike(GOLD_ABSTAINS)
+
+
+def gold_alternatives(gold: Column) -> Column:
+    """All answers a gold allows: its sentences and their parts around "or", each also
+    without its parentheses; periods of abbreviations end no sentence."""
+    text = F.regexp_replace(F.regexp_replace(gold, ALSO_ACCEPTABLE, ""), ABBREVIATION, "$1" + MASK)
+    whole = F.transform(F.split(text, r"[.;]\s+"), lambda s: F.translate(s, MASK, "."))
+    parts = F.flatten(F.transform(whole, lambda s: F.split(s, r"\s+\bor\b\s+")))
+    parts = F.filter(F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"^\s+|\s+$", ""), r"^[.;,]+|[.;,]+$", "")), lambda s: s != "")
+    bare = lambda s: F.trim(F.regexp_replace(s, r"\([^)]*\)", " "))
+    every = F.flatten(F.transform(parts, lambda s: F.when((bare(s) != "") & (bare(s) != s), F.array(s, bare(s))).otherwise(F.array(s))))
+    return F.when(F.size(every) > 0, every).otherwise(F.array(gold))
+
+
+def set_items(gold: Column) -> Column:
+    """The items of an enumeration of three or more short ones, else an empty array."""
+    body = F.regexp_replace(F.regexp_replace(F.trim(gold), r"\.+$", ""), r"\s*\band\b\s*", ", ")
+    items = F.filter(F.transform(F.split(body, ","), lambda s: F.trim(s)), lambda s: s != "")
+    long = F.exists(items, lambda s: F.size(F.split(s, r"\s+")) > 4)
+    return F.when((F.size(items) >= 3) & ~long, items).otherwise(F.array().cast("array<string>"))
+
+
+def items_in_order(text_tokens: Column, items: Column) -> Column:
+    """Whether each item starts after the item before it; starts may lie inside that item."""
+    hay = padded(text_tokens)
+
+    def step(at: Column, item: Column) -> Column:
+        needle = normal_tokens(item)
+        found = F.call_function("locate", padded(needle), hay, at + 1)
+        return F.when((at < 0) | (F.size(needle) == 0) | (found == 0), -1).otherwise(found)
+
+    return F.aggregate(items, F.lit(0), step) >= 0
+
+
+def contains_answer(pred: Column, gold: Column, question: Column | None = None) -> Column:
+    """Whether the prediction has any alternative of the gold, or all items of an
+    enumeration - in their order, if the question asks for an order."""
+    p, items = normal_tokens(pred), set_items(gold)
+    some = F.exists(gold_alternatives(gold), lambda a: contains_span(p, normal_tokens(a)))
+    together = F.forall(items, lambda i: contains_span(p, normal_tokens(i)))
+    if question is not None:
+        together = F.when(F.coalesce(question.rlike(ORDER_QUESTION), F.lit(False)), items_in_order(p, items)).otherwise(together)
+    return some | ((F.size(items) > 0) & together)
+
+
+def grade(pred: Column, gold: Column, is_abstention: Column, question: Column | None = None) -> Column:
+    """True, false or null (not gradable): an abstention, by flag or by its gold, must be
+    refused; long golds are not gradable; a refusal is wrong; otherwise the prediction
+    must contain an accepted answer."""
+    abstains = is_abstention | gold_abstains(gold)
+    answered = F.when(is_refusal(pred), False).otherwise(contains_answer(pred, gold, question))
+    return F.when(abstains, is_refusal(pred)).when(is_extractive(normal_tokens(gold)), answered)
 
 
 def sentences(text: Column) -> Column:
     """Pieces cut after . ! or ? before a capital, digit or quote; the whole text if there are none."""
-    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z0-9\"'])"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z0-9\"'])"), lambda s: F.trim(s)), lambda s: s != "")
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
 
 

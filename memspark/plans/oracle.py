@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memspark.functions.text import ARTICLES, MONTHS, NUMBER_WORDS, PUNCTUATION, REFUSAL
+from memspark.functions.text import ABBREVIATION, ALSO_ACCEPTABLE, ARTICLES, GOLD_ABSTAINS, MONTHS, NUMBER_WORDS, PUNCTUATION, REFUSAL
 from memspark.sources.fixtures import TURNS_SQL
 
 
@@ -92,10 +92,39 @@ QBM25 = f"""
 PRED = f"{TURNS}, {QUESTIONS}, pred AS (SELECT t.question_id, turn_index, content AS pred, gold, {normal('content')} AS p, {normal('gold')} AS g FROM turns t JOIN questions q ON t.question_id = q.question_id)"
 
 
-def graded(p: str, raw: str) -> str:
-    return f"CASE WHEN len(g) > 12 THEN NULL WHEN regexp_matches(trim({raw}), {quoted(REFUSAL)}) THEN false ELSE {contains(p, 'g')} END"
+#: RE2 takes only ASCII letters for word characters; this bound takes all.
+BOUND, LETTERLESS = r"\b(", r"(^|[^\pL\pN_])("
 
 
+def alternatives(c: str) -> str:
+    text = f"regexp_replace(regexp_replace({c}, {quoted(ALSO_ACCEPTABLE)}, '', 'g'), {quoted(ABBREVIATION.replace(BOUND, LETTERLESS))}, '\\1\\2' || chr(57344), 'g')"
+    parts = f"flatten(list_transform(string_split_regex({text}, '[.;]\\s+'), lambda s: string_split_regex(replace(s, chr(57344), '.'), '\\s+\\bor\\b\\s+')))"
+    clean = f"list_filter(list_transform({parts}, lambda s: regexp_replace(regexp_replace(s, '^\\s+|\\s+$', '', 'g'), '^[.;,]+|[.;,]+$', '', 'g')), lambda s: s <> '')"
+    bare = "trim(regexp_replace(s, '\\([^)]*\\)', ' ', 'g'))"
+    every = f"flatten(list_transform({clean}, lambda s: CASE WHEN {bare} <> '' AND {bare} <> s THEN [s, {bare}] ELSE [s] END))"
+    return f"CASE WHEN len({every}) > 0 THEN {every} ELSE [{c}] END"
+
+
+def enumerated(c: str) -> str:
+    body = f"regexp_replace(regexp_replace(trim({c}), '\\.+$', ''), '\\s*\\band\\b\\s*', ', ', 'g')"
+    items = f"list_filter(list_transform(string_split({body}, ','), lambda s: trim(s)), lambda s: s <> '')"
+    return f"CASE WHEN len({items}) >= 3 AND len(list_filter({items}, lambda s: len(string_split_regex(s, '\\s+')) > 4)) = 0 THEN {items} ELSE [] END"
+
+
+def graded(p: str, raw: str, gold: str = "gold", abstains: str = "false") -> str:
+    some = f"len(list_filter({alternatives(gold)}, lambda a: {contains(p, normal('a'))})) > 0"
+    items = enumerated(gold)
+    every = f"(len({items}) > 0 AND len(list_filter({items}, lambda i: NOT {contains(p, normal('i'))})) = 0)"
+    refuses = f"regexp_matches({raw}, {quoted(REFUSAL)})"
+    return f"CASE WHEN {abstains} OR regexp_matches({gold}, {quoted(GOLD_ABSTAINS)}) THEN {refuses} WHEN len({normal(gold)}) > 12 THEN NULL WHEN {refuses} THEN false ELSE {some} OR {every} END"
+
+
+AUDIT = f"""cases AS (SELECT question_id, 'identity' AS kind, gold, gold AS pred, true AS expected FROM questions
+    UNION ALL SELECT question_id, 'padded', gold, 'I believe the answer is ' || gold || ', based on our chat.', true FROM questions
+    UNION ALL SELECT question_id, 'hard_case_punct', gold, upper(gold) || '!!', true FROM questions
+    UNION ALL SELECT question_id, 'swapped_gold', gold, other, false FROM (SELECT *, lead(gold) OVER (ORDER BY question_id) AS other FROM questions) o WHERE other IS NOT NULL
+    UNION ALL SELECT question_id, 'refusal_to_answerable', gold, 'I do not know; it was not mentioned.', false FROM questions
+    UNION ALL SELECT question_id, 'empty', gold, '', false FROM questions)"""
 COSTED = f"costed AS (SELECT *, {count('text')} AS tokens, sum({count('text')}) OVER (PARTITION BY question_id) AS total FROM units)"
 
 
@@ -173,12 +202,20 @@ SQL: dict[str, str] = {
     "rrf_zero_weight": f"WITH {UNITS} " + fused([(ORACLE_ALL, 1.0)]),
     "hybrid_topk": f"WITH {UNITS}, {QUESTIONS}, {QBM25} " + fused([("SELECT * FROM qhits", 1.0), (f"SELECT x.* FROM ({RECENT_ALL}) x SEMI JOIN questions ON questions.question_id = x.query_id", 0.5)]),
     "normalize_tokens": f"""SELECT conv_id, turn, array_to_string({normal("coalesce(text, '')")}, ' ') AS tokens FROM conversations""",
-    "is_refusal": f"SELECT conv_id, turn, regexp_matches(trim(coalesce(text, '')), {quoted(REFUSAL)}) AS refusal FROM conversations",
+    "is_refusal": f"SELECT conv_id, turn, regexp_matches(coalesce(text, ''), {quoted(REFUSAL)}) AS refusal FROM conversations",
     "grade": f"WITH {PRED} SELECT question_id, turn_index, {graded('p', 'pred')} AS correct FROM pred",
     "token_f1": f"""WITH {PRED}, c AS (SELECT *, list_sum(list_transform(list_distinct(g), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda x: x = t))))) AS common FROM pred)
         SELECT question_id, turn_index, round(CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1 WHEN len(p) = 0 OR len(g) = 0 THEN 0 ELSE 2.0::DOUBLE * coalesce(common, 0) / (len(p) + len(g)) END, 6) AS f1 FROM c""",
-    "length_decay": f"""WITH {PRED}, capped AS (SELECT cap, g, array_to_string(list_filter(string_split_regex(pred, '\\s+'), lambda w: w <> '')[1:cap], ' ') AS short FROM pred, (VALUES (8), (15), (25), (40)) v(cap))
+    "length_decay": f"""WITH {PRED}, capped AS (SELECT cap, gold, array_to_string(list_filter(string_split_regex(pred, '\\s+'), lambda w: w <> '')[1:cap], ' ') AS short FROM pred, (VALUES (8), (15), (25), (40)) v(cap))
         SELECT cap, count(*) AS n, count(*) FILTER (WHERE {graded(normal('short'), 'short')}) AS correct FROM capped GROUP BY cap""",
+    "gold_alternatives": f"""SELECT conv_id, turn, array_to_string({alternatives("coalesce(text, '')")}, '|') AS alternatives, array_to_string({enumerated("coalesce(text, '')")}, '|') AS items FROM conversations""",
+    "audit_cases": f"WITH {TURNS}, {QUESTIONS}, {AUDIT} SELECT * FROM cases",
+    "grader_audit": f"""WITH {TURNS}, {QUESTIONS}, {AUDIT}, v AS (SELECT *, {graded(normal('pred'), 'pred')} AS verdict FROM cases)
+        SELECT kind, count(*) AS n, count(*) FILTER (WHERE verdict = expected) AS right, count(*) FILTER (WHERE verdict AND NOT expected) AS false_accepts,
+               count(*) FILTER (WHERE NOT verdict AND expected) AS false_rejects FROM v WHERE verdict IS NOT NULL GROUP BY kind""",
+    "placebo_survival": f"""WITH {SURVIVAL}, pool AS (SELECT q.question_id, o.question_id AS other_id, {normal('o.gold')} AS g FROM questions q JOIN questions o ON q.question_type = o.question_type AND q.gold <> o.gold),
+        hit AS (SELECT pool.question_id, other_id, bool_or({contains('t', 'pool.g')}) AS found FROM pool JOIN st ON st.question_id = pool.question_id GROUP BY ALL)
+        SELECT q.question_id, count(other_id) AS n_placebos, round(coalesce(avg(found::INT), 0), 6) AS null_record FROM questions q LEFT JOIN hit ON hit.question_id = q.question_id GROUP BY q.question_id""",
     "truncated_recency": truncated(f"{NEWEST}, unit_id DESC"),
     "truncated_random": truncated("md5('1|' || question_id || '|' || unit_id)"),
     "token_budget": f"WITH {UNITS}, {COSTED} SELECT question_id, max(total)::BIGINT AS total, max(total) * 0.25::DOUBLE AS budget FROM costed GROUP BY question_id",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import text as T
-from memspark.operators import metrics, policies, retrieve
+from memspark.operators import audit, metrics, policies, retrieve
 from memspark.operators import units as U
 from memspark.sources import fixtures
 
@@ -191,6 +191,33 @@ def length_decay(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("cap").agg(F.count("*").alias("n"), F.count_if(T.grade(F.col("short"), F.col("gold"), F.col("is_abstention"))).alias("correct"))
 
 
+@query
+def gold_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    return fixtures.read(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.gold_alternatives(t), "|").alias("alternatives"), F.array_join(T.set_items(t), "|").alias("items"))
+
+
+@query
+def audit_cases(spark: SparkSession, d: str) -> DataFrame:
+    return audit.cases(questions(spark, d))
+
+
+@query
+def grader_audit(spark: SparkSession, d: str) -> DataFrame:
+    return audit.report(audit.cases(questions(spark, d)))
+
+
+@query
+def placebo_survival(spark: SparkSession, d: str) -> DataFrame:
+    """How often golds of other questions of the same type are found in a question's store."""
+    q = questions(spark, d)
+    other = q.select("question_type", F.col("question_id").alias("other_id"), F.col("gold").alias("other"))
+    pool = q.join(other, "question_type").where(F.col("gold") != F.col("other")).select("question_id", "other_id", T.normal_tokens(F.col("other")).alias("g"))
+    store = turn_units(spark, d).select("question_id", T.normal_tokens(F.col("text")).alias("t"))
+    hit = pool.join(store, "question_id").groupBy("question_id", "other_id").agg(F.bool_or(T.contains_span(F.col("t"), F.col("g"))).alias("found"))
+    return q.select("question_id").join(hit, "question_id", "left").groupBy("question_id").agg(F.count("other_id").alias("n_placebos"), F.round(F.coalesce(F.avg(F.col("found").cast("int")), F.lit(0.0)), 6).alias("null_record"))
+
+
 @query
 def truncated_recency(spark: SparkSession, d: str) -> DataFrame:
     return policies.build(turn_units(spark, d), "truncated_recency_25")
