@@ -52,7 +52,7 @@ FILTER_BITS = 1 << 23
 #: Sets in a list from which its shingle counts as frequent; hub rounds; pairs per set that end them.
 LONG_LIST, HUB_ROUNDS, FEW_PAIRS = 12, 3, 16
 #: Sets in a block of a list; lists of a set that are known to it.
-LIST_BLOCK, FIRST_LISTS = 512, 64
+LIST_BLOCK, FIRST_LISTS = 256, 64
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:

@@ -23,7 +23,7 @@ U64 = np.uint64
 GOLD = U64(0x9E3779B97F4A7C15)
 LANE_MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=U64)
 LONG_WORD = 256
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
