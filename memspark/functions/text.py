@@ -181,3 +181,25 @@ def sentences(text: Column) -> Column:
 
 def cap_words(text: Column, cap: int) -> Column:
     return F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda w: w != ""), 1, cap), " ")
+
+
+def is_numeral(text: Column) -> Column:
+    """Digits with at most one point."""
+    return F.trim(text).rlike(r"^(?=.*[0-9])[0-9]*\.?[0-9]*$")
+
+
+def parse_verdict(reply: Column) -> Column:
+    """A judge's reply: false if it says incorrect, true if correct, else null."""
+    return F.when(reply.rlike(r"(?i)\bincorrect\b"), False).when(reply.rlike(r"(?i)\bcorrect\b"), True)
+
+
+def model_label(name: Column) -> Column:
+    """A model's name without what stands before its first colon."""
+    return F.regexp_replace(name, "^[^:]*:", "")
+
+
+def parameters(label: Column) -> Column:
+    """The number of parameters a label tells (7b, 350m), infinite if none."""
+    pattern = r"([0-9]+(?:\.[0-9]+)?)\s*([bm])\b"
+    number, unit = F.regexp_extract(F.lower(label), pattern, 1), F.regexp_extract(F.lower(label), pattern, 2)
+    return F.when(number == "", F.lit(float("inf"))).otherwise(F.when(number != "", number).cast("double") * F.when(unit == "b", 1e9).otherwise(1e6))

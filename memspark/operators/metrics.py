@@ -77,18 +77,50 @@ def portable_index(key: Column, n: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("bigint") % n
 
 
-def bootstrap_mean(diffs: DataFrame, replicates: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """(n, point, lo, hi) of the mean of diffs(pos from 0, value): order statistics of the
-    means of ``replicates`` resamples; draws are hashes, so the same in every engine."""
-    spark = diffs.sparkSession
-    n = diffs.agg(F.count("*").alias("n"), F.avg("value").alias("point"))
-    draws = spark.range(replicates).select(F.col("id").alias("b")).crossJoin(diffs.select("pos")).crossJoin(F.broadcast(n))
+def positions(df: DataFrame, *keys: str, bins: int = 1024) -> DataFrame:
+    """``df`` with ``pos`` from 0: rows in an order by a hash of the keys; only counts per
+    bin of the hash are summed in one place."""
+    h = F.md5(F.concat_ws("|", *keys).cast("binary"))
+    rows = df.withColumns({"h": h, "bin": F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % bins})
+    sizes = rows.groupBy("bin").agg(F.count("*").alias("size"))
+    starts = sizes.select("bin", (F.sum("size").over(Window.orderBy("bin")) - F.col("size")).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("bin").orderBy("h", *keys)) - 1
+    return rows.join(F.broadcast(starts), "bin").withColumn("pos", (F.col("start") + inside).cast("long")).drop("h", "bin", "start")
+
+
+def resampled(rows: DataFrame, replicates: int, seed: int, values: list[str]) -> DataFrame:
+    """Means of the values in each replicate b: n draws by hash from rows(pos from 0, values)."""
+    n = rows.agg(F.count("*").alias("n"))
+    draws = rows.select("pos", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")).crossJoin(F.broadcast(n))
     draws = draws.select("b", portable_index(F.concat_ws("|", F.lit(seed), "b", "pos"), F.col("n")).alias("pos"))
-    means = draws.join(diffs, "pos").groupBy("b").agg(F.avg("value").alias("m"))
-    ranked = means.withColumn("r", F.row_number().over(Window.orderBy("m", "b")) - 1)
+    return draws.join(rows, "pos").groupBy("b").agg(*[F.avg(v).alias(v) for v in values])
+
+
+def interval(stats: DataFrame, alpha: float, interpolate: bool = False) -> DataFrame:
+    """(lo, hi) of stats(b, m): order statistics of the m that are not null, or interpolated quantiles."""
+    if interpolate:
+        return stats.agg(F.percentile("m", F.lit(alpha / 2)).alias("lo"), F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))
+    known = stats.where("m IS NOT NULL")
+    ranked = known.withColumns({"r": F.row_number().over(Window.orderBy("m", "b")) - 1, "k": F.count("*").over(Window.partitionBy())})
     at = lambda i: F.max(F.when(F.col("r") == i, F.col("m")))
-    lo, hi = int(alpha / 2 * replicates), min(replicates - 1, int((1 - alpha / 2) * replicates))
-    return n.crossJoin(ranked.agg(at(lo).alias("lo"), at(hi).alias("hi"))).select("n", *[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")])
+    lo, hi = F.floor(F.lit(alpha / 2) * F.col("k")), F.least(F.col("k") - 1, F.floor(F.lit(1 - alpha / 2) * F.col("k")))
+    return ranked.agg(at(lo).alias("lo"), at(hi).alias("hi"))
+
+
+def bootstrap_mean(diffs: DataFrame, replicates: int = 200, alpha: float = 0.05, seed: int = 0, interpolate: bool = False) -> DataFrame:
+    """(n, point, lo, hi) of the mean of diffs(pos from 0, value): bounds from the
+    means of ``replicates`` resamples; draws are hashes, so the same in every engine."""
+    n = diffs.agg(F.count("*").alias("n"), F.avg("value").alias("point"))
+    means = resampled(diffs, replicates, seed, ["value"]).withColumnRenamed("value", "m")
+    return n.crossJoin(interval(means, alpha, interpolate)).select("n", *[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")])
+
+
+def bootstrap_corrected(outcomes: DataFrame, replicates: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """(n, point, lo, hi) of the chance-corrected mean of outcomes(pos, score, floor): the
+    floor is resampled with the scores; replicates without a corrected value are dropped."""
+    n = outcomes.agg(F.count("*").alias("n"), chance_corrected(F.avg("score"), F.avg("floor")).alias("point"))
+    stats = resampled(outcomes, replicates, seed, ["score", "floor"]).select("b", chance_corrected(F.col("score"), F.col("floor")).alias("m"))
+    return n.crossJoin(interval(stats, alpha)).select("n", *[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")])
 
 
 def order_statistics(df: DataFrame, value: str, *group: str) -> DataFrame:

@@ -100,6 +100,19 @@ def sentence_idf(units: DataFrame) -> DataFrame:
     return df.join(n, "question_id").select("question_id", "term", "df", F.round(F.log(F.col("n") / (1 + F.col("df"))) + 1, 9).alias("idf"))
 
 
+def sentence_cosines(units: DataFrame) -> DataFrame:
+    """(question_id, unit_id, i, j, cosine) of the sentences i < j of a unit that share a
+    term: joined on the term within the unit, never all pairs."""
+    terms = sentence_rows(units).select("question_id", "unit_id", "pos", F.explode(T.bm25_tokens(F.col("sentence"))).alias("term"))
+    w = terms.groupBy("question_id", "unit_id", "pos", "term").agg(F.count("*").alias("tf")).join(sentence_idf(units), ["question_id", "term"])
+    w = w.withColumn("w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("question_id", "unit_id", "pos")))
+    v = w.select("question_id", "unit_id", "pos", "term", "w", norm.alias("norm"))
+    other = v.select("question_id", "unit_id", "term", F.col("pos").alias("j"), F.col("w").alias("w2"), F.col("norm").alias("norm2"))
+    pairs = v.withColumnRenamed("pos", "i").join(other, ["question_id", "unit_id", "term"]).where("i < j AND norm > 0 AND norm2 > 0")
+    return pairs.groupBy("question_id", "unit_id", "i", "j").agg(F.round(F.sum(F.col("w") * F.col("w2") / (F.col("norm") * F.col("norm2"))), 6).alias("cosine"))
+
+
 def centrality(vectors: list[dict[str, float]]) -> np.ndarray:
     """Stationary weights of sentences on their cosine graph, by damped power iteration."""
     n = len(vectors)

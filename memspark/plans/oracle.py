@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from memspark.functions.text import ABBREVIATION, ALSO_ACCEPTABLE, ARTICLES, GOLD_ABSTAINS, MONTHS, NUMBER_WORDS, PUNCTUATION, REFUSAL
+from memspark.functions.text import ABBREVIATION, ALSO_ACCEPTABLE, ARTICLES, GOLD_ABSTAINS, MONTHS, NUMBER_WORDS, ORDER_QUESTION, PUNCTUATION, REFUSAL
+from memspark.operators.audit import MONTHS as AUDIT_MONTHS
+from memspark.operators.audit import REFUSALS as AUDIT_REFUSALS
+from memspark.operators.audit import SPELLED, WEEKDAYS
+from memspark.operators.audit import UNITS as UNIT_WORDS
 from memspark.sources.fixtures import TURNS_SQL
 
 
@@ -119,12 +123,40 @@ def graded(p: str, raw: str, gold: str = "gold", abstains: str = "false") -> str
     return f"CASE WHEN {abstains} OR regexp_matches({gold}, {quoted(GOLD_ABSTAINS)}) THEN {refuses} WHEN len({normal(gold)}) > 12 THEN NULL WHEN {refuses} THEN false ELSE {some} OR {every} END"
 
 
-AUDIT = f"""cases AS (SELECT question_id, 'identity' AS kind, gold, gold AS pred, true AS expected FROM questions
-    UNION ALL SELECT question_id, 'padded', gold, 'I believe the answer is ' || gold || ', based on our chat.', true FROM questions
-    UNION ALL SELECT question_id, 'hard_case_punct', gold, upper(gold) || '!!', true FROM questions
-    UNION ALL SELECT question_id, 'swapped_gold', gold, other, false FROM (SELECT *, lead(gold) OVER (ORDER BY question_id) AS other FROM questions) o WHERE other IS NOT NULL
-    UNION ALL SELECT question_id, 'refusal_to_answerable', gold, 'I do not know; it was not mentioned.', false FROM questions
-    UNION ALL SELECT question_id, 'empty', gold, '', false FROM questions)"""
+SPELLED_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SPELLED.items()) + "}"
+NUMBER_AT = "'^([^0-9]*)([0-9]+)(.*)$', {}, 's'"
+HEAD, FIGURE, REST = (f"regexp_extract(gold, {NUMBER_AT.format(i)})" for i in (1, 2, 3))
+MONTH_CUT = "coalesce(" + ", ".join(f"CASE WHEN contains(lower(gold), '{m.lower()}') THEN regexp_replace(gold, '(?i){m}', '{m[:3]}', 'g') END" for m in AUDIT_MONTHS) + ")"
+UNIT_OUT = "coalesce(" + ", ".join(f"CASE WHEN contains(gold, '{c}') THEN trim(replace(gold, '{c}', '')) || ' {w}' END" for c, w in UNIT_WORDS.items()) + ")"
+LAST_WORDS = "list_filter(string_split_regex(regexp_replace(gold, '[.!? ]+$', ''), '\\s+'), lambda w: w <> '')"
+LAST = f"coalesce({LAST_WORDS}[-1], '')"
+PLURAL = f"""CASE WHEN regexp_matches({LAST}, '^[A-Za-z]{{4,}}$') AND NOT ends_with(lower({LAST}), 's') AND lower({LAST}) NOT IN ({", ".join(quoted(w) for w in SPELLED.values())})
+    AND (lower({LAST}) = {LAST} OR lower({LAST}) IN ({", ".join(quoted(w) for w in WEEKDAYS)})) THEN array_to_string(list_append({LAST_WORDS}[1:-2], {LAST} || CASE WHEN regexp_matches(lower({LAST}), '(x|z|ch|sh)$') THEN 'es' ELSE 's' END), ' ') END"""
+ITEMS = enumerated("gold")
+ROTATED = f"CASE WHEN len({ITEMS}) >= 3 THEN array_to_string(list_append({ITEMS}[2:], 'and ' || {ITEMS}[1]), ', ') END"
+ORDERED = f"regexp_matches(question, {quoted(ORDER_QUESTION)})"
+ACCEPTED = f"coalesce({graded(normal('pred'), 'pred')}, false)"
+AUDIT = f"""abst AS (SELECT question_id, 'The information provided is not enough.' AS gold FROM turns WHERE question_id LIKE '%\\_abs' ESCAPE '\\' AND turn_index = 0),
+    able AS (SELECT * FROM questions WHERE len({normal('gold')}) <= 12 AND NOT regexp_matches(gold, {quoted(GOLD_ABSTAINS)})), aq AS (SELECT * FROM able ORDER BY question_id LIMIT 360),
+    made AS (SELECT question_id, 'identity' AS kind, gold, gold AS pred, true AS expected FROM aq
+    UNION ALL SELECT question_id, 'padded', gold, 'I believe the answer is ' || gold || ', based on our chat.', true FROM aq
+    UNION ALL SELECT question_id, 'sentence', gold, 'The answer is ' || gold || '.', true FROM aq
+    UNION ALL SELECT question_id, 'hard_number_word', gold, {HEAD} || {SPELLED_SQL}[{FIGURE}] || {REST}, true FROM aq
+    UNION ALL SELECT question_id, 'hard_month_abbrev', gold, {MONTH_CUT}, true FROM aq
+    UNION ALL SELECT question_id, 'hard_unit_expanded', gold, {UNIT_OUT}, true FROM aq
+    UNION ALL SELECT question_id, 'hard_case_punct', gold, upper(gold) || '!!', true FROM aq
+    UNION ALL SELECT question_id, 'hard_plural', gold, {PLURAL}, true FROM aq
+    UNION ALL SELECT question_id, CASE WHEN {ORDERED} THEN 'reordered_ordered_list' ELSE 'hard_list_reorder' END, gold, {ROTATED}, NOT {ORDERED} FROM aq
+    UNION ALL SELECT question_id, 'perturbed_number', gold, {HEAD} || (try_cast({FIGURE} AS BIGINT) + CASE WHEN length({FIGURE}) <= 3 THEN 7 ELSE 111 END) || {REST}, false FROM aq WHERE length({FIGURE}) <= 9
+    UNION ALL SELECT question_id, 'refusal_to_answerable', gold, [{", ".join(quoted(r) for r in AUDIT_REFUSALS)}][('0x' || substr(md5(question_id), 1, 4))::INT % 2 + 1], false FROM aq
+    UNION ALL SELECT question_id, 'empty', gold, '', false FROM aq),
+    ring AS (SELECT question_type AS rt, gold AS pred, row_number() OVER (PARTITION BY question_type ORDER BY md5(question_id)) AS rr FROM aq),
+    tried AS (SELECT question_id, gold, i, pred FROM (SELECT question_id, question_type, gold, row_number() OVER (PARTITION BY question_type ORDER BY md5(question_id)) AS r FROM aq) a, range(1, 7) t(i), ring WHERE rt = question_type AND rr = r + i),
+    swaps AS (SELECT question_id, gold, arg_min(pred, i) AS pred FROM tried WHERE {normal('pred')} <> {normal('gold')} AND NOT {ACCEPTED} GROUP BY question_id, gold),
+    cases AS (SELECT * FROM made WHERE pred IS NOT NULL AND (kind <> 'perturbed_number' OR NOT {ACCEPTED})
+    UNION ALL SELECT question_id, 'swapped_gold', gold, pred, false FROM swaps
+    UNION ALL SELECT question_id, 'correct_abstention', gold, unnest([{", ".join(quoted(r) for r in AUDIT_REFUSALS)}]), true FROM abst
+    UNION ALL SELECT question_id, 'hallucinated_on_abstention', gold, pred, false FROM abst, (SELECT arg_min(gold, md5(question_id)) AS pred FROM able) c WHERE pred IS NOT NULL)"""
 COSTED = f"costed AS (SELECT *, {count('text')} AS tokens, sum({count('text')}) OVER (PARTITION BY question_id) AS total FROM units)"
 
 
@@ -210,7 +242,7 @@ SQL: dict[str, str] = {
         SELECT cap, count(*) AS n, count(*) FILTER (WHERE {graded(normal('short'), 'short')}) AS correct FROM capped GROUP BY cap""",
     "gold_alternatives": f"""SELECT conv_id, turn, array_to_string({alternatives("coalesce(text, '')")}, '|') AS alternatives, array_to_string({enumerated("coalesce(text, '')")}, '|') AS items FROM conversations""",
     "audit_cases": f"WITH {TURNS}, {QUESTIONS}, {AUDIT} SELECT * FROM cases",
-    "grader_audit": f"""WITH {TURNS}, {QUESTIONS}, {AUDIT}, v AS (SELECT *, {graded(normal('pred'), 'pred')} AS verdict FROM cases)
+    "grader_audit": f"""WITH {TURNS}, {QUESTIONS}, {AUDIT}, v AS (SELECT *, {graded(normal('pred'), 'pred', abstains="ends_with(kind, 'abstention')")} AS verdict FROM cases)
         SELECT kind, count(*) AS n, count(*) FILTER (WHERE verdict = expected) AS right, count(*) FILTER (WHERE verdict AND NOT expected) AS false_accepts,
                count(*) FILTER (WHERE NOT verdict AND expected) AS false_rejects FROM v WHERE verdict IS NOT NULL GROUP BY kind""",
     "placebo_survival": f"""WITH {SURVIVAL}, pool AS (SELECT q.question_id, o.question_id AS other_id, {normal('o.gold')} AS g FROM questions q JOIN questions o ON q.question_type = o.question_type AND q.gold <> o.gold),
@@ -238,7 +270,7 @@ SQL: dict[str, str] = {
     "cohens_kappa": f"""WITH {ARMS}, m AS (SELECT count(*) AS n, avg((system = control)::INT) AS a, avg(system::INT) AS h, avg(control::INT) AS j, avg(CASE WHEN NOT system THEN control::INT END) AS fa
         FROM arms WHERE system IS NOT NULL AND control IS NOT NULL), e AS (SELECT *, h * j + (1 - h) * (1 - j) AS pe FROM m)
         SELECT n, round(a, 6) AS agreement, round(CASE WHEN pe >= 1 THEN 1 ELSE (a - pe) / (1 - pe) END, 6) AS kappa, round(fa, 6) AS false_accept FROM e""",
-    "bootstrap_ci": f"""WITH {ARMS}, v AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, system::INT - control::INT AS value FROM arms WHERE system IS NOT NULL AND control IS NOT NULL),
+    "bootstrap_ci": f"""WITH {ARMS}, v AS (SELECT row_number() OVER (ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 1024, md5(doc_id::VARCHAR)) - 1 AS pos, system::INT - control::INT AS value FROM arms WHERE system IS NOT NULL AND control IS NOT NULL),
         n AS (SELECT count(*) AS n, avg(value) AS point FROM v),
         dr AS (SELECT b, ('0x' || substr(md5('0|' || b || '|' || pos), 1, 8))::BIGINT % n AS pos FROM range(200) r(b), v, n),
         m AS (SELECT b, avg(value) AS m FROM dr JOIN v ON v.pos = dr.pos GROUP BY b), o AS (SELECT m, row_number() OVER (ORDER BY m, b) - 1 AS r FROM m)

@@ -43,6 +43,13 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def abstentions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions without an answer, from their first turns."""
+    first = fixtures.turns(spark, d).where("question_id LIKE '%\\_abs' AND turn_index = 0")
+    words = F.filter(F.split("content", r"\s+"), lambda w: w != "")
+    return first.select("question_id", F.lit("multi-session").alias("question_type"), F.array_join(F.slice(words, 1, 8), " ").alias("question"), F.lit("The information provided is not enough.").alias("gold"), F.lit(True).alias("is_abstention"))
+
+
 def arms(spark: SparkSession, d: str) -> DataFrame:
     """Two verdicts per labelled document: its quality, and a rule on its length."""
     docs, labels = fixtures.read(spark, d, "documents"), fixtures.read(spark, d, "labels")
@@ -199,12 +206,12 @@ def gold_alternatives(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def audit_cases(spark: SparkSession, d: str) -> DataFrame:
-    return audit.cases(questions(spark, d))
+    return audit.cases(questions(spark, d), abstentions(spark, d))
 
 
 @query
 def grader_audit(spark: SparkSession, d: str) -> DataFrame:
-    return audit.report(audit.cases(questions(spark, d)))
+    return audit.report(audit.cases(questions(spark, d), abstentions(spark, d)))
 
 
 @query
@@ -303,8 +310,7 @@ def cohens_kappa(spark: SparkSession, d: str) -> DataFrame:
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     a = arms(spark, d).where(F.col("system").isNotNull() & F.col("control").isNotNull())
     diff = (F.col("system").cast("int") - F.col("control").cast("int")).cast("double")
-    pos = F.row_number().over(Window.orderBy("doc_id")) - 1
-    return metrics.bootstrap_mean(a.select(pos.cast("long").alias("pos"), diff.alias("value")), replicates=200)
+    return metrics.bootstrap_mean(metrics.positions(a.select("doc_id", diff.alias("value")), "doc_id").select("pos", "value"), replicates=200)
 
 
 @query

@@ -29,3 +29,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = TURNS_SQL.replace("FROM conversations)", "FROM {conversations})")
     return spark.sql(sql, conversations=read(spark, sf_dir, "conversations"))
+
+
+#: asked(question_id, question_date) from turns: the latest or first session's day or a late one, at a
+#: time before or after the sessions'; every seventh date is impossible.
+ASKED_SQL = """
+    SELECT question_id, CASE WHEN k % 7 = 6 THEN '2023/02/30 (Mon) 10:00'
+           ELSE concat(CASE k % 3 WHEN 0 THEN last_day WHEN 1 THEN first_day ELSE '2023/12/31' END, CASE WHEN k % 2 = 0 THEN ' (Mon) 09:30' ELSE ' (Mon) 18:00' END) END AS question_date
+    FROM (SELECT question_id, CAST(regexp_replace(question_id, '[a-z_]', '', 'g') AS BIGINT) AS k, max(substr(session_date, 1, 10)) AS last_day, min(substr(session_date, 1, 10)) AS first_day
+          FROM turns GROUP BY question_id) d"""
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = ASKED_SQL.replace("FROM turns ", "FROM {turns} ").replace(", 'g')", ")")
+    return spark.sql(sql, turns=turns(spark, sf_dir))

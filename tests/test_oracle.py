@@ -6,8 +6,11 @@ import os
 import duckdb
 import pytest
 
-from memspark.plans.oracle import SQL
-from memspark.plans.queries import QUERIES
+from memspark.plans.oracle import SQL as FIRST_SQL
+from memspark.plans.report_sql import REPORT_SQL
+from memspark.plans.reports import QUERIES
+
+SQL = FIRST_SQL | REPORT_SQL
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
