@@ -151,6 +151,22 @@ def test_lm_base_matches_brute_force(docs, empty, limit):
     assert maxent.score(empty, broadcast_tokens=limit).count() == 0
 
 
+def test_packing_ids_are_those_of_tokenizers(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "<|endoftext| >", "a" + " " * 1_000_000 + "b", "a" + "\n" * 1_000_000, "x \u3000" * 50_000, "\u3000" * packing.LONG_SPACE]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got: dict[int, list[int]] = {}
+    for r in packing.pack(rows, path, 1 << 16, with_ids=True).orderBy("doc_id", "start").toLocalIterator():
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    slow = Tokenizer.from_file(path)
+    assert slow.encode(texts[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    for i, text in enumerate(texts):
+        assert got[i] == [*slow.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_packing_round_trip(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
