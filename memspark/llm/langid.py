@@ -4,6 +4,7 @@ Four sources of evidence are added as log-probabilities per language:
 
 * the text: a multinomial model of hashed byte trigrams of the lower-cased
   words, learnt from all rows with a declared language (counts by task, summed);
+  every declared language has one, and tasks go through them in pieces;
   its log-likelihood is tempered to ``text_power`` of its length, as trigrams
   are far from independent, and counts fully for short texts only;
 * the declared markup language (``declared``): how often a declaration is right,
@@ -38,8 +39,10 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 from memspark.llm import textvec as tv
 from memspark.llm.common import saved
 
-#: Hashed trigram classes; declared languages beyond the MAX_LANGS most frequent are not modelled.
-CLASSES, MAX_LANGS = 1 << 15, 64
+#: Hashed trigram classes; languages per piece of the text model, of which a task holds one at a time.
+CLASSES, PIECE = 1 << 15, 64
+#: (language, class) counts that a task gathers before it passes them on; values and (value, language) pairs broadcast at most.
+GATHERED, FEW_VALUES, FEW_PAIRS = 1 << 21, 200_000, 1_000_000
 LETTER = np.zeros(256, dtype=bool)
 LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = LETTER[0xC3:] = True
 
@@ -65,44 +68,129 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def trigram_counts(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((len(langs), CLASSES), dtype=np.int64)
+    names = pa.array(langs, pa.string())
+    keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array((keys // CLASSES).astype(np.int32)), pa.array((keys % CLASSES).astype(np.int32)), pa.array(sums)], ["lang", "class", "n"])
+
     for batch in tv.chunks(batches):
-        lang = pc.index_in(batch.column("declared"), pa.array(langs)).fill_null(-1).to_numpy()
+        lang = pc.index_in(batch.column("declared").cast(pa.string()), names).fill_null(-1).to_numpy().astype(np.int64)
         cls, doc, _ = trigrams(batch.column("text"))
-        for i in np.unique(lang[lang >= 0]).tolist():
-            total[i] += np.bincount(cls[lang[doc] == i], minlength=CLASSES)
-    li, ci = np.nonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(li.astype(np.int32)), pa.array(ci.astype(np.int32)), pa.array(total[li, ci])], ["lang", "class", "n"])
+        of = lang[doc]
+        new, n = np.unique((of * CLASSES + cls)[of >= 0], return_counts=True)
+        merged, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        sums = np.bincount(at, weights=np.concatenate([sums, n]), minlength=len(merged)).astype(np.int64)
+        keys = merged
+        if len(keys) >= GATHERED:
+            yield out()
+            keys, sums = keys[:0], sums[:0]
+    yield out()
+
+
+class TextModel:
+    """Trigram counts of all languages, a broadcast per PIECE of them."""
+
+    def __init__(self, rows: DataFrame, langs: list[str]) -> None:
+        sc = rows.sparkSession.sparkContext
+        self.size, self.piece, self.held = len(langs), PIECE, None
+        names = sc.broadcast(langs)
+        counts = rows.where(F.col("declared").isNotNull()).select("declared", "text").mapInArrow(lambda it: trigram_counts(it, names.value), "lang int, class int, n long")
+        counts = counts.groupBy("lang", "class").agg(F.sum("n").alias("n"))
+        if self.size > self.piece:
+            counts = saved(counts, "trigrams")
+        self.parts = []
+        for a in range(0, self.size, self.piece):
+            found = counts.where((F.col("lang") >= a) & (F.col("lang") < a + self.piece)).toArrow()
+            self.parts.append(sc.broadcast((found["lang"].to_numpy() - a, found["class"].to_numpy(), found["n"].to_numpy())))
+
+    def table(self, i: int) -> np.ndarray:
+        """(languages of piece i, CLASSES) log-probabilities."""
+        part = self.parts[i]
+        lang, cls, n = part.value
+        table = np.full((min(self.piece, self.size - i * self.piece), CLASSES), 0.5)
+        table[lang, cls] += n
+        if len(self.parts) > 1:
+            vars(part).pop("_value", None)  # the file of the broadcast stays
+        return np.log(table / table.sum(axis=1, keepdims=True))
+
+    def pieces(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(first language, table) of each piece; a single one is kept."""
+        if len(self.parts) > 1:
+            yield from ((i * self.piece, self.table(i)) for i in range(len(self.parts)))
+            return
+        if self.held is None:
+            self.held = self.table(0)
+        yield 0, self.held
+
+
+def text_scores(texts: pa.Array, model: TextModel, text_power: float) -> tuple[Iterator[tuple[int, np.ndarray]], np.ndarray]:
+    """(first language, (rows, languages) tempered log-likelihoods) by piece, and letters per row."""
+    cls, doc, letters = trigrams(texts)
+    n = np.bincount(doc, minlength=len(texts)).astype(np.float64)
+    scale = (np.maximum(n, 1.0) ** (text_power - 1.0))[:, None]
 
+    def scores() -> Iterator[tuple[int, np.ndarray]]:
+        for a, table in model.pieces():
+            yield a, np.stack([np.bincount(doc, weights=row[cls], minlength=len(texts)) for row in table], axis=1) * scale
 
-def text_model(rows: DataFrame, langs: list[str]) -> np.ndarray:
-    """(languages, CLASSES) log-probabilities; collects languages x CLASSES counts at most."""
-    counts = rows.where(F.col("declared").isin(langs)).select("declared", "text").mapInArrow(lambda it: trigram_counts(it, langs), "lang int, class int, n long")
-    found = counts.groupBy("lang", "class").agg(F.sum("n").alias("n")).toArrow()
-    table = np.full((len(langs), CLASSES), 0.5)
-    table[found["lang"].to_numpy(), found["class"].to_numpy()] += found["n"].to_numpy()
-    return np.log(table / table.sum(axis=1, keepdims=True))
+    return scores(), letters
 
 
-def text_evidence(texts: pa.Array, model: np.ndarray, text_power: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, languages) tempered log-likelihoods, and letters per row."""
-    cls, doc, letters = trigrams(texts)
-    out = np.stack([np.bincount(doc, weights=row[cls], minlength=len(texts)) for row in model], axis=1) if len(model) else np.zeros((len(texts), 0))
-    n = np.bincount(doc, minlength=len(texts)).astype(np.float64)
-    return out * (np.maximum(n, 1.0) ** (text_power - 1.0))[:, None], letters
+def best_of(pieces: Iterator[tuple[int, np.ndarray]], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(best language, its posterior) per row over all pieces; ties to the first."""
+    best, top, mass = np.zeros(rows, np.int64), np.full(rows, -np.inf), np.zeros(rows)
+    for a, score in pieces:
+        high = score.max(axis=1)
+        best = np.where(high > top, a + score.argmax(axis=1), best)
+        both = np.maximum(top, high)
+        mass = mass * np.exp(top - both) + np.exp(score - both[:, None]).sum(axis=1)
+        top = both
+    return best, 1.0 / mass
 
 
-def confusion(batches: Iterator[pa.RecordBatch], langs: list[str], model: np.ndarray, text_power: float) -> Iterator[pa.RecordBatch]:
+def confusion(batches: Iterator[pa.RecordBatch], model: TextModel, text_power: float) -> Iterator[pa.RecordBatch]:
     """Counts of (kind, value, best language by text); kinds: declared, suffix, host."""
     for batch in tv.chunks(batches):
-        score, letters = text_evidence(batch.column("text"), model, text_power)
-        best = pa.array(score.argmax(axis=1).astype(np.int32), mask=letters == 0)
+        pieces, letters = text_scores(batch.column("text"), model, text_power)
+        best = pa.array(best_of(pieces, batch.num_rows)[0].astype(np.int32), mask=letters == 0)
         for kind in ("declared", "suffix", "host"):
             rows = pa.table({"value": batch.column(kind), "lang": best, "n": pa.array(np.ones(batch.num_rows, np.int64))}).drop_null()
             part = rows.group_by(["value", "lang"]).aggregate([("n", "sum")])
             yield from part.select(["value", "lang", "n_sum"]).rename_columns(["value", "lang", "n"]).add_column(0, "kind", pa.array([kind] * part.num_rows, pa.string())).combine_chunks().to_batches()
 
 
+def joined_counts(seen: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
+    """``rows`` with the counts by language of their value of a kind: arrays
+    {kind}__langs and {kind}__counts, null for a value that was not seen."""
+    key = f"{kind}__evidence"
+    pairs = F.collect_list(F.struct("lang", "n")).alias("pairs")
+    values = seen.where(F.col("kind") == kind).groupBy(F.col("value").alias(key)).agg(pairs)
+    size = values.agg(F.count("*").alias("values"), F.coalesce(F.sum(F.size("pairs")), F.lit(0)).alias("pairs")).first()
+    few = size["values"] <= FEW_VALUES and size["pairs"] <= FEW_PAIRS
+    values = values.select(key, F.col("pairs.lang").alias(f"{kind}__langs"), F.col("pairs.n").alias(f"{kind}__counts"))
+    return rows.join(F.broadcast(values) if few else values, key, "left")
+
+
+class Counts:
+    """The joined counts of a batch, spread over the languages of one piece at a time."""
+
+    def __init__(self, batch: pa.RecordBatch, kind: str) -> None:
+        lists = batch.column(f"{kind}__langs")
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        self.known = lists.is_valid().to_numpy(zero_copy_only=False)
+        self.row = np.repeat(np.arange(batch.num_rows), size)
+        self.lang = lists.flatten().to_numpy()
+        self.n = batch.column(f"{kind}__counts").flatten().to_numpy()
+        self.all = np.bincount(self.row, weights=self.n, minlength=batch.num_rows)
+
+    def dense(self, a: int, b: int) -> np.ndarray:
+        out = np.zeros((len(self.known), b - a))
+        here = (self.lang >= a) & (self.lang < b)
+        out[self.row[here], self.lang[here] - a] = self.n[here]
+        return out
+
+
 def identify(df: DataFrame, declared: Column, host: Column, suffix: Column | None = None, text_power: float = 0.5, host_weight: float = 20.0, min_confidence: float = 0.5) -> DataFrame:
     """``df`` (with a column ``text``) with lang_id, confidence and accepted."""
     spark = df.sparkSession
@@ -111,51 +199,42 @@ def identify(df: DataFrame, declared: Column, host: Column, suffix: Column | Non
     clash = {f"{k}__evidence": v for k, v in (("declared", declared), ("suffix", F.lit(None) if suffix is None else suffix), ("host", host))}
     rows = df.select(*keep, *[v.cast("string").alias(k) for k, v in clash.items()])
     view = rows.select("text", *[F.col(f"{k}__evidence").alias(k) for k in ("declared", "suffix", "host")])
-    counts = view.where(F.col("declared").isNotNull()).groupBy("declared").count().orderBy(F.col("count").desc(), "declared").limit(MAX_LANGS).collect()
-    langs = sorted(r.declared for r in counts)
+    langs = sorted(r.declared for r in view.where(F.col("declared").isNotNull()).select("declared").distinct().collect())
     if not langs:
         return df.select(*keep, F.lit(None).cast("string").alias("lang_id"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"))
-    model = text_model(view, langs)
-    shared = spark.sparkContext.broadcast((langs, model))
-    seen = saved(view.mapInArrow(lambda it: confusion(it, *shared.value, text_power), "kind string, value string, lang int, n long").groupBy("kind", "value", "lang").agg(F.sum("n").alias("n")), "evidence")
+    model = TextModel(view, langs)
+    seen = saved(view.mapInArrow(lambda it: confusion(it, model, text_power), "kind string, value string, lang int, n long").groupBy("kind", "value", "lang").agg(F.sum("n").alias("n")), "evidence")
     overall = np.ones(len(langs))
     for r in seen.where("kind = 'declared'").groupBy("lang").agg(F.sum("n").alias("n")).collect():
         overall[r.lang] += r.n
-    prior = overall / overall.sum()
-
-    def likelihood(kind: str) -> dict[str, np.ndarray]:
-        """log P(value | language) of the values of a kind; at most 4,096 frequent values are told apart."""
-        top = seen.where(F.col("kind") == kind).groupBy("value").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "value").limit(4096)
-        table: dict[str, np.ndarray] = {}
-        for r in seen.where(F.col("kind") == kind).join(F.broadcast(top), "value").collect():
-            table.setdefault(r.value, np.full(len(langs), 0.5))[r.lang] += r.n
-        return {v: np.log(c / overall) for v, c in table.items()}
-
-    evidence = spark.sparkContext.broadcast((langs, model, {k: likelihood(k) for k in ("declared", "suffix")}))
-    # shrunk host priors: one array per host, joined; hosts are as many as they are
-    one = lambda i: F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0))
-    hosts = seen.where("kind = 'host'").groupBy("value").agg(F.sum("n").alias("all"), *[one(i).alias(f"c{i}") for i in range(len(langs))])
-    shares = F.array(*[F.log((F.col(f"c{i}") + F.lit(host_weight * float(prior[i]))) / (F.col("all") + host_weight)) for i in range(len(langs))])
-    hosts = hosts.select(F.col("value").alias("host__evidence"), shares.alias("prior__evidence"))
-    few = hosts.count() <= 200_000
-    joined = rows.join(F.broadcast(hosts) if few else hosts, "host__evidence", "left")
-    base = np.log(prior)
+    evidence = spark.sparkContext.broadcast((langs, overall))
+    kinds = ["host", "declared", *([] if suffix is None else ["suffix"])]
+    joined = rows
+    for kind in kinds:
+        joined = joined_counts(seen, joined, kind)
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, table, given = evidence.value
+        names, overall = evidence.value
+        prior = overall / overall.sum()
         for batch in tv.chunks(batches):
-            score, letters = text_evidence(batch.column("text"), table, text_power)
-            priors = batch.column("prior__evidence")
-            score += np.array([base if p is None else p for p in priors.to_pylist()], dtype=np.float64).reshape(batch.num_rows, len(names))
-            for kind in ("declared", "suffix"):
-                known = given[kind]
-                values = batch.column(f"{kind}__evidence").dictionary_encode()
-                bonus = np.stack([*[known.get(v, np.zeros(len(names))) for v in values.dictionary.to_pylist()], np.zeros(len(names))])
-                score += bonus[values.indices.fill_null(len(values.dictionary)).to_numpy()]
-            best = score.argmax(axis=1)
-            posterior = 1.0 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)
+            counts = {kind: Counts(batch, kind) for kind in kinds}
+            pieces, letters = text_scores(batch.column("text"), model, text_power)
+
+            def fused() -> Iterator[tuple[int, np.ndarray]]:
+                for a, score in pieces:
+                    b = a + score.shape[1]
+                    # host shares shrunk towards those of all rows; log P(value | language) of the other kinds
+                    host = counts["host"]
+                    share = (host.dense(a, b) + host_weight * prior[a:b]) / (host.all + host_weight)[:, None]
+                    score += np.log(np.where(host.known[:, None], share, prior[a:b]))
+                    for kind in kinds[1:]:
+                        given = counts[kind]
+                        score += np.where(given.known[:, None], np.log((given.dense(a, b) + 0.5) / overall[a:b]), 0.0)
+                    yield a, score
+
+            best, posterior = best_of(fused(), batch.num_rows)
             ok = (letters > 0) & (posterior >= min_confidence)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array([names[i] for i in best.tolist()], pa.string()), pa.array(posterior), pa.array(ok)], names=[*keep, "lang_id", "confidence", "accepted"])
 
     schema = StructType([*df.select(*keep).schema.fields, *results])
-    return joined.select(*keep, "prior__evidence", "declared__evidence", "suffix__evidence").mapInArrow(fuse, schema)
+    return joined.select(*keep, *[f"{kind}__{x}" for kind in kinds for x in ("langs", "counts")]).mapInArrow(fuse, schema)

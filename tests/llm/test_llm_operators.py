@@ -239,6 +239,42 @@ def test_language_id(spark, empty):
     assert langid.identify(df, F.lit(None), F.col("source")).where("accepted").count() == 0
 
 
+def test_langid_models_every_declared_language(spark):
+    rng = random.Random(5)
+    # 150 languages of own letters each; the last ones are the rarest
+    names = [f"l{i:03d}" for i in range(150)]
+    vocab = [["".join(chr(0x4E00 + 40 * i + rng.randrange(40)) for _ in range(3)) for _ in range(12)] for i in range(150)]
+    rows = [(100 * i + k, " ".join(rng.choices(vocab[i], k=40)), names[i], f"h{k}", 0) for i in range(150) for k in range(12 if i < 80 else 8)]
+    rows += [(100_000 + i, " ".join(rng.choices(vocab[i], k=40)), None, None, 0) for i in range(150)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = {r.doc_id: r for r in langid.identify(df, F.col("lang"), F.col("source")).collect()}
+    assert all(got[r[0]].lang_id == r[2] and got[r[0]].accepted for r in rows if r[2])
+    assert all(got[100_000 + i].lang_id == names[i] for i in range(150))
+
+
+def test_langid_pieces_do_not_change_the_posterior(spark, monkeypatch):
+    rng = random.Random(6)
+    vocab = {f"l{i}": ["".join(rng.choices("abcdefgh", k=4)) for _ in range(6)] for i in range(7)}
+    rows = [(i, " ".join(rng.choices(vocab[f"l{i % 7}"], k=5)), f"l{i % 7}" if i % 5 else None, f"h{i % 3}" if i % 4 else None, 0) for i in range(140)]
+    df = spark.createDataFrame(rows, DOCS)
+    found = lambda: {r.doc_id: r for r in langid.identify(df, F.col("lang"), F.col("source")).collect()}
+    whole = found()
+    score = {k: (r.lang_id, r.accepted) for k, r in whole.items()}
+    monkeypatch.setattr(langid, "PIECE", 2)
+    monkeypatch.setattr(langid, "FEW_VALUES", 0)
+    parts = found()
+    assert {k: (r.lang_id, r.accepted) for k, r in parts.items()} == score
+    assert all(abs(parts[k].confidence - whole[k].confidence) < 1e-9 for k in whole)
+
+
+def test_langid_rare_values_are_evidence(spark):
+    many = [(i, "the and this that", "en", None, f"s{i // 2}") for i in range(2 * 4200)]
+    rows = [*many, (9000, "der und nicht schön", "de", None, "rare"), (9001, None, None, None, "rare"), (9002, None, None, None, "never")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, suffix string")
+    got = {r.doc_id: r.lang_id for r in langid.identify(df, F.col("lang"), F.col("source"), F.col("suffix")).where("doc_id >= 9000").collect()}
+    assert got == {9000: "de", 9001: "de", 9002: "en"}
+
+
 def test_toxicity_finds_held_out_rows(spark, empty):
     rng = random.Random(9)
     plain, bad = [f"w{i}" for i in range(40)], ["scum", "idiot", "loser"]
