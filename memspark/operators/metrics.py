@@ -107,7 +107,7 @@ def interval(stats: DataFrame, alpha: float, interpolate: bool = False) -> DataF
     return ranked.agg(at(lo).alias("lo"), at(hi).alias("hi"))
 
 
-def bootstrap_mean(diffs: DataFrame, replicates: int = 200, alpha: float = 0.05, seed: int = 0, interpolate: bool = False) -> DataFrame:
+def bootstrap_mean(diffs: DataFrame, replicates: int = 10_000, alpha: float = 0.05, seed: int = 0, interpolate: bool = False) -> DataFrame:
     """(n, point, lo, hi) of the mean of diffs(pos from 0, value): bounds from the
     means of ``replicates`` resamples; draws are hashes, so the same in every engine."""
     n = diffs.agg(F.count("*").alias("n"), F.avg("value").alias("point"))
@@ -115,7 +115,7 @@ def bootstrap_mean(diffs: DataFrame, replicates: int = 200, alpha: float = 0.05,
     return n.crossJoin(interval(means, alpha, interpolate)).select("n", *[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")])
 
 
-def bootstrap_corrected(outcomes: DataFrame, replicates: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+def bootstrap_corrected(outcomes: DataFrame, replicates: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """(n, point, lo, hi) of the chance-corrected mean of outcomes(pos, score, floor): the
     floor is resampled with the scores; replicates without a corrected value are dropped."""
     n = outcomes.agg(F.count("*").alias("n"), chance_corrected(F.avg("score"), F.avg("floor")).alias("point"))

@@ -39,7 +39,7 @@ def sweep_grid(per_question: DataFrame, arms: list[str]) -> DataFrame:
     return rows.agg(F.round(F.avg(reciprocal()), 6))
 
 
-def paired_mrr(per_question: DataFrame, base: str, arm: str, replicates: int = 200) -> DataFrame:
+def paired_mrr(per_question: DataFrame, base: str, arm: str, replicates: int = 10_000) -> DataFrame:
     """(n, point, lo, hi) of the difference in reciprocal rank on shared questions, by a
     bootstrap with interpolated quantiles."""
     rr = per_question.where("n_evidence > 0").select("arm", "query_id", reciprocal().alias("rr"))

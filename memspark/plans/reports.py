@@ -59,7 +59,7 @@ def recency_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def paired_dmrr(spark: SparkSession, d: str) -> DataFrame:
-    return runs.paired_mrr(sweep_results(spark, d), "w0", "w1")
+    return runs.paired_mrr(sweep_results(spark, d), "w0", "w1", replicates=200)
 
 
 @query
@@ -244,7 +244,7 @@ def survival_groups(spark: SparkSession, d: str) -> DataFrame:
 @query
 def bootstrap_corrected(spark: SparkSession, d: str) -> DataFrame:
     rows = survival_rows(spark, d).select("question_id", F.col("soft").cast("double").alias("score"), F.col("null_soft").alias("floor"))
-    return metrics.bootstrap_corrected(metrics.positions(rows, "question_id").select("pos", "score", "floor"))
+    return metrics.bootstrap_corrected(metrics.positions(rows, "question_id").select("pos", "score", "floor"), replicates=200)
 
 
 @query

@@ -1,5 +1,8 @@
 """Hand-built inputs for audits, dates, costs, runs and survival."""
 
+import hashlib
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +91,19 @@ def test_positions_are_a_permutation(spark):
     assert metrics.positions(spark.range(0).withColumnRenamed("id", "k"), "k").count() == 0
 
 
+def test_bootstraps_draw_ten_thousand_replicates(spark):
+    values = [0.0, 1.0, 1.0, -1.0, 0.5, 3.0]
+    draw = lambda b, i: int(hashlib.md5(f"0|{b}|{i}".encode()).hexdigest()[:8], 16) % len(values)
+    means = sorted(sum(values[draw(b, i)] for i in range(len(values))) / len(values) for b in range(10_000))
+    rows = spark.createDataFrame(list(enumerate(values)), "pos long, value double")
+    got = metrics.bootstrap_mean(rows).first()
+    assert (got.lo, got.hi) == (round(means[250], 6), round(means[9750], 6))
+    scored = rows.select("pos", F.col("value").alias("score"), F.lit(0.0).alias("floor"))
+    got = metrics.bootstrap_corrected(scored).first()
+    assert (got.lo, got.hi) == (round(means[250], 6), round(means[9750], 6))
+    assert inspect.signature(runs.paired_mrr).parameters["replicates"].default == 10_000
+
+
 def test_bootstrap_corrected(spark):
     rows = spark.range(50).select(F.col("id").alias("pos"), F.lit(0.8).alias("score"), F.lit(0.6).alias("floor"))
     got = metrics.bootstrap_corrected(rows, 20).first()
