@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset (local tests)."""
+    """The folder of ``spark.checkpoint.dir``.  Where it is unset a local session (tests)
+    uses a temporary folder; on a cluster that would be lost with its machine, so it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/memspark-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
@@ -44,10 +46,11 @@ def discard(*frames: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._memspark_path)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    gc.collect()
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
 
 
 def n_words(text: Column) -> Column:
     """Number of words; 0 for a null text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    gc.collect()
-    jvm.System.gc()

@@ -84,10 +84,11 @@ SQL: dict[str, str] = {
             WHERE vec_id IS NOT NULL AND len(embedding) > 0
               AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
               AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        asked AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 20 = 0),
         s AS (
             SELECT q.vec_id AS query_id, c.vec_id,
                    list_reduce(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+            FROM asked q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op4_line_dedup": r"""

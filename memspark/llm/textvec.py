@@ -7,6 +7,8 @@ few numpy passes instead of a Python loop per word.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -64,6 +66,17 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[lo:hi], (off - lo if len(off) else np.zeros(1, np.int64))
 
 
+def release() -> None:
+    """Give freed memory back to the system.  Python workers outlive their tasks, and
+    what one stage's arrays took would otherwise add to the next stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches at row bounds so that the texts of each stay near ``limit`` bytes."""
     for batch in batches:
@@ -75,6 +88,7 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+    release()
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> Words:

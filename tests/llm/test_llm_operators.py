@@ -62,9 +62,14 @@ def test_ann_matches_brute_force(spark):
         s = np.zeros(150)
         for d in range(8):
             s += x[q, d] * x[:, d]
-        want = sorted((-s[i], i) for i in range(150) if i != q)[:20]
+        # the row of id 0 stands twice in the table and is a candidate each time
+        want = sorted((-s[i], i) for i in [0, *range(150)] if i != q)[:20]
         assert got[q] == [(i, -v) for v, i in want]
     few = spark.createDataFrame(rows[:3], df.schema)
+    twice = spark.createDataFrame([(20, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [5.0, 0.0]), *[(20, [2.0, 0.0])] * 45, (21, [2.0, 0.0]), (2, [3.0, 0.0]), (2, [3.0, 0.0])], "vec_id long, embedding array<float>")
+    # rows that share an id, and repeats: the query 20 has the vectors (1, 0) and (2, 0)
+    found = ann.nearest(twice, F.col("id") == 20, k=20).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(1, 10.0), (2, 6.0), (2, 6.0), (1, 5.0), (21, 4.0), (2, 3.0), (2, 3.0), (1, 2.0), (21, 2.0), (1, 1.0)]
     assert ann.nearest(few, F.col("id") % 20 == 0).count() == 2
     assert ann.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
