@@ -6,17 +6,20 @@ training these are out-of-fold predictions: of a model that has not seen the
 row, so the later model learns how far to trust them on new texts.
 
 Features of a text: the presence of words that are associated with a category
-in the training rows, whatever their case and the signs around them, and a few
-shares of the whole text (signs, upper case, digits, repeats).  Training rows are the
-``train_rows`` labelled rows with the smallest hash - a bounded sample; the
-models are trained on the driver from hashed features, never from texts.
-Scoring reads every text whole.
-
-Defined cases: a text without any of the associated words, such as a null or
-empty one, is never toxic, whatever its shares say; rows whose label of a category is null do not train that category;
-copies of a label row count once; a category with one class among its training
-rows has a constant probability; an empty table gives an empty result; other
-columns are ignored.
+in the training rows (all of them, however many), whatever their case and the
+signs around them, and a few shares of the whole text (signs, upper case,
+digits, repeats).  Training rows are the ``train_rows`` labelled rows with the
+smallest hash - a bounded sample; the models are trained on the driver from
+hashed features, never from texts, until the loss no longer falls.  Scoring
+reads every text whole.
+
+Defined cases: a null text is an empty one; a text without a word has the shares
+of the training rows as its probabilities; rows whose label of a category is null do not train that
+category; a document that is labelled more than once has the greatest of its
+labels (bad if any says so); a category with one class among its training rows
+has a constant probability; one without training rows has a null probability, is
+no evidence for later ones and makes nothing toxic; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +38,9 @@ from memspark.llm.quality import SYMBOLS, per_doc
 #: Bytes that are not part of a word here become spaces; A-Z become a-z.
 PLAIN = tv.LOWER.copy()
 PLAIN[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
-FOLDS, MAX_FEATURES, MIN_ROWS = 4, 1000, 4
+FOLDS, MIN_ROWS, MIN_CHI = 4, 4, 15
+#: Training ends when a step lowers the mean loss by less than this.
+ENOUGH, MEMORY, MAX_STEPS = 1e-8, 10, 2000
 N_SHARES = 6
 
 
@@ -81,8 +86,8 @@ class Matrix:
         return np.bincount(row, weights=w[self.index], minlength=len(self.dense)) + self.dense @ d
 
 
-def fit_logistic(x: Matrix, y: np.ndarray, width: int, l2: float = 0.02, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Word and dense weights by full-batch Adam."""
+def fit_logistic(x: Matrix, y: np.ndarray, width: int, l2: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+    """Word and dense weights by L-BFGS, run until the loss no longer falls."""
     w, d = np.zeros(width), np.zeros(x.dense.shape[1])
     if y.min(initial=1) == y.max(initial=0):
         p = (y.sum() + 0.5) / (len(y) + 1)
@@ -91,19 +96,48 @@ def fit_logistic(x: Matrix, y: np.ndarray, width: int, l2: float = 0.02, steps:
     p = y.mean()
     d[0] = np.log(p / (1 - p))
     row = np.repeat(np.arange(len(y)), np.diff(x.first))
-    theta, m, v = np.concatenate([w, d]), np.zeros(width + len(d)), np.zeros(width + len(d))
-    for t in range(1, steps + 1):
+
+    def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
         z = x.dot(theta[:width], theta[width:])
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
         grad = np.concatenate([np.bincount(x.index, weights=err[row], minlength=width), x.dense.T @ err])
         grad[:width] += l2 * theta[:width] / len(y)
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        theta -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        return float(np.mean(np.logaddexp(0, z) - y * z) + 0.5 * l2 * (theta[:width] @ theta[:width]) / len(y)), grad
+
+    theta = np.concatenate([w, d])
+    value, grad = loss(theta)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(MAX_STEPS):
+        # two-loop recursion: the gradient times an estimate of the inverse Hessian
+        way, used = grad.copy(), []
+        for s, g in reversed(steps):
+            a = (s @ way) / (s @ g)
+            used.append(a)
+            way -= a * g
+        if steps:
+            s, g = steps[-1]
+            way *= (s @ g) / (g @ g)
+        for (s, g), a in zip(steps, reversed(used), strict=True):
+            way += (a - (g @ way) / (s @ g)) * s
+        slope, size = float(grad @ way), 1.0 if steps else min(1.0, 1.0 / (np.abs(grad).sum() + 1e-12))
+        while True:
+            after, new = loss(theta - size * way)
+            if after <= value - 1e-4 * size * slope or size < 1e-10:
+                break
+            size /= 2
+        fallen, s, g = value - after, -size * way, new - grad
+        if fallen <= 0:
+            break
+        theta, value, grad = theta + s, after, new
+        if fallen < ENOUGH:
+            break
+        if s @ g > 1e-16:
+            steps = [*steps[1 - MEMORY :], (s, g)]
     return theta[:width], theta[width:]
 
 
 def associated(first: np.ndarray, hashes: np.ndarray, labels: dict[str, np.ndarray]) -> np.ndarray:
-    """Sorted hashes of the words most associated with a category (chi-squared over 15),
+    """Sorted hashes of the words associated with a category (chi-squared over MIN_CHI),
     among those in at least MIN_ROWS rows."""
     vocab, index = np.unique(hashes, return_inverse=True)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -117,15 +151,16 @@ def associated(first: np.ndarray, hashes: np.ndarray, labels: dict[str, np.ndarr
         with np.errstate(divide="ignore", invalid="ignore"):
             chi = n * (a * n - df * pos) ** 2 / (df * (n - df) * pos * (n - pos))
         best = np.maximum(best, np.where((df >= MIN_ROWS) & np.isfinite(chi), chi, 0))
-    order = np.argsort(-best, kind="stable")[:MAX_FEATURES]
-    return np.sort(vocab[order[best[order] > 15]])
+    return vocab[best > MIN_CHI]
 
 
 @dataclass
 class Chain:
     categories: list[str]
     vocab: np.ndarray
-    models: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    #: Word and dense weights by category; none for one without training rows.
+    models: list[tuple[np.ndarray, np.ndarray] | None] = field(default_factory=list)
+    shares: list[float] = field(default_factory=list)
 
     def matrix(self, first: np.ndarray, hashes: np.ndarray, shares: np.ndarray) -> Matrix:
         """Presence of the vocabulary's words, once per row."""
@@ -141,10 +176,12 @@ class Chain:
     def predict(self, x: Matrix) -> np.ndarray:
         """(rows, categories) probabilities, each fed with the log-odds of those before."""
         odds: list[np.ndarray] = []
-        for w, d in self.models:
+        for model in self.models:
             dense = np.column_stack([x.dense, *odds])
-            odds.append(np.clip(Matrix(x.first, x.index, dense).dot(w, d), -30, 30) / 10)
-        return 1 / (1 + np.exp(-10 * np.stack(odds, axis=1)))
+            odds.append(np.zeros(len(x.dense)) if model is None else np.clip(Matrix(x.first, x.index, dense).dot(*model), -30, 30) / 10)
+        p = 1 / (1 + np.exp(-10 * np.stack(odds, axis=1)))
+        p[:, [m is None for m in self.models]] = np.nan
+        return p
 
 
 def train(rows: pa.Table, categories: list[str]) -> Chain:
@@ -160,6 +197,11 @@ def train(rows: pa.Table, categories: list[str]) -> Chain:
     odds: list[np.ndarray] = []
     for c in categories:
         y, known = labels[c], ~np.isnan(labels[c])
+        chain.shares.append(float(y[known].mean()) if known.any() else np.nan)
+        if not known.any():
+            chain.models.append(None)
+            odds.append(np.zeros(len(shares)))
+            continue
         fed = Matrix(x.first, x.index, np.column_stack([x.dense, *odds]))
         chain.models.append(fit_logistic(fed.rows(known), y[known], len(chain.vocab)))
         if c == categories[-1]:
@@ -193,6 +235,7 @@ def score(docs: DataFrame, labels: DataFrame, categories: dict[str, str], train_
             words, h, shares = text_features(batch.column("text"))
             x = shared.value.matrix(words.first, h, shares)
             p = shared.value.predict(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c) for c in p.T], pa.array((p[:, -1] >= threshold) & (np.diff(x.first) > 0))], ["doc_id", *[f"p_{n}" for n in names], "toxic"])
+            p[words.counts == 0] = shared.value.shares
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, from_pandas=True) for c in p.T], pa.array(p[:, -1] >= threshold)], ["doc_id", *[f"p_{n}" for n in names], "toxic"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(["doc_id long", *[f"p_{n} double" for n in names], "toxic boolean"]))

@@ -297,6 +297,31 @@ def test_toxicity_finds_held_out_rows(spark, empty):
     got = {r.doc_id: r.toxic for r in toxicity.score(df, labels, chain).collect()}
     assert all(got[i] == (i % 5 == 0) for i in range(300, 400)) and got[500] is False
     assert toxicity.score(empty, labels.limit(0), chain).count() == 0
+    none = toxicity.score(df, labels.limit(0), chain).collect()
+    assert len(none) == len(rows) + 1 and all(r.p_toxic is None and r.p_low_quality is None and r.toxic is False for r in none)
+    # a verdict is the chain's own, and labels that contradict one another count as the greatest
+    every = toxicity.score(df, labels.unionByName(spark.createDataFrame([(1, 1, 1)], labels.schema)), chain).collect()
+    assert all(r.toxic == (r.p_toxic >= 0.4) for r in every)
+
+
+def test_toxicity_without_labels_of_a_category(spark):
+    df = spark.createDataFrame([(i, ["fine words here", "vile words here"][i % 2]) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = toxicity.score(df, labels, {"low_quality": "1 - quality", "toxic": "toxic"}).collect()
+    assert all(r.p_low_quality is None and r.toxic == (r.doc_id % 2 == 1) for r in got)
+
+
+def test_logistic_training_reaches_the_optimum():
+    rng = np.random.default_rng(4)
+    dense = np.column_stack([np.ones(300), rng.normal(size=(300, 2))])
+    y = (rng.random(300) < 1 / (1 + np.exp(-(dense @ [0.2, 1.5, -2.0])))).astype(float)
+    x = toxicity.Matrix(np.zeros(301, np.int64), np.zeros(0, np.int64), dense)
+    _, d = toxicity.fit_logistic(x, y, 0)
+    theta = np.zeros(3)
+    for _ in range(50):  # Newton
+        p = 1 / (1 + np.exp(-dense @ theta))
+        theta -= np.linalg.solve((dense * (p * (1 - p))[:, None]).T @ dense, dense.T @ (p - y))
+    assert np.allclose(d, theta, atol=1e-2)
 
 
 def test_quality_matches_brute_force(docs, empty):
