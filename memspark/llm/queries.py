@@ -122,13 +122,23 @@ SQL: dict[str, str] = {
         twice AS (SELECT doc_id, unnest(list(i)) AS i FROM g GROUP BY doc_id, gram HAVING count(*) > 1),
         covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) AS r(k) GROUP BY doc_id),
         pieces AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
-        full_lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM pieces
-                       WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+        full_lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n, count(*) AS n_lines,
+                              count(*) FILTER (WHERE regexp_matches(line, '^[\x20\x09-\x0D]*[-*\x{2022}]')) AS n_bullet,
+                              count(*) FILTER (WHERE regexp_matches(line, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*$')) AS n_open
+                       FROM pieces WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+        each AS (SELECT doc_id, unnest(words) AS word FROM w),
+        top AS (SELECT doc_id, max(k) AS n FROM (SELECT doc_id, word, count(*) AS k FROM each GROUP BY doc_id, word) t GROUP BY doc_id),
+        alpha AS (SELECT doc_id, count(*) AS n FROM each WHERE regexp_matches(word, '[A-Za-z]|[^\x00-\x7F]') GROUP BY doc_id),
         c AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
                      (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-                     coalesce(f.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
-              FROM w LEFT JOIN covered r ON w.doc_id = r.doc_id LEFT JOIN full_lines f ON w.doc_id = f.doc_id),
+                     coalesce(f.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+                     coalesce(n_lines, 0) AS n_lines, coalesce(n_bullet, 0) AS n_bullet, coalesce(n_open, 0) AS n_open, coalesce(alpha.n, 0) AS n_alpha, coalesce(top.n, 0) AS n_top
+              FROM w LEFT JOIN covered r ON w.doc_id = r.doc_id LEFT JOIN full_lines f ON w.doc_id = f.doc_id
+              LEFT JOIN alpha ON w.doc_id = alpha.doc_id LEFT JOIN top ON w.doc_id = top.doc_id),
         b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
-        SELECT *, NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-                       OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > n_words) AS kept FROM b""",
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+                    OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > n_words
+                    OR 10 * n_bullet > 9 * n_lines OR 10 * n_open > 3 * n_lines
+                    OR 10 * n_alpha < 6 * n_words OR 10 * n_top > 4 * n_words) AS kept FROM b""",
 }

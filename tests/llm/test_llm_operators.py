@@ -324,7 +324,7 @@ def test_logistic_training_reaches_the_optimum():
     assert np.allclose(d, theta, atol=1e-2)
 
 
-def test_quality_matches_brute_force(docs, empty):
+def test_quality_matches_brute_force(spark, docs, empty):
     def brute(t):
         t = t or ""
         w, full = words(t), [x for x in t.split("\n") if words(x)]
@@ -332,12 +332,41 @@ def test_quality_matches_brute_force(docs, empty):
         for i in range(len(w) - 4):
             seen.setdefault(tuple(w[i : i + 5]), []).append(i)
         covered = {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(5)}
-        return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(full) - len(set(full)), len(covered)
-
-    rows = quality.measure(docs.withColumn("kept", F.lit("clash"))).collect()
-    want = sorted(((r.doc_id, *brute(r.text)) for r in docs.collect()), key=str)
-    assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows), key=str) == want
+        n, chars, symbols, again, repeats = len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(full) - len(set(full)), len(covered)
+        trimmed = [WORD.search(x).group() + " " + WORD.findall(x)[-1] for x in full]
+        bullets, cut = sum(x[0] in "-*\u2022" for x in trimmed), sum(x.endswith(("...", "\u2026")) for x in trimmed)
+        letters, top = sum(any(c.isascii() and c.isalpha() or ord(c) > 127 for c in x) for x in w), max([w.count(x) for x in set(w)], default=0)
+        base = n < 10 or 100 * repeats > 20 * n
+        rest = chars < 2 * n or chars > 15 * n or 10 * symbols > 3 * n or 10 * again > n or 10 * bullets > 9 * len(full) or 10 * cut > 3 * len(full) or 10 * letters < 6 * n or 10 * top > 4 * n
+        return n, chars, symbols, again, repeats, base, not base and not rest
+
+    odd = [
+        [f"- point{i} of{i} list{i} words{i}" for i in range(4)], [f"this{i} line{i} is{i} cut..." for i in range(6)],
+        [f"{i} {i * 7} {i * 13} {i * 31} one" for i in range(9)], [f"so {i}a so {i}b so {i}c" for i in range(9)],
+    ]
+    more = [(700 + i, "\n".join(x), "en", "s", 0) for i, x in enumerate([*odd, ["\u2022 tail \u2026"] * 2, ["fine words stand here", "and go on in another way until twelve"]])]
+    df = docs.unionByName(spark.createDataFrame(more, DOCS))
+    rows = quality.measure(df.withColumn("kept", F.lit("clash"))).collect()
+    want = sorted(((r.doc_id, *brute(r.text)) for r in df.collect()), key=str)
+    assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in rows), key=str) == want
     kept = sorted(((r.doc_id, r.kept) for r in rows), key=str)
-    assert sorted(((r.doc_id, r.kept) for r in quality.cascade(docs).collect()), key=str) == kept
-    assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) for r in rows) and not any(r.kept and r.base_failed for r in rows)
+    assert sorted(((r.doc_id, r.kept) for r in quality.cascade(df).collect()), key=str) == kept
+    assert {"bullet_lines", "open_lines", "letter_words", "top_word"} <= {r.rejected_by for r in rows}
+    assert all(r.kept == (r.rejected_by is None) for r in rows)
     assert quality.measure(empty).count() == 0 and quality.cascade(empty).count() == 0
+
+
+def test_cascade_orders_rules_and_saves_work():
+    import pyarrow as pa
+
+    texts = pa.array(["short text"] * 90 + ["plain words without any end that go on and on, so that it has twelve"] * 10)
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    order = quality.plan_order([batch])
+    assert order == quality.plan_order([batch]) and sorted(order) == sorted(r.name for r in quality.RULES)
+    assert order[0] == "min_words"  # rejects nine in ten for the price of counting words
+    failed, computed = quality.verdicts(texts, order)
+    assert (failed[:90] == 0).all() and (failed[90:] == -1).all()
+    assert computed["n_words"] == 100 and all(n == 10 for f, n in computed.items() if f != "n_words")
+    # with the base counts at hand the rules on them come first
+    later = tuple(r for r in quality.RULES if r not in quality.BASE)
+    assert set(quality.plan_order([batch], later, quality.REPORTED)[:3]) == {"word_length", "symbols", "duplicate_lines"}
