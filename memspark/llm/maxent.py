@@ -1,52 +1,64 @@
 """Language-model scoring with a hashed maximum-entropy model (operator 6).
 
-The model factors a token's probability as P(class | history) P(token | class).
+The model factors a token's probability twice:
+
+    P(class | history) P(part | class, history) P(token | class, part).
+
 The most frequent tokens and the end of a text are classes of their own; other
-words fall into classes by their last two bytes.  P(class | history) is a
-softmax over hashed features: the previous word, the previous two as a pair,
-and a skip feature of the word before the previous one.  P(token | class) is
-estimated from the training counts with half a count added to each known token
-and to one unknown.
+words fall into classes by their last two bytes, and each class into PARTS parts
+by a hash.  The first two factors are softmaxes over hashed features: the
+previous word, the previous two as a pair, and a skip feature of the word before
+the previous one - for the second each together with the class.  The last is
+estimated from the training counts of the part's tokens, with half a count added
+to each known token and to one unknown.
 
 Training is distributed: in each of ROUNDS rounds every task takes the current
 weights through the training texts of its partitions with Adagrad mini-batches
 (rounds use disjoint parts of the texts), and the tasks' weights are averaged by
-their tokens in a tree of sums.  Counts are over all training tokens.  Scoring
-runs in batches: gathers of weight rows and one softmax per chunk of tokens.
+their tokens in a tree of sums.  A task has TASK_TOKENS tokens or more where
+there are as many, so what the weights add to the shuffle stays in proportion.
+The weight tables have a fixed size, as every task sends them; the token counts
+and what follows from them grow with the corpus and cover all training tokens.
+Scoring runs in batches: gathers of weight rows and softmaxes per chunk.
 
-Up to ``broadcast_tokens`` distinct training tokens the counts are broadcast as
-two sorted arrays; beyond that the texts' distinct tokens are joined with them.
+The counts of the most frequent training tokens, up to ``broadcast_tokens`` of
+them, are broadcast as two sorted arrays.  Rarer tokens of a text are joined with
+theirs; no such token is frequent, so no key of that join is.
 
 Defined cases: a null text is empty and has the end token alone; A-Z are
 lower-cased; a null id counts as the empty string and is in training or not
 like any other; repeated rows are scored alike and count repeatedly; an empty
 table gives an empty result; without training tokens every base probability is
-that of an unknown.  Tokens are known by 64-bit hashes.
+that of an unknown; other columns are ignored.  Tokens are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm import textvec as tv
-from memspark.llm.common import saved
+from memspark.llm.common import discard, saved
 
-#: Frequent tokens with a class of their own; classes by ending; the class of the end.
-OWN, ENDINGS = 24, 23
+#: Frequent tokens with a class of their own; classes by ending; the class of the end; parts of a class.
+OWN, ENDINGS, PARTS = 24, 23, 32
 END_CLASS, CLASSES = OWN + ENDINGS, OWN + ENDINGS + 1
-#: Rows of the weights: previous word, pair, skipped word.
-WORD_ROWS, PAIR_ROWS, SKIP_ROWS = 1 << 13, 1 << 14, 1 << 13
+#: Rows of either weight table: for the previous word, the pair, the skipped word.  All fit 16 bits, which sort fast.
+WORD_ROWS, PAIR_ROWS, SKIP_ROWS = 1 << 14, 1 << 15, 1 << 14
 ROWS = WORD_ROWS + PAIR_ROWS + SKIP_ROWS
-ROUNDS, STEP, RATE, FAN_IN = 2, 8192, 0.25, 16
+ROUNDS, STEP, RATE, FAN_IN, PIECES, TASK_TOKENS = 2, 8192, 0.25, 16, 8, 1_500_000
 END, START = np.uint64(0x454E44), np.uint64(0x535441)
 MODEL_CHUNK = 1_000_000
+#: Counts up to this are told apart when the frequent tokens are chosen.
+FINE_COUNTS = 1024
 
 
 @dataclass
@@ -85,22 +97,24 @@ def token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.concatenate([p.ending for p in parts])[at]), pa.array(n.astype(np.int64))], ["token", "ending", "n"])
 
 
-def features(t: Tokens) -> np.ndarray:
-    """(tokens, 3) rows of the weights."""
+def hashed_rows(prev: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """(tokens, 3) rows of a weight table, by feature in columns that lie together."""
+    rows = np.empty((3, len(prev)), np.uint16)
+    rows[0] = prev % np.uint64(WORD_ROWS)
+    rows[1] = np.uint64(WORD_ROWS) + tv.mix(prev * tv.GOLD + skip) % np.uint64(PAIR_ROWS)
+    rows[2] = np.uint64(WORD_ROWS + PAIR_ROWS) + tv.mix(skip + np.uint64(5)) % np.uint64(SKIP_ROWS)
+    return rows.T
+
+
+def history(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """The previous word of each token and the one before that."""
     prev = np.concatenate([[START], t.hash[:-1]])
     skip = np.concatenate([[START, START], t.hash[:-2]]) if len(t.hash) > 1 else np.full(len(t.hash), START)
     starts = t.first[:-1]
     prev[starts], skip[starts] = START, START
     second = starts[np.diff(t.first) > 1] + 1
     skip[second] = START
-    return np.stack(
-        [
-            (prev % np.uint64(WORD_ROWS)).astype(np.int64),
-            WORD_ROWS + (tv.mix(prev * tv.GOLD + skip) % np.uint64(PAIR_ROWS)).astype(np.int64),
-            WORD_ROWS + PAIR_ROWS + (tv.mix(skip + np.uint64(5)) % np.uint64(SKIP_ROWS)).astype(np.int64),
-        ],
-        axis=1,
-    )
+    return prev, skip
 
 
 def classes(t: Tokens, own: np.ndarray) -> np.ndarray:
@@ -111,6 +125,35 @@ def classes(t: Tokens, own: np.ndarray) -> np.ndarray:
     return np.where(own[at] == t.hash, at, t.ending)
 
 
+def single(cls: np.ndarray) -> np.ndarray:
+    """Classes that hold one token."""
+    return (cls < OWN) | (cls == END_CLASS)
+
+
+def part_of(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(40)) % np.uint64(PARTS)).astype(np.int64)
+
+
+@dataclass
+class Examples:
+    """Rows of both tables and the outcomes of a chunk's tokens; the second
+    table's are those of the tokens ``at``."""
+
+    rows: np.ndarray
+    cls: np.ndarray
+    at: np.ndarray
+    part_rows: np.ndarray
+    part: np.ndarray
+
+
+def examples(t: Tokens, own: np.ndarray) -> Examples:
+    prev, skip = history(t)
+    cls = classes(t, own)
+    at = np.flatnonzero(~single(cls))
+    of = tv.mix(cls[at].astype(np.uint64) + np.uint64(11))
+    return Examples(hashed_rows(prev, skip), cls, at, hashed_rows(tv.mix(prev[at] ^ of), tv.mix(skip[at] ^ of)), part_of(t.hash[at]))
+
+
 def log_softmax(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     z = weights[rows[:, 0]]
     z += weights[rows[:, 1]]
@@ -122,39 +165,56 @@ def log_softmax(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.n
 
 
 def descend(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> None:
-    """One Adagrad step of the mean gradient per weight row."""
-    grad = np.exp(log_softmax(rows, weights, bias))
+    """One Adagrad step of the summed gradient per weight row."""
+    grad = log_softmax(rows, weights, bias)
+    np.exp(grad, out=grad)
     grad[np.arange(len(cls)), cls] -= 1
     for k in range(3):
         order = np.argsort(rows[:, k], kind="stable")
         row = rows[order, k]
         head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        g = np.add.reduceat(grad[order], head, axis=0)
-        at = row[head]
-        squares[at] += g * g
-        weights[at] -= RATE * g / np.sqrt(squares[at] + 1e-6)
+        g, at = np.add.reduceat(grad.take(order, axis=0), head, axis=0), row[head]
+        s = squares.take(at, axis=0)
+        s += g * g
+        squares[at] = s
+        np.sqrt(s, out=s)
+        g /= s
+        g *= RATE
+        weights[at] -= g
 
 
 @dataclass
 class Model:
     own: np.ndarray
     bias: np.ndarray
+    #: (ROWS, CLASSES) and (ROWS, PARTS)
     weights: np.ndarray
+    part_weights: np.ndarray
+
+
+ZERO = np.zeros(PARTS, np.float32)
+SENT = "piece int, n double, weights binary"
 
 
 def trained_part(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """This task's weights times its tokens, in pieces."""
-    weights, squares, n = model.weights.astype(np.float32), np.full((ROWS, CLASSES), 1.0, np.float32), 0
+    """This task's weights and its number of tokens, in pieces."""
+    tables = [model.weights.copy(), model.part_weights.copy()]
+    squares = [np.full_like(w, 1.0) for w in tables]
+    n = 0
     for batch in tv.chunks(batches, MODEL_CHUNK):
-        t = tokens(batch.column("text"))
-        rows, cls = features(t), classes(t, model.own)
-        for at in range(0, len(cls), STEP):
-            descend(weights, squares, model.bias, rows[at : at + STEP], cls[at : at + STEP])
-        n += len(cls)
+        x = examples(tokens(batch.column("text")), model.own)
+        for at in range(0, len(x.cls), STEP):
+            descend(tables[0], squares[0], model.bias, x.rows[at : at + STEP], x.cls[at : at + STEP])
+        for at in range(0, len(x.at), STEP):
+            descend(tables[1], squares[1], ZERO, x.part_rows[at : at + STEP], x.part[at : at + STEP])
+        n += len(x.cls)
+    del squares
     if n:
-        piece = ROWS // 8
-        for p in range(8):
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([float(n)]), pa.array([weights[p * piece : (p + 1) * piece].astype(np.float16).tobytes()], pa.binary())], ["piece", "n", "weights"])
+        both = np.concatenate(tables, axis=1)
+        size = ROWS // PIECES
+        for p in range(PIECES):
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([float(n)]), pa.array([both[p * size : (p + 1) * size].astype(np.float16).tobytes()], pa.binary())], ["piece", "n", "weights"])
+    tv.release()
 
 
 def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,69 +228,92 @@ def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weight[p] = weight.get(p, 0.0) + n
     for p, part in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([weight[p]]), pa.array([(part / weight[p]).astype(np.float16).tobytes()], pa.binary())], ["piece", "n", "weights"])
+    tv.release()
 
 
-def train(texts: DataFrame, own: np.ndarray, bias: np.ndarray) -> Model:
+def train(texts: DataFrame, own: np.ndarray, bias: np.ndarray, n_tokens: int) -> Model:
     """``texts`` has the training texts and a column ``turn`` from 0 to ROUNDS - 1."""
-    model = Model(own, bias, np.zeros((ROWS, CLASSES), np.float32))
-    schema = "piece int, n double, weights binary"
+    context = texts.sparkSession.sparkContext
+    model = Model(own, bias, np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, PARTS), np.float32))
     for turn in range(ROUNDS):
-        shared = texts.sparkSession.sparkContext.broadcast(model)
+        shared = context.broadcast(model)
         part = texts.where(F.col("turn") == turn).select("text")
-        tasks = part.rdd.getNumPartitions()
-        parts = part.mapInArrow(lambda it, shared=shared: trained_part(it, shared.value), schema)
+        tasks = min(part.rdd.getNumPartitions(), max(context.defaultParallelism, math.ceil(n_tokens / ROUNDS / TASK_TOKENS)))
+        parts = part.coalesce(max(tasks, 1)).mapInArrow(lambda it, shared=shared: trained_part(it, shared.value), SENT)
         while tasks > 1:
             tasks = -(-tasks // FAN_IN)
-            parts = parts.repartition(tasks * 8, "piece", F.crc32("weights") % tasks).mapInArrow(averaged, schema)
+            parts = parts.repartition(tasks * PIECES, "piece", F.crc32("weights") % tasks).mapInArrow(averaged, SENT)
         found = parts.collect()  # one model, of one size whatever the input
-        sums, n = np.zeros(ROWS * CLASSES), np.zeros(8)
-        piece = ROWS * CLASSES // 8
+        width = CLASSES + PARTS
+        sums, n = np.zeros((PIECES, ROWS // PIECES, width)), np.zeros(PIECES)
         for r in found:
-            sums[r.piece * piece : (r.piece + 1) * piece] += np.frombuffer(r.weights, np.float16).astype(np.float64) * r.n
+            sums[r.piece] += (np.frombuffer(r.weights, np.float16).astype(np.float64) * r.n).reshape(-1, width)
             n[r.piece] += r.n
         if n.all():
-            model = Model(own, bias, (sums / np.repeat(n, piece)).reshape(ROWS, CLASSES).astype(np.float32))
+            both = (sums / n[:, None, None]).reshape(ROWS, width).astype(np.float32)
+            model = Model(own, bias, np.ascontiguousarray(both[:, :CLASSES]), np.ascontiguousarray(both[:, CLASSES:]))
         shared.destroy()
     return model
 
 
 @dataclass
 class Lexicon:
-    """Training counts by sorted token hash, and what follows from them."""
+    """Counts of the frequent training tokens by sorted token hash."""
 
     token: np.ndarray
     count: np.ndarray
 
+    def of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count of each token or 0, whether it is here)."""
+        if not len(self.token):
+            return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+        at = np.minimum(np.searchsorted(self.token, tokens), len(self.token) - 1)
+        here = self.token[at] == tokens
+        return np.where(here, self.count[at], 0).astype(np.int64), here
+
 
 @dataclass
 class Statistics:
+    """Training tokens and distinct ones, in all and by class and part."""
+
     n: int
     distinct: int
-    class_n: np.ndarray
-    class_distinct: np.ndarray
-
-
-def token_logs(cls: np.ndarray, count: np.ndarray, s: Statistics) -> tuple[np.ndarray, np.ndarray]:
-    """(base log10 probability, log10 P(token | class)) of tokens of known counts."""
-    base = np.log10((count + 0.5) / (s.n + 0.5 * (s.distinct + 1)))
-    single = (cls < OWN) | (cls == END_CLASS)
-    inside = np.log10((count + 0.5) / (s.class_n[cls] + 0.5 * (s.class_distinct[cls] + 1)))
-    return base, np.where(single, 0.0, inside)
+    part_n: np.ndarray
+    part_distinct: np.ndarray
+
+
+def history_score(x: Examples, model: Model) -> np.ndarray:
+    """log10 P(class | history) P(part | class, history) of each token."""
+    out = np.zeros(len(x.cls))
+    for at in range(0, len(x.cls), STEP):
+        z = log_softmax(x.rows[at : at + STEP], model.weights, model.bias)
+        out[at : at + STEP] = z[np.arange(len(z)), x.cls[at : at + STEP]]
+    for at in range(0, len(x.at), STEP):
+        z = log_softmax(x.part_rows[at : at + STEP], model.part_weights, ZERO)
+        out[x.at[at : at + STEP]] += z[np.arange(len(z)), x.part[at : at + STEP]]
+    return out / np.log(10)
 
 
-def class_score(t: Tokens, cls: np.ndarray, model: Model) -> np.ndarray:
-    """log10 P(class | history) of each token."""
-    rows, out = features(t), np.zeros(len(cls))
-    for at in range(0, len(cls), STEP):
-        z = log_softmax(rows[at : at + STEP], model.weights, model.bias)
-        out[at : at + STEP] = z[np.arange(len(z)), cls[at : at + STEP]]
-    return out / np.log(10)
+def frequent_from(counts: DataFrame, distinct: int, most: int) -> int | None:
+    """The least count that at most ``most`` tokens reach; none if all tokens do."""
+    if distinct <= most:
+        return None
+    coarse = F.lit(FINE_COUNTS) * F.pow(F.lit(2.0), F.floor(F.log2(F.col("n") / FINE_COUNTS)))
+    level = F.when(F.col("n") <= FINE_COUNTS, F.col("n")).otherwise(coarse.cast("long"))
+    reached, least = 0, None
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.col("level").desc()).collect():  # a thousand rows or so
+        reached += r["count"]
+        if reached > most:
+            break
+        least = r.level
+    return least if least is not None else 2**62
 
 
 RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(df: DataFrame, broadcast_tokens: int = 8_000_000) -> DataFrame:
+def score(df: DataFrame, broadcast_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     context = df.sparkSession.sparkContext
     docs = df.select(F.col("doc_id").cast("long"), "text")
@@ -241,71 +324,65 @@ def score(df: DataFrame, broadcast_tokens: int = 8_000_000) -> DataFrame:
     top = counts.where(F.col("ending") != END_CLASS).orderBy(F.col("n").desc(), "token").limit(OWN).collect()
     own = np.sort(np.array([r.token for r in top], dtype=np.int64).view(np.uint64))
     named = F.when(F.col("token").isin([r.token for r in top]), F.lit(-1)).otherwise(F.col("ending")) if top else F.col("ending")
-    class_n, class_distinct = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.groupBy(named.alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect():
+    part = (F.shiftrightunsigned("token", 40) % PARTS).alias("p")
+    part_n, part_distinct = np.zeros((CLASSES, PARTS)), np.zeros((CLASSES, PARTS))
+    for r in counts.groupBy(named.alias("c"), part).agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect():  # CLASSES x PARTS rows
         if r.c >= 0:
-            class_n[r.c], class_distinct[r.c] = r.n, r.d
+            part_n[r.c, r.p], part_distinct[r.c, r.p] = r.n, r.d
+    class_n = part_n.sum(axis=1)
     for r in top:
         class_n[np.searchsorted(own, np.int64(r.token).view(np.uint64))] = r.n
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    stats = Statistics(int(total), int(distinct), class_n, class_distinct)
+    stats = Statistics(int(total), int(distinct), part_n, part_distinct)
     bias = np.log((class_n + 0.5) / (class_n.sum() + 0.5 * CLASSES)).astype(np.float32)
-    model = context.broadcast(train(training, own, bias))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    def finished(batch: pa.RecordBatch, t: Tokens, known: np.ndarray, base: np.ndarray, full: np.ndarray) -> pa.RecordBatch:
-        n = batch.num_rows
-        cols = [np.diff(t.first), known, np.full(n, stats.n), base, full]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held_out(batch.column("doc_id"))), *[pa.array(c) for c in cols]], RESULT)
-
-    if distinct <= broadcast_tokens:
-        rows = counts.select("token", "n").toArrow()
-        order = np.argsort(rows["token"].to_numpy().view(np.uint64))
-        lexicon = context.broadcast(Lexicon(rows["token"].to_numpy().view(np.uint64)[order], rows["n"].to_numpy()[order].astype(np.uint32 if total < 2**32 else np.int64)))
-        del rows, order
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, m = lexicon.value, model.value
-            for batch in tv.chunks(batches):
-                t = tokens(batch.column("text"))
-                cls = classes(t, m.own)
-                distinct_tokens, where = np.unique(t.hash, return_inverse=True)
-                count = np.zeros(len(distinct_tokens), dtype=np.int64)
-                if len(known.token):
-                    at = np.minimum(np.searchsorted(known.token, distinct_tokens), len(known.token) - 1)
-                    count = np.where(known.token[at] == distinct_tokens, known.count[at], 0).astype(np.int64)
-                count = count[where]
-                base, inside = token_logs(cls, count, stats)
-                inside += class_score(t, cls, m)
-                yield finished(batch, t, np.add.reduceat((count > 0).astype(np.int64), t.first[:-1]), np.add.reduceat(base, t.first[:-1]), np.add.reduceat(inside, t.first[:-1]))
-
-        return docs.mapInArrow(run, schema)
-
-    # too many tokens to broadcast: join the distinct tokens of each row with the counts
-    numbered = saved(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+    model = context.broadcast(train(training, own, bias, stats.n))
+    least = frequent_from(counts, stats.distinct, broadcast_tokens)
+    rows = (counts if least is None else counts.where(F.col("n") >= least)).select("token", "n").toArrow()
+    order = np.argsort(rows["token"].to_numpy().view(np.uint64))
+    lexicon = context.broadcast(Lexicon(rows["token"].to_numpy().view(np.uint64)[order], rows["n"].to_numpy()[order].astype(np.uint32 if total < 2**32 else np.int64)))
+    del rows, order
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of the result, of tokens that are not broadcast as if they were unknown;
+        these tokens beside them, unless there are none."""
+        known, m = lexicon.value, model.value
+        context = TaskContext.get()
+        row = context.partitionId() << 40 if context else 0
         for batch in tv.chunks(batches):
             t = tokens(batch.column("text"))
-            cls = classes(t, m.own)
-            row = np.repeat(batch.column("row").to_numpy(), np.diff(t.first))
-            logs = class_score(t, cls, m)
-            order = np.lexsort((t.hash, row))
-            h, r = t.hash[order], row[order]
-            head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])]))
-            times = np.diff(np.concatenate([head, [len(h)]]))
-            yield pa.RecordBatch.from_arrays([pa.array(r[head]), pa.array(h[head].view(np.int64)), pa.array(cls[order][head]), pa.array(times.astype(np.int64)), pa.array(np.add.reduceat(logs[order], head))], ["row", "token", "class", "times", "logs"])
-
-    each = numbered.select("row", "text").mapInArrow(listed, "row long, token long, class long, times long, logs double").join(counts.select("token", "n"), "token", "left")
-    count = F.coalesce("n", F.lit(0))
-    denominators = F.array(*[F.lit(float(a + 0.5 * (b + 1))) for a, b in zip(class_n, class_distinct, strict=True)])
-    single = (F.col("class") < OWN) | (F.col("class") == END_CLASS)
-    inside = F.when(single, 0.0).otherwise(F.log10((count + 0.5) / F.get(denominators, F.col("class").cast("int"))))
-    sums = each.groupBy("row").agg(
-        F.sum("times").alias("n_tokens"),
-        F.coalesce(F.sum(F.when(count > 0, F.col("times"))), F.lit(0)).alias("n_known"),
-        F.sum(F.col("times") * F.log10((count + 0.5) / F.lit(stats.n + 0.5 * (stats.distinct + 1)))).alias("base_score"),
-        F.sum(F.col("logs") + F.col("times") * inside).alias("score"),
-    )
-    return numbered.join(sums, "row").withColumns({"held_out": crc % 5 == 1, "train_tokens": F.lit(stats.n).cast("long")}).select(*RESULT)
+            x = examples(t, m.own)
+            different, where = np.unique(t.hash, return_inverse=True)
+            count, here = (v[where] for v in known.of(different))
+            inside = np.zeros(len(count))
+            many = np.zeros(len(count))
+            many[x.at] = stats.part_n[x.cls[x.at], x.part] + 0.5 * (stats.part_distinct[x.cls[x.at], x.part] + 1)
+            inside[x.at] = np.log10((count[x.at] + 0.5) / many[x.at])
+            base = np.log10((count + 0.5) / (stats.n + 0.5 * (stats.distinct + 1)))
+            sums = [np.add.reduceat(v, t.first[:-1]) for v in ((count > 0).astype(np.int64), base, inside + history_score(x, m))]
+            n = batch.num_rows
+            cols = [batch.column("doc_id"), pa.array(held_out(batch.column("doc_id"))), pa.array(np.diff(t.first)), pa.array(sums[0]), pa.array(np.full(n, stats.n)), pa.array(sums[1]), pa.array(sums[2])]
+            if least is None:
+                yield pa.RecordBatch.from_arrays(cols, RESULT)
+                continue
+            rare = np.flatnonzero(~here)
+            of, h = np.searchsorted(t.first, rare, "right") - 1, t.hash[rare]
+            order = np.lexsort((h, of))
+            of, h = of[order], h[order]
+            head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])]))[: len(h)]
+            times, off = np.diff(np.concatenate([head, [len(h)]])), np.searchsorted(of[head], np.arange(n + 1)).astype(np.int32)
+            # a class of one token says all about it
+            scored = np.where(single(x.cls[rare][order][head]), 0, times)
+            pairs = pa.StructArray.from_arrays([pa.array(h[head].view(np.int64)), pa.array(times.astype(np.int64)), pa.array(scored.astype(np.int64))], ["token", "times", "scored"])
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), *cols, pa.ListArray.from_arrays(pa.array(off), pairs)], ["row", *RESULT, "rare"])
+            row += n
+
+    if least is None:
+        discard(counts)
+        return docs.mapInArrow(run, SCHEMA)
+    scored = saved(docs.mapInArrow(run, f"row long, {SCHEMA}, rare array<struct<token:long,times:long,scored:long>>"), "scored")
+    each = scored.select("row", F.inline("rare")).join(counts.where(F.col("n") < least).select("token", "n"), "token")
+    gain = F.log10(F.col("n") * 2 + 1)  # of n + 0.5 over the 0.5 of an unknown
+    more = each.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * gain).alias("more_base"), F.sum(F.col("scored") * gain).alias("more_score"))
+    out = scored.join(more, "row", "left")
+    sums = {"n_known": "more_known", "base_score": "more_base", "score": "more_score"}
+    return out.withColumns({c: F.col(c) + F.coalesce(m, F.lit(0)) for c, m in sums.items()}).select(*RESULT)

@@ -156,6 +156,44 @@ def test_lm_base_matches_brute_force(docs, empty, limit):
     assert maxent.score(empty, broadcast_tokens=limit).count() == 0
 
 
+def test_lm_scores_do_not_depend_on_what_is_broadcast(docs):
+    by = lambda limit: sorted(((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 2)) for r in maxent.score(docs, broadcast_tokens=limit).collect()), key=str)
+    assert by(1000) == by(0) == by(8)
+
+
+def test_lm_learns_from_history(spark):
+    rng = random.Random(2)
+    follows = {f"v{i}": [f"v{(7 * i + k) % 60}" for k in range(3)] for i in range(60)}
+
+    def text(n):
+        out = [f"v{rng.randrange(60)}"]
+        while len(out) < n:
+            out.append(rng.choice(follows[out[-1]]))
+        return " ".join(out)
+
+    rows = [(i, text(80)) for i in range(600)]
+    got = maxent.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    held = [r for r in got if r.held_out]
+    per_token = lambda c: sum(r[c] for r in held) / sum(r.n_tokens for r in held)
+    # a token is one of three after its predecessor, one of sixty without it
+    assert per_token("base_score") < -1.7 and per_token("score") > per_token("base_score") + 0.6
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    """Over all known tokens, the end and an unknown token in every part, after one history."""
+    words_ = [f"w{i}{'abcdefgh'[i % 8]}" for i in range(200)]
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choices(words_, k=30))) for i in range(300)]
+    probe = [(10_000 + 5 * i, w) for i, w in enumerate(words_)]
+    train = [(d, t) for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 1]
+    held = [d for d in range(20_000, 60_000) if zlib.crc32(str(d).encode()) % 5 == 1]
+    df = spark.createDataFrame([*train, *zip(held, ["", *[w for _, w in probe]], strict=False)], "doc_id long, text string")
+    got = {r.doc_id: r for r in maxent.score(df).collect()}
+    # a one-word text's probability is that of the word after the start and of the end after it: under one in sum
+    total = sum(10 ** got[d].score for d, _ in zip(held, range(len(words_) + 1), strict=False))
+    assert 0 < total <= 1.0 + 1e-6
+
+
 def test_packing_ids_are_those_of_tokenizers(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
