@@ -3,16 +3,20 @@
 Four sources of evidence are added as log-probabilities per language:
 
 * the text: a multinomial model of hashed byte trigrams of the lower-cased
-  words, learnt from all rows with a declared language (counts by task, summed);
+  words, learnt from all rows with a declared language (counts by task, summed;
+  a text of more than LONG trigrams counts as the root of its length beyond, so
+  that no long text with a wrong declaration makes a language's model);
   every declared language has one, and tasks go through them in pieces;
   its log-likelihood is tempered to ``text_power`` of its length, as trigrams
   are far from independent, and counts fully for short texts only;
 * the declared markup language (``declared``): how often a declaration is right,
   measured against the text model's own verdicts, per declared value;
 * the address suffix (``suffix``): likewise, when a column gives one;
-* the host prior: language shares of the host, shrunk towards those of all rows
-  by ``host_weight`` pseudo-documents - host and global counts by grouped
-  aggregation.
+* the host prior, smoothed level by level: the language shares of the host are
+  shrunk towards those of its domain (the host without its first label), these
+  towards the shares of all rows, by ``host_weight`` pseudo-documents each.  A
+  host of one or two labels has no domain above it and is shrunk towards all
+  rows at once.  Counts per level come by grouped aggregation.
 
 Row verdicts: ``lang_id`` (the most probable language, ties to the first in
 code-point order), ``confidence`` (its posterior), and ``accepted``: there is a
@@ -20,7 +24,7 @@ letter in the text, and the posterior is at least ``min_confidence``.
 
 Defined cases: a null or letterless text gives no text evidence and is not
 accepted; null declarations, suffixes and hosts give no evidence of their kind
-(a null host has the global prior); with no declared language at all every row
+(a null host has the global prior; a host seen nowhere else has its domain's); with no declared language at all every row
 has a null ``lang_id`` and is not accepted; an empty table gives an empty
 result; input columns with the names of the three results are replaced.
 """
@@ -40,9 +44,10 @@ from memspark.llm import textvec as tv
 from memspark.llm.common import saved
 
 #: Hashed trigram classes; languages per piece of the text model, of which a task holds one at a time.
-CLASSES, PIECE = 1 << 15, 64
+CLASSES, PIECE, LONG = 1 << 15, 64, 256
 #: (language, class) counts that a task gathers before it passes them on; values and (value, language) pairs broadcast at most.
 GATHERED, FEW_VALUES, FEW_PAIRS = 1 << 21, 200_000, 1_000_000
+KINDS = ("declared", "suffix", "domain", "host")
 LETTER = np.zeros(256, dtype=bool)
 LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = LETTER[0xC3:] = True
 
@@ -69,7 +74,7 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def trigram_counts(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa.RecordBatch]:
     names = pa.array(langs, pa.string())
-    keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, sums = np.zeros(0, np.int64), np.zeros(0)
 
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array((keys // CLASSES).astype(np.int32)), pa.array((keys % CLASSES).astype(np.int32)), pa.array(sums)], ["lang", "class", "n"])
@@ -78,9 +83,9 @@ def trigram_counts(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Itera
         lang = pc.index_in(batch.column("declared").cast(pa.string()), names).fill_null(-1).to_numpy().astype(np.int64)
         cls, doc, _ = trigrams(batch.column("text"))
         of = lang[doc]
-        new, n = np.unique((of * CLASSES + cls)[of >= 0], return_counts=True)
-        merged, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-        sums = np.bincount(at, weights=np.concatenate([sums, n]), minlength=len(merged)).astype(np.int64)
+        weight = np.minimum(1.0, np.sqrt(LONG / np.maximum(np.bincount(doc, minlength=batch.num_rows), 1)))
+        merged, at = np.unique(np.concatenate([keys, (of * CLASSES + cls)[of >= 0]]), return_inverse=True)
+        sums = np.bincount(at, weights=np.concatenate([sums, weight[doc[of >= 0]]]), minlength=len(merged))
         keys = merged
         if len(keys) >= GATHERED:
             yield out()
@@ -95,7 +100,7 @@ class TextModel:
         sc = rows.sparkSession.sparkContext
         self.size, self.piece, self.held = len(langs), PIECE, None
         names = sc.broadcast(langs)
-        counts = rows.where(F.col("declared").isNotNull()).select("declared", "text").mapInArrow(lambda it: trigram_counts(it, names.value), "lang int, class int, n long")
+        counts = rows.where(F.col("declared").isNotNull()).select("declared", "text").mapInArrow(lambda it: trigram_counts(it, names.value), "lang int, class int, n double")
         counts = counts.groupBy("lang", "class").agg(F.sum("n").alias("n"))
         if self.size > self.piece:
             counts = saved(counts, "trigrams")
@@ -150,11 +155,11 @@ def best_of(pieces: Iterator[tuple[int, np.ndarray]], rows: int) -> tuple[np.nda
 
 
 def confusion(batches: Iterator[pa.RecordBatch], model: TextModel, text_power: float) -> Iterator[pa.RecordBatch]:
-    """Counts of (kind, value, best language by text); kinds: declared, suffix, host."""
+    """Counts of (kind, value, best language by text) of each of KINDS."""
     for batch in tv.chunks(batches):
         pieces, letters = text_scores(batch.column("text"), model, text_power)
         best = pa.array(best_of(pieces, batch.num_rows)[0].astype(np.int32), mask=letters == 0)
-        for kind in ("declared", "suffix", "host"):
+        for kind in KINDS:
             rows = pa.table({"value": batch.column(kind), "lang": best, "n": pa.array(np.ones(batch.num_rows, np.int64))}).drop_null()
             part = rows.group_by(["value", "lang"]).aggregate([("n", "sum")])
             yield from part.select(["value", "lang", "n_sum"]).rename_columns(["value", "lang", "n"]).add_column(0, "kind", pa.array([kind] * part.num_rows, pa.string())).combine_chunks().to_batches()
@@ -191,14 +196,20 @@ class Counts:
         return out
 
 
+def domain_of(host: Column) -> Column:
+    """A host of three or more labels without its first; null for others."""
+    return F.when(F.size(F.split(host, r"\.")) > 2, F.regexp_replace(host, r"^[^.]*\.", ""))
+
+
 def identify(df: DataFrame, declared: Column, host: Column, suffix: Column | None = None, text_power: float = 0.5, host_weight: float = 20.0, min_confidence: float = 0.5) -> DataFrame:
     """``df`` (with a column ``text``) with lang_id, confidence and accepted."""
     spark = df.sparkSession
     results = [StructField("lang_id", StringType()), StructField("confidence", DoubleType()), StructField("accepted", BooleanType())]
     keep = [c for c in df.columns if c not in {f.name for f in results}]
-    clash = {f"{k}__evidence": v for k, v in (("declared", declared), ("suffix", F.lit(None) if suffix is None else suffix), ("host", host))}
+    given = {"declared": declared, "suffix": F.lit(None) if suffix is None else suffix, "domain": domain_of(host.cast("string")), "host": host}
+    clash = {f"{k}__evidence": given[k] for k in KINDS}
     rows = df.select(*keep, *[v.cast("string").alias(k) for k, v in clash.items()])
-    view = rows.select("text", *[F.col(f"{k}__evidence").alias(k) for k in ("declared", "suffix", "host")])
+    view = rows.select("text", *[F.col(f"{k}__evidence").alias(k) for k in KINDS])
     langs = sorted(r.declared for r in view.where(F.col("declared").isNotNull()).select("declared").distinct().collect())
     if not langs:
         return df.select(*keep, F.lit(None).cast("string").alias("lang_id"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"))
@@ -208,7 +219,7 @@ def identify(df: DataFrame, declared: Column, host: Column, suffix: Column | Non
     for r in seen.where("kind = 'declared'").groupBy("lang").agg(F.sum("n").alias("n")).collect():
         overall[r.lang] += r.n
     evidence = spark.sparkContext.broadcast((langs, overall))
-    kinds = ["host", "declared", *([] if suffix is None else ["suffix"])]
+    kinds = ["host", "domain", "declared", *([] if suffix is None else ["suffix"])]
     joined = rows
     for kind in kinds:
         joined = joined_counts(seen, joined, kind)
@@ -223,11 +234,13 @@ def identify(df: DataFrame, declared: Column, host: Column, suffix: Column | Non
             def fused() -> Iterator[tuple[int, np.ndarray]]:
                 for a, score in pieces:
                     b = a + score.shape[1]
-                    # host shares shrunk towards those of all rows; log P(value | language) of the other kinds
-                    host = counts["host"]
-                    share = (host.dense(a, b) + host_weight * prior[a:b]) / (host.all + host_weight)[:, None]
-                    score += np.log(np.where(host.known[:, None], share, prior[a:b]))
-                    for kind in kinds[1:]:
+                    # shares of each level shrunk towards the level above; log P(value | language) of the other kinds
+                    share = prior[a:b]
+                    for level in ("domain", "host"):
+                        at = counts[level]
+                        share = np.where(at.known[:, None], (at.dense(a, b) + host_weight * share) / (at.all + host_weight)[:, None], share)
+                    score += np.log(share)
+                    for kind in kinds[2:]:
                         given = counts[kind]
                         score += np.where(given.known[:, None], np.log((given.dense(a, b) + 0.5) / overall[a:b]), 0.0)
                     yield a, score

@@ -318,6 +318,46 @@ def test_langid_rare_values_are_evidence(spark):
     assert got == {9000: "de", 9001: "de", 9002: "en"}
 
 
+def test_langid_host_prior_is_shrunk_level_by_level(spark):
+    """The prior of hosts against the formula, on rows whose texts and declarations say nothing apart."""
+    rows = [(i, "the and this that", "en", "www.a.example") for i in range(40)] + [(100 + i, "der und nicht das", "de", "www.b.example") for i in range(40)]
+    rows += [(200 + i, "der und nicht das", "de", f"h{i}.c.example") for i in range(30)]
+    probe = [(900, None, None, "new.c.example"), (901, None, None, "www.a.example"), (902, None, None, "h0.c.example"), (903, None, None, "solo"), (904, None, None, None)]
+    df = spark.createDataFrame([*rows, *probe], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.lang_id, r.confidence) for r in langid.identify(df, F.col("lang"), F.col("source")).where("doc_id >= 900").collect()}
+    de = 71 / 112  # shares of all rows, one more row a language
+    shrunk = lambda n, of, above: (n + 20 * above) / (of + 20)
+    domain = shrunk(30, 30, de)
+    want = {900: domain, 901: 1 - shrunk(0, 40, shrunk(0, 40, de)), 902: shrunk(1, 1, domain), 903: de, 904: de}
+    for k, p in want.items():
+        assert got[k] == ("en" if k == 901 else "de", pytest.approx(p)), k
+
+
+def test_langid_text_overrules_wrong_declarations(spark):
+    """One declaration in five is another language's; repeated rows and very long texts among them."""
+    rng = random.Random(8)
+    vocab = {"en": ["the", "and", "this", "with", "from", "thing"], "de": ["der", "und", "nicht", "schön", "über", "zeit"], "fr": ["le", "et", "avec", "été", "nous", "chose"]}
+    rows = []
+    for i in range(300):
+        true = ["en", "de", "fr"][i % 3]
+        rows.append((i, " ".join(rng.choices(vocab[true], k=30 if i % 50 else 20_000)), rng.choice(["en", "de", "fr"]) if i % 5 == 0 else true, f"h{i % 7}", 0))
+    df = spark.createDataFrame([*rows, *rows[:3]], DOCS).repartition(3)
+    got = [(r.doc_id, r.lang_id) for r in langid.identify(df, F.col("lang"), F.col("source")).collect()]
+    assert len(got) == 303 and all(lang == ["en", "de", "fr"][d % 3] for d, lang in got)
+
+
+def test_langid_pages(spark, tmp_path):
+    from memspark.llm import queries
+
+    page = lambda i, lang, text: (i, f"https://www.s{i % 3}.example.{'de' if lang == 'de' else 'com'}/p", f"<html lang='{lang}'><script>var the = 'and the this';</script><p>{text}</p></html>")
+    rows = [page(i, *(("en", "the and this with from") if i % 2 else ("de", "der und nicht schön über"))) for i in range(40)]
+    rows += [(100, "https://www.s0.example.de/x", "<html><p>der und nicht</p></html>"), (101, None, None), (102, "no address", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r for r in queries.langid_pages(spark, str(tmp_path)).collect()}
+    assert len(got) == 43 and all(got[i].lang_id == ("en" if i % 2 else "de") and got[i].accepted for i in range(40))
+    assert got[100].lang_id == "de" and not got[101].accepted and not got[102].accepted
+
+
 def test_toxicity_finds_held_out_rows(spark, empty):
     rng = random.Random(9)
     plain, bad = [f"w{i}" for i in range(40)], ["scum", "idiot", "loser"]
