@@ -10,12 +10,13 @@ of two linked sets lie among the first |A| - need(A) + l of A and likewise of B.
 * Heavy sets, and light ones large enough to link with a heavy set, post their
   first |A| - need(A) + 1 shingles to inverted lists, which are then scanned.
 * The boundary is the size at which the subsets of the light sets would cost
-  more than scanning lists, summed over the histogram of all set sizes.
+  more than scanning lists, summed over the histogram of all set sizes; what a
+  posting costs is the mean length of the lists, as counted.
 
 The order puts frequent shingles last.  The most frequent come from one counter
-array of fixed size, filled from all sets; then the lists that this order would
-make are counted, and the shingles of lists longer than LONG_LIST go last too.
-Any order gives the same links: what the counters miss costs time only.
+array that grows with the table, filled from all sets; then the lists that this
+order would make are counted, and the shingles of lists longer than LONG_LIST go
+last too.  Any order gives the same links: what the counters miss costs time only.
 
 Equal sets are one node from the start.  Each list has its
 least set as hub, and a set is first paired with the hub it shares most lists
@@ -37,6 +38,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +48,10 @@ from pyspark.sql import functions as F
 from memspark.llm import textvec as tv
 from memspark.llm.common import discard, saved
 
-#: Counters of the frequency array, in pieces of PIECE; bins of a set's histogram.
-SLOTS, PIECE, BINS = 1 << 21, 1 << 18, 256
-FILTER_BITS = 1 << 23
+#: Least and most counters of the frequency array, in pieces of PIECE; bins of a set's histogram.
+MIN_SLOTS, MAX_SLOTS, PIECE, BINS = 1 << 21, 1 << 24, 1 << 18, 256
+#: Least and most bits of a filter, bits per value.
+MIN_BITS, MAX_BITS, BITS_EACH = 1 << 23, 1 << 28, 8
 #: Sets in a list from which its shingle counts as frequent; hub rounds; pairs per set that end them.
 LONG_LIST, HUB_ROUNDS, FEW_PAIRS = 12, 3, 16
 #: Sets in a block of a list; lists of a set that are known to it.
@@ -86,14 +89,18 @@ def histogram(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
+def power_of_two(wanted: int, least: int, most: int) -> int:
+    return min(most, max(least, 1 << max(wanted - 1, 0).bit_length()))
+
+
 def needed(n: int, num: int, den: int) -> int:
     return -(-n * num // den)
 
 
-def summaries(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def summaries(batches: Iterator[pa.RecordBatch], n: int, slots: int) -> Iterator[pa.RecordBatch]:
     """A row per document, and rows with the pieces of this task's frequency counters."""
     names = ["doc_id", "n", "set", "hist", "piece", "counts"]
-    counts = np.zeros(SLOTS, dtype=np.uint32)
+    counts = np.zeros(slots, dtype=np.uint32)
     seen: set[int] = set()
     for batch in tv.chunks(batches):
         size, ids, hist, fresh = [], [], [], []
@@ -106,10 +113,10 @@ def summaries(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
                 seen.add(name)
                 fresh.append(s)
         if fresh:
-            counts += np.bincount((np.concatenate(fresh) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+            np.add.at(counts, (np.concatenate(fresh) % np.uint64(slots)).astype(np.int64), np.uint32(1))
         rows = batch.num_rows
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), pa.array(hist, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
-    for at in range(0, SLOTS, PIECE):
+    for at in range(0, slots, PIECE):
         part = counts[at : at + PIECE]
         if part.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([at // PIECE], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names)
@@ -127,14 +134,14 @@ def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([zlib.compress(clipped.tobytes(), 1)], pa.binary())], ["piece", "counts"])
 
 
-def frequency_levels(summary: DataFrame) -> np.ndarray:
+def frequency_levels(summary: DataFrame, slots: int) -> np.ndarray:
     """For every counter 0, or for those above the noise of collisions a level from 1 up."""
     parts = summary.where(F.col("piece").isNotNull()).select("piece", "counts")
     # two steps, so that no task sees the pieces of all tasks when there are many
     for tasks in (64, 8):
         parts = parts.repartition(tasks, "piece", *([F.crc32("counts") % 8] if tasks > 8 else [])).mapInArrow(add_counts, "piece int, counts binary")
-    total = np.zeros(SLOTS, dtype=np.float64)
-    for row in parts.collect():  # SLOTS / PIECE rows
+    total = np.zeros(slots, dtype=np.float64)
+    for row in parts.collect():  # slots / PIECE rows
         total[row.piece * PIECE : (row.piece + 1) * PIECE] += np.frombuffer(zlib.decompress(row.counts), dtype=np.uint32)
     mean = float(np.median(total))
     return np.log2(np.maximum((total - mean) / (4 * np.sqrt(mean) + 8), 1.0)).astype(np.int8) + (total - mean > 4 * np.sqrt(mean) + 8)
@@ -161,11 +168,11 @@ def light_boundary(sizes: dict[int, int], list_scan: float, num: int, den: int)
     return best
 
 
-def in_order(s: np.ndarray, levels: np.ndarray, long: np.ndarray | None) -> np.ndarray:
+def in_order(s: np.ndarray, levels: np.ndarray, long: Bits | None) -> np.ndarray:
     """The shingles of a set in the common order: by level, then by hash."""
-    level = levels[(s % np.uint64(SLOTS)).astype(np.int64)]
+    level = levels[(s % np.uint64(len(levels))).astype(np.int64)]
     if long is not None:
-        level = np.maximum(level, long[filter_slot(s)])
+        level = np.maximum(level, long.has(s))
     return s[np.argsort(level, kind="stable")]
 
 
@@ -225,39 +232,65 @@ def checked(left: DataFrame, right: DataFrame, columns: list[str], test: Callabl
     return left.select("a", "b", *names).mapInArrow(run, "a long, b long")
 
 
-def bit_filter(ids: DataFrame) -> np.ndarray:
-    """A bit per hash value of the column ``rep``: FILTER_BITS bits for any number of ids."""
+@dataclass
+class Bits:
+    """A set of 64-bit values, one bit of ``packed`` each; others are let through by chance."""
+
+    packed: np.ndarray
+    #: Mean length of the lists that are not long, as a posting meets them.
+    mean_list: float = 1.0
+
+    def slot(self, values: np.ndarray) -> np.ndarray:
+        return (tv.mix(values.view(np.uint64)) % np.uint64(8 * len(self.packed))).astype(np.int64)
+
+    def add(self, values: np.ndarray) -> None:
+        at = self.slot(values)
+        np.bitwise_or.at(self.packed, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        at = self.slot(values)
+        return (self.packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def bit_filter(counted: DataFrame, wanted: int, above: int = 0) -> Bits:
+    """The values of counted(rep, count) with a count over ``above``; ``wanted`` is about their number."""
+    size = power_of_two(BITS_EACH * wanted, MIN_BITS, MAX_BITS) // 8
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(FILTER_BITS, dtype=bool)
+        out, postings, met = Bits(np.zeros(size, np.uint8)), 0, 0
         for batch in batches:
-            out[filter_slot(batch.column("rep").to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(out).tobytes(), 1)], pa.binary())], ["bits"])
+            n = batch.column("count").to_numpy()
+            out.add(batch.column("rep").to_numpy()[n > above])
+            short = n[n <= above]
+            postings, met = postings + int(short.sum()), met + int((short * short).sum())
+        yield packed_row(out.packed, postings, met)
 
     def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+        out, postings, met = np.zeros(size, dtype=np.uint8), 0, 0
         for batch in batches:
             for raw in batch.column("bits"):
                 out |= np.frombuffer(zlib.decompress(raw.as_py()), dtype=np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())], ["bits"])
-
-    passed = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for row in ids.mapInArrow(gathered, "bits binary").repartition(4).mapInArrow(either, "bits binary").collect():  # 4 rows of at most 1 MB
-        passed |= np.frombuffer(zlib.decompress(row.bits), dtype=np.uint8)
-    return np.unpackbits(passed).astype(bool)
+            postings, met = postings + sum(batch.column("postings").to_pylist()), met + sum(batch.column("met").to_pylist())
+        yield packed_row(out, postings, met)
 
+    def packed_row(bits: np.ndarray, postings: int, met: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary()), pa.array([postings], pa.int64()), pa.array([met], pa.int64())], ["bits", "postings", "met"])
 
-def filter_slot(ids: np.ndarray) -> np.ndarray:
-    return (tv.mix(ids.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+    schema = "bits binary, postings long, met long"
+    passed, postings, met = np.zeros(size, dtype=np.uint8), 0, 0
+    for row in counted.mapInArrow(gathered, schema).repartition(4).mapInArrow(either, schema).collect():  # 4 rows
+        passed |= np.frombuffer(zlib.decompress(row.bits), dtype=np.uint8)
+        postings, met = postings + row.postings, met + row.met
+    return Bits(passed, met / postings if postings else 1.0)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, num: int, den: int, filtered: bool = False) -> DataFrame:
     """Those of the pairs (a, b) of sets that link, checked on the whole sets.
 
     Pairs that their histograms rule out go first, unless they have gone
-    (``filtered``).  Then the texts of the
-    documents that stand for a set in a pair are read again: a bit filter of
-    fixed size passes them, and what it lets through by chance finds no pair.
+    (``filtered``).  Then the texts of the documents that stand for a set in a pair
+    are read again.  A bit filter passes them while its size allows - what it lets
+    through by chance finds no pair - and a join beyond that.
     """
 
     def near(p: pa.Scalar, n_p: pa.Scalar, q: pa.Scalar, n_q: pa.Scalar) -> bool:
@@ -266,27 +299,32 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, num: in
         apart = int(np.abs(np.frombuffer(p.as_buffer(), np.uint8).astype(np.int16) - np.frombuffer(q.as_buffer(), np.uint8)).sum())
         return den * (total - apart) >= num * (total + apart)
 
-    def linked(p: pa.Scalar, q: pa.Scalar) -> bool:
-        p, q = np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8")
-        both = np.sort(np.concatenate([p, q]))
-        common = int(np.count_nonzero(both[1:] == both[:-1]))
-        return den * common >= num * (len(p) + len(q) - common)
-
     hopeful = pairs if filtered else saved(checked(pairs, reps, ["hist", "n"], near), "hopeful")
-    wanted = hopeful.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(reps.select("set", "rep"), "set").select("rep")
-    known = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted))
+    wanted = saved(hopeful.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(reps.select("set", "rep"), "set").select("rep"), "wanted")
+    many = wanted.count()
+    source = docs.where(F.col("doc_id").isNotNull())
+    if BITS_EACH * many <= MAX_BITS:
+        known = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.withColumn("count", F.lit(1).cast("long")), many))
+    else:
+        known, source = None, source.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.filter(pa.array(known.value[filter_slot(batch.column("doc_id").to_numpy())]))
+            some = batch if known is None else batch.filter(pa.array(known.value.has(batch.column("doc_id").to_numpy())))
             for part in tv.chunks(iter([some])):
                 found = [s for s in shingle_sets(part.column("text"), n) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["set", "items"])
+                off = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                items = np.concatenate([whole_empty, *found]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(items))], ["set", "items"])
 
-    items = docs.where(F.col("doc_id").isNotNull()).mapInArrow(sets, "set long, items binary")
-    out = saved(checked(hopeful, items, ["items"], linked).distinct(), "links")
-    if not filtered:
-        discard(hopeful)
+    items = source.mapInArrow(sets, "set long, items array<long>")
+    both = hopeful
+    for end in ("b", "a"):
+        both = both.join(items.select(F.col("set").alias(end), F.col("items").alias(f"{end}_items")), end)
+    common = F.size(F.array_intersect("a_items", "b_items"))
+    linked = den * common >= num * (F.size("a_items") + F.size("b_items") - common)
+    out = saved(both.where(linked).select("a", "b").distinct(), "links")
+    discard(wanted, *([] if filtered else [hopeful]))
     return out
 
 
@@ -301,8 +339,10 @@ def list_pairs(lists: DataFrame, reps: DataFrame, num: int, den: int) -> DataFra
     first = lists.groupBy("set").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_LISTS).alias("keys"))
     members = lists.join(reps.select("set", "hist"), "set").join(first, "set")
     block = F.pmod(F.xxhash64("set"), F.ceil(F.col("members") / LIST_BLOCK)).cast("int").alias("block")
-    packed = members.groupBy("key", block).agg(F.collect_list(F.struct("set", "n", "comp", "hist", "keys")).alias("rows"))
-    x, y = packed.select("key", F.col("block").alias("x"), F.col("rows").alias("xs")), packed.select("key", F.col("block").alias("y"), F.col("rows").alias("ys"))
+    packed = members.groupBy("key", block).agg(F.collect_list(F.struct("set", "n", "comp", "hist", "keys")).alias("rows"), F.first(F.ceil(F.col("members") / LIST_BLOCK)).cast("int").alias("blocks"))
+    # a row per pair of blocks is placed by its list and its second block, so no task meets a whole long list
+    blocks = F.sequence(F.col("block"), F.col("blocks") - 1)
+    x, y = packed.select("key", F.col("rows").alias("xs"), F.explode(blocks).alias("y")), packed.select("key", F.col("block").alias("y"), F.col("rows").alias("ys"))
 
     def columns(rows: pa.ListScalar) -> list[np.ndarray]:
         v = rows.values
@@ -346,21 +386,21 @@ def list_pairs(lists: DataFrame, reps: DataFrame, num: int, den: int) -> DataFra
             both = np.unique(np.concatenate(out, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-    return x.join(y, "key").where("x <= y").select("key", "xs", "ys").mapInArrow(run, "a long, b long").distinct()
+    return x.join(y, ["key", "y"]).select("key", "xs", "ys").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``df`` (doc_id, text)."""
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long"), "text")
-    summary = saved(docs.mapInArrow(lambda it: summaries(it, n), "doc_id long, n long, set long, hist binary, piece int, counts binary"), "summary")
-    levels = frequency_levels(summary)
+    slots = power_of_two(df.count(), MIN_SLOTS, MAX_SLOTS)
+    summary = saved(docs.mapInArrow(lambda it: summaries(it, n, slots), "doc_id long, n long, set long, hist binary, piece int, counts binary"), "summary")
+    levels = frequency_levels(summary, slots)
     rows = summary.where(F.col("piece").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "set", "hist")
     reps = rows.where(F.col("set").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("hist").alias("hist"))
     reps = saved(reps, "reps")
     # sizes above 400 are heavy under any boundary
     sizes = {r.n: r["count"] for r in reps.where("n <= 400").groupBy("n").count().collect()}
-    boundary = light_boundary(sizes, 2.0, num, den)
     shared = spark.sparkContext.broadcast(levels)
 
     def fresh_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -382,8 +422,9 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["rep"])
 
     texts = docs.where(F.col("doc_id").isNotNull())
-    counted = texts.mapInArrow(first_shingles, "rep long").groupBy("rep").count().where(F.col("count") > LONG_LIST)
-    long = spark.sparkContext.broadcast(bit_filter(counted.select("rep")))
+    counted = texts.mapInArrow(first_shingles, "rep long").groupBy("rep").count()
+    long = spark.sparkContext.broadcast(bit_filter(counted, slots, LONG_LIST))
+    boundary = light_boundary(sizes, 1 + long.value.mean_list, num, den)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for new in fresh_sets(batches):
@@ -407,7 +448,10 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
         star = star.groupBy("set", "hub").agg(F.count("*").alias("lists")).groupBy("set").agg(F.max(F.struct("lists", "hub"))["hub"].alias("hub"))
         star = saved(star.select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct(), "star")
         found = verified(star, docs, reps, n, num, den)
-        links = found if links is None else saved(links.unionByName(found), "links")
+        every_link = found if links is None else saved(links.unionByName(found), "links")
+        if links is not None:
+            discard(links, found, comp, open_lists)
+        links = every_link
         comp = saved(components(links), "components")
         # what is left: sets of one list that are in different components
         labelled = lists.join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set")).select("key", "members", "set", "n", "comp")
@@ -420,12 +464,14 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
             break
     rest = saved(list_pairs(open_lists, reps, num, den), "rest")
     more = verified(rest, docs, reps, n, num, den, filtered=True)
-    comp = saved(components(links.unionByName(more)), "components")
-    discard(lists, open_lists, rest, links, more)
+    last = saved(components(links.unionByName(more)), "components")
+    discard(lists, open_lists, rest, links, more, comp)
     # a component's id is its smallest document id
-    named = reps.drop("hist").join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    named = reps.drop("hist").join(last, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     groups = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     labels = named.select("set", "comp").join(groups, "comp").select("set", "component_id")
     out = rows.drop("hist").join(labels, "set", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.cast("long").alias("component_id"))
+    out = saved(out.select("doc_id", "n_shingles", own.cast("long").alias("component_id")), "groups")
+    discard(summary, reps, last)
+    return out
