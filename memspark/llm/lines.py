@@ -11,8 +11,10 @@ sites are counted exactly.  A boilerplate line stays in the document with the
 smallest id that carries it, at its first place there, and goes everywhere
 else: no line leaves the corpus altogether.
 
-The boilerplate lines are broadcast while they number at most
-``broadcast_lines``; beyond that the lines of the documents are joined with them.
+The ``broadcast_lines`` most frequent boilerplate lines are broadcast and cut in
+one pass.  Where there are more, the lines of the documents are joined with the
+rest; a line that is on very many documents is not among these, so no key of
+that join is hot.
 
 Defined cases: a null text stays null; a null site is a site of its own; a null
 id keeps no first occurrence unless no other document has the line; repeated
@@ -62,11 +64,11 @@ def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def boilerplate(df: DataFrame, min_sites: int = 8, site_col: str = "source") -> DataFrame:
-    """(line, keeper) of the lines on at least ``min_sites`` sites, as a saved table."""
+    """(line, keeper, n) of the lines on at least ``min_sites`` sites, as a saved table."""
     site = F.when(F.col(site_col).isNull(), F.lit(0)).otherwise(F.xxhash64(site_col)).alias("site")
     source = df.select(F.col("doc_id").cast("long"), site, "text").where(F.col("text").isNotNull())
     found = saved(source.mapInArrow(occurrences, "line long, site long, n long, keeper long"), "lines")
-    often = found.groupBy("line").agg(F.sum("n").alias("n"), F.min("keeper").alias("keeper")).where(F.col("n") >= min_sites).drop("n")
+    often = found.groupBy("line").agg(F.sum("n").alias("n"), F.min("keeper").alias("keeper")).where(F.col("n") >= min_sites)
     often = saved(often, "often")
     seen = found.join(often.select("line"), "line", "left_semi").select("line", "site")
     spread = seen.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
@@ -109,24 +111,30 @@ def remove_boilerplate(df: DataFrame, min_sites: int = 8, site_col: str = "sourc
     keep = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     df = df.select(*keep)
     lines = boilerplate(df, min_sites, site_col)
-    if lines.count() <= broadcast_lines:
-        rows = lines.toArrow().sort_by("line")
-        known = df.sparkSession.sparkContext.broadcast((rows["line"].to_numpy(), rows["keeper"].to_numpy()))
-        discard(lines)
-        schema = StructType([*df.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    least = least_count(lines, broadcast_lines)
+    rows = lines.where(F.col("n") >= least).select("line", "keeper").toArrow().sort_by("line")
+    known = df.sparkSession.sparkContext.broadcast((rows["line"].to_numpy(), rows["keeper"].to_numpy()))
+    schema = StructType([*df.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in tv.chunks(batches):
-                text, total, removed = strip_lines(batch, *known.value)
-                cols = [text if c == "text" else batch.column(c) for c in keep]
-                yield pa.RecordBatch.from_arrays([*cols, total, removed], names=[*keep, "n_lines", "n_removed"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tv.chunks(batches):
+            text, total, removed = strip_lines(batch, *known.value)
+            cols = [text if c == "text" else batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*cols, total, removed], names=[*keep, "n_lines", "n_removed"])
 
-        return df.mapInArrow(run, schema)
+    cut = df.mapInArrow(run, schema)
+    if not least:
+        discard(lines)
+        return cut
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(row, pos, line, first, id) of the lines, one row each."""
         for batch in tv.chunks(batches):
             _, doc, _, _, h, full = hashed_lines(batch.column("text"))
+            # the lines of the broadcast part are gone but for the one that stays
+            lines_cut = known.value[0]
+            if len(lines_cut):
+                full &= lines_cut[np.minimum(np.searchsorted(lines_cut, h), len(lines_cut) - 1)] != h
             order = np.lexsort((np.arange(len(h)), h, doc))
             d, g = doc[order], h[order]
             first = np.zeros(len(h), bool)
@@ -135,13 +143,27 @@ def remove_boilerplate(df: DataFrame, min_sites: int = 8, site_col: str = "sourc
             row, ids = batch.column("row").to_numpy(), batch.column("doc_id").fill_null(NO_ID).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(x[full]) for x in (row[doc], pos, h, first, ids[doc])], ["row", "pos", "line", "first", "id"])
 
-    marked = saved(df.withColumn("row", F.monotonically_increasing_id()), "marked")
+    marked = saved(cut.withColumn("row", F.monotonically_increasing_id()), "marked")
     each = marked.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(listed, "row long, pos long, line long, first boolean, id long")
-    hits = each.join(lines, "line", "left").groupBy("row").agg(
-        F.count("*").alias("n_lines"),
-        F.collect_list(F.when(F.col("keeper").isNotNull() & ~(F.col("first") & (F.col("keeper") == F.col("id"))), F.col("pos").cast("int"))).alias("gone"),
-    )
+    rest = lines.where(F.col("n") < least).select("line", "keeper")
+    gone = each.join(rest, "line").where(~(F.col("first") & (F.col("keeper") == F.col("id"))))
+    hits = gone.groupBy("row").agg(F.collect_list(F.col("pos").cast("int")).alias("gone"))
     out = marked.join(hits, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
     text = F.when(F.size("gone") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
-    return out.select(*[text.alias(c) if c == "text" else c for c in keep], F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"))
+    return out.select(*[text.alias(c) if c == "text" else c for c in keep], "n_lines", (F.col("n_removed") + F.size("gone")).cast("long").alias("n_removed"))
+
+
+def least_count(lines: DataFrame, most: int) -> int:
+    """0 if there are at most ``most`` lines, else the least count that at most ``most`` of them reach."""
+    if lines.count() <= most:
+        return 0
+    # by powers of two, so that a few dozen rows tell it
+    levels = lines.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).count().orderBy(F.col("level").desc()).collect()
+    reached, least = 0, 2**62
+    for r in levels:
+        reached += r["count"]
+        if reached > most:
+            break
+        least = 2**r.level
+    return least

@@ -13,14 +13,16 @@ in the last block documents are taken in hash order, and the last document
 gives just the words that are missing.  So each source's words equal its
 rounded target.
 
-The draws (source, pass, block) of all sources are divided among ``shards``
-output shards by a binary tree: each node splits its vector of remaining draws
+The draws (source, pass, block) of all sources are divided among output shards of
+about ``shard_words`` words (or ``shards`` of them, if given) by a binary tree: each node splits its vector of remaining draws
 per source between its halves by one multivariate-hypergeometric sample, so
 every shard has its own exact quota of each source.  Quotas are turned into
 disjoint runs of the permuted draws, and each shard is ordered by a hash.
 
 All sums over documents are grouped by (source, bin) first; windows run over
 the bins of a source or within one bin, never over a whole source's documents.
+One task holds a row per source (for the targets and the tree), or one per bin
+of a source: a few numbers for each 512 documents.
 
 Defined cases: a null text has no words and is never taken; a source without
 words has the target 0; the null source is a source; documents with equal ids
@@ -30,6 +32,8 @@ place in the bin; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -89,7 +93,7 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
 
 
-def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, cap: float = 3.0, shards: int = 16, block_docs: int = 512, seed: int = 7) -> DataFrame:
+def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, cap: float = 3.0, shards: int | None = None, shard_words: int = 50_000_000, block_docs: int = 512, seed: int = 7) -> DataFrame:
     """One row per document with doc_id, row_hash, size, source, source_size, target, taken
     and ``draws``: an array of (pass, shard, words), one entry for each time the mix takes
     the document (``words`` is its size but for a source's last document)."""
@@ -97,6 +101,9 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, c
     docs = df.select("doc_id", "source", n_words(F.col("text")).alias("size"), hashed.alias("row_hash"))
     docs = saved(docs, "sizes")
     per = saved(targets(docs, weights, share, cap).withColumn("key", source_key(F.col("source"))), "targets")
+    if shards is None:
+        words = per.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
+        shards = max(16, math.ceil(words / shard_words))
     blocks_of = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block_docs)).cast("long")
     plan = per.select("key", "source_size", "target", blocks_of.alias("n_blocks"), F.round("target").cast("long").alias("wanted"))
     keyed = docs.withColumn("key", source_key(F.col("source"))).join(F.broadcast(plan) if per.count() <= 100_000 else plan, "key")
@@ -164,5 +171,7 @@ def mixed_rows(df: DataFrame, **options: object) -> DataFrame:
 
 
 def write_shards(mixed: DataFrame, path: str) -> None:
-    """Write each shard to its own folder, locally shuffled."""
-    mixed.repartition("shard").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
+    """Write each shard to its own folder, locally shuffled.  A shard is dealt out by
+    ranges of its order, so several tasks write a large one and its files, by
+    name, are in order."""
+    mixed.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)

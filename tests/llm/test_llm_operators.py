@@ -89,7 +89,7 @@ def test_html_rows(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("broadcast_lines", [1000, 0])
+@pytest.mark.parametrize("broadcast_lines", [1000, 1, 0])
 def test_lines_match_brute_force(spark, empty, broadcast_lines):
     rows = [(i, f"own {i}\n  shared line \nend {i}\n\nshared line", "en", [f"s{i % 6}", None][i == 4], 0) for i in range(9)]
     rows += [(20, "rare\nrare", "en", "s0", 0), (21, None, "en", "s1", 0), (22, "", "en", "s2", 0), rows[2]]
@@ -100,6 +100,21 @@ def test_lines_match_brute_force(spark, empty, broadcast_lines):
     assert lines.remove_boilerplate(empty, broadcast_lines=broadcast_lines).count() == 0
 
 
+def test_line_removal_does_not_depend_on_what_is_broadcast(spark):
+    rng = random.Random(11)
+    shared = [f"shared line {i}" for i in range(30)]
+    # line i is on about 40 / (i + 1) documents: some are frequent, some just over the threshold
+    rows = []
+    for d in range(60):
+        parts = [f"own {d} {k}" for k in range(3)] + [t for i, t in enumerate(shared) if rng.random() < 1.5 / (1 + i / 3)] * rng.choice([1, 2])
+        rng.shuffle(parts)
+        rows.append((d, "\n".join(parts), "en", f"s{d % 12}", 0))
+    df = spark.createDataFrame(rows, DOCS)
+    by = lambda n: sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in lines.remove_boilerplate(df, min_sites=6, broadcast_lines=n).collect())
+    whole = by(1000)
+    assert whole == by(0) == by(7) and sum(r[3] for r in whole) > 100
+
+
 @pytest.mark.parametrize(("n", "num"), [(4, 85), (5, 80)])
 def test_jaccard_matches_brute_force(spark, docs, empty, n, num):
     rng = random.Random(7)
@@ -217,6 +232,11 @@ def test_packing_round_trip(spark, docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     slow = Tokenizer.from_file(path)
     one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    # null ids, repeated rows and clashing columns: every row is packed for itself
+    every = packing.pack(docs.withColumn("length", F.lit("clash")).withColumn("start", F.lit(9)), path, 256, with_ids=True).collect()
+    flat = lambda rows: sorted((str(r.doc_id), r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows)
+    singly = [r for part in docs.collect() for r in packing.pack(spark.createDataFrame([part], DOCS), path, 256).collect()] if docs.count() < 40 else []
+    assert flat(every) == flat(singly) and len({r.sequence_id for r in every}) == len(every)
     got = packing.pack(one, path, 256, with_ids=True).collect()
     assert len({r.sequence_id for r in got}) == len(got) and all(r.offset == 0 and r.length & (r.length - 1) == 0 and r.length <= 256 for r in got)
     for row in one.collect():
@@ -263,6 +283,19 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
 
 
+def test_shards_are_disjoint_draws_with_exact_quotas(spark, tmp_path):
+    rows = [(i, f"w{i} " * (1 + i % 5), f"s{i % 3}") for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    drawn = mixing.mix(df, shards=5, block_docs=8).select("doc_id", "source", F.explode("draws").alias("d")).select("doc_id", "source", "d.*").collect()
+    # each draw of a document (its pass) stands in one shard only, and every shard has part of every source's blocks
+    assert len({(r.doc_id, r["pass"]) for r in drawn}) == len(drawn) and {r.shard for r in drawn} == set(range(5))
+    per = {k: sum(r.shard == k for r in drawn) for k in range(5)}
+    assert max(per.values()) < 2 * min(per.values())
+    mixing.write_shards(mixing.mixed_rows(df, shards=5, block_docs=8), str(tmp_path / "mix"))
+    back = spark.read.parquet(str(tmp_path / "mix"))
+    assert back.count() == len(drawn) and sorted((r.doc_id, r.shard) for r in back.collect()) == sorted((r.doc_id, r.shard) for r in drawn)
+
+
 def test_splitting_tree_is_exact():
     draws = np.array([1000, 0, 7, 313])
     quota = mixing.split_tree(draws, 12, np.random.default_rng(0))
