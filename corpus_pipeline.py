@@ -3,7 +3,8 @@ removal, mixing to target weights, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``.  ``run`` writes each stage's result as
-Parquet in the shared folder and rereads it for the next.
+Parquet in the shared folder and rereads it for the next; what a later stage has
+read and written anew is deleted.
 
 Defined cases: those of the operators; rows without an id stand alone in the
 near-duplicate stage and stay; an empty table gives an empty result; further
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm import jaccard, langid, lines, mixing, packing
-from memspark.llm.common import WORD, saved
+from memspark.llm.common import WORD, discard, saved
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -71,6 +72,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = []
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
