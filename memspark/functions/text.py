@@ -11,6 +11,7 @@ NUMBER_WORDS = {
     "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10",
     "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14", "fifteen": "15", "sixteen": "16", "seventeen": "17", "eighteen": "18",
     "nineteen": "19", "twenty": "20", "thirty": "30", "forty": "40", "fifty": "50", "sixty": "60", "seventy": "70", "eighty": "80", "ninety": "90",
+    "hundred": "100", "thousand": "1000",
 }
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "sept")
 ARTICLES = ("a", "an", "the")
@@ -61,6 +62,16 @@ def parse_date(text: Column) -> Column:
     return F.when(found != "", found)
 
 
+def iso_date(text: Column) -> Column:
+    """The first yyyy/MM/dd in the text as yyyy-MM-dd, zeros if there is none."""
+    return F.coalesce(F.translate(parse_date(text), "/", "-"), F.lit("0000-00-00"))
+
+
+def estimate_tokens(text: Column) -> Column:
+    """A quarter of the characters; none for short texts, unlike ``count_tokens``."""
+    return F.floor(F.length(text) / 4).cast("int")
+
+
 def singular(t: Column) -> Column:
     plain = (F.length(t) <= 3) | ~t.endswith("s") | t.endswith("ss") | t.endswith("us") | t.endswith("is")
     sibilant = t.rlike("(ss|x|z|ch|sh)es$")
@@ -141,27 +152,37 @@ def set_items(gold: Column) -> Column:
     return F.when((F.size(items) >= 3) & ~long, items).otherwise(F.array().cast("array<string>"))
 
 
-def items_in_order(text_tokens: Column, items: Column) -> Column:
-    """Whether each item starts after the item before it; starts may lie inside that item."""
-    hay = padded(text_tokens)
+def spans_in_order(hay: Column, spans: Column) -> Column:
+    """Whether each padded span starts after the one before it; starts may lie inside that one."""
+
+    def step(at: Column, needle: Column) -> Column:
+        found = F.call_function("locate", needle, hay, at + 1)
+        return F.when((at < 0) | (F.trim(needle) == "") | (found == 0), -1).otherwise(found)
+
+    return F.aggregate(spans, F.lit(0), step) >= 0
+
+
+def answer_key(gold: Column, question: Column | None = None) -> Column:
+    """What ``has_answer`` needs of a gold: its alternatives and the items of an
+    enumeration, normalised, and whether the items must come in order.  It is
+    made once per gold, however many texts are tested against it."""
+    spans = lambda texts: F.transform(texts, lambda t: padded(normal_tokens(t)))
+    ordered = F.lit(False) if question is None else F.coalesce(question.rlike(ORDER_QUESTION), F.lit(False))
+    return F.struct(spans(gold_alternatives(gold)).alias("any"), spans(set_items(gold)).alias("all"), ordered.alias("ordered"))
 
-    def step(at: Column, item: Column) -> Column:
-        needle = normal_tokens(item)
-        found = F.call_function("locate", padded(needle), hay, at + 1)
-        return F.when((at < 0) | (F.size(needle) == 0) | (found == 0), -1).otherwise(found)
 
-    return F.aggregate(items, F.lit(0), step) >= 0
+def has_answer(tokens: Column, key: Column) -> Column:
+    """Whether a text's normal tokens hold the answer of an ``answer_key``."""
+    hay, nothing = padded(tokens), padded(F.array().cast("array<string>"))
+    within = lambda needle: (needle != nothing) & (F.instr(hay, needle) > 0)
+    together = F.when(key["ordered"], spans_in_order(hay, key["all"])).otherwise(F.forall(key["all"], within))
+    return F.exists(key["any"], within) | ((F.size(key["all"]) > 0) & together)
 
 
 def contains_answer(pred: Column, gold: Column, question: Column | None = None) -> Column:
     """Whether the prediction has any alternative of the gold, or all items of an
     enumeration - in their order, if the question asks for an order."""
-    p, items = normal_tokens(pred), set_items(gold)
-    some = F.exists(gold_alternatives(gold), lambda a: contains_span(p, normal_tokens(a)))
-    together = F.forall(items, lambda i: contains_span(p, normal_tokens(i)))
-    if question is not None:
-        together = F.when(F.coalesce(question.rlike(ORDER_QUESTION), F.lit(False)), items_in_order(p, items)).otherwise(together)
-    return some | ((F.size(items) > 0) & together)
+    return has_answer(normal_tokens(pred), answer_key(gold, question))
 
 
 def grade(pred: Column, gold: Column, is_abstention: Column, question: Column | None = None) -> Column:

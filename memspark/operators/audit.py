@@ -16,7 +16,13 @@ SPELLED = {
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 UNITS = {"$": "dollars", "%": "percent"}
-REFUSALS = ("I do not know; it was not mentioned.", "I cannot find that information.")
+REFUSALS = (
+    "I don't know -- that wasn't mentioned in the conversation.",
+    "I cannot find that information in the excerpts provided.",
+    "The conversation does not contain any mention of that.",
+    "I don't have enough information to determine that.",
+    "I'm sorry, but the excerpts provided do not contain information about that.",
+)
 # End of fixed values.
 FIRST_NUMBER = r"(?s)^([^0-9]*)([0-9]+)(.*)$"
 TRIES = 6
@@ -90,6 +96,19 @@ def report(audit_cases: DataFrame) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(v == e).alias("right"), F.count_if(v & ~e).alias("false_accepts"), F.count_if(~v & e).alias("false_rejects"))
 
 
+def rates(audit_cases: DataFrame) -> DataFrame:
+    """One row: cases, graded ones, accuracy, false-accept and false-reject rates, the latter
+    also of the rewrites (``hard_`` kinds) alone; a rate without cases is null."""
+    verdict = T.grade(F.col("pred"), F.col("gold"), F.col("kind").endswith("abstention"))
+    rows = audit_cases.withColumn("v", verdict)
+    v, e, hard = F.col("v"), F.col("expected"), F.col("kind").startswith("hard_")
+    share = lambda hit, of: F.round(F.avg(F.when(v.isNotNull() & of, hit.cast("int"))), 6)
+    return rows.agg(
+        F.count("*").alias("n_cases"), F.count("v").alias("n_graded"), share(v == e, F.lit(True)).alias("accuracy"), share(v, ~e).alias("false_accept_rate"),
+        share(~v, e).alias("false_reject_rate"), share(~v, e & hard).alias("false_reject_rate_hard"),
+    )
+
+
 def clamped_arms(predictions: DataFrame) -> DataFrame:
     """Arms whose prompts all have one non-zero length over more than five records."""
     per = predictions.groupBy("arm").agg(F.count("*").alias("n"), F.count_distinct("prompt_tokens").alias("lengths"), F.max("prompt_tokens").alias("length"))

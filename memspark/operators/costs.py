@@ -97,12 +97,19 @@ def dollars(model: Column, prompt: Column, completion: Column, prices: dict[str,
     return cost
 
 
-def extracted_store(memories: DataFrame) -> DataFrame:
+#: Memories that an external store returns at most.
+TOP_K = 50_000
+
+
+def extracted_store(memories: DataFrame, most: int = TOP_K) -> DataFrame:
     """units(question_id, unit_id, text, session_date, provenance) of memory versions
     (question_id, memory_id, batch, text, session_date, turn_index array): the last batch that
     touches a memory gives its text and date, its provenance is every turn of every batch;
-    blank memories are dropped; ids are given in memory order."""
+    blank memories are dropped; ids are given in memory order.  A question with ``most``
+    memories or more has met the limit of the store it came from: that is an error."""
     per = memories.groupBy("question_id", "memory_id").agg(F.max_by(F.struct("text", "session_date"), "batch").alias("last"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("turns")))).alias("provenance"))
     per = per.where(F.trim(F.coalesce("last.text", F.lit(""))) != "")
-    unit = (F.row_number().over(Window.partitionBy("question_id").orderBy("memory_id")) - 1).cast("int")
+    nth = F.row_number().over(Window.partitionBy("question_id").orderBy("memory_id"))
+    full = F.raise_error(F.concat(F.lit("a store has met its limit: "), F.col("question_id")))
+    unit = F.when(nth >= most, full.cast("int")).otherwise((nth - 1).cast("int"))
     return per.select("question_id", unit.alias("unit_id"), F.col("last.text").alias("text"), F.col("last.session_date").alias("session_date"), "provenance")

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Values that a bootstrap sends to every task.
+BROADCAST_ROWS = 1_000_000
 KS = (1, 3, 5, 10, 20)
 
 
@@ -89,11 +96,43 @@ def positions(df: DataFrame, *keys: str, bins: int = 1024) -> DataFrame:
 
 
 def resampled(rows: DataFrame, replicates: int, seed: int, values: list[str]) -> DataFrame:
-    """Means of the values in each replicate b: n draws by hash from rows(pos from 0, values)."""
-    n = rows.agg(F.count("*").alias("n"))
-    draws = rows.select("pos", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")).crossJoin(F.broadcast(n))
-    draws = draws.select("b", portable_index(F.concat_ws("|", F.lit(seed), "b", "pos"), F.col("n")).alias("pos"))
-    return draws.join(rows, "pos").groupBy("b").agg(*[F.avg(v).alias(v) for v in values])
+    """Means of the values in each replicate b: n draws by hash from rows(pos from 0, values).
+
+    While the rows number at most BROADCAST_ROWS, all their values are one array that
+    goes to every task and the replicates are made where they are summed: nothing but
+    the means is shuffled.  Beyond that draws and rows are joined.
+    """
+    spark = rows.sparkSession
+    n = rows.count()
+    tasks = max(1, min(replicates, 4 * spark.sparkContext.defaultParallelism))
+    if not n:
+        return rows.select(F.lit(0).alias("b"), *values).where(F.lit(False))
+    starts = spark.range(0, replicates, 1, tasks).select(F.col("id").cast("int").alias("b"))
+    if n > BROADCAST_ROWS:
+        places = starts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("at"))
+        draws = places.select("b", portable_index(F.concat_ws("|", F.lit(seed), "b", "at"), F.lit(n)).alias("pos"))
+        return draws.join(rows, "pos").groupBy("b").agg(*[F.avg(v).alias(v) for v in values])
+    found = rows.orderBy("pos").select(*[F.col(v).cast("double") for v in values]).toArrow()  # at most BROADCAST_ROWS numbers a column
+    shared = spark.sparkContext.broadcast([found[v].to_numpy() for v in values])
+    tail = [f"|{i}".encode() for i in range(n)]
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = shared.value
+        for batch in batches:
+            sums = []
+            for b in batch.column("b").to_pylist():
+                base = hashlib.md5(f"{seed}|{b}".encode())
+                raw = bytearray()
+                for t in tail:
+                    h = base.copy()
+                    h.update(t)
+                    raw += h.digest()[:4]
+                at = np.frombuffer(bytes(raw), ">u4").astype(np.int64) % n
+                sums.append([float(np.mean(c[at])) for c in columns])
+            cols = [pa.array(c, pa.float64(), from_pandas=True) for c in (zip(*sums, strict=True) if sums else [[] for _ in columns])]
+            yield pa.RecordBatch.from_arrays([batch.column("b"), *cols], names=["b", *values])
+
+    return starts.mapInArrow(means, ", ".join(["b int", *[f"{v} double" for v in values]]))
 
 
 def interval(stats: DataFrame, alpha: float, interpolate: bool = False) -> DataFrame:
@@ -124,8 +163,12 @@ def bootstrap_corrected(outcomes: DataFrame, replicates: int = 10_000, alpha: fl
 
 
 def order_statistics(df: DataFrame, value: str, *group: str) -> DataFrame:
-    """Count, mean, upper median, upper 90th percentile (index floor(0.9 n)) and maximum."""
+    """Count, mean, upper median, upper 90th percentile (index floor(0.9 n)) and maximum.
+
+    Only the histogram of the values is sorted: a row per distinct value and group."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("c"))
     by = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
-    ranked = df.withColumns({"r": F.row_number().over(by.orderBy(value)) - 1, "n": F.count("*").over(by)})
-    at = lambda q: F.max(F.when(F.col("r") == F.floor(F.lit(q) * F.col("n")), F.col(value)))
-    return ranked.groupBy(*group).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), at(0.5).alias("median"), at(0.9).alias("p90"), F.max(value).alias("max"))
+    upto = counts.withColumns({"upto": F.sum("c").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "of": F.sum("c").over(by)})
+    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.lit(q) * F.col("of")), F.col(value)))
+    mean = F.sum(F.col(value) * F.col("c")) / F.sum("c")
+    return upto.groupBy(*group).agg(F.sum("c").alias("n"), F.round(mean, 6).alias("mean"), at(0.5).alias("median"), at(0.9).alias("p90"), F.max(value).alias("max"))

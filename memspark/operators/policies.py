@@ -27,6 +27,21 @@ class Policy:
     granularity: str = "turn"
 
 
+    @property
+    def name(self) -> str:
+        """The name that results carry: kind, percentage, and the seed of a random one."""
+        if self.kind == "verbatim":
+            return f"verbatim_{self.granularity}"
+        return f"{self.kind}_{self.fraction:.0%}".replace("%", "pct") + (f"_s{self.seed}" if self.kind == "truncated_random" else "")
+
+    def config(self) -> dict[str, object]:
+        """What a result must tell of its policy."""
+        if self.kind == "verbatim":
+            return {"policy": "verbatim", "granularity": self.granularity}
+        rule = {"rule": self.kind.removeprefix("truncated_"), "seed": self.seed} if self.kind.startswith("truncated") else {}
+        return {"policy": "truncated_verbatim" if rule else self.kind, "fraction": self.fraction, "granularity": self.granularity} | rule
+
+
 def parse(spec: str) -> Policy:
     m = SPEC.fullmatch(spec)
     if not m:
@@ -42,14 +57,22 @@ def parse(spec: str) -> Policy:
 def fill(rows: DataFrame, fraction: float, *order: Column | str) -> DataFrame:
     """Rows (question_id, item, tokens) taken greedily in order while they fit; one that
     does not fit is passed over and the scan goes on.  The budget is ``fraction`` of
-    ``total``, the question's tokens.  Items of one question are one fold."""
-    ranked = rows.withColumn("ord", F.row_number().over(Window.partitionBy("question_id").orderBy(*order)))
-    packed = ranked.groupBy("question_id").agg((F.first("total") * F.lit(float(fraction))).alias("budget"), F.array_sort(F.collect_list(F.struct("ord", "tokens"))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
-    fits = lambda acc, x: acc["used"] + x["tokens"] <= F.col("budget")
+    ``total``, the question's tokens.  All items before the first that does not fit are
+    taken by their running sum; only those after it that fit what is left are folded."""
+    by = Window.partitionBy("question_id").orderBy(*order)
+    upto = F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = rows.withColumns({"ord": F.row_number().over(by), "upto": upto, "budget": F.col("total") * F.lit(float(fraction))})
+    sure = F.col("upto") <= F.col("budget")
+    packed = ranked.groupBy("question_id").agg(
+        F.first("budget").alias("limit"), F.coalesce(F.max(F.when(sure, F.col("upto"))), F.lit(0)).cast("long").alias("used"),
+        F.array_sort(F.collect_list(F.when(~sure & (F.col("tokens") <= F.col("budget")), F.struct("ord", "tokens")))).alias("items"),
+    )
+    left = F.filter("items", lambda x: F.col("used") + x["tokens"] <= F.col("limit"))
+    start = F.struct(F.col("used").alias("used"), F.array().cast("array<int>").alias("kept"))
+    fits = lambda acc, x: acc["used"] + x["tokens"] <= F.col("limit")
     step = lambda acc, x: F.when(fits(acc, x), F.struct((acc["used"] + x["tokens"]).alias("used"), F.concat(acc["kept"], F.array(x["ord"])).alias("kept"))).otherwise(acc)
-    kept = packed.select("question_id", F.explode(F.aggregate("items", start, step)["kept"]).alias("ord"))
-    return ranked.join(kept, ["question_id", "ord"]).drop("ord")
+    more = packed.select("question_id", F.aggregate(left, start, step)["kept"].alias("more"))
+    return ranked.join(more, "question_id").where(sure | F.array_contains("more", F.col("ord"))).drop("ord", "upto", "budget", "more")
 
 
 def costed(units: DataFrame) -> DataFrame:

@@ -48,6 +48,56 @@ def paired_mrr(per_question: DataFrame, base: str, arm: str, replicates: int = 1
     return metrics.bootstrap_mean(diffs.select("pos", "value"), replicates, interpolate=True)
 
 
+def paired_arms(arms: DataFrame, baseline: str, replicates: int = 10_000, *group: str) -> DataFrame:
+    """(group..., arm, n, difference, lo, hi, p) of every other arm against ``baseline`` on the
+    questions that both have graded.
+
+    arms(group..., arm, question_id, correct).  One driver step per pair of arms: they are
+    systems, not rows."""
+    graded = arms.where(F.col("correct").isNotNull())
+    base = graded.where(F.col("arm") == baseline).select(*group, "question_id", F.col("correct").alias("control"))
+    pairs = graded.where(F.col("arm") != baseline).withColumnRenamed("correct", "system").join(base, [*group, "question_id"])
+    keys = [*group, "arm"]
+    table = metrics.contingency(pairs, *keys).select(*keys, "n", F.round((F.col("system_only") - F.col("control_only")) / F.col("n"), 6).alias("difference"), F.round(metrics.mcnemar(F.col("system_only"), F.col("control_only")), 9).alias("p"))
+    diffs = pairs.select(*keys, "question_id", (F.col("system").cast("int") - F.col("control").cast("int")).cast("double").alias("value"))
+    bounds = None
+    for key in table.select(*keys).distinct().collect():
+        mine = diffs
+        for k in keys:
+            mine = mine.where(F.col(k) == key[k])
+        part = metrics.bootstrap_mean(metrics.positions(mine, "question_id").select("pos", "value"), replicates).select(*[F.lit(key[k]).alias(k) for k in keys], "lo", "hi")
+        bounds = part if bounds is None else bounds.unionByName(part)
+    if bounds is None:
+        return table.withColumns({"lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")})
+    return table.join(F.broadcast(bounds), keys)
+
+
+def lift_by_type(graded: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(system_arm, question_type, n, system_accuracy, control_accuracy, lift) of systems against the
+    controls of ``strongest_control``; graded also has question_type, which may be null ('?')."""
+    g = graded.where(F.col("correct").isNotNull())
+    pick = F.broadcast(chosen.select("system_arm", "control_arm"))
+    s = g.select(F.col("arm").alias("system_arm"), "question_id", F.coalesce("question_type", F.lit("?")).alias("question_type"), F.col("correct").alias("system")).join(pick, "system_arm")
+    c = g.select(F.col("arm").alias("control_arm"), "question_id", F.col("correct").alias("control"))
+    mean = lambda x: F.avg(F.col(x).cast("int"))
+    return s.join(c, ["control_arm", "question_id"]).groupBy("system_arm", "question_type").agg(
+        F.count("*").alias("n"), F.round(mean("system"), 6).alias("system_accuracy"), F.round(mean("control"), 6).alias("control_accuracy"), F.round(mean("system") - mean("control"), 6).alias("lift"),
+    )
+
+
+def lift_intervals(graded: DataFrame, chosen: DataFrame, replicates: int = 10_000) -> DataFrame:
+    """``chosen`` (of ``strongest_control``) with the bootstrap interval of the lift, and whether
+    it is significant: p under 0.05 and an interval above zero."""
+    out = None
+    for r in chosen.select("system_arm", "control_arm").collect():  # a row per system
+        pair = graded.where(F.col("arm").isin(r.system_arm, r.control_arm))
+        part = paired_arms(pair, r.control_arm, replicates).select(F.col("arm").alias("system_arm"), F.col("lo").alias("ci_lo"), F.col("hi").alias("ci_hi"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return chosen.withColumns({"ci_lo": F.lit(None).cast("double"), "ci_hi": F.lit(None).cast("double"), "significant": F.lit(False)})
+    return chosen.join(out, "system_arm").withColumn("significant", (F.col("p") < 0.05) & (F.col("ci_lo") > 0))
+
+
 def strongest_control(graded: DataFrame) -> DataFrame:
     """Each system against its strongest control on the questions both have graded.
 

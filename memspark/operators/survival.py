@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from memspark.functions import text as T
 from memspark.operators import metrics
 
-SPAN_TYPES = ("single-session-user", "multi-session", "knowledge-update")
+# Question types whose answers are spans of text.
+SPAN_TYPES = ("single-session-user", "single-session-assistant", "knowledge-update")
+# End of fixed values.
+#: Placebos per question.
+PLACEBOS = 10
 
 
 def routed(questions: DataFrame) -> DataFrame:
@@ -32,8 +36,9 @@ def joined(texts: Column, order: str) -> Column:
 def locations(turns: DataFrame, questions: DataFrame) -> DataFrame:
     """Per scored question: gold in one evidence turn, in all of them together, in any turn, only outside the evidence."""
     q = routed(questions).where("scored").select("question_id", "question_type", "question", "gold", "bucket", "numeral")
-    hit = T.contains_answer(F.col("content"), F.col("gold"), F.col("question"))
-    per = turns.join(q, "question_id").withColumn("hit", hit).groupBy("question_id", "question_type", "question", "gold", "bucket", "numeral").agg(
+    keys = q.withColumn("key", T.answer_key(F.col("gold"), F.col("question"))).select("question_id", "key")
+    hit = T.has_answer(T.normal_tokens(F.col("content")), F.col("key"))
+    per = turns.join(q.join(keys, "question_id"), "question_id").withColumn("hit", hit).groupBy("question_id", "question_type", "question", "gold", "bucket", "numeral").agg(
         F.coalesce(F.bool_or(F.when(F.col("has_answer"), F.col("hit"))), F.lit(False)).alias("in_evidence"), F.bool_or("hit").alias("in_haystack"),
         joined(F.when(F.col("has_answer"), F.col("content")), "turn_index").alias("text"),
     )
@@ -58,7 +63,16 @@ def fates(rows: DataFrame) -> DataFrame:
     )
 
 
-def placebos(questions: DataFrame, m: int) -> DataFrame:
+def exclusions(questions: DataFrame) -> DataFrame:
+    """One row: questions, abstentions, those left out as too long or because the gold abstains, scored ones."""
+    asked = ~F.col("is_abstention")
+    return routed(questions).agg(
+        F.count("*").alias("n"), F.count_if("is_abstention").alias("n_abstention"), F.count_if(asked & ~F.col("extractive")).alias("n_not_extractive"),
+        F.count_if(asked & F.col("extractive") & F.col("gold_abstains")).alias("n_gold_abstains"), F.count_if("scored").alias("n_scored"), F.count_if("eligible").alias("n_eligible"),
+    )
+
+
+def placebos(questions: DataFrame, m: int = PLACEBOS) -> DataFrame:
     """(question_id, nth, placebo): up to m golds of other questions of the same type and
     length bucket - of the same type if there are none - that differ from the question's own.
 
@@ -82,31 +96,58 @@ def placebos(questions: DataFrame, m: int) -> DataFrame:
     return rows.select("question_id", F.posexplode(chosen).alias("nth", "placebo"))
 
 
-def score(units: DataFrame, questions: DataFrame, m: int) -> DataFrame:
-    """One row per question with units: record (in one unit), soft (its tokens in one unit),
-    union_hit (in all units together), the same of m placebos as floors, sizes."""
-    tokens = T.normal_tokens(F.col("text"))
-    store = units.select("question_id", "unit_id", tokens.alias("t"), T.count_tokens(F.col("text")).cast("long").alias("tokens"))
-    q = questions.select("question_id", "question_type", T.normal_tokens(F.col("gold")).alias("g"))
-    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("unit_id", "t"))), lambda x: x["t"]))
-    own = store.join(q, "question_id").groupBy("question_id", "question_type", "g").agg(
-        F.bool_or(T.contains_span(F.col("t"), F.col("g"))).alias("record"), F.bool_or(T.covers(F.col("t"), F.col("g"))).alias("soft"), whole.alias("w"), F.count("*").alias("n_records"), F.sum("tokens").alias("store_tokens"),
+def score(units: DataFrame, questions: DataFrame, m: int = PLACEBOS) -> DataFrame:
+    """One row per question with units: record (the answer in one unit), soft (its tokens in
+    one unit), union_hit (the answer in all units together), the same of m placebos as floors
+    (0 if there are none), sizes.  Texts are normalised once for the gold and its placebos."""
+    golds = questions.select("question_id", "question_type", "question", F.lit(-1).alias("nth"), F.col("gold").alias("answer"))
+    if m:
+        golds = golds.unionByName(placebos(questions, m).join(questions.select("question_id", "question_type", "question"), "question_id").select("question_id", "question_type", "question", "nth", F.col("placebo").alias("answer")))
+    asked = golds.select("question_id", "question_type", F.struct("nth", T.normal_tokens(F.col("answer")).alias("g"), T.answer_key(F.col("answer"), F.col("question")).alias("key")).alias("a"))
+    # a question's gold and placebos stand in one row, at most m + 1 of them
+    asked = asked.groupBy("question_id", "question_type").agg(F.array_sort(F.collect_list("a")).alias("asked"))
+    store = units.select("question_id", "unit_id", T.normal_tokens(F.col("text")).alias("t"), T.count_tokens(F.col("text")).cast("long").alias("tokens"))
+    per = store.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("unit_id", "t"))).alias("units"), F.count("*").alias("n_records"), F.sum("tokens").alias("store_tokens"))
+    per = per.join(asked, "question_id")
+    whole = F.flatten(F.transform("units", lambda u: u["t"]))
+    found = lambda a: F.struct(
+        F.exists("units", lambda u: T.has_answer(u["t"], a["key"])).alias("record"), F.exists("units", lambda u: T.covers(u["t"], a["g"])).alias("soft"), T.has_answer(whole, a["key"]).alias("union_hit"),
+    )
+    per = per.withColumn("found", F.transform("asked", found)).withColumn("g", F.element_at("asked", 1)["g"])
+    floors = F.slice("found", 2, m) if m else F.slice("found", 1, 0)
+    floor = lambda c: F.when(F.size(floors) > 0, F.aggregate(floors, F.lit(0.0), lambda s, x: s + x[c].cast("double")) / F.size(floors)).otherwise(0.0)
+    own = F.element_at("found", 1)
+    return per.select(
+        "question_id", "question_type", T.length_bucket(F.col("g")).alias("bucket"), (F.size("g") >= T.PRIMARY_TOKENS).alias("in_primary"), own["record"].alias("record"), own["soft"].alias("soft"), own["union_hit"].alias("union_hit"),
+        "n_records", "store_tokens", floor("record").alias("null_record"), floor("soft").alias("null_soft"), floor("union_hit").alias("null_union"),
     )
-    own = own.select("question_id", "question_type", T.length_bucket(F.col("g")).alias("bucket"), (F.size("g") >= T.PRIMARY_TOKENS).alias("in_primary"), "record", "soft", T.contains_span(F.col("w"), F.col("g")).alias("union_hit"), "n_records", "store_tokens")
-    if not m:
-        return own.withColumns({"null_record": F.lit(0.0), "null_soft": F.lit(0.0)})
-    p = placebos(questions, m).select("question_id", "nth", T.normal_tokens(F.col("placebo")).alias("p"))
-    found = store.join(p, "question_id").groupBy("question_id", "nth").agg(F.bool_or(T.contains_span(F.col("t"), F.col("p"))).alias("record"), F.bool_or(T.covers(F.col("t"), F.col("p"))).alias("soft"))
-    floor = found.groupBy("question_id").agg(F.avg(F.col("record").cast("double")).alias("null_record"), F.avg(F.col("soft").cast("double")).alias("null_soft"))
-    return own.join(floor, "question_id", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("null_record", "null_soft")})
 
 
 def groups(rows: DataFrame) -> DataFrame:
     """Survival and its floor for all, by bucket and by type of the primary questions, with store sizes."""
     part = lambda df, group, key: df.groupBy(key).agg(
-        F.count("*").alias("n"), *[F.round(F.avg(F.col(c).cast("double")), 6).alias(c) for c in ("record", "soft", "union_hit", "null_record", "null_soft", "n_records", "store_tokens")],
+        F.count("*").alias("n"), *[F.round(F.avg(F.col(c).cast("double")), 6).alias(c) for c in ("record", "soft", "union_hit", "null_record", "null_soft", "null_union", "n_records", "store_tokens")],
         F.round(metrics.chance_corrected(F.avg(F.col("record").cast("double")), F.avg("null_record")), 6).alias("corrected"),
     ).withColumn("by", F.lit(group))
     primary = rows.where("in_primary")
     out = part(rows, "all", F.lit("all").alias("value")).unionByName(part(primary, "primary", F.lit("all").alias("value")))
     return out.unionByName(part(rows, "bucket", F.col("bucket").alias("value"))).unionByName(part(primary, "type", F.col("question_type").alias("value")))
+
+
+def summary(rows: DataFrame, *group: str) -> DataFrame:
+    """Survival with its Wilson interval, the measured floor and the corrected value, by group."""
+    per = rows.groupBy(*group).agg(F.count("*").alias("n"), F.count_if("record").alias("record"), F.avg("null_record").alias("floor"))
+    lo, hi = metrics.wilson(F.col("record"), F.col("n"))
+    corrected = metrics.chance_corrected(F.col("record") / F.col("n"), F.col("floor"))
+    return per.select(*group, "n", "record", *[F.round(c, 6).alias(a) for c, a in ((lo, "lo"), (hi, "hi"), (F.col("floor"), "floor"), (corrected, "corrected"))])
+
+
+def store_table(scored: DataFrame) -> DataFrame:
+    """Stores by their mean tokens, the largest first: scored(store, ...) holds the rows of ``score`` of several stores."""
+    primary = F.col("in_primary")
+    mean = lambda c, of=F.lit(True): F.avg(F.when(of, F.col(c).cast("double")))
+    rows = scored.groupBy("store").agg(
+        mean("store_tokens").alias("tokens"), mean("n_records").alias("records"), F.count_if(primary).alias("n"), mean("record", primary).alias("survival"), mean("null_record", primary).alias("floor"),
+    )
+    place = F.row_number().over(Window.orderBy(F.col("tokens").desc(), "store"))
+    return rows.select(place.alias("place"), "store", "n", *[F.round(c, 6).alias(c) for c in ("tokens", "records", "survival", "floor")], F.round(metrics.chance_corrected(F.col("survival"), F.col("floor")), 6).alias("corrected"))

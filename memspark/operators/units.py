@@ -51,7 +51,11 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int = 0) ->
     if n <= 0:
         return df
     draw = F.md5(F.concat_ws("|", F.lit(seed), F.col(key)).cast("binary"))
-    share = F.count("*").over(Window.partitionBy(stratum)) * F.lit(float(n)) / F.count("*").over(Window.partitionBy())
-    ranked = df.withColumn("draw", draw).withColumn("quota", F.greatest(F.lit(1.0), F.bround(share, 0)))
-    ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy(stratum).orderBy("draw")))
-    return ranked.where("nth <= quota").orderBy("draw").limit(n).drop("draw", "quota", "nth")
+    sizes = df.groupBy(F.col(stratum).alias("stratum_of")).agg(F.count("*").alias("size"))
+    share = F.col("size") * F.lit(float(n)) / F.col("total")
+    quotas = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("size").alias("total")))).select("stratum_of", F.greatest(F.lit(1.0), F.bround(share, 0)).alias("quota"))
+    nth = F.row_number().over(Window.partitionBy(stratum).orderBy("draw"))
+    # no quota exceeds n, and a limit by a constant cuts each task's rows before they move
+    first = df.withColumn("draw", draw).withColumn("nth", nth).where(F.col("nth") <= n)
+    ranked = first.join(quotas, F.col(stratum).eqNullSafe(F.col("stratum_of")))
+    return ranked.where("nth <= quota").orderBy("draw").limit(n).select(*df.columns)

@@ -2,14 +2,49 @@
 
 from __future__ import annotations
 
-from memspark.functions.text import ABBREVIATION, ALSO_ACCEPTABLE, ARTICLES, GOLD_ABSTAINS, MONTHS, NUMBER_WORDS, ORDER_QUESTION, PUNCTUATION, REFUSAL
-from memspark.operators.audit import MONTHS as AUDIT_MONTHS
-from memspark.operators.audit import REFUSALS as AUDIT_REFUSALS
-from memspark.operators.audit import SPELLED, WEEKDAYS
-from memspark.operators.audit import UNITS as UNIT_WORDS
 from memspark.sources.fixtures import TURNS_SQL
 
 
+# Fixed values, spelt out here apart from the code that they check.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+NUMBERS = (
+    "MAP {'zero': '0', 'one': '1', 'two': '2', 'three': '3', 'four': '4', 'five': '5', 'six': '6', 'seven': '7', 'eight': '8', 'nine': '9', 'ten': '10', "
+    "'eleven': '11', 'twelve': '12', 'thirteen': '13', 'fourteen': '14', 'fifteen': '15', 'sixteen': '16', 'seventeen': '17', 'eighteen': '18', 'nineteen': '19', "
+    "'twenty': '20', 'thirty': '30', 'forty': '40', 'fifty': '50', 'sixty': '60', 'seventy': '70', 'eighty': '80', 'ninety': '90', 'hundred': '100', 'thousand': '1000'}"
+)
+IN_MONTHS = "('january', 'february', 'march', 'april', 'may', 'june', 'july', 'august', 'september', 'october', 'november', 'december', 'sept')"
+IN_ARTICLES = "('', 'a', 'an', 'the')"
+REFUSAL = (
+    r"(?i)\bdo(n't| not)\s+know\b|\b(can't|cannot|unable to)\s+(find|determine|tell|answer|recall)\b|\bno\s+(information|mention|record|reference|details?)\b"
+    r"|\bnot\s+(mentioned|specified|provided|discussed|stated|available|included)\b|\bis(n't| not)\s+(mentioned|specified|provided|discussed|stated)\b"
+    r"|\bdo(es)?(n't| not)\s+(contain|mention|specify|say|include)\b|\bwas(n't| not)\s+(mentioned|discussed|specified)\b|\bnever\s+(mentioned|discussed|stated)\b"
+    r"|\bno\s+such\s+\w+\b|\binsufficient\s+(information|context|detail)\b|\bdo(n't| not)\s+have\s+(enough|sufficient|any|access)\b"
+    r"|\b(not|isn't|is not)\s+enough\s+(information|context|detail)\b|\bno\s+way\s+to\s+(know|tell|determine)\b"
+)
+GOLD_ABSTAINS = r"(?i)\b(information provided is not enough|not enough information|did(n't| not) mention|was not mentioned|cannot be answered|no information (about|on|regarding))\b"
+ALSO_ACCEPTABLE = r"(?i)\s*(is|are|would be)?\s*(also\s+)?acceptable(\s+too)?\s*\.?"
+#: RE2 takes only ASCII letters for word characters; this bound takes all.
+ABBREVIATION = r"(?i)(^|[^\pL\pN_])(dr|mr|mrs|ms|messrs|prof|rev|hon|sgt|capt|lt|col|gen|st|jr|sr|mt|no|vs|approx|etc|inc|ltd|co|corp|dept|est|avg|fig|vol|pp)\."
+ORDER_QUESTION = r"(?i)\b(order|sequence|chronological|earliest|latest)\b"
+SPELLED = {
+    "1": "one", "2": "two", "3": "three", "4": "four", "5": "five", "6": "six", "7": "seven", "8": "eight", "9": "nine", "10": "ten",
+    "11": "eleven", "12": "twelve", "15": "fifteen", "20": "twenty", "30": "thirty", "40": "forty", "50": "fifty", "100": "hundred",
+}
+AUDIT_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+UNIT_WORDS = {"$": "dollars", "%": "percent"}
+AUDIT_REFUSALS = (
+    "I don't know -- that wasn't mentioned in the conversation.", "I cannot find that information in the excerpts provided.", "The conversation does not contain any mention of that.",
+    "I don't have enough information to determine that.", "I'm sorry, but the excerpts provided do not contain information about that.",
+)
+ANSWER = (
+    "Here are excerpts from earlier conversations with the user, most relevant first.\n\n{context}\n\nToday's date is {date}.\n\n"
+    "Using only the excerpts above, answer the user's question. If the excerpts do not contain the answer, say you don't know.\n\nQuestion: {question}\nAnswer concisely."
+)
+CLOSED_BOOK = "Today's date is {date}.\n\nAnswer the user's question. If you do not know the answer, say you don't know.\n\nQuestion: {question}\nAnswer concisely."
+# End of fixed values.
+
+
 def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -23,10 +58,6 @@ def count(c: str) -> str:
 
 
 DATE = r"nullif(regexp_extract(session_date, '\d{4}/\d{2}/\d{2}'), '')"
-NUMBERS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in NUMBER_WORDS.items()) + "}"
-IN_MONTHS = "(" + ", ".join(f"'{m}'" for m in MONTHS) + ")"
-IN_ARTICLES = "('', " + ", ".join(f"'{a}'" for a in ARTICLES) + ")"
-
 
 def normal(c: str) -> str:
     parts = f"string_split_regex(translate(lower({c}), {quoted(PUNCTUATION)}, '{' ' * len(PUNCTUATION)}'), '\\s+')"
@@ -46,8 +77,9 @@ def contains(t: str, g: str) -> str:
 TURNS = f"turns AS ({TURNS_SQL})"
 UNITS = f"{TURNS}, units AS (SELECT question_id, turn_index AS unit_id, role || ': ' || content AS text, session_id, session_date, session_index, has_answer AS is_evidence FROM turns)"
 WORDS = r"list_filter(string_split_regex(content, '\s+'), lambda w: w <> '')"
-QUESTIONS = f"""questions AS (SELECT question_id, array_to_string({WORDS}[1:8], ' ') AS question, array_to_string({WORDS}[4:6], ' ') AS gold,
-    ['knowledge-update', 'multi-session', 'temporal-reasoning'][regexp_extract(question_id, '\\d+')::INT % 3 + 1] AS question_type FROM turns WHERE has_answer)"""
+QUESTIONS = f"""questions AS (SELECT question_id, array_to_string({WORDS}[1:8], ' ') AS question,
+    CASE WHEN regexp_extract(question_id, '\\d+')::INT % 4 = 1 THEN 'exactly ' || regexp_extract(question_id, '\\d+')::INT || ' days later' ELSE array_to_string({WORDS}[4:6], ' ') END AS gold,
+    ['knowledge-update', 'single-session-assistant', 'temporal-reasoning'][regexp_extract(question_id, '\\d+')::INT % 3 + 1] AS question_type FROM turns WHERE has_answer)"""
 UNIT_COLS = "question_id, unit_id, text, session_id, session_date, session_index, is_evidence"
 
 
@@ -93,15 +125,21 @@ QBM25 = f"""
               LEFT JOIN found f ON f.question_id = u.question_id AND f.unit_id = u.unit_id),
     qhits AS (SELECT query_id, unit_id, rank, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) - 1)::INT AS rank FROM every) r WHERE rank < 100)"""
 
-PRED = f"{TURNS}, {QUESTIONS}, pred AS (SELECT t.question_id, turn_index, content AS pred, gold, {normal('content')} AS p, {normal('gold')} AS g FROM turns t JOIN questions q ON t.question_id = q.question_id)"
-
+#: Cosines of token counts in 64 md5 buckets, within each question.
+QDENSE = f"""
+    bucket AS (SELECT question_id, unit_id, ('0x' || substr(md5(term), 1, 4))::INT % 64 AS b, count(*) AS c FROM (SELECT question_id, unit_id, unnest({tokens('text')}) AS term FROM units) x GROUP BY ALL),
+    asked_b AS (SELECT question_id, ('0x' || substr(md5(term), 1, 4))::INT % 64 AS b, count(*) AS c FROM (SELECT question_id, unnest({tokens('question')}) AS term FROM questions) x GROUP BY ALL),
+    cosine AS (SELECT u.question_id, u.unit_id, sum(u.c * a.c) / (any_value(un.z) * any_value(an.z)) AS score FROM bucket u JOIN asked_b a ON a.question_id = u.question_id AND a.b = u.b
+               JOIN (SELECT question_id, unit_id, sqrt(sum(c * c)) AS z FROM bucket GROUP BY ALL) un ON un.question_id = u.question_id AND un.unit_id = u.unit_id
+               JOIN (SELECT question_id, sqrt(sum(c * c)) AS z FROM asked_b GROUP BY ALL) an ON an.question_id = u.question_id GROUP BY ALL),
+    dhits AS (SELECT query_id, unit_id, rank, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) - 1)::INT AS rank FROM (
+              SELECT u.question_id AS query_id, u.unit_id, round(coalesce(c.score, 0), 6) AS score FROM units u SEMI JOIN questions USING (question_id) LEFT JOIN cosine c ON c.question_id = u.question_id AND c.unit_id = u.unit_id) e) r WHERE rank < 100)"""
 
-#: RE2 takes only ASCII letters for word characters; this bound takes all.
-BOUND, LETTERLESS = r"\b(", r"(^|[^\pL\pN_])("
+PRED = f"{TURNS}, {QUESTIONS}, pred AS (SELECT t.question_id, turn_index, content AS pred, gold, {normal('content')} AS p, {normal('gold')} AS g FROM turns t JOIN questions q ON t.question_id = q.question_id)"
 
 
 def alternatives(c: str) -> str:
-    text = f"regexp_replace(regexp_replace({c}, {quoted(ALSO_ACCEPTABLE)}, '', 'g'), {quoted(ABBREVIATION.replace(BOUND, LETTERLESS))}, '\\1\\2' || chr(57344), 'g')"
+    text = f"regexp_replace(regexp_replace({c}, {quoted(ALSO_ACCEPTABLE)}, '', 'g'), {quoted(ABBREVIATION)}, '\\1\\2' || chr(57344), 'g')"
     parts = f"flatten(list_transform(string_split_regex({text}, '[.;]\\s+'), lambda s: string_split_regex(replace(s, chr(57344), '.'), '\\s+\\bor\\b\\s+')))"
     clean = f"list_filter(list_transform({parts}, lambda s: regexp_replace(regexp_replace(s, '^\\s+|\\s+$', '', 'g'), '^[.;,]+|[.;,]+$', '', 'g')), lambda s: s <> '')"
     bare = "trim(regexp_replace(s, '\\([^)]*\\)', ' ', 'g'))"
@@ -148,7 +186,7 @@ AUDIT = f"""abst AS (SELECT question_id, 'The information provided is not enough
     UNION ALL SELECT question_id, 'hard_plural', gold, {PLURAL}, true FROM aq
     UNION ALL SELECT question_id, CASE WHEN {ORDERED} THEN 'reordered_ordered_list' ELSE 'hard_list_reorder' END, gold, {ROTATED}, NOT {ORDERED} FROM aq
     UNION ALL SELECT question_id, 'perturbed_number', gold, {HEAD} || (try_cast({FIGURE} AS BIGINT) + CASE WHEN length({FIGURE}) <= 3 THEN 7 ELSE 111 END) || {REST}, false FROM aq WHERE length({FIGURE}) <= 9
-    UNION ALL SELECT question_id, 'refusal_to_answerable', gold, [{", ".join(quoted(r) for r in AUDIT_REFUSALS)}][('0x' || substr(md5(question_id), 1, 4))::INT % 2 + 1], false FROM aq
+    UNION ALL SELECT question_id, 'refusal_to_answerable', gold, [{", ".join(quoted(r) for r in AUDIT_REFUSALS)}][('0x' || substr(md5(question_id), 1, 4))::INT % 5 + 1], false FROM aq
     UNION ALL SELECT question_id, 'empty', gold, '', false FROM aq),
     ring AS (SELECT question_type AS rt, gold AS pred, row_number() OVER (PARTITION BY question_type ORDER BY md5(question_id)) AS rr FROM aq),
     tried AS (SELECT question_id, gold, i, pred FROM (SELECT question_id, question_type, gold, row_number() OVER (PARTITION BY question_type ORDER BY md5(question_id)) AS r FROM aq) a, range(1, 7) t(i), ring WHERE rt = question_type AND rr = r + i),
@@ -190,10 +228,6 @@ def truncated(order: str) -> str:
 ARMS = "arms AS (SELECT l.doc_id, lang, quality = 1 AS system, n_chars > 1000 AS control FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
 CONT = f"""{ARMS}, cont AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE system AND control) AS "both", count(*) FILTER (WHERE system AND NOT control) AS system_only,
     count(*) FILTER (WHERE NOT system AND control) AS control_only, count(*) FILTER (WHERE NOT system AND NOT control) AS neither FROM arms WHERE system IS NOT NULL AND control IS NOT NULL GROUP BY lang)"""
-SURVIVAL = f"""{UNITS}, {QUESTIONS}, st AS (SELECT u.question_id, unit_id, question_type, {normal('text')} AS t, {normal('gold')} AS g FROM units u JOIN questions q ON u.question_id = q.question_id),
-    surv AS (SELECT question_id, question_type, CASE WHEN len(any_value(g)) <= 1 THEN '1' WHEN len(any_value(g)) <= 3 THEN '2-3' ELSE '4+' END AS gold_len_bucket,
-        bool_or({contains('t', 'g')}) AS record, bool_or(len(g) > 0 AND len(list_filter(g, lambda x: NOT list_contains(t, x))) = 0) AS soft,
-        {contains('flatten(list(t ORDER BY unit_id))', 'any_value(g)')} AS union_hit, count(*) AS n_records FROM st GROUP BY question_id, question_type)"""
 LEDGER = """ledger AS (SELECT user_id, CASE WHEN event_type = 'purchase' THEN 'write' ELSE 'read' END AS phase, count(*) AS calls, sum(length(coalesce(props, '')))::BIGINT AS tokens FROM events GROUP BY ALL)"""
 METRIC_COLS = ", ".join(
     [f"round(avg(len(list_filter(ranks, lambda r: r < {k})) / n_evidence) FILTER (WHERE n_evidence > 0), 6) AS recall_{k}" for k in (1, 3, 5, 10, 20)]
@@ -232,22 +266,21 @@ SQL: dict[str, str] = {
     "rrf_fuse": f"WITH {UNITS} " + fused([(ORACLE_ALL, 1.0), (RECENT_ALL, 1.0)]),
     "rrf_weighted": f"WITH {UNITS} " + fused([(ORACLE_ALL, 1.0), (RECENT_ALL, 0.25)]),
     "rrf_zero_weight": f"WITH {UNITS} " + fused([(ORACLE_ALL, 1.0)]),
-    "hybrid_topk": f"WITH {UNITS}, {QUESTIONS}, {QBM25} " + fused([("SELECT * FROM qhits", 1.0), (f"SELECT x.* FROM ({RECENT_ALL}) x SEMI JOIN questions ON questions.question_id = x.query_id", 0.5)]),
+    "question_dense_topk": f"WITH {UNITS}, {QUESTIONS}, {QDENSE} SELECT * FROM dhits WHERE rank < 10",
+    "hybrid_topk": f"WITH {UNITS}, {QUESTIONS}, {QBM25}, {QDENSE} " + fused([("SELECT * FROM qhits", 1.0), ("SELECT * FROM dhits", 1.0), (f"SELECT x.* FROM ({RECENT_ALL}) x SEMI JOIN questions ON questions.question_id = x.query_id", 0.5)]),
     "normalize_tokens": f"""SELECT conv_id, turn, array_to_string({normal("coalesce(text, '')")}, ' ') AS tokens FROM conversations""",
     "is_refusal": f"SELECT conv_id, turn, regexp_matches(coalesce(text, ''), {quoted(REFUSAL)}) AS refusal FROM conversations",
     "grade": f"WITH {PRED} SELECT question_id, turn_index, {graded('p', 'pred')} AS correct FROM pred",
     "token_f1": f"""WITH {PRED}, c AS (SELECT *, list_sum(list_transform(list_distinct(g), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda x: x = t))))) AS common FROM pred)
         SELECT question_id, turn_index, round(CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1 WHEN len(p) = 0 OR len(g) = 0 THEN 0 ELSE 2.0::DOUBLE * coalesce(common, 0) / (len(p) + len(g)) END, 6) AS f1 FROM c""",
-    "length_decay": f"""WITH {PRED}, capped AS (SELECT cap, gold, array_to_string(list_filter(string_split_regex(pred, '\\s+'), lambda w: w <> '')[1:cap], ' ') AS short FROM pred, (VALUES (8), (15), (25), (40)) v(cap))
-        SELECT cap, count(*) AS n, count(*) FILTER (WHERE {graded(normal('short'), 'short')}) AS correct FROM capped GROUP BY cap""",
+    "length_decay": f"""WITH {PRED}, capped AS (SELECT role AS arm, cap, gold, CASE WHEN cap = 0 THEN pred ELSE array_to_string(list_filter(string_split_regex(pred, '\\s+'), lambda w: w <> '')[1:cap], ' ') END AS short
+            FROM pred JOIN turns USING (question_id, turn_index), (VALUES (0), (8), (15), (25), (40)) v(cap))
+        SELECT arm, cap, count(*) AS n, count(*) FILTER (WHERE {graded(normal('short'), 'short')}) AS correct FROM capped GROUP BY arm, cap""",
     "gold_alternatives": f"""SELECT conv_id, turn, array_to_string({alternatives("coalesce(text, '')")}, '|') AS alternatives, array_to_string({enumerated("coalesce(text, '')")}, '|') AS items FROM conversations""",
     "audit_cases": f"WITH {TURNS}, {QUESTIONS}, {AUDIT} SELECT * FROM cases",
     "grader_audit": f"""WITH {TURNS}, {QUESTIONS}, {AUDIT}, v AS (SELECT *, {graded(normal('pred'), 'pred', abstains="ends_with(kind, 'abstention')")} AS verdict FROM cases)
         SELECT kind, count(*) AS n, count(*) FILTER (WHERE verdict = expected) AS right, count(*) FILTER (WHERE verdict AND NOT expected) AS false_accepts,
                count(*) FILTER (WHERE NOT verdict AND expected) AS false_rejects FROM v WHERE verdict IS NOT NULL GROUP BY kind""",
-    "placebo_survival": f"""WITH {SURVIVAL}, pool AS (SELECT q.question_id, o.question_id AS other_id, {normal('o.gold')} AS g FROM questions q JOIN questions o ON q.question_type = o.question_type AND q.gold <> o.gold),
-        hit AS (SELECT pool.question_id, other_id, bool_or({contains('t', 'pool.g')}) AS found FROM pool JOIN st ON st.question_id = pool.question_id GROUP BY ALL)
-        SELECT q.question_id, count(other_id) AS n_placebos, round(coalesce(avg(found::INT), 0), 6) AS null_record FROM questions q LEFT JOIN hit ON hit.question_id = q.question_id GROUP BY q.question_id""",
     "truncated_recency": truncated(f"{NEWEST}, unit_id DESC"),
     "truncated_random": truncated("md5('1|' || question_id || '|' || unit_id)"),
     "token_budget": f"WITH {UNITS}, {COSTED} SELECT question_id, max(total)::BIGINT AS total, max(total) * 0.25::DOUBLE AS budget FROM costed GROUP BY question_id",
@@ -257,11 +290,6 @@ SQL: dict[str, str] = {
     "sentence_idf": f"""WITH {UNITS}, {SENTENCES}, n AS (SELECT question_id, count(*) AS n FROM sent GROUP BY question_id),
         d AS (SELECT question_id, term, count(*) AS df FROM (SELECT question_id, unnest(list_distinct({tokens('sentence')})) AS term FROM sent) x GROUP BY ALL)
         SELECT d.question_id, term, df, round(ln(n / (1 + df)::DOUBLE) + 1, 6) AS idf FROM d JOIN n ON n.question_id = d.question_id""",
-    "survival_outcomes": f"WITH {SURVIVAL} SELECT * FROM surv",
-    "survival_summary": f"""WITH {SURVIVAL}, s AS (SELECT question_type, count(*) AS n, count(*) FILTER (WHERE record) AS record FROM surv GROUP BY question_type),
-        w AS (SELECT *, record / n::DOUBLE AS p, 1.96::DOUBLE AS z FROM s),
-        b AS (SELECT *, (p + z * z / (2 * n)) / (1 + z * z / n) AS mid, z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n) AS h FROM w)
-        SELECT question_type, n, record, round(greatest(0, least(1, mid - h)), 6) AS lo, round(greatest(0, least(1, mid + h)), 6) AS hi, round((p - 0.25::DOUBLE) / 0.75::DOUBLE, 6) AS corrected FROM b""",
     "contingency": f"WITH {CONT} SELECT * FROM cont",
     "mcnemar": f"""WITH {CONT} SELECT lang, round(CASE WHEN system_only + control_only = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(system_only, control_only) + 1),
         lambda i: exp(lgamma(system_only + control_only + 1) - lgamma(i + 1) - lgamma(system_only + control_only - i + 1) - (system_only + control_only) * ln(2))))) END, 9) AS p FROM cont""",
@@ -272,9 +300,9 @@ SQL: dict[str, str] = {
         SELECT n, round(a, 6) AS agreement, round(CASE WHEN pe >= 1 THEN 1 ELSE (a - pe) / (1 - pe) END, 6) AS kappa, round(fa, 6) AS false_accept FROM e""",
     "bootstrap_ci": f"""WITH {ARMS}, v AS (SELECT row_number() OVER (ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 1024, md5(doc_id::VARCHAR)) - 1 AS pos, system::INT - control::INT AS value FROM arms WHERE system IS NOT NULL AND control IS NOT NULL),
         n AS (SELECT count(*) AS n, avg(value) AS point FROM v),
-        dr AS (SELECT b, ('0x' || substr(md5('0|' || b || '|' || pos), 1, 8))::BIGINT % n AS pos FROM range(200) r(b), v, n),
+        dr AS (SELECT b, ('0x' || substr(md5('0|' || b || '|' || pos), 1, 8))::BIGINT % n AS pos FROM range(10000) r(b), v, n),
         m AS (SELECT b, avg(value) AS m FROM dr JOIN v ON v.pos = dr.pos GROUP BY b), o AS (SELECT m, row_number() OVER (ORDER BY m, b) - 1 AS r FROM m)
-        SELECT n, round(point, 6) AS point, round((SELECT m FROM o WHERE r = 5), 6) AS lo, round((SELECT m FROM o WHERE r = 195), 6) AS hi FROM n""",
+        SELECT n, round(point, 6) AS point, round((SELECT m FROM o WHERE r = 250), 6) AS lo, round((SELECT m FROM o WHERE r = 9750), 6) AS hi FROM n""",
     "token_stats": f"""WITH t AS (SELECT lang, {count("coalesce(text, '')")}::BIGINT AS tokens FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY tokens) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n FROM t)
         SELECT lang, count(*) AS n, round(avg(tokens), 6) AS mean, max(tokens) FILTER (WHERE r = floor(0.5::DOUBLE * n)) AS median, max(tokens) FILTER (WHERE r = floor(0.9::DOUBLE * n)) AS p90, max(tokens) AS max FROM r GROUP BY lang""",
     "ledger_rollup": f"WITH {LEDGER} SELECT user_id, phase, calls, tokens, round(tokens * 0.15::DOUBLE / 1000000::DOUBLE, 9) AS dollars FROM ledger",
@@ -283,10 +311,18 @@ SQL: dict[str, str] = {
     "batches_pair": f"""WITH {TURNS}, b AS (SELECT *, ((row_number() OVER (PARTITION BY question_id, session_id ORDER BY turn_index) - 1) // 2)::INT AS batch FROM turns)
         SELECT question_id, session_id, batch, count(*) AS n_turns, min(turn_index) AS first_turn, sum({count('content')})::BIGINT AS tokens FROM b GROUP BY ALL""",
     "resent_context": f"""WITH {TURNS} SELECT question_id, turn_index, coalesce(sum({count('content')}) OVER (PARTITION BY question_id ORDER BY turn_index ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0)::BIGINT AS resent FROM turns""",
+    "grader_rates": f"""WITH {TURNS}, {QUESTIONS}, {AUDIT}, v AS (SELECT *, {graded(normal('pred'), 'pred', abstains="ends_with(kind, 'abstention')")} AS v FROM cases), g AS (SELECT *, starts_with(kind, 'hard_') AS hard FROM v)
+        SELECT count(*) AS n_cases, count(v) AS n_graded, round(avg((v = expected)::INT), 6) AS accuracy, round(avg(v::INT) FILTER (WHERE NOT expected), 6) AS false_accept_rate,
+            round(avg((NOT v)::INT) FILTER (WHERE expected), 6) AS false_reject_rate, round(avg((NOT v)::INT) FILTER (WHERE expected AND hard), 6) AS false_reject_rate_hard FROM g""",
     "prompt_render": f"""WITH {UNITS}, h AS ({ranked(f"{NEWEST}, unit_id DESC", "0", 3)}) SELECT query_id, string_agg('[' || session_date || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS context
         FROM h JOIN units u ON u.question_id = h.query_id AND u.unit_id = h.unit_id GROUP BY query_id""",
     "parse_session_date": f"WITH {TURNS} SELECT DISTINCT session_id, session_date, {DATE} AS date_key FROM turns",
-    "embed_cache_hits": """WITH k AS (SELECT doc_id, lang, sha1(coalesce(text, '')) AS key FROM documents), c AS (SELECT DISTINCT key FROM k WHERE doc_id % 2 = 0)
-        SELECT lang, count(*) FILTER (WHERE c.key IS NOT NULL) AS hits, count(*) FILTER (WHERE c.key IS NULL) AS misses FROM k LEFT JOIN c ON c.key = k.key GROUP BY lang""",
+    "embed_cache_hits": f"""WITH {UNITS}, mine AS (SELECT question_id, unit_id, text, 'turn' AS granularity FROM units UNION ALL
+            SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY turn_index) - 1, content, 'user_turn' FROM turns WHERE role = 'user'),
+        g AS (SELECT granularity, question_id, count(*) AS n, string_agg(text || chr(0), '' ORDER BY unit_id) AS body FROM mine GROUP BY ALL),
+        k AS (SELECT *, left(sha1('m|' || question_id || '|' || n || '|' || left(sha1(body), 16)), 20) AS key, regexp_extract(question_id, '\\d+')::INT AS number FROM g),
+        c AS (SELECT DISTINCT key, n - CASE WHEN number % 4 = 0 THEN 1 ELSE 0 END AS n_vectors, n AS cost FROM k WHERE granularity = 'turn' AND number % 2 = 0),
+        h AS (SELECT granularity, coalesce(n_vectors = n, false) AS hit, c.cost FROM k LEFT JOIN c ON c.key = k.key)
+        SELECT granularity, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses, coalesce(sum(cost) FILTER (WHERE hit), 0)::BIGINT AS replayed_cost FROM h GROUP BY granularity""",
     "oracle_gap_pivot": f"WITH {ARMS} SELECT lang, round(avg(system::INT), 6) AS system, round(avg(control::INT), 6) AS control FROM arms GROUP BY lang",
 }

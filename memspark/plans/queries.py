@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import text as T
-from memspark.operators import audit, metrics, policies, retrieve
+from memspark.operators import audit, hooks, metrics, policies, retrieve, survival
 from memspark.operators import units as U
 from memspark.sources import fixtures
 
@@ -24,8 +24,7 @@ def corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     """(docs, queries, evidence): benchmark items as queries, documents that hold one verbatim as evidence."""
     docs = fixtures.read(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), "text", "lang")
     items = fixtures.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    evidence = docs.crossJoin(F.broadcast(items.withColumnRenamed("text", "item"))).where(F.col("text").contains(F.col("item"))).select("query_id", "unit_id")
-    return docs, items, evidence
+    return docs, items, retrieve.holding(docs, items)
 
 
 def turn_units(spark: SparkSession, d: str, granularity: str = "turn") -> DataFrame:
@@ -33,13 +32,16 @@ def turn_units(spark: SparkSession, d: str, granularity: str = "turn") -> DataFr
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """(question_id, question, gold, question_type, is_abstention) from each question's evidence turn."""
+    """(question_id, question, gold, question_type, is_abstention) from each question's evidence turn;
+    the gold of every fourth question is said nowhere."""
     t = fixtures.turns(spark, d).where("has_answer")
     words = F.filter(F.split("content", r"\s+"), lambda w: w != "")
-    kinds = F.array(*[F.lit(x) for x in ("knowledge-update", "multi-session", "temporal-reasoning")])
+    kinds = F.array(*[F.lit(x) for x in ("knowledge-update", "single-session-assistant", "temporal-reasoning")])
+    k = F.regexp_extract("question_id", r"\d+", 0).cast("int")
+    unsaid = F.concat(F.lit("exactly "), k, F.lit(" days later"))
     return t.select(
-        "question_id", F.array_join(F.slice(words, 1, 8), " ").alias("question"), F.array_join(F.slice(words, 4, 3), " ").alias("gold"),
-        F.element_at(kinds, (F.regexp_extract("question_id", r"\d+", 0).cast("int") % 3 + 1)).alias("question_type"), F.lit(False).alias("is_abstention"),
+        "question_id", F.array_join(F.slice(words, 1, 8), " ").alias("question"), F.when(k % 4 == 1, unsaid).otherwise(F.array_join(F.slice(words, 4, 3), " ")).alias("gold"),
+        F.element_at(kinds, (k % 3 + 1)).alias("question_type"), F.lit(False).alias("is_abstention"),
     )
 
 
@@ -160,8 +162,13 @@ def rrf_zero_weight(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    u = turn_units(spark, d)
-    return retrieve.fuse([retrieve.question_bm25(u, questions(spark, d), 100), retrieve.recency_for_fusion(u.join(questions(spark, d).select("question_id"), "question_id"), 100)], [1.0, 0.5])
+    """BM25, dense and recency rankings, the last at half weight."""
+    return retrieve.hybrid(turn_units(spark, d), questions(spark, d), 10, recency_weight=0.5)
+
+
+@query
+def question_dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.retriever("dense")(turn_units(spark, d), questions(spark, d), 10)
 
 
 @query
@@ -193,9 +200,11 @@ def token_f1(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def length_decay(spark: SparkSession, d: str) -> DataFrame:
-    caps = spark.createDataFrame([(c,) for c in (8, 15, 25, 40)], "cap int")
-    p = predictions(spark, d).crossJoin(F.broadcast(caps)).withColumn("short", F.array_join(F.slice(F.filter(F.split("pred", r"\s+"), lambda w: w != ""), F.lit(1), F.col("cap")), " "))
-    return p.groupBy("cap").agg(F.count("*").alias("n"), F.count_if(T.grade(F.col("short"), F.col("gold"), F.col("is_abstention"))).alias("correct"))
+    """Predictions of each role as an arm, whole (cap 0) and cut to fewer and fewer words."""
+    roles = fixtures.turns(spark, d).select("question_id", "turn_index", F.col("role").alias("arm"))
+    p = predictions(spark, d).join(roles, ["question_id", "turn_index"]).withColumn("cap", F.explode(F.array(*[F.lit(c) for c in (0, 40, 25, 15, 8)])))
+    short = F.when(F.col("cap") == 0, F.col("pred")).otherwise(F.array_join(F.slice(F.filter(F.split("pred", r"\s+"), lambda w: w != ""), F.lit(1), F.greatest("cap", F.lit(1))), " "))
+    return p.withColumn("short", short).groupBy("arm", "cap").agg(F.count("*").alias("n"), F.count_if(T.grade(F.col("short"), F.col("gold"), F.col("is_abstention"))).alias("correct"))
 
 
 @query
@@ -214,15 +223,18 @@ def grader_audit(spark: SparkSession, d: str) -> DataFrame:
     return audit.report(audit.cases(questions(spark, d), abstentions(spark, d)))
 
 
+@query
+def grader_rates(spark: SparkSession, d: str) -> DataFrame:
+    return audit.rates(audit.cases(questions(spark, d), abstentions(spark, d)))
+
+
 @query
 def placebo_survival(spark: SparkSession, d: str) -> DataFrame:
-    """How often golds of other questions of the same type are found in a question's store."""
+    """How often golds of other questions of the same type and length are found in a question's store."""
     q = questions(spark, d)
-    other = q.select("question_type", F.col("question_id").alias("other_id"), F.col("gold").alias("other"))
-    pool = q.join(other, "question_type").where(F.col("gold") != F.col("other")).select("question_id", "other_id", T.normal_tokens(F.col("other")).alias("g"))
-    store = turn_units(spark, d).select("question_id", T.normal_tokens(F.col("text")).alias("t"))
-    hit = pool.join(store, "question_id").groupBy("question_id", "other_id").agg(F.bool_or(T.contains_span(F.col("t"), F.col("g"))).alias("found"))
-    return q.select("question_id").join(hit, "question_id", "left").groupBy("question_id").agg(F.count("other_id").alias("n_placebos"), F.round(F.coalesce(F.avg(F.col("found").cast("int")), F.lit(0.0)), 6).alias("null_record"))
+    drawn = survival.placebos(q).groupBy("question_id").agg(F.count("*").alias("n_placebos"))
+    rows = survival.score(turn_units(spark, d), q).select("question_id", F.round("null_record", 6).alias("null_record"))
+    return rows.join(drawn, "question_id", "left").withColumn("n_placebos", F.coalesce("n_placebos", F.lit(0)))
 
 
 @query
@@ -267,20 +279,14 @@ def lexrank(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def survival_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the gold survives in one record, by tokens, or in the whole store."""
-    store = turn_units(spark, d).join(questions(spark, d), "question_id")
-    text, gold = T.normal_tokens(F.col("text")), T.normal_tokens(F.col("gold"))
-    rows = store.select("question_id", "unit_id", "question_type", text.alias("t"), gold.alias("g"))
-    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("unit_id", "t"))), lambda x: x["t"]))
-    out = rows.groupBy("question_id", "question_type").agg(F.first("g").alias("g"), F.bool_or(T.contains_span(F.col("t"), F.col("g"))).alias("record"), F.bool_or(T.covers(F.col("t"), F.col("g"))).alias("soft"), whole.alias("w"), F.count("*").alias("n_records"))
-    return out.select("question_id", "question_type", T.length_bucket(F.col("g")).alias("gold_len_bucket"), "record", "soft", T.contains_span(F.col("w"), F.col("g")).alias("union_hit"), "n_records")
+    """Whether the answer survives in one record, by tokens, or in the whole store."""
+    return survival.score(turn_units(spark, d), questions(spark, d), 0).select("question_id", "question_type", F.col("bucket").alias("gold_len_bucket"), "record", "soft", "union_hit", "n_records")
 
 
 @query
 def survival_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = survival_outcomes(spark, d).groupBy("question_type").agg(F.count("*").alias("n"), F.count_if("record").alias("record"))
-    lo, hi = metrics.wilson(F.col("record"), F.col("n"))
-    return s.select("question_type", "n", "record", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"), F.round(metrics.chance_corrected(F.col("record") / F.col("n"), F.lit(0.25)), 6).alias("corrected"))
+    """Survival by type, corrected by the floor that placebos measure."""
+    return survival.summary(survival.score(turn_units(spark, d), questions(spark, d)), "question_type")
 
 
 @query
@@ -310,7 +316,7 @@ def cohens_kappa(spark: SparkSession, d: str) -> DataFrame:
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     a = arms(spark, d).where(F.col("system").isNotNull() & F.col("control").isNotNull())
     diff = (F.col("system").cast("int") - F.col("control").cast("int")).cast("double")
-    return metrics.bootstrap_mean(metrics.positions(a.select("doc_id", diff.alias("value")), "doc_id").select("pos", "value"), replicates=200)
+    return metrics.bootstrap_mean(metrics.positions(a.select("doc_id", diff.alias("value")), "doc_id").select("pos", "value"))
 
 
 @query
@@ -360,6 +366,14 @@ def prompt_render(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("context"))
 
 
+@query
+def answer_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts of the questions with their newest units, and by the closed book for every third one that gets none."""
+    q = questions(spark, d).join(fixtures.asked(spark, d), "question_id")
+    some = prompt_render(spark, d).where(F.regexp_extract("query_id", r"\d+", 0).cast("int") % 3 != 0)
+    return hooks.prompts(q.select("question_id", "question", "question_date"), some, closed_book=True).select("question_id", "prompt")
+
+
 @query
 def parse_session_date(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.turns(spark, d).select("session_id", "session_date").distinct().withColumn("date_key", T.parse_date(F.col("session_date")))
@@ -367,10 +381,19 @@ def parse_session_date(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def embed_cache_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of even documents are cached by content; hits and misses of all documents."""
-    docs = fixtures.read(spark, d, "documents").select("doc_id", "lang", F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("key"))
-    cached = docs.where("doc_id % 2 = 0").select("key").distinct().withColumn("hit", F.lit(True))
-    return docs.join(cached, "key", "left").groupBy("lang").agg(F.count_if(F.col("hit").isNotNull()).alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"))
+    """The vectors of each question's units under a cache that holds those of its even questions by
+    turn, of one in four with a vector too few; asked for turns and for user turns."""
+    groups = lambda g: turn_units(spark, d, g).groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("unit_id", "text"))), lambda x: x["text"]).alias("texts"))
+    k = F.regexp_extract("question_id", r"\d+", 0).cast("int")
+    asked = None
+    for g in ("turn", "user_turn"):
+        part = groups(g).select(F.lit(g).alias("granularity"), F.col("question_id").alias("cache_key"), "texts")
+        asked = part if asked is None else asked.unionByName(part)
+    known = groups("turn").where(k % 2 == 0).select(
+        hooks.content_key("m", F.col("question_id"), F.col("texts")).alias("key"), F.slice(F.transform("texts", lambda t: F.array(F.lit(1.0))), F.lit(1), F.size("texts") - F.when(k % 4 == 0, 1).otherwise(0)).alias("vectors"), F.size("texts").alias("cost"),
+    )
+    found = hooks.cache_get(asked, known, "m")
+    return found.groupBy("granularity").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.coalesce(F.sum("cost"), F.lit(0)).alias("replayed_cost"))
 
 
 @query

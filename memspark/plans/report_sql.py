@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from memspark.functions.text import GOLD_ABSTAINS
-from memspark.plans.oracle import BM25, METRIC_COLS, NEWEST, PRED, QBM25, QUESTIONS, SENTENCES, TURNS, UNITS, by_sentence, contains, count, enumerated, fused, graded, normal, quoted, ranked, tokens
+from memspark.plans.oracle import ANSWER, CLOSED_BOOK, GOLD_ABSTAINS, METRIC_COLS, NEWEST, PRED, QBM25, QDENSE, QUESTIONS, SENTENCES, TURNS, UNITS, by_sentence, contains, count, enumerated, fused, graded, normal, quoted, ranked, tokens
 from memspark.plans.oracle import alternatives as alts
 from memspark.sources.fixtures import ASKED_SQL
 
@@ -33,7 +32,7 @@ ARMS = results(
 )
 ASKING = f"SELECT x.* FROM ({NEAR}) x SEMI JOIN questions ON questions.question_id = x.query_id"
 WEIGHTS = {"w0": 0.0, "w025": 0.25, "w05": 0.5, "w1": 1.0}
-SWEEP = results({n: fused([("SELECT * FROM qhits", 1.0)] + ([(ASKING, w)] if w else [])) for n, w in WEIGHTS.items()}, list(WEIGHTS))
+SWEEP = results({n: fused([("SELECT * FROM qhits", 1.0), ("SELECT * FROM dhits", 1.0)] + ([(ASKING, w)] if w else [])) for n, w in WEIGHTS.items()}, list(WEIGHTS))
 
 
 def units_of(granularity: str) -> str:
@@ -108,13 +107,13 @@ BUCKET = "CASE WHEN len(g) <= 1 THEN '1' WHEN len(g) <= 3 THEN '2-3' ELSE '4+' E
 ROUTED = f"""{BASE}, q0 AS (SELECT question_id, question_type, question, gold, {normal('gold')} AS g FROM questions),
     routed AS (SELECT question_id, question_type, question, gold, false AS is_abstention, len(g) <= 12 AS extractive, len(g) >= 2 AS "primary", regexp_matches(trim(gold), '^[0-9]*\\.?[0-9]*$') AND regexp_matches(gold, '[0-9]') AS numeral,
         regexp_matches(gold, {quoted(GOLD_ABSTAINS)}) AS gold_abstains, {BUCKET} AS bucket FROM q0),
-    flagged AS (SELECT *, extractive AND NOT gold_abstains AS scored, extractive AND NOT gold_abstains AND question_type IN ('single-session-user', 'multi-session', 'knowledge-update') AS eligible FROM routed)"""
+    flagged AS (SELECT *, extractive AND NOT gold_abstains AS scored, extractive AND NOT gold_abstains AND question_type IN ('single-session-user', 'single-session-assistant', 'knowledge-update') AS eligible FROM routed)"""
 
 
-def answered(p: str) -> str:
+def answered(p: str, gold: str = "gold") -> str:
     """Whether tokens p hold an answer; the fixtures' questions ask for no order."""
-    items = enumerated("gold")
-    return f"(len(list_filter({alts('gold')}, lambda a: {contains(p, normal('a'))})) > 0 OR (len({items}) > 0 AND len(list_filter({items}, lambda i: NOT {contains(p, normal('i'))})) = 0))"
+    items = enumerated(gold)
+    return f"(len(list_filter({alts(gold)}, lambda a: {contains(p, normal('a'))})) > 0 OR (len({items}) > 0 AND len(list_filter({items}, lambda i: NOT {contains(p, normal('i'))})) = 0))"
 
 
 PLACES = f"""{ROUTED}, seen AS (SELECT f.question_id, question_type, bucket, gold, numeral, has_answer, content, turn_index, {answered(normal('content'))} AS hit FROM turns t JOIN flagged f ON f.question_id = t.question_id WHERE scored),
@@ -130,18 +129,18 @@ def ring(name: str, group: str, m: int) -> str:
     {name} AS (SELECT * FROM (SELECT {cols}, a.gold, b.gold AS placebo, row_number() OVER (PARTITION BY {cols}, a.gold ORDER BY (b.at - a.at + a.size) % a.size) - 1 AS nth FROM {name}_r a JOIN {name}_r b ON {on} AND a.gold <> b.gold) s WHERE nth < {m})"""
 
 
-PLACEBOS = f"""{BASE}, q1 AS (SELECT question_id, question_type, gold, {normal('gold')} AS g, {BUCKET} AS bucket FROM questions), {ring('tight', 'question_type, bucket', 5)}, {ring('wide', 'question_type', 5)},
+PLACEBOS = f"""{BASE}, q1 AS (SELECT question_id, question_type, gold, {normal('gold')} AS g, {BUCKET} AS bucket FROM questions), {ring('tight', 'question_type, bucket', 10)}, {ring('wide', 'question_type', 10)},
     placebos AS (SELECT question_id, nth::INT AS nth, placebo FROM q1 JOIN tight USING (question_type, bucket, gold)
         UNION ALL SELECT question_id, nth::INT, placebo FROM (SELECT * FROM q1 ANTI JOIN tight USING (question_type, bucket, gold)) x JOIN wide USING (question_type, gold))"""
 HELD = "len(list_filter({g}, lambda x: NOT list_contains(t, x))) = 0 AND len({g}) > 0"
 SCORED = f"""{PLACEBOS}, store AS (SELECT question_id, unit_id, {normal('text')} AS t, {count('text')} AS tokens FROM units),
-    own AS (SELECT s.question_id, question_type, bucket, any_value(len(g)) >= 2 AS in_primary, bool_or({contains('t', 'g')}) AS record, bool_or({HELD.format(g='g')}) AS soft,
-        {contains('flatten(list(t ORDER BY unit_id))', 'any_value(g)')} AS union_hit, count(*) AS n_records, sum(tokens)::BIGINT AS store_tokens FROM store s JOIN q1 ON q1.question_id = s.question_id GROUP BY ALL),
-    pl AS (SELECT question_id, nth, {normal('placebo')} AS p FROM placebos),
-    hit AS (SELECT s.question_id, nth, bool_or({contains('t', 'p')}) AS record, bool_or({HELD.format(g='p')}) AS soft FROM store s JOIN pl ON pl.question_id = s.question_id GROUP BY ALL),
-    floor_of AS (SELECT question_id AS fq, avg(record::INT) AS null_record, avg(soft::INT) AS null_soft FROM hit GROUP BY question_id),
-    rows_of AS (SELECT own.*, coalesce(null_record, 0) AS null_record, coalesce(null_soft, 0) AS null_soft FROM own LEFT JOIN floor_of ON fq = own.question_id)"""
-SURVIVAL = ", ".join(f"round(avg({c}::DOUBLE), 6) AS {c}" for c in ("record", "soft", "union_hit", "null_record", "null_soft", "n_records", "store_tokens"))
+    own AS (SELECT s.question_id, question_type, bucket, any_value(len(g)) >= 2 AS in_primary, bool_or({answered('t')}) AS record, bool_or({HELD.format(g='g')}) AS soft,
+        {answered('flatten(list(t ORDER BY unit_id))', 'any_value(gold)')} AS union_hit, count(*) AS n_records, sum(tokens)::BIGINT AS store_tokens FROM store s JOIN q1 ON q1.question_id = s.question_id GROUP BY ALL),
+    pl AS (SELECT question_id, nth, placebo, {normal('placebo')} AS p FROM placebos),
+    hit AS (SELECT s.question_id, nth, bool_or({answered('t', 'placebo')}) AS record, bool_or({HELD.format(g='p')}) AS soft, {answered('flatten(list(t ORDER BY unit_id))', 'any_value(placebo)')} AS whole FROM store s JOIN pl ON pl.question_id = s.question_id GROUP BY ALL),
+    floor_of AS (SELECT question_id AS fq, avg(record::INT) AS null_record, avg(soft::INT) AS null_soft, avg(whole::INT) AS null_union FROM hit GROUP BY question_id),
+    rows_of AS (SELECT own.*, coalesce(null_record, 0) AS null_record, coalesce(null_soft, 0) AS null_soft, coalesce(null_union, 0) AS null_union FROM own LEFT JOIN floor_of ON fq = own.question_id)"""
+SURVIVAL = ", ".join(f"round(avg({c}::DOUBLE), 6) AS {c}" for c in ("record", "soft", "union_hit", "null_record", "null_soft", "null_union", "n_records", "store_tokens"))
 CORRECTED = "round(CASE WHEN avg(null_record) < 1 THEN (avg(record::DOUBLE) - avg(null_record)) / (1 - avg(null_record)) END, 6) AS corrected"
 
 
@@ -150,13 +149,13 @@ def positions(source: str, key: str, bins: int = 1024) -> str:
 
 
 def resampled(values: str) -> str:
-    return f"""n AS (SELECT count(*) AS n FROM v), dr AS (SELECT b, ('0x' || substr(md5('0|' || b || '|' || pos), 1, 8))::BIGINT % n AS pos FROM range(200) r(b), v, n),
+    return f"""n AS (SELECT count(*) AS n FROM v), dr AS (SELECT b, ('0x' || substr(md5('0|' || b || '|' || pos), 1, 8))::BIGINT % n AS pos FROM range(10000) r(b), v, n),
         reps AS (SELECT b, {values} FROM dr JOIN v ON v.pos = dr.pos GROUP BY b)"""
 
 
 def selector(order: str) -> str:
     """One row per question: does the gold survive in the sentences kept by an order."""
-    return f"""SELECT s.question_id, bool_or({contains(normal('s.text'), normal('q.gold'))}) AS record, count(*) AS n_records, sum({count('s.text')})::BIGINT AS tokens
+    return f"""SELECT s.question_id, bool_or({answered(normal('s.text'), 'q.gold')}) AS record, count(*) AS n_records, sum({count('s.text')})::BIGINT AS tokens
         FROM ({by_sentence(order)}) s JOIN questions q ON q.question_id = s.question_id GROUP BY s.question_id"""
 
 
@@ -166,29 +165,70 @@ LABEL = "regexp_replace(name, '^[^:]*:', '')"
 SIZE = r"([0-9]+(?:\.[0-9]+)?)\s*([bm])\b"
 
 
-def stored(name: str, granularity: str, n: int, order: str) -> str:
-    return f"""SELECT '{name}' AS name, '{granularity}' AS granularity, {n}::INT AS n, round(avg(CASE WHEN rank < 10 THEN 1.0::DOUBLE / (rank + 1) ELSE 0 END), 6) AS mrr FROM (
+HALF = "substr(md5(question_id), 1, 1) < '8'"
+
+
+def stored(name: str, granularity: str, which: str, order: str) -> str:
+    return f"""SELECT '{name}' AS name, '{granularity}' AS granularity, count(*) AS n, round(avg(CASE WHEN rank < 10 THEN 1.0::DOUBLE / (rank + 1) ELSE 0 END), 6) AS mrr FROM (
         SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY {order}) - 1 AS rank FROM ({units_of(granularity)}) u) r
-        SEMI JOIN questions USING (question_id) WHERE is_evidence AND {NUMBER.replace('query_id', 'question_id')} < {n}"""
+        SEMI JOIN questions USING (question_id) WHERE is_evidence AND {which}"""
+
+
+STORED = "stored AS (" + " UNION ALL ".join(stored(name, g, which, o) for name, o in (("oracle", "is_evidence DESC, unit_id"), ("recency", f"{NEWEST}, unit_id DESC")) for g, which in (("turn", "true"), ("turn", HALF), ("session", HALF))) + ")"
+LABELLED = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, q.label AS label, c.vec_id AS unit_id, q.label = c.label AS same, round(list_reduce(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]), lambda a, b: a + b), 6) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 25 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) - 1 AS rank FROM s),
+        p AS (SELECT query_id, any_value(label) AS label, count(*) FILTER (WHERE same) AS n_evidence, coalesce(list(rank ORDER BY rank) FILTER (WHERE same AND rank < 20), []) AS ranks FROM r GROUP BY query_id)"""
+PAIRED = """j AS (SELECT l.*, n_chars, lang FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+        s AS (SELECT 'quality' AS system_arm, doc_id, lang, quality = 1 AS s FROM j UNION ALL SELECT 'clean', doc_id, lang, toxic = 0 FROM j),
+        c AS (SELECT 'long' AS control_arm, doc_id, n_chars > 1000 AS c FROM j UNION ALL SELECT 'short', doc_id, n_chars <= 200 FROM j UNION ALL SELECT 'even', doc_id, doc_id % 2 = 0 FROM j),
+        pairs AS (SELECT system_arm, control_arm, s.doc_id, lang, s, c FROM s JOIN c ON s.doc_id = c.doc_id WHERE s IS NOT NULL AND c IS NOT NULL),
+        t AS (SELECT system_arm, control_arm, avg(s::INT) - avg(c::INT) AS lift, count(*) FILTER (WHERE s AND NOT c) AS b, count(*) FILTER (WHERE c AND NOT s) AS k FROM pairs GROUP BY system_arm, control_arm
+              QUALIFY row_number() OVER (PARTITION BY system_arm ORDER BY avg(c::INT) DESC, control_arm) = 1),
+        chosen AS (SELECT pairs.* FROM pairs JOIN t USING (system_arm, control_arm))"""
+MCNEMAR = "CASE WHEN b + k = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(b, k) + 1), lambda i: exp(lgamma(b + k + 1) - lgamma(i + 1) - lgamma(b + k - i + 1) - (b + k) * ln(2))))) END"
 
 
-STORED = "stored AS (" + " UNION ALL ".join(stored(name, g, n, o) for name, o in (("oracle", "is_evidence DESC, unit_id"), ("recency", f"{NEWEST}, unit_id DESC")) for g, n in (("turn", 2), ("turn", 6), ("session", 2))) + ")"
+def store_rows(name: str, units: str) -> str:
+    """The rows of ``score`` for a store given as units."""
+    return f"""SELECT '{name}' AS store, in_primary, record, null_record, n_records, store_tokens FROM (WITH units_ AS ({units}), {SCORED.removeprefix(BASE + ', ').replace('FROM units)', 'FROM units_)')} SELECT * FROM rows_of) z_{name}"""
+
 
 REPORT_SQL: dict[str, str] = {
     "metrics_by_type": f"WITH {BASE}, {QBM25}, {ARMS} SELECT arm, question_type, {COUNTS}, {MRR}, {METRIC_COLS} FROM res GROUP BY arm, question_type",
-    "recency_sweep": f"WITH {BASE}, {QBM25}, {SWEEP} SELECT question_type, " + ", ".join(f"round(avg({RR}) FILTER (WHERE arm = '{a}'), 6) AS {a}" for a in WEIGHTS) + " FROM res WHERE n_evidence > 0 GROUP BY question_type",
-    "paired_dmrr": f"""WITH {BASE}, {QBM25}, {SWEEP}, rr AS (SELECT arm, query_id, {RR} AS rr FROM res WHERE n_evidence > 0),
+    "recency_sweep": f"WITH {BASE}, {QBM25}, {QDENSE}, {SWEEP} SELECT question_type, " + ", ".join(f"round(avg({RR}) FILTER (WHERE arm = '{a}'), 6) AS {a}" for a in WEIGHTS) + " FROM res WHERE n_evidence > 0 GROUP BY question_type",
+    "paired_dmrr": f"""WITH {BASE}, {QBM25}, {QDENSE}, {SWEEP}, rr AS (SELECT arm, query_id, {RR} AS rr FROM res WHERE n_evidence > 0),
         diffs AS (SELECT a.query_id, a.rr - b.rr AS value FROM rr a JOIN rr b ON a.query_id = b.query_id WHERE a.arm = 'w1' AND b.arm = 'w0'),
         v AS (SELECT * FROM {positions('diffs', 'query_id')} p), {resampled('avg(value) AS m')}
         SELECT n, round((SELECT avg(value) FROM v), 6) AS point, round((SELECT quantile_cont(m, 0.025) FROM reps), 6) AS lo, round((SELECT quantile_cont(m, 0.975) FROM reps), 6) AS hi FROM n""",
-    "hit_recall_gap": f"""WITH {BM25}, ev AS (SELECT item_id AS query_id, doc_id AS unit_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-        f AS (SELECT query_id, list(rank ORDER BY rank) AS ranks FROM hits SEMI JOIN ev USING (query_id, unit_id) GROUP BY query_id), w AS (SELECT query_id, count(*) AS n_evidence FROM ev GROUP BY query_id),
-        p AS (SELECT w.query_id, n_evidence, coalesce(ranks, []) AS ranks FROM w LEFT JOIN f ON w.query_id = f.query_id), m AS (SELECT n_evidence AS wanted, {METRIC_COLS} FROM p GROUP BY n_evidence)
-        SELECT wanted, any_hit_10, recall_10, round(any_hit_10 - recall_10, 6) AS gap FROM m WHERE any_hit_10 - recall_10 >= 0.1::DOUBLE""",
-    "dense_metrics": f"""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-        s AS (SELECT q.vec_id AS query_id, c.vec_id AS unit_id, q.label = c.label AS same, round(list_reduce(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]), lambda a, b: a + b), 6) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 25 = 0),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) - 1 AS rank FROM s),
-        p AS (SELECT query_id, count(*) FILTER (WHERE same) AS n_evidence, coalesce(list(rank ORDER BY rank) FILTER (WHERE same AND rank < 20), []) AS ranks FROM r GROUP BY query_id) SELECT {COUNTS}, {MRR}, {METRIC_COLS} FROM p""",
+    "hit_recall_gap": f"""WITH {LABELLED}, m AS (SELECT label, {METRIC_COLS} FROM p GROUP BY label)
+        SELECT label, any_hit_10, recall_10, round(any_hit_10 - recall_10, 6) AS gap FROM m WHERE any_hit_10 - recall_10 >= 0.1::DOUBLE""",
+    "dense_metrics": f"WITH {LABELLED} SELECT {COUNTS}, {MRR}, {METRIC_COLS} FROM p",
+    "placebo_survival": f"""WITH {SCORED} SELECT question_id, count(placebo) AS n_placebos, round(any_value(null_record), 6) AS null_record FROM rows_of LEFT JOIN placebos USING (question_id) GROUP BY question_id""",
+    "survival_outcomes": f"WITH {SCORED} SELECT question_id, question_type, bucket AS gold_len_bucket, record, soft, union_hit, n_records FROM rows_of",
+    "survival_summary": f"""WITH {SCORED}, s AS (SELECT question_type, count(*) AS n, count(*) FILTER (WHERE record) AS record, avg(null_record) AS floor FROM rows_of GROUP BY question_type),
+        w AS (SELECT *, record / n::DOUBLE AS p, 1.96::DOUBLE AS z FROM s),
+        b AS (SELECT *, (p + z * z / (2 * n)) / (1 + z * z / n) AS mid, z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n) AS h FROM w)
+        SELECT question_type, n, record, round(greatest(0, least(1, mid - h)), 6) AS lo, round(greatest(0, least(1, mid + h)), 6) AS hi, round(floor, 6) AS floor, round(CASE WHEN floor < 1 THEN (p - floor) / (1 - floor) END, 6) AS corrected FROM b""",
+    "survival_stores": f"""WITH {BASE}, every AS ({" UNION ALL ".join(store_rows(n, u) for n, u in (("verbatim_turn", "SELECT * FROM units"), ("leadk_25pct", by_sentence("pos, unit_id")), ("tailk_25pct", by_sentence("n - pos, unit_id"))))}),
+        g AS (SELECT store, avg(store_tokens) AS tokens, avg(n_records) AS records, count(*) FILTER (WHERE in_primary) AS n, avg(record::INT) FILTER (WHERE in_primary) AS survival, avg(null_record) FILTER (WHERE in_primary) AS floor FROM every GROUP BY store)
+        SELECT row_number() OVER (ORDER BY tokens DESC, store)::INT AS place, store, n, round(tokens, 6) AS tokens, round(records, 6) AS records, round(survival, 6) AS survival, round(floor, 6) AS floor, round(CASE WHEN floor < 1 THEN (survival - floor) / (1 - floor) END, 6) AS corrected FROM g""",
+    "exclusion_counts": f"""WITH {ROUTED} SELECT count(*) AS n, 0::BIGINT AS n_abstention, count(*) FILTER (WHERE NOT extractive) AS n_not_extractive, count(*) FILTER (WHERE extractive AND gold_abstains) AS n_gold_abstains,
+        count(*) FILTER (WHERE scored) AS n_scored, count(*) FILTER (WHERE eligible) AS n_eligible FROM flagged""",
+    "cost_curves": f"""WITH {UNITS}, m AS (SELECT avg({count('text')}) AS unit, sum({count('text')}) / count(DISTINCT question_id)::DOUBLE AS whole FROM units),
+        c AS (SELECT 'full' AS series, 0.0::DOUBLE AS w, whole AS r FROM m UNION ALL SELECT 'retrieved', 0, 10 * unit FROM m UNION ALL SELECT 'extracting', 1233500, 1764)
+        SELECT series, n_queries, round((w + n_queries * r) * 0.15::DOUBLE / 1000000::DOUBLE, 9) AS dollars FROM c, range(1, 201) x(n_queries)""",
+    "lift_by_type": f"""WITH {PAIRED} SELECT system_arm, coalesce(lang, '?') AS question_type, count(*) AS n, round(avg(s::INT), 6) AS system_accuracy, round(avg(c::INT), 6) AS control_accuracy, round(avg(s::INT) - avg(c::INT), 6) AS lift FROM chosen GROUP BY ALL""",
+    "lift_intervals": f"""WITH {PAIRED}, ranked AS (SELECT system_arm, s::INT - c::INT AS value, row_number() OVER (PARTITION BY system_arm ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 1024, md5(doc_id::VARCHAR)) - 1 AS pos, count(*) OVER (PARTITION BY system_arm) AS n FROM chosen),
+        sizes AS (SELECT system_arm, max(n) AS n FROM ranked GROUP BY system_arm), places AS (SELECT system_arm, b, n, unnest(range(n)) AS i FROM sizes, range(10000) r(b)),
+        means AS (SELECT p.system_arm, b, avg(value) AS m FROM places p JOIN ranked v ON v.system_arm = p.system_arm AND v.pos = ('0x' || substr(md5('0|' || b || '|' || i), 1, 8))::BIGINT % p.n GROUP BY p.system_arm, b),
+        o AS (SELECT system_arm, m, row_number() OVER (PARTITION BY system_arm ORDER BY m, b) - 1 AS r FROM means),
+        e AS (SELECT system_arm, round(max(m) FILTER (WHERE r = 250), 6) AS ci_lo, round(max(m) FILTER (WHERE r = 9750), 6) AS ci_hi FROM o GROUP BY system_arm)
+        SELECT t.system_arm, control_arm, round(lift, 6) AS lift, ci_lo, ci_hi, round({MCNEMAR}, 9) < 0.05 AND ci_lo > 0 AS significant FROM t JOIN e ON e.system_arm = t.system_arm""",
+    "answer_prompts": f"""WITH {UNITS}, {QUESTIONS}, asked AS ({ASKED_SQL}), h AS ({ranked(f"{NEWEST}, unit_id DESC", "0", 3)}),
+        c AS (SELECT query_id, string_agg('[' || session_date || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM h JOIN units u ON u.question_id = h.query_id AND u.unit_id = h.unit_id WHERE regexp_extract(query_id, '\\d+')::INT % 3 <> 0 GROUP BY query_id)
+        SELECT q.question_id, replace(replace(replace(CASE WHEN coalesce(context, '') = '' THEN {quoted(CLOSED_BOOK)} ELSE {quoted(ANSWER)} END, '{{date}}', question_date), '{{context}}', coalesce(context, '')), '{{question}}', question) AS prompt
+        FROM questions q JOIN asked USING (question_id) LEFT JOIN c ON c.query_id = q.question_id""",
     "best_runs": f"WITH {BASE}, {STORED} SELECT * FROM stored WHERE mrr IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name, granularity ORDER BY n DESC) = 1",
     "matched_runs": f"""WITH {BASE}, {STORED}, c AS (SELECT max(n) AS n FROM (SELECT n FROM stored WHERE mrr IS NOT NULL GROUP BY n HAVING count(DISTINCT granularity) = 2) x)
         SELECT stored.* FROM stored JOIN c ON c.n = stored.n WHERE mrr IS NOT NULL""",
@@ -253,6 +293,6 @@ REPORT_SQL: dict[str, str] = {
         d AS (SELECT question_id, term, count(DISTINCT (unit_id, pos)) AS df FROM tk GROUP BY ALL), idf AS (SELECT d.question_id, term, round(ln(n / (1 + df)::DOUBLE) + 1, 9) AS idf FROM d JOIN nn ON nn.question_id = d.question_id),
         w AS (SELECT question_id, unit_id, pos, term, count(*) * any_value(idf) AS w FROM tk JOIN idf USING (question_id, term) GROUP BY ALL), v AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY question_id, unit_id, pos)) AS z FROM w)
         SELECT a.question_id, a.unit_id, a.pos AS i, b.pos AS j, round(sum(a.w * b.w / (a.z * b.z)), 6) AS cosine FROM v a JOIN v b ON a.question_id = b.question_id AND a.unit_id = b.unit_id AND a.term = b.term AND a.pos < b.pos AND a.z > 0 AND b.z > 0 GROUP BY ALL""",
-    "temporal_misses": f"""WITH {PLACES}, m AS (SELECT question_id, bucket FROM places WHERE question_type = 'temporal-reasoning' AND NOT in_evidence AND bucket <> '1' ORDER BY md5('0|' || question_id) LIMIT 10)
+    "temporal_misses": f"""WITH {PLACES}, m AS (SELECT question_id, bucket FROM places WHERE question_type = 'temporal-reasoning' AND NOT in_evidence AND bucket <> '1' ORDER BY md5('0|' || question_id) LIMIT 20)
         SELECT question_id, bucket, quality AS label FROM m LEFT JOIN labels ON doc_id = {NUMBER.replace('query_id', 'question_id')}""",
 }

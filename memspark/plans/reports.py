@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memspark.functions import text as T
 from memspark.operators import audit, costs, dates, metrics, policies, retrieve, runs, survival
 from memspark.plans.queries import QUERIES, corpus, predictions, query, questions, turn_units
-from memspark.sources import fixtures
+from memspark.sources import artifacts, fixtures
 
 __all__ = ["QUERIES"]
 
@@ -42,8 +42,7 @@ def arm_results(spark: SparkSession, d: str) -> DataFrame:
 
 def sweep_results(spark: SparkSession, d: str) -> DataFrame:
     u, q = turn_units(spark, d), questions(spark, d)
-    parts = [retrieve.question_bm25(u, q, 100), retrieve.recency_for_fusion(u.join(q.select("question_id"), "question_id", "left_semi"), 100)]
-    hits = named(**{name: retrieve.fuse(parts, [1.0, w]) for name, w in SWEEP.items()})
+    hits = named(**{name: retrieve.hybrid(u, q, 10, recency_weight=w) for name, w in SWEEP.items()})
     return runs.results(hits, evidence(u), asked_questions(spark, d), list(SWEEP))
 
 
@@ -59,43 +58,45 @@ def recency_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def paired_dmrr(spark: SparkSession, d: str) -> DataFrame:
-    return runs.paired_mrr(sweep_results(spark, d), "w0", "w1", replicates=200)
+    return runs.paired_mrr(sweep_results(spark, d), "w0", "w1")
 
 
-@query
-def hit_recall_gap(spark: SparkSession, d: str) -> DataFrame:
-    """Items by their number of evidence documents, where a hit overstates recall by a tenth or more."""
-    docs, items, ev = corpus(spark, d)
-    per = metrics.per_query(retrieve.bm25(docs, items, 20), ev, items).withColumn("wanted", F.col("n_evidence"))
-    gap = F.col("any_hit_10") - F.col("recall_10")
-    return metrics.aggregate(per, "wanted").where(gap >= 0.1).select("wanted", "any_hit_10", "recall_10", F.round(gap, 6).alias("gap"))
-
-
-@query
-def dense_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of the query's label are its evidence."""
+def labelled_results(spark: SparkSession, d: str) -> DataFrame:
+    """Dense results of every 25th vector; vectors of its label are its evidence."""
     e = fixtures.read(spark, d, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vec"), "label")
     q = e.where("unit_id % 25 = 0").select(F.col("unit_id").alias("query_id"), "vec", "label")
     hits = retrieve.dense(e.drop("label"), q.drop("label"), 20)
     sizes = e.groupBy("label").agg(F.count("*").alias("n"))
-    wanted = q.join(sizes, "label", "left").select("query_id", (F.coalesce("n", F.lit(1)) - 1).alias("n_evidence"))
+    wanted = q.join(sizes, "label", "left").select("query_id", "label", (F.coalesce("n", F.lit(1)) - 1).alias("n_evidence"))
     labels = e.select("unit_id", "label")
     same = hits.join(labels, "unit_id").join(q.select("query_id", F.col("label").alias("own")), "query_id").where("label = own")
     found = same.groupBy("query_id").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
-    per = wanted.join(found, "query_id", "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<int>")))
-    return metrics.aggregate(per)
+    return wanted.join(found, "query_id", "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<int>")))
+
+
+@query
+def hit_recall_gap(spark: SparkSession, d: str) -> DataFrame:
+    """Labels for which a hit overstates recall by a tenth or more."""
+    gap = F.col("any_hit_10") - F.col("recall_10")
+    return metrics.aggregate(labelled_results(spark, d), "label").where(gap >= 0.1).select("label", "any_hit_10", "recall_10", F.round(gap, 6).alias("gap"))
+
+
+@query
+def dense_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.aggregate(labelled_results(spark, d))
 
 
 def stored_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Runs (name, granularity, n, mrr) over the first questions by number: n of 2 and 6 by turn, of 2 by session."""
-    q, number = asked_questions(spark, d), F.regexp_replace("query_id", "[a-z_]", "").cast("long")
+    """Runs (name, granularity, n, mrr): by turn over all questions and over the half of them that a
+    hash picks, by session over that half."""
+    q, half = asked_questions(spark, d), F.substring(F.md5(F.col("query_id").cast("binary")), 1, 1) < "8"
     out = None
-    for granularity, sizes in (("turn", (2, 6)), ("session", (2,))):
+    for granularity, sizes in (("turn", (F.lit(True), half)), ("session", (half,))):
         u = turn_units(spark, d, granularity)
         per = runs.results(named(oracle=retrieve.oracle(u), recency=retrieve.recency(u)), evidence(u), q, ["oracle", "recency"])
         for n in sizes:
-            part = per.where(number < n).groupBy(F.col("arm").alias("name")).agg(F.round(F.avg(runs.reciprocal()), 6).alias("mrr"))
-            part = part.select("name", F.lit(granularity).alias("granularity"), F.lit(n).alias("n"), "mrr")
+            part = per.where(n).groupBy(F.col("arm").alias("name")).agg(F.count("*").alias("n"), F.round(F.avg(runs.reciprocal()), 6).alias("mrr"))
+            part = part.select("name", F.lit(granularity).alias("granularity"), "n", "mrr")
             out = part if out is None else out.unionByName(part)
     return out
 
@@ -115,8 +116,8 @@ def graded_arms(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = fixtures.read(spark, d, "documents"), fixtures.read(spark, d, "labels")
     verdicts = {("quality", False): F.col("quality") == 1, ("clean", False): F.col("toxic") == 0, ("long", True): F.col("n_chars") > 1000, ("short", True): F.col("n_chars") <= 200, ("even", True): F.col("doc_id") % 2 == 0}
     one = lambda arm, control, v: F.struct(F.lit(arm).alias("arm"), F.lit(control).alias("is_control"), v.alias("correct"))
-    rows = labels.join(docs.select("doc_id", "n_chars"), "doc_id")
-    return rows.select(F.col("doc_id").alias("question_id"), F.inline(F.array(*[one(a, c, v) for (a, c), v in verdicts.items()])))
+    rows = labels.join(docs.select("doc_id", "n_chars", "lang"), "doc_id")
+    return rows.select(F.col("doc_id").alias("question_id"), F.col("lang").alias("question_type"), F.inline(F.array(*[one(a, c, v) for (a, c), v in verdicts.items()])))
 
 
 @query
@@ -124,6 +125,19 @@ def strongest_control(spark: SparkSession, d: str) -> DataFrame:
     return runs.strongest_control(graded_arms(spark, d))
 
 
+@query
+def lift_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Systems against their strongest controls, with the interval of the lift."""
+    graded = graded_arms(spark, d)
+    return runs.lift_intervals(graded, runs.strongest_control(graded)).select("system_arm", "control_arm", "lift", "ci_lo", "ci_hi", "significant")
+
+
+@query
+def lift_by_type(spark: SparkSession, d: str) -> DataFrame:
+    graded = graded_arms(spark, d)
+    return runs.lift_by_type(graded, runs.strongest_control(graded))
+
+
 @query
 def date_positions(spark: SparkSession, d: str) -> DataFrame:
     return dates.positions(turn_units(spark, d, "session"), fixtures.asked(spark, d))
@@ -229,11 +243,11 @@ def answer_location(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def placebo_pool(spark: SparkSession, d: str) -> DataFrame:
-    return survival.placebos(questions(spark, d), 5)
+    return survival.placebos(questions(spark, d))
 
 
 def survival_rows(spark: SparkSession, d: str) -> DataFrame:
-    return survival.score(turn_units(spark, d), questions(spark, d), 5)
+    return survival.score(turn_units(spark, d), questions(spark, d))
 
 
 @query
@@ -244,7 +258,44 @@ def survival_groups(spark: SparkSession, d: str) -> DataFrame:
 @query
 def bootstrap_corrected(spark: SparkSession, d: str) -> DataFrame:
     rows = survival_rows(spark, d).select("question_id", F.col("soft").cast("double").alias("score"), F.col("null_soft").alias("floor"))
-    return metrics.bootstrap_corrected(metrics.positions(rows, "question_id").select("pos", "score", "floor"), replicates=200)
+    return metrics.bootstrap_corrected(metrics.positions(rows, "question_id").select("pos", "score", "floor"))
+
+
+def store_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes of the verbatim store and of three selectors at two budgets."""
+    u, q, out = turn_units(spark, d), questions(spark, d), None
+    for spec in ("verbatim_turn", "leadk_25", "tailk_25", "lexrank_25", "leadk_50", "tailk_50", "lexrank_50"):
+        part = survival.score(policies.build(u, spec), q).withColumn("store", F.lit(policies.parse(spec).name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def survival_stores(spark: SparkSession, d: str) -> DataFrame:
+    """Stores of the policies that SQL can follow, the largest first."""
+    u, q, out = turn_units(spark, d), questions(spark, d), None
+    for spec in ("verbatim_turn", "leadk_25", "tailk_25"):
+        part = survival.score(policies.build(u, spec), q).withColumn("store", F.lit(policies.parse(spec).name))
+        out = part if out is None else out.unionByName(part)
+    return survival.store_table(out)
+
+
+@query
+def selector_budgets(spark: SparkSession, d: str) -> DataFrame:
+    return artifacts.matched_budgets(store_outcomes(spark, d))
+
+
+@query
+def exclusion_counts(spark: SparkSession, d: str) -> DataFrame:
+    return survival.exclusions(questions(spark, d))
+
+
+@query
+def cost_curves(spark: SparkSession, d: str) -> DataFrame:
+    """Dollars by number of queries: whole context against ten retrieved units and an extracting system, by the texts' measured tokens."""
+    u = turn_units(spark, d).withColumn("tokens", T.count_tokens(F.col("text")).cast("long"))
+    s = u.agg(F.avg("tokens").alias("unit"), (F.sum("tokens") / F.count_distinct("question_id")).alias("full")).first()
+    return artifacts.cost_curves(spark, {"full": (0.0, s.full or 0.0), "retrieved": (0.0, 10 * (s.unit or 0.0)), "extracting": (1_233_500.0, 1764.0)}, 200).withColumn("dollars", F.round("dollars", 9))
 
 
 @query
@@ -335,9 +386,9 @@ def sentence_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def temporal_misses(spark: SparkSession, d: str) -> DataFrame:
-    """Ten questions of one type whose gold is not in their evidence, in hash order, with the label of the document of their number."""
+    """Twenty questions of one type whose gold is not in their evidence, in hash order, with the label of the document of their number."""
     rows = survival.locations(fixtures.turns(spark, d), questions(spark, d)).where("question_type = 'temporal-reasoning' AND NOT in_evidence AND bucket <> '1'")
     labels = fixtures.read(spark, d, "labels").select(F.col("doc_id").alias("number"), F.col("quality").alias("label"))
     rows = rows.withColumn("number", F.regexp_replace("question_id", "[a-z_]", "").cast("long"))
-    drawn = rows.orderBy(F.md5(F.concat_ws("|", F.lit(0), "question_id").cast("binary"))).limit(10)
+    drawn = rows.orderBy(F.md5(F.concat_ws("|", F.lit(0), "question_id").cast("binary"))).limit(20)
     return drawn.join(labels, "number", "left").select("question_id", "bucket", "label")

@@ -13,14 +13,16 @@ SPLIT_SCHEMA = (
 GRADED_SCHEMA = "retriever string, model string, accuracy double, records array<struct<question_id:string,question_type:string,deterministic:boolean,prompt_tokens:long>>"
 
 
-def read_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_split(spark: SparkSession, path: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(questions, turns) of a split: a JSON array with one object per question.
 
     Sessions, dates and ids are zipped up to the shortest of the three; turn
     indices run on over a question's sessions; a missing flag is false; an answer
-    written as a number is read as text.
+    written as a number is read as text.  ``limit`` keeps the first questions of
+    the file.
     """
     raw = spark.read.schema(SPLIT_SCHEMA).option("multiLine", True).json(path)
+    raw = raw if limit is None else raw.limit(limit)
     questions = raw.select("question_id", "question_type", "question", F.col("answer").alias("gold"), "question_date", F.col("question_id").endswith("_abs").alias("is_abstention"))
     zipped = F.arrays_zip("haystack_sessions", "haystack_dates", "haystack_session_ids")
     shortest = F.least(F.size("haystack_sessions"), F.size("haystack_dates"), F.size("haystack_session_ids"))
@@ -35,13 +37,18 @@ def read_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_arms(spark: SparkSession, glob: str) -> DataFrame:
-    """graded(arm, model, retriever, question_id, question_type, correct) of all artifacts
-    that hold records and an accuracy; ungraded questions are left out."""
+    """arms(arm, model, retriever, question_id, question_type, correct) of all artifacts
+    that hold records and an accuracy.  Ungraded questions have a null verdict: they
+    count for no accuracy but keep their type.  Arms whose prompts all have one
+    length were cut to it and are left out."""
     raw = spark.read.schema(GRADED_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(glob)
     raw = raw.where(F.col("records").isNotNull() & F.col("accuracy").isNotNull())
     arm = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1), "^e2e_", "")
-    rows = raw.select(arm.alias("arm"), "model", "retriever", F.explode("records").alias("r"))
-    return rows.where(F.col("r.deterministic").isNotNull()).select("arm", "model", "retriever", "r.question_id", F.coalesce("r.question_type", F.lit("?")).alias("question_type"), F.col("r.deterministic").alias("correct"))
+    lengths = F.array_distinct(F.transform("records", lambda r: F.coalesce(r["prompt_tokens"], F.lit(-1))))
+    clamped = (F.size("records") > 5) & (F.size(lengths) == 1) & (F.element_at(lengths, 1) != 0)
+    name = F.coalesce(F.nullif(arm, F.lit("")), "retriever")
+    rows = raw.where(~clamped).select(name.alias("arm"), "model", "retriever", F.explode("records").alias("r"))
+    return rows.select("arm", "model", "retriever", "r.question_id", F.coalesce("r.question_type", F.lit("?")).alias("question_type"), F.col("r.deterministic").alias("correct"))
 
 
 def write_worksheet(judged: DataFrame, path: str, limit: int = 100) -> None:

@@ -18,6 +18,7 @@ def test_split(spark, tmp_path):
     (tmp_path / "split.json").write_text(json.dumps(split))
     questions, turns = benchmark.read_split(spark, str(tmp_path / "split.json"))
     assert {(r.question_id, r.gold, r.is_abstention) for r in questions.collect()} == {("a", "3", False), ("b_abs", "none", True)}
+    assert benchmark.read_split(spark, str(tmp_path / "split.json"), limit=1)[0].count() == 1
     assert [(r.session_id, r.turn_index, r.content, r.has_answer) for r in turns.orderBy("turn_index").collect()] == [("s1", 0, "x", True), ("s1", 1, "y", False), ("s2", 2, "z", False)]
 
 
@@ -26,11 +27,17 @@ def test_arms_and_worksheets(spark, tmp_path):
     (tmp_path / "e2e_one.json").write_text(json.dumps(good))
     (tmp_path / "e2e_two.json").write_text("{broken")
     rows = benchmark.read_arms(spark, str(tmp_path / "e2e_*.json")).collect()
-    assert {(r.arm, r.question_id, r.question_type, r.correct) for r in rows} == {("one", "a", "t", True), ("one", "b", "?", False)}
+    assert {(r.arm, r.question_id, r.question_type, r.correct) for r in rows} == {("one", "a", "t", True), ("one", "b", "?", False), ("one", "c", "?", None)}
+    cut = good | {"records": [{"question_id": str(i), "deterministic": True, "prompt_tokens": 4096} for i in range(6)]}
+    (tmp_path / "e2e_three.json").write_text(json.dumps(cut))
+    assert {r.arm for r in benchmark.read_arms(spark, str(tmp_path / "e2e_*.json")).collect()} == {"one"}
     judged = spark.createDataFrame([("q", "x", "g", "p", True)], "question_id string, question string, gold string, pred string, judge boolean")
     benchmark.write_worksheet(judged, str(tmp_path / "sheet"))
     assert spark.read.json(str(tmp_path / "sheet")).columns == ["gold", "human_label", "pred", "question", "question_id"]
     assert benchmark.read_worksheet(spark, str(tmp_path / "sheet")).count() == 0
+    labelled = spark.createDataFrame([("q", True), ("r", None)], "question_id string, human_label boolean")
+    labelled.write.option("ignoreNullFields", "false").json(str(tmp_path / "labelled"))
+    assert [(r.question_id, r.human_label) for r in benchmark.read_worksheet(spark, str(tmp_path / "labelled")).collect()] == [("q", True)]
 
 
 def test_stream_equals_batch(spark, tmp_path):
