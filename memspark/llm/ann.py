@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.llm import textvec as tv
-from memspark.llm.common import saved
+from memspark.llm.common import saved, small_batches
 
 MAX_HEAPED = 200_000
 #: Candidates of a tile; rows of a candidate block at most.
@@ -179,6 +179,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
         raise ValueError(f"{vec_col} is {kind}, not an array of float or double")
     dtype = "<f4" if kind == "array<float>" else "<f8"
     # repeated rows become one with a number before they meet, however many there are
+    small_batches(df.sparkSession)
     rows = usable(df, id_col, vec_col).groupBy("id", "vec", "dim").agg(F.count("*").alias("n"))
     rows = saved(rows, "vectors")
     total, asked = rows.agg(F.count("*"), F.coalesce(F.sum(is_query.cast("long")), F.lit(0))).first()

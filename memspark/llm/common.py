@@ -17,6 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch, in the JVM and in a Python worker: of a session that still has Spark's default.
+BATCH, SPARKS_BATCH = "8m", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session send Python workers batches of 8 MB instead of Spark's 64, of
+    which each running task would hold two; a size that someone has set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == SPARKS_BATCH:
+        spark.conf.set(name, BATCH)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.  Where it is unset a local session (tests)
     uses a temporary folder; on a cluster that would be lost with its machine, so it is an error."""

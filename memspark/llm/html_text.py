@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm import textvec as tv
+from memspark.llm.common import small_batches
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -287,5 +288,6 @@ def extract(df: DataFrame) -> DataFrame:
             yield result(rows)
         tv.release()
 
+    small_batches(df.sparkSession)
     rows = df.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

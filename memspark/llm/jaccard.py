@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm import textvec as tv
-from memspark.llm.common import discard, saved
+from memspark.llm.common import discard, saved, small_batches
 
 #: Least and most counters of the frequency array, in pieces of PIECE; bins of a set's histogram.
 MIN_SLOTS, MAX_SLOTS, PIECE, BINS = 1 << 21, 1 << 24, 1 << 18, 256
@@ -392,6 +392,7 @@ def list_pairs(lists: DataFrame, reps: DataFrame, num: int, den: int) -> DataFra
 def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``df`` (doc_id, text)."""
     spark = df.sparkSession
+    small_batches(spark)
     docs = df.select(F.col("doc_id").cast("long"), "text")
     slots = power_of_two(df.count(), MIN_SLOTS, MAX_SLOTS)
     summary = saved(docs.mapInArrow(lambda it: summaries(it, n, slots), "doc_id long, n long, set long, hist binary, piece int, counts binary"), "summary")

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from memspark.llm import textvec as tv
-from memspark.llm.common import saved
+from memspark.llm.common import saved, small_batches
 
 #: Hashed trigram classes; languages per piece of the text model, of which a task holds one at a time.
 CLASSES, PIECE, LONG = 1 << 15, 64, 256
@@ -204,6 +204,7 @@ def domain_of(host: Column) -> Column:
 def identify(df: DataFrame, declared: Column, host: Column, suffix: Column | None = None, text_power: float = 0.5, host_weight: float = 20.0, min_confidence: float = 0.5) -> DataFrame:
     """``df`` (with a column ``text``) with lang_id, confidence and accepted."""
     spark = df.sparkSession
+    small_batches(spark)
     results = [StructField("lang_id", StringType()), StructField("confidence", DoubleType()), StructField("accepted", BooleanType())]
     keep = [c for c in df.columns if c not in {f.name for f in results}]
     given = {"declared": declared, "suffix": F.lit(None) if suffix is None else suffix, "domain": domain_of(host.cast("string")), "host": host}

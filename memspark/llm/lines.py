@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from memspark.llm import textvec as tv
-from memspark.llm.common import discard, saved
+from memspark.llm.common import discard, saved, small_batches
 
 #: lg2 of the registers of a sketch; the error allowed for its estimate (4 standard errors).
 LG_K, ERROR = 12, 4 * 1.04 / 64
@@ -108,6 +108,7 @@ def strip_lines(batch: pa.RecordBatch, lines: np.ndarray, keepers: np.ndarray) -
 
 def remove_boilerplate(df: DataFrame, min_sites: int = 8, site_col: str = "source", broadcast_lines: int = 1_000_000) -> DataFrame:
     """``df`` with boilerplate lines cut from ``text``, and n_lines (not blank) and n_removed."""
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     df = df.select(*keep)
     lines = boilerplate(df, min_sites, site_col)

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm import textvec as tv
-from memspark.llm.common import discard, saved
+from memspark.llm.common import discard, saved, small_batches
 
 #: Frequent tokens with a class of their own; classes by ending; the class of the end; parts of a class.
 OWN, ENDINGS, PARTS = 24, 23, 32
@@ -315,6 +315,7 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score(df: DataFrame, broadcast_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
+    small_batches(df.sparkSession)
     context = df.sparkSession.sparkContext
     docs = df.select(F.col("doc_id").cast("long"), "text")
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm import textvec as tv
+from memspark.llm.common import small_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -118,6 +119,7 @@ def pack(df: DataFrame, tokenizer: str, max_len: int = 1024, end_id: int = 0, wi
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 
+    small_batches(df.sparkSession)
     pieces = df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + (", ids array<long>" if with_ids else ""))
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from memspark.llm import textvec as tv
+from memspark.llm.common import small_batches
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -259,6 +260,7 @@ def verdicts(texts: pa.Array, order: list[str], rules: tuple[Rule, ...] = RULES,
 
 def sample_batches(df: DataFrame, rows: int = 2000) -> list[pa.RecordBatch]:
     """About ``rows`` texts from all over the table; used for costs and rejection rates only."""
+    small_batches(df.sparkSession)
     total = df.count()
     part = df.select("text").sample(fraction=min(1.0, rows / max(total, 1)), seed=7)
     return list(tv.chunks(iter(part.toArrow().to_batches())))

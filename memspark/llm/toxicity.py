@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm import textvec as tv
+from memspark.llm.common import small_batches
 from memspark.llm.quality import SYMBOLS, per_doc
 
 #: Bytes that are not part of a word here become spaces; A-Z become a-z.
@@ -221,6 +222,7 @@ def score(docs: DataFrame, labels: DataFrame, categories: dict[str, str], train_
     ``categories`` maps the chain's categories, in its order, to SQL conditions on
     ``labels`` (1, 0 or null); ``toxic`` is the verdict on the last.
     """
+    small_batches(docs.sparkSession)
     names = list(categories)
     marked = labels.select(F.col("doc_id").cast("long"), *[F.expr(e).cast("double").alias(n) for n, e in categories.items()])
     marked = marked.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names])
