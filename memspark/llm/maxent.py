@@ -57,6 +57,7 @@ ROWS = WORD_ROWS + PAIR_ROWS + SKIP_ROWS
 ROUNDS, STEP, RATE, FAN_IN, PIECES, TASK_TOKENS = 2, 8192, 0.25, 16, 8, 1_500_000
 END, START = np.uint64(0x454E44), np.uint64(0x535441)
 MODEL_CHUNK = 1_000_000
+LIMIT = np.float32(80.0)
 #: Counts up to this are told apart when the frequent tokens are chosen.
 FINE_COUNTS = 1024
 
@@ -154,20 +155,28 @@ def examples(t: Tokens, own: np.ndarray) -> Examples:
     return Examples(hashed_rows(prev, skip), cls, at, hashed_rows(tv.mix(prev[at] ^ of), tv.mix(skip[at] ^ of)), part_of(t.hash[at]))
 
 
-def log_softmax(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]]
-    z += weights[rows[:, 1]]
-    z += weights[rows[:, 2]]
+def scores(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Unnormalised scores; the limit keeps exp finite in single precision."""
+    z = weights.take(rows[:, 0], axis=0)
+    z += weights.take(rows[:, 1], axis=0)
+    z += weights.take(rows[:, 2], axis=0)
     z += bias
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    return np.minimum(z, LIMIT, out=z)
+
+
+def log_softmax_at(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """The log-probability of each row's outcome."""
+    z = scores(rows, weights, bias)
+    at = z[np.arange(len(z)), cls]
+    np.exp(z, out=z)
+    return at - np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
 def descend(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> None:
     """One Adagrad step of the summed gradient per weight row."""
-    grad = log_softmax(rows, weights, bias)
+    grad = scores(rows, weights, bias)
     np.exp(grad, out=grad)
+    grad /= (grad @ np.ones(grad.shape[1], grad.dtype))[:, None]
     grad[np.arange(len(cls)), cls] -= 1
     for k in range(3):
         order = np.argsort(rows[:, k], kind="stable")
@@ -286,11 +295,9 @@ def history_score(x: Examples, model: Model) -> np.ndarray:
     """log10 P(class | history) P(part | class, history) of each token."""
     out = np.zeros(len(x.cls))
     for at in range(0, len(x.cls), STEP):
-        z = log_softmax(x.rows[at : at + STEP], model.weights, model.bias)
-        out[at : at + STEP] = z[np.arange(len(z)), x.cls[at : at + STEP]]
+        out[at : at + STEP] = log_softmax_at(x.rows[at : at + STEP], model.weights, model.bias, x.cls[at : at + STEP])
     for at in range(0, len(x.at), STEP):
-        z = log_softmax(x.part_rows[at : at + STEP], model.part_weights, ZERO)
-        out[x.at[at : at + STEP]] += z[np.arange(len(z)), x.part[at : at + STEP]]
+        out[x.at[at : at + STEP]] += log_softmax_at(x.part_rows[at : at + STEP], model.part_weights, ZERO, x.part[at : at + STEP])
     return out / np.log(10)
 
 
