@@ -328,6 +328,17 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, num: in
     return out
 
 
+def with_list(rows: DataFrame, per_list: DataFrame) -> DataFrame:
+    """Rows (key, members, set, ...) joined with a table that has a row per list.
+
+    The rows of a list are dealt by blocks of about LIST_BLOCK sets and its row is
+    copied to each block, so that no task meets a long list whole."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / LIST_BLOCK)).cast("int")
+    left = rows.withColumn("part", F.pmod(F.xxhash64("set"), blocks).cast("int"))
+    right = per_list.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("list_members") / LIST_BLOCK)).cast("int") - 1))).drop("list_members")
+    return left.join(right, ["key", "part"]).drop("part")
+
+
 def list_pairs(lists: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs of sets that share a list, are in different components and may
     link by size and histogram.
@@ -445,7 +456,8 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     open_lists, links, comp = lists.withColumn("comp", F.col("set")), None, None
     for turn in range(HUB_ROUNDS):
         hub = F.struct(F.xxhash64(F.lit(turn), "set").alias("h"), F.col("set").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-        star = open_lists.join(open_lists.groupBy("key").agg(F.min(hub).alias("least")).select("key", "least.*"), "key").where((F.col("comp") != F.col("hub_comp")) & fits("n", "hub_n"))
+        hubs = open_lists.groupBy("key").agg(F.min(hub).alias("least"), F.first("members").alias("list_members")).select("key", "least.*", "list_members")
+        star = with_list(open_lists, hubs).where((F.col("comp") != F.col("hub_comp")) & fits("n", "hub_n"))
         star = star.groupBy("set", "hub").agg(F.count("*").alias("lists")).groupBy("set").agg(F.max(F.struct("lists", "hub"))["hub"].alias("hub"))
         star = saved(star.select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct(), "star")
         found = verified(star, docs, reps, n, num, den)
@@ -456,8 +468,8 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
         comp = saved(components(links), "components")
         # what is left: sets of one list that are in different components
         labelled = lists.join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set")).select("key", "members", "set", "n", "comp")
-        mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        open_lists = saved(labelled.join(mixed, "key"), "open")
+        mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("members").alias("list_members")).where("lo <> hi").select("key", "list_members")
+        open_lists = saved(with_list(labelled, mixed), "open")
         per = open_lists.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("inside"))
         pairs = per.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("inside")) / 2), F.lit(0.0)), F.coalesce(F.sum("all"), F.lit(0))).first()
         discard(star)
