@@ -96,8 +96,9 @@ def placebos(questions: DataFrame, m: int = PLACEBOS) -> DataFrame:
     return rows.select("question_id", F.posexplode(chosen).alias("nth", "placebo"))
 
 
-def score(units: DataFrame, questions: DataFrame, m: int = PLACEBOS) -> DataFrame:
-    """One row per question with units: record (the answer in one unit), soft (its tokens in
+def score(units: DataFrame, questions: DataFrame, m: int = PLACEBOS, *group: str) -> DataFrame:
+    """One row per question with units, and per value of the further columns ``group`` of the
+    units (several stores at once): record (the answer in one unit), soft (its tokens in
     one unit), union_hit (the answer in all units together), the same of m placebos as floors
     (0 if there are none), sizes.  Texts are normalised once for the gold and its placebos."""
     golds = questions.select("question_id", "question_type", "question", F.lit(-1).alias("nth"), F.col("gold").alias("answer"))
@@ -106,8 +107,9 @@ def score(units: DataFrame, questions: DataFrame, m: int = PLACEBOS) -> DataFram
     asked = golds.select("question_id", "question_type", F.struct("nth", T.normal_tokens(F.col("answer")).alias("g"), T.answer_key(F.col("answer"), F.col("question")).alias("key")).alias("a"))
     # a question's gold and placebos stand in one row, at most m + 1 of them
     asked = asked.groupBy("question_id", "question_type").agg(F.array_sort(F.collect_list("a")).alias("asked"))
-    store = units.select("question_id", "unit_id", T.normal_tokens(F.col("text")).alias("t"), T.count_tokens(F.col("text")).cast("long").alias("tokens"))
-    per = store.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("unit_id", "t"))).alias("units"), F.count("*").alias("n_records"), F.sum("tokens").alias("store_tokens"))
+    keys = [*group, "question_id"]
+    store = units.select(*keys, "unit_id", T.normal_tokens(F.col("text")).alias("t"), T.count_tokens(F.col("text")).cast("long").alias("tokens"))
+    per = store.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("unit_id", "t"))).alias("units"), F.count("*").alias("n_records"), F.sum("tokens").alias("store_tokens"))
     per = per.join(asked, "question_id")
     whole = F.flatten(F.transform("units", lambda u: u["t"]))
     found = lambda a: F.struct(
@@ -118,7 +120,7 @@ def score(units: DataFrame, questions: DataFrame, m: int = PLACEBOS) -> DataFram
     floor = lambda c: F.when(F.size(floors) > 0, F.aggregate(floors, F.lit(0.0), lambda s, x: s + x[c].cast("double")) / F.size(floors)).otherwise(0.0)
     own = F.element_at("found", 1)
     return per.select(
-        "question_id", "question_type", T.length_bucket(F.col("g")).alias("bucket"), (F.size("g") >= T.PRIMARY_TOKENS).alias("in_primary"), own["record"].alias("record"), own["soft"].alias("soft"), own["union_hit"].alias("union_hit"),
+        *keys, "question_type", T.length_bucket(F.col("g")).alias("bucket"), (F.size("g") >= T.PRIMARY_TOKENS).alias("in_primary"), own["record"].alias("record"), own["soft"].alias("soft"), own["union_hit"].alias("union_hit"),
         "n_records", "store_tokens", floor("record").alias("null_record"), floor("soft").alias("null_soft"), floor("union_hit").alias("null_union"),
     )
 

@@ -9,6 +9,7 @@ from memspark.functions import text as T
 from memspark.operators import audit, costs, dates, metrics, policies, retrieve, runs, survival
 from memspark.plans.queries import QUERIES, corpus, predictions, query, questions, turn_units
 from memspark.sources import artifacts, fixtures
+from memspark.sources.stage import saved
 
 __all__ = ["QUERIES"]
 
@@ -262,12 +263,13 @@ def bootstrap_corrected(spark: SparkSession, d: str) -> DataFrame:
 
 
 def store_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """Outcomes of the verbatim store and of three selectors at two budgets."""
-    u, q, out = turn_units(spark, d), questions(spark, d), None
-    for spec in ("verbatim_turn", "leadk_25", "tailk_25", "lexrank_25", "leadk_50", "tailk_50", "lexrank_50"):
-        part = survival.score(policies.build(u, spec), q).withColumn("store", F.lit(policies.parse(spec).name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Outcomes of three selectors at two budgets, scored in one pass and kept: the
+    comparisons read them many times."""
+    u, q, stores = saved(turn_units(spark, d), "units"), saved(questions(spark, d), "questions"), None
+    for spec in ("leadk_25", "tailk_25", "lexrank_25", "leadk_50", "tailk_50", "lexrank_50"):
+        part = policies.build(u, spec).select(F.lit(policies.parse(spec).name).alias("store"), "question_id", "unit_id", "text")
+        stores = part if stores is None else stores.unionByName(part)
+    return saved(survival.score(saved(stores, "stores"), q, survival.PLACEBOS, "store"), "outcomes")
 
 
 @query
