@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import ann, html_text, jaccard, langid, lines, maxent, mixing, packing, quality, toxicity
+from memspark.llm import ann, html_text, jaccard, langid, lines, maxent, merkle, mixing, packing, quality, toxicity
 from memspark.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,10 +72,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows against their manifest; a third of the texts is tampered with."""
+    small = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.verify(table(spark, sf_dir, "documents"), F.when(hit, small))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann, op2_toxicity, op3_html, op4_line_dedup, op5_jaccard, op6_lm_score, op7_packing, op8_mixing, op9_language_id, langid_pages, op10_quality)
+    f.__name__: f for f in (op1_ann, op2_toxicity, op3_html, op4_line_dedup, op5_jaccard, op6_lm_score, op7_packing, op8_mixing, op9_language_id, langid_pages, op10_quality, op12_merkle)
 }
 
+CRC32 = """list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_prepend((1000 + ascii(c))::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[])))),
+    lambda c, x: CASE WHEN x >= 1000 THEN xor(c, x - 1000) ELSE xor(c >> 1, (c & 1) * 3988292384) END)"""
+
+
+def leaf_sql(text: str) -> str:
+    part = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    return f"sha256({' || '.join(part(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 SQL: dict[str, str] = {
     "op1_ann": """
@@ -141,4 +158,24 @@ SQL: dict[str, str] = {
                     OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > n_words
                     OR 10 * n_bullet > 9 * n_lines OR 10 * n_open > 3 * n_lines
                     OR 10 * n_alpha < 6 * n_words OR 10 * n_top > 4 * n_words) AS kept FROM b""",
+    "op12_merkle": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS g, {leaf_sql('text')} AS leaf, CASE WHEN xor({CRC32}, 4294967295) % 3 = 0 THEN {leaf_sql(LOWER)} ELSE leaf END AS seen FROM documents),
+        r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n, row_number() OVER () AS id FROM d),
+        t(tree, g, level, w, idx, digest) AS (SELECT 0, g, 0, n, idx, leaf FROM r
+            UNION ALL SELECT tree, g, level + 1, (w + 7) // 8, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM t WHERE w > 1 GROUP BY tree, g, level, w, idx // 8),
+        top0 AS (SELECT g, digest, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS w FROM t WHERE w = 1),
+        u(g, level, w, idx, digest) AS (SELECT '', 0, w, idx, digest FROM top0
+            UNION ALL SELECT g, level + 1, (w + 7) // 8, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM u WHERE w > 1 GROUP BY g, level, w, idx // 8),
+        runs AS (SELECT g, level, idx // 8 AS parent, list(digest ORDER BY idx) AS kids FROM (SELECT g, level, w, idx, digest FROM t) x WHERE w > 1 GROUP BY ALL),
+        above AS (SELECT level, idx // 8 AS parent, list(digest ORDER BY idx) AS kids FROM u WHERE w > 1 GROUP BY ALL),
+        f(id, g, level, idx, h, proof) AS (SELECT id, g, 0, idx, seen, '' FROM r
+            UNION ALL SELECT id, f.g, f.level + 1, idx // 8, sha256(array_to_string(kids[:idx % 8] || [h] || kids[idx % 8 + 2:], '')), proof || array_to_string(kids[:idx % 8] || kids[idx % 8 + 2:], '')
+            FROM f JOIN runs ON runs.g = f.g AND runs.level = f.level AND runs.parent = idx // 8),
+        sub AS (SELECT id, arg_max(h, level) AS h, arg_max(proof, level) AS proof, any_value(g) AS g FROM f GROUP BY id),
+        e(id, level, idx, h, proof) AS (SELECT id, 0, top0.idx, h, proof FROM sub JOIN top0 ON top0.g = sub.g
+            UNION ALL SELECT id, e.level + 1, idx // 8, sha256(array_to_string(kids[:idx % 8] || [h] || kids[idx % 8 + 2:], '')), proof || array_to_string(kids[:idx % 8] || kids[idx % 8 + 2:], '')
+            FROM e JOIN above ON above.level = e.level AND above.parent = idx // 8),
+        z AS (SELECT id, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM e GROUP BY id)
+        SELECT doc_id, leaf, top0.digest AS subroot, whole.digest AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = whole.digest AS verified
+        FROM r JOIN z ON z.id = r.id JOIN top0 ON top0.g = r.g, (SELECT digest FROM u WHERE w = 1) whole""",
 }
