@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import ann, html_text, jaccard, langid, lines, maxent, merkle, mixing, packing, quality, toxicity
+from memspark.llm import ann, html_text, jaccard, langid, lines, maxent, merkle, mixing, packing, phrases, quality, toxicity
 from memspark.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -79,8 +79,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"), F.when(hit, small))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann, op2_toxicity, op3_html, op4_line_dedup, op5_jaccard, op6_lm_score, op7_packing, op8_mixing, op9_language_id, langid_pages, op10_quality, op12_merkle)
+    f.__name__: f for f in (op1_ann, op2_toxicity, op3_html, op4_line_dedup, op5_jaccard, op6_lm_score, op7_packing, op8_mixing, op9_language_id, langid_pages, op10_quality, op12_merkle, op13_phrases)
 }
 
 CRC32 = """list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_prepend((1000 + ascii(c))::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[])))),
@@ -178,4 +182,17 @@ SQL: dict[str, str] = {
         z AS (SELECT id, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM e GROUP BY id)
         SELECT doc_id, leaf, top0.digest AS subroot, whole.digest AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = whole.digest AS verified
         FROM r JOIN z ON z.id = r.id JOIN top0 ON top0.g = r.g, (SELECT digest FROM u WHERE w = 1) whole""",
+    "op13_phrases": rf"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+        f AS (SELECT lang, g, k, count(*) AS a FROM (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS g FROM w, range(1, 5) r(k) WHERE len(w) >= k) x GROUP BY ALL),
+        c AS (SELECT lang, g AS phrase, string_split(g, ' ') AS w, k AS size, a FROM f WHERE k > 1 AND a >= 30),
+        cut AS (SELECT c.*, i, array_to_string(w[:i], ' ') AS head, array_to_string(w[i + 1:], ' ') AS tail FROM c, range(1, 4) r(i) WHERE i < size),
+        s AS (SELECT cut.lang, phrase, cut.a, i, x.a AS l, y.a AS r, cut.a::HUGEINT * 2000000 // (x.a + y.a) AS score FROM cut JOIN f x ON x.lang = cut.lang AND x.g = head AND x.k = i JOIN f y ON y.lang = cut.lang AND y.g = tail AND y.k = size - i),
+        low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+        longer AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS within FROM c, range(2, 4) r(k), range(1, 4) q(i) WHERE k < size AND i + k - 1 <= size GROUP BY 1, 2),
+        kept AS (SELECT low.* FROM low LEFT JOIN longer ON longer.lang = low.lang AND longer.phrase = low.phrase WHERE within IS NULL OR 100::HUGEINT * within < 80::HUGEINT * a)
+        SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase)::INT AS rank, phrase, a, l, r, n, score::BIGINT AS score
+        FROM kept JOIN totals ON totals.lang = kept.lang QUALIFY rank <= 2000""",
 }

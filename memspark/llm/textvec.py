@@ -91,7 +91,8 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
     release()
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> Words:
+def split_words(texts: pa.Array, lower: bool = False, space: np.ndarray = SPACE) -> Words:
+    """Words between the bytes for which ``space`` is true."""
     data, off = text_buffers(texts)
     if lower:
         data = LOWER[data]
@@ -99,7 +100,7 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
     if not n:
         z = np.zeros(0, np.int64)
         return Words(data, off, z, z, np.zeros(len(off), np.int64))
-    word = ~SPACE[data]
+    word = ~space[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[off] = True
     before = np.empty(n, dtype=bool)
