@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import ann, html_text, jaccard, langid, lines, maxent, merkle, mixing, packing, phrases, quality, toxicity
+from memspark.llm import ann, html_text, jaccard, langid, lines, maxent, merkle, mixing, packing, phrases, quality, suffixes, toxicity
 from memspark.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,6 +72,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op11_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows against their manifest; a third of the texts is tampered with."""
     small = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -84,7 +90,7 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann, op2_toxicity, op3_html, op4_line_dedup, op5_jaccard, op6_lm_score, op7_packing, op8_mixing, op9_language_id, langid_pages, op10_quality, op12_merkle, op13_phrases)
+    f.__name__: f for f in (op1_ann, op2_toxicity, op3_html, op4_line_dedup, op5_jaccard, op6_lm_score, op7_packing, op8_mixing, op9_language_id, langid_pages, op10_quality, op11_suffix, op12_merkle, op13_phrases)
 }
 
 CRC32 = """list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_prepend((1000 + ascii(c))::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[])))),
