@@ -45,11 +45,12 @@ def rotated(items: Column) -> Column:
 
 
 def cases(questions: DataFrame, abstentions: DataFrame, pool: int = 360) -> DataFrame:
-    """(question_id, kind, gold, pred, expected): answers whose verdict is known by construction.
+    """(question_id, kind, question, gold, pred, expected): answers whose verdict is known by construction.
 
     questions(question_id, question_type, question, gold) and abstentions of the same
     columns; the first ``pool`` gradable questions by id are used.  A wrong answer made
-    from another gold or another number counts only if the grader does not accept it.
+    from another gold or another number counts only if the grader, which is not told the
+    question for this, does not accept it.
     """
     g = T.normal_tokens(F.col("gold"))
     answerable = questions.where(T.is_extractive(g) & ~T.gold_abstains(F.col("gold")))
@@ -72,17 +73,17 @@ def cases(questions: DataFrame, abstentions: DataFrame, pool: int = 360) -> Data
         one("hard_plural", pluralised(gold), True), one("hard_list_reorder", F.when(~ordered, swap), True), one("reordered_ordered_list", F.when(ordered, swap), False),
         one("perturbed_number", put((value + F.when(F.length(number) <= 3, 7).otherwise(111)).cast("string")), False), one("refusal_to_answerable", pick, False), one("empty", F.lit(""), False),
     ]
-    out = q.select("question_id", "gold", F.inline(F.array(*made))).where("pred IS NOT NULL").where((F.col("kind") != "perturbed_number") | wrong(F.col("pred")))
+    out = q.select("question_id", "question", "gold", F.inline(F.array(*made))).where("pred IS NOT NULL").where((F.col("kind") != "perturbed_number") | wrong(F.col("pred")))
     # of the next golds of the type, the first that is another answer and not accepted either
     ahead = q.withColumn("ahead", F.array(*[F.lead("gold", i).over(near) for i in range(1, TRIES + 1)]))
-    tried = ahead.select("question_id", "gold", F.posexplode("ahead").alias("at", "pred")).where("pred IS NOT NULL")
+    tried = ahead.select("question_id", "question", "gold", F.posexplode("ahead").alias("at", "pred")).where("pred IS NOT NULL")
     differs = T.normal_tokens(F.col("pred")) != T.normal_tokens(F.col("gold"))
-    swapped = tried.where(differs & wrong(F.col("pred"))).groupBy("question_id", "gold").agg(F.min_by("pred", "at").alias("pred"))
-    refused = abstentions.select("question_id", "gold", F.explode(F.array(*[F.lit(r) for r in REFUSALS])).alias("pred"))
+    swapped = tried.where(differs & wrong(F.col("pred"))).groupBy("question_id", "question", "gold").agg(F.min_by("pred", "at").alias("pred"))
+    refused = abstentions.select("question_id", "question", "gold", F.explode(F.array(*[F.lit(r) for r in REFUSALS])).alias("pred"))
     confident = answerable.agg(F.min_by("gold", F.md5(F.col("question_id").cast("binary"))).alias("pred")).where("pred IS NOT NULL")
-    named = lambda df, kind, expected: df.select("question_id", F.lit(kind).alias("kind"), "gold", "pred", F.lit(expected).alias("expected"))
+    named = lambda df, kind, expected: df.select("question_id", F.lit(kind).alias("kind"), "question", "gold", "pred", F.lit(expected).alias("expected"))
     parts = [named(swapped, "swapped_gold", False), named(refused, "correct_abstention", True), named(abstentions.crossJoin(F.broadcast(confident)), "hallucinated_on_abstention", False)]
-    out = out.select("question_id", "kind", "gold", "pred", "expected")
+    out = out.select("question_id", "kind", "question", "gold", "pred", "expected")
     for p in parts:
         out = out.unionByName(p)
     return out
@@ -90,7 +91,7 @@ def cases(questions: DataFrame, abstentions: DataFrame, pool: int = 360) -> Data
 
 def report(audit_cases: DataFrame) -> DataFrame:
     """Counts per kind of graded cases: right, wrongly accepted, wrongly rejected."""
-    verdict = T.grade(F.col("pred"), F.col("gold"), F.col("kind").endswith("abstention"))
+    verdict = T.grade(F.col("pred"), F.col("gold"), F.col("kind").endswith("abstention"), F.col("question"))
     rows = audit_cases.withColumn("verdict", verdict).where(F.col("verdict").isNotNull())
     v, e = F.col("verdict"), F.col("expected")
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(v == e).alias("right"), F.count_if(v & ~e).alias("false_accepts"), F.count_if(~v & e).alias("false_rejects"))
@@ -99,7 +100,7 @@ def report(audit_cases: DataFrame) -> DataFrame:
 def rates(audit_cases: DataFrame) -> DataFrame:
     """One row: cases, graded ones, accuracy, false-accept and false-reject rates, the latter
     also of the rewrites (``hard_`` kinds) alone; a rate without cases is null."""
-    verdict = T.grade(F.col("pred"), F.col("gold"), F.col("kind").endswith("abstention"))
+    verdict = T.grade(F.col("pred"), F.col("gold"), F.col("kind").endswith("abstention"), F.col("question"))
     rows = audit_cases.withColumn("v", verdict)
     v, e, hard = F.col("v"), F.col("expected"), F.col("kind").startswith("hard_")
     share = lambda hit, of: F.round(F.avg(F.when(v.isNotNull() & of, hit.cast("int"))), 6)

@@ -76,24 +76,27 @@ def placebos(questions: DataFrame, m: int = PLACEBOS) -> DataFrame:
     """(question_id, nth, placebo): up to m golds of other questions of the same type and
     length bucket - of the same type if there are none - that differ from the question's own.
 
-    Candidates are distinct golds next to the question's own in a hash order of their group,
-    so a group is sorted but never paired with itself.
+    A group's golds stand in hash order, each as often as it is given, so that a frequent
+    one weighs as often as it comes.  A question starts at its own hash after its gold's
+    place and takes evenly spaced ones: neighbours draw different ones, and only distinct
+    golds are put in order.
     """
     q = questions.withColumn("bucket", T.length_bucket(T.normal_tokens(F.col("gold"))))
 
-    def ringed(*group: str) -> DataFrame:
-        w = Window.partitionBy(*group).orderBy(F.md5(F.col("gold").cast("binary")), "gold")
-        golds = q.select(*group, "gold").distinct()
-        ahead = golds.withColumns({"ahead": F.array(*[F.lead("gold", i).over(w) for i in range(1, m + 1)]), "at": F.row_number().over(w)})
-        # the group is a ring: its first golds follow its last
-        first = ahead.where(F.col("at") <= m + 1).groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "gold"))), lambda x: x["gold"]).alias("first"))
-        ring = F.array_distinct(F.filter(F.concat("ahead", "first"), lambda x: x.isNotNull() & (x != F.col("gold"))))
-        return ahead.join(first, list(group)).select(*group, "gold", F.slice(ring, 1, m).alias("others"))
-
-    tight, wide = ringed("question_type", "bucket"), ringed("question_type").withColumnRenamed("others", "fallback")
-    rows = q.join(tight, ["question_type", "bucket", "gold"]).join(wide, ["question_type", "gold"])
-    chosen = F.when(F.size("others") > 0, F.col("others")).otherwise(F.col("fallback"))
-    return rows.select("question_id", F.posexplode(chosen).alias("nth", "placebo"))
+    def drawn(*group: str) -> DataFrame:
+        of = Window.partitionBy(*group)
+        before = F.coalesce(F.sum("freq").over(of.orderBy(F.md5(F.col("gold").cast("binary")), "gold").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        golds = q.groupBy(*group, "gold").agg(F.count("*").alias("freq")).withColumns({"first": before, "size": F.sum("freq").over(of)})
+        places = golds.select(*group, F.col("gold").alias("placebo"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("freq") - 1)).alias("at"))
+        others = F.col("size") - F.col("freq")
+        start = F.conv(F.substring(F.md5(F.col("question_id").cast("binary")), 1, 8), 16, 10).cast("long")
+        own = q.join(golds, [*group, "gold"]).withColumns({"others": others, "start": start}).where("others > 0")
+        own = own.withColumn("nth", F.explode(F.sequence(F.lit(0), (F.least(F.lit(m), F.col("others")) - 1).cast("int"))))
+        at = F.expr(f"(first + freq + (start + nth * (others div least({m}, others))) % others) % size")
+        return own.withColumn("at", at).join(places, [*group, "at"]).select("question_id", "nth", "placebo")
+
+    tight = drawn("question_type", "bucket")
+    return tight.unionByName(drawn("question_type").join(tight.select("question_id").distinct(), "question_id", "left_anti"))
 
 
 def score(units: DataFrame, questions: DataFrame, m: int = PLACEBOS, *group: str) -> DataFrame:

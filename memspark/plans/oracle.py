@@ -77,8 +77,11 @@ def contains(t: str, g: str) -> str:
 TURNS = f"turns AS ({TURNS_SQL})"
 UNITS = f"{TURNS}, units AS (SELECT question_id, turn_index AS unit_id, role || ': ' || content AS text, session_id, session_date, session_index, has_answer AS is_evidence FROM turns)"
 WORDS = r"list_filter(string_split_regex(content, '\s+'), lambda w: w <> '')"
-QUESTIONS = f"""questions AS (SELECT question_id, array_to_string({WORDS}[1:8], ' ') AS question,
-    CASE WHEN regexp_extract(question_id, '\\d+')::INT % 4 = 1 THEN 'exactly ' || regexp_extract(question_id, '\\d+')::INT || ' days later' ELSE array_to_string({WORDS}[4:6], ' ') END AS gold,
+PLAIN = f"list_transform({WORDS}, lambda w: regexp_replace(w, '[^A-Za-z0-9]', '', 'g'))[4:6]"
+K = "regexp_extract(question_id, '\\d+')::INT"
+ASKS_ORDER = f"({K} % 10 IN (0, 3, 6) AND len({PLAIN}) = 3)"
+QUESTIONS = f"""questions AS (SELECT question_id, CASE WHEN {ASKS_ORDER} THEN 'In what order: ' ELSE '' END || array_to_string({WORDS}[1:8], ' ') AS question,
+    CASE WHEN {ASKS_ORDER} AND {K} % 10 = 3 THEN {PLAIN}[3] || ', ' || {PLAIN}[2] || ', and ' || {PLAIN}[1] WHEN {ASKS_ORDER} THEN {PLAIN}[1] || ', ' || {PLAIN}[2] || ', and ' || {PLAIN}[3] WHEN regexp_extract(question_id, '\\d+')::INT % 4 = 1 THEN 'exactly ' || regexp_extract(question_id, '\\d+')::INT || ' days later' ELSE array_to_string({WORDS}[4:6], ' ') END AS gold,
     ['knowledge-update', 'single-session-assistant', 'temporal-reasoning'][regexp_extract(question_id, '\\d+')::INT % 3 + 1] AS question_type FROM turns WHERE has_answer)"""
 UNIT_COLS = "question_id, unit_id, text, session_id, session_date, session_index, is_evidence"
 
@@ -135,7 +138,7 @@ QDENSE = f"""
     dhits AS (SELECT query_id, unit_id, rank, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) - 1)::INT AS rank FROM (
               SELECT u.question_id AS query_id, u.unit_id, round(coalesce(c.score, 0), 6) AS score FROM units u SEMI JOIN questions USING (question_id) LEFT JOIN cosine c ON c.question_id = u.question_id AND c.unit_id = u.unit_id) e) r WHERE rank < 100)"""
 
-PRED = f"{TURNS}, {QUESTIONS}, pred AS (SELECT t.question_id, turn_index, content AS pred, gold, {normal('content')} AS p, {normal('gold')} AS g FROM turns t JOIN questions q ON t.question_id = q.question_id)"
+PRED = f"{TURNS}, {QUESTIONS}, pred AS (SELECT t.question_id, turn_index, content AS pred, question, gold, {normal('content')} AS p, {normal('gold')} AS g FROM turns t JOIN questions q ON t.question_id = q.question_id)"
 
 
 def alternatives(c: str) -> str:
@@ -153,12 +156,22 @@ def enumerated(c: str) -> str:
     return f"CASE WHEN len({items}) >= 3 AND len(list_filter({items}, lambda s: len(string_split_regex(s, '\\s+')) > 4)) = 0 THEN {items} ELSE [] END"
 
 
-def graded(p: str, raw: str, gold: str = "gold", abstains: str = "false") -> str:
+def answers(p: str, gold: str = "gold", question: str | None = "question") -> str:
+    """Whether tokens p hold an answer; a question that asks for an order wants each item to start after the one before."""
     some = f"len(list_filter({alternatives(gold)}, lambda a: {contains(p, normal('a'))})) > 0"
     items = enumerated(gold)
-    every = f"(len({items}) > 0 AND len(list_filter({items}, lambda i: NOT {contains(p, normal('i'))})) = 0)"
+    every = f"len(list_filter({items}, lambda i: NOT {contains(p, normal('i'))})) = 0"
+    hay = f"(' ' || array_to_string({p}, ' ') || ' ')"
+    steps = f"list_prepend({{'at': 0::BIGINT, 's': ''}}, list_transform({items}, lambda i: {{'at': 0::BIGINT, 's': ' ' || array_to_string({normal('i')}, ' ') || ' '}}))"
+    found = f"instr(substr({hay}, a.at + 1), x.s)"
+    in_order = f"list_reduce({steps}, lambda a, x: CASE WHEN a.at < 0 OR trim(x.s) = '' OR {found} = 0 THEN {{'at': -1::BIGINT, 's': ''}} ELSE {{'at': a.at + {found}, 's': ''}} END).at >= 0"
+    asked = "false" if question is None else f"regexp_matches({question}, {quoted(ORDER_QUESTION)})"
+    return f"({some} OR (len({items}) > 0 AND CASE WHEN {asked} THEN {in_order} ELSE {every} END))"
+
+
+def graded(p: str, raw: str, gold: str = "gold", abstains: str = "false", question: str | None = "question") -> str:
     refuses = f"regexp_matches({raw}, {quoted(REFUSAL)})"
-    return f"CASE WHEN {abstains} OR regexp_matches({gold}, {quoted(GOLD_ABSTAINS)}) THEN {refuses} WHEN len({normal(gold)}) > 12 THEN NULL WHEN {refuses} THEN false ELSE {some} OR {every} END"
+    return f"CASE WHEN {abstains} OR regexp_matches({gold}, {quoted(GOLD_ABSTAINS)}) THEN {refuses} WHEN len({normal(gold)}) > 12 THEN NULL WHEN {refuses} THEN false ELSE {answers(p, gold, question)} END"
 
 
 SPELLED_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SPELLED.items()) + "}"
@@ -173,28 +186,28 @@ PLURAL = f"""CASE WHEN regexp_matches({LAST}, '^[A-Za-z]{{4,}}$') AND NOT ends_w
 ITEMS = enumerated("gold")
 ROTATED = f"CASE WHEN len({ITEMS}) >= 3 THEN array_to_string(list_append({ITEMS}[2:], 'and ' || {ITEMS}[1]), ', ') END"
 ORDERED = f"regexp_matches(question, {quoted(ORDER_QUESTION)})"
-ACCEPTED = f"coalesce({graded(normal('pred'), 'pred')}, false)"
-AUDIT = f"""abst AS (SELECT question_id, 'The information provided is not enough.' AS gold FROM turns WHERE question_id LIKE '%\\_abs' ESCAPE '\\' AND turn_index = 0),
+ACCEPTED = f"coalesce({graded(normal('pred'), 'pred', question=None)}, false)"
+AUDIT = f"""abst AS (SELECT question_id, array_to_string({WORDS}[1:8], ' ') AS question, 'The information provided is not enough.' AS gold FROM turns WHERE question_id LIKE '%\\_abs' ESCAPE '\\' AND turn_index = 0),
     able AS (SELECT * FROM questions WHERE len({normal('gold')}) <= 12 AND NOT regexp_matches(gold, {quoted(GOLD_ABSTAINS)})), aq AS (SELECT * FROM able ORDER BY question_id LIMIT 360),
-    made AS (SELECT question_id, 'identity' AS kind, gold, gold AS pred, true AS expected FROM aq
-    UNION ALL SELECT question_id, 'padded', gold, 'I believe the answer is ' || gold || ', based on our chat.', true FROM aq
-    UNION ALL SELECT question_id, 'sentence', gold, 'The answer is ' || gold || '.', true FROM aq
-    UNION ALL SELECT question_id, 'hard_number_word', gold, {HEAD} || {SPELLED_SQL}[{FIGURE}] || {REST}, true FROM aq
-    UNION ALL SELECT question_id, 'hard_month_abbrev', gold, {MONTH_CUT}, true FROM aq
-    UNION ALL SELECT question_id, 'hard_unit_expanded', gold, {UNIT_OUT}, true FROM aq
-    UNION ALL SELECT question_id, 'hard_case_punct', gold, upper(gold) || '!!', true FROM aq
-    UNION ALL SELECT question_id, 'hard_plural', gold, {PLURAL}, true FROM aq
-    UNION ALL SELECT question_id, CASE WHEN {ORDERED} THEN 'reordered_ordered_list' ELSE 'hard_list_reorder' END, gold, {ROTATED}, NOT {ORDERED} FROM aq
-    UNION ALL SELECT question_id, 'perturbed_number', gold, {HEAD} || (try_cast({FIGURE} AS BIGINT) + CASE WHEN length({FIGURE}) <= 3 THEN 7 ELSE 111 END) || {REST}, false FROM aq WHERE length({FIGURE}) <= 9
-    UNION ALL SELECT question_id, 'refusal_to_answerable', gold, [{", ".join(quoted(r) for r in AUDIT_REFUSALS)}][('0x' || substr(md5(question_id), 1, 4))::INT % 5 + 1], false FROM aq
-    UNION ALL SELECT question_id, 'empty', gold, '', false FROM aq),
+    made AS (SELECT question_id, 'identity' AS kind, question, gold, gold AS pred, true AS expected FROM aq
+    UNION ALL SELECT question_id, 'padded', question, gold, 'I believe the answer is ' || gold || ', based on our chat.', true FROM aq
+    UNION ALL SELECT question_id, 'sentence', question, gold, 'The answer is ' || gold || '.', true FROM aq
+    UNION ALL SELECT question_id, 'hard_number_word', question, gold, {HEAD} || {SPELLED_SQL}[{FIGURE}] || {REST}, true FROM aq
+    UNION ALL SELECT question_id, 'hard_month_abbrev', question, gold, {MONTH_CUT}, true FROM aq
+    UNION ALL SELECT question_id, 'hard_unit_expanded', question, gold, {UNIT_OUT}, true FROM aq
+    UNION ALL SELECT question_id, 'hard_case_punct', question, gold, upper(gold) || '!!', true FROM aq
+    UNION ALL SELECT question_id, 'hard_plural', question, gold, {PLURAL}, true FROM aq
+    UNION ALL SELECT question_id, CASE WHEN {ORDERED} THEN 'reordered_ordered_list' ELSE 'hard_list_reorder' END, question, gold, {ROTATED}, NOT {ORDERED} FROM aq
+    UNION ALL SELECT question_id, 'perturbed_number', question, gold, {HEAD} || (try_cast({FIGURE} AS BIGINT) + CASE WHEN length({FIGURE}) <= 3 THEN 7 ELSE 111 END) || {REST}, false FROM aq WHERE length({FIGURE}) <= 9
+    UNION ALL SELECT question_id, 'refusal_to_answerable', question, gold, [{", ".join(quoted(r) for r in AUDIT_REFUSALS)}][('0x' || substr(md5(question_id), 1, 4))::INT % 5 + 1], false FROM aq
+    UNION ALL SELECT question_id, 'empty', question, gold, '', false FROM aq),
     ring AS (SELECT question_type AS rt, gold AS pred, row_number() OVER (PARTITION BY question_type ORDER BY md5(question_id)) AS rr FROM aq),
-    tried AS (SELECT question_id, gold, i, pred FROM (SELECT question_id, question_type, gold, row_number() OVER (PARTITION BY question_type ORDER BY md5(question_id)) AS r FROM aq) a, range(1, 7) t(i), ring WHERE rt = question_type AND rr = r + i),
-    swaps AS (SELECT question_id, gold, arg_min(pred, i) AS pred FROM tried WHERE {normal('pred')} <> {normal('gold')} AND NOT {ACCEPTED} GROUP BY question_id, gold),
+    tried AS (SELECT question_id, question, gold, i, pred FROM (SELECT question_id, question_type, question, gold, row_number() OVER (PARTITION BY question_type ORDER BY md5(question_id)) AS r FROM aq) a, range(1, 7) t(i), ring WHERE rt = question_type AND rr = r + i),
+    swaps AS (SELECT question_id, question, gold, arg_min(pred, i) AS pred FROM tried WHERE {normal('pred')} <> {normal('gold')} AND NOT {ACCEPTED} GROUP BY question_id, question, gold),
     cases AS (SELECT * FROM made WHERE pred IS NOT NULL AND (kind <> 'perturbed_number' OR NOT {ACCEPTED})
-    UNION ALL SELECT question_id, 'swapped_gold', gold, pred, false FROM swaps
-    UNION ALL SELECT question_id, 'correct_abstention', gold, unnest([{", ".join(quoted(r) for r in AUDIT_REFUSALS)}]), true FROM abst
-    UNION ALL SELECT question_id, 'hallucinated_on_abstention', gold, pred, false FROM abst, (SELECT arg_min(gold, md5(question_id)) AS pred FROM able) c WHERE pred IS NOT NULL)"""
+    UNION ALL SELECT question_id, 'swapped_gold', question, gold, pred, false FROM swaps
+    UNION ALL SELECT question_id, 'correct_abstention', question, gold, unnest([{", ".join(quoted(r) for r in AUDIT_REFUSALS)}]), true FROM abst
+    UNION ALL SELECT question_id, 'hallucinated_on_abstention', question, gold, pred, false FROM abst, (SELECT arg_min(gold, md5(question_id)) AS pred FROM able) c WHERE pred IS NOT NULL)"""
 COSTED = f"costed AS (SELECT *, {count('text')} AS tokens, sum({count('text')}) OVER (PARTITION BY question_id) AS total FROM units)"
 
 
@@ -273,7 +286,7 @@ SQL: dict[str, str] = {
     "grade": f"WITH {PRED} SELECT question_id, turn_index, {graded('p', 'pred')} AS correct FROM pred",
     "token_f1": f"""WITH {PRED}, c AS (SELECT *, list_sum(list_transform(list_distinct(g), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda x: x = t))))) AS common FROM pred)
         SELECT question_id, turn_index, round(CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1 WHEN len(p) = 0 OR len(g) = 0 THEN 0 ELSE 2.0::DOUBLE * coalesce(common, 0) / (len(p) + len(g)) END, 6) AS f1 FROM c""",
-    "length_decay": f"""WITH {PRED}, capped AS (SELECT role AS arm, cap, gold, CASE WHEN cap = 0 THEN pred ELSE array_to_string(list_filter(string_split_regex(pred, '\\s+'), lambda w: w <> '')[1:cap], ' ') END AS short
+    "length_decay": f"""WITH {PRED}, capped AS (SELECT role AS arm, cap, question, gold, CASE WHEN cap = 0 THEN pred ELSE array_to_string(list_filter(string_split_regex(pred, '\\s+'), lambda w: w <> '')[1:cap], ' ') END AS short
             FROM pred JOIN turns USING (question_id, turn_index), (VALUES (0), (8), (15), (25), (40)) v(cap))
         SELECT arm, cap, count(*) AS n, count(*) FILTER (WHERE {graded(normal('short'), 'short')}) AS correct FROM capped GROUP BY arm, cap""",
     "gold_alternatives": f"""SELECT conv_id, turn, array_to_string({alternatives("coalesce(text, '')")}, '|') AS alternatives, array_to_string({enumerated("coalesce(text, '')")}, '|') AS items FROM conversations""",

@@ -33,18 +33,30 @@ def turn_units(spark: SparkSession, d: str, granularity: str = "turn") -> DataFr
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
     """(question_id, question, gold, question_type, is_abstention) from each question's evidence turn;
-    the gold of every fourth question is said nowhere."""
+    the gold of every fourth question is said nowhere.  Three in ten ask for an order: of the words of
+    their turn as they come, of the same words backwards, and of words that are said in no order."""
     t = fixtures.turns(spark, d).where("has_answer")
     words = F.filter(F.split("content", r"\s+"), lambda w: w != "")
     kinds = F.array(*[F.lit(x) for x in ("knowledge-update", "single-session-assistant", "temporal-reasoning")])
     k = F.regexp_extract("question_id", r"\d+", 0).cast("int")
     unsaid = F.concat(F.lit("exactly "), k, F.lit(" days later"))
+    plain = F.slice(F.transform(words, lambda w: F.regexp_replace(w, "[^A-Za-z0-9]", "")), 4, 3)
+    listed = lambda a: F.concat(F.element_at(a, 1), F.lit(", "), F.element_at(a, 2), F.lit(", and "), F.element_at(a, 3))
+    opening, three = F.array_join(F.slice(words, 1, 8), " "), F.size(plain) == 3
+    ordered = (k % 10).isin(0, 3, 6) & three
+    gold = F.when(ordered & (k % 10 != 3), listed(plain)).when(ordered, listed(F.reverse(plain))).when(k % 4 == 1, unsaid).otherwise(F.array_join(F.slice(words, 4, 3), " "))
     return t.select(
-        "question_id", F.array_join(F.slice(words, 1, 8), " ").alias("question"), F.when(k % 4 == 1, unsaid).otherwise(F.array_join(F.slice(words, 4, 3), " ")).alias("gold"),
+        "question_id", F.when(ordered, F.concat(F.lit("In what order: "), opening)).otherwise(opening).alias("question"), gold.alias("gold"),
         F.element_at(kinds, (k % 3 + 1)).alias("question_type"), F.lit(False).alias("is_abstention"),
     )
 
 
+def eligible(spark: SparkSession, d: str) -> DataFrame:
+    """The questions whose answers can survive as spans: stores are scored on them and placebos drawn from them."""
+    q = questions(spark, d)
+    return survival.routed(q).where("eligible").select(*q.columns)
+
+
 def abstentions(spark: SparkSession, d: str) -> DataFrame:
     """Questions without an answer, from their first turns."""
     first = fixtures.turns(spark, d).where("question_id LIKE '%\\_abs' AND turn_index = 0")
@@ -189,7 +201,7 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def grade(spark: SparkSession, d: str) -> DataFrame:
-    return predictions(spark, d).select("question_id", "turn_index", T.grade(F.col("pred"), F.col("gold"), F.col("is_abstention")).alias("correct"))
+    return predictions(spark, d).select("question_id", "turn_index", T.grade(F.col("pred"), F.col("gold"), F.col("is_abstention"), F.col("question")).alias("correct"))
 
 
 @query
@@ -204,7 +216,7 @@ def length_decay(spark: SparkSession, d: str) -> DataFrame:
     roles = fixtures.turns(spark, d).select("question_id", "turn_index", F.col("role").alias("arm"))
     p = predictions(spark, d).join(roles, ["question_id", "turn_index"]).withColumn("cap", F.explode(F.array(*[F.lit(c) for c in (0, 40, 25, 15, 8)])))
     short = F.when(F.col("cap") == 0, F.col("pred")).otherwise(F.array_join(F.slice(F.filter(F.split("pred", r"\s+"), lambda w: w != ""), F.lit(1), F.greatest("cap", F.lit(1))), " "))
-    return p.withColumn("short", short).groupBy("arm", "cap").agg(F.count("*").alias("n"), F.count_if(T.grade(F.col("short"), F.col("gold"), F.col("is_abstention"))).alias("correct"))
+    return p.withColumn("short", short).groupBy("arm", "cap").agg(F.count("*").alias("n"), F.count_if(T.grade(F.col("short"), F.col("gold"), F.col("is_abstention"), F.col("question"))).alias("correct"))
 
 
 @query
@@ -231,7 +243,7 @@ def grader_rates(spark: SparkSession, d: str) -> DataFrame:
 @query
 def placebo_survival(spark: SparkSession, d: str) -> DataFrame:
     """How often golds of other questions of the same type and length are found in a question's store."""
-    q = questions(spark, d)
+    q = eligible(spark, d)
     drawn = survival.placebos(q).groupBy("question_id").agg(F.count("*").alias("n_placebos"))
     rows = survival.score(turn_units(spark, d), q).select("question_id", F.round("null_record", 6).alias("null_record"))
     return rows.join(drawn, "question_id", "left").withColumn("n_placebos", F.coalesce("n_placebos", F.lit(0)))
@@ -280,13 +292,13 @@ def lexrank(spark: SparkSession, d: str) -> DataFrame:
 @query
 def survival_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Whether the answer survives in one record, by tokens, or in the whole store."""
-    return survival.score(turn_units(spark, d), questions(spark, d), 0).select("question_id", "question_type", F.col("bucket").alias("gold_len_bucket"), "record", "soft", "union_hit", "n_records")
+    return survival.score(turn_units(spark, d), eligible(spark, d), 0).select("question_id", "question_type", F.col("bucket").alias("gold_len_bucket"), "record", "soft", "union_hit", "n_records")
 
 
 @query
 def survival_summary(spark: SparkSession, d: str) -> DataFrame:
     """Survival by type, corrected by the floor that placebos measure."""
-    return survival.summary(survival.score(turn_units(spark, d), questions(spark, d)), "question_type")
+    return survival.summary(survival.score(turn_units(spark, d), eligible(spark, d)), "question_type")
 
 
 @query

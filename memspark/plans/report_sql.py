@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from memspark.plans.oracle import ANSWER, CLOSED_BOOK, GOLD_ABSTAINS, METRIC_COLS, NEWEST, PRED, QBM25, QDENSE, QUESTIONS, SENTENCES, TURNS, UNITS, by_sentence, contains, count, enumerated, fused, graded, normal, quoted, ranked, tokens
-from memspark.plans.oracle import alternatives as alts
+from memspark.plans.oracle import ANSWER, CLOSED_BOOK, GOLD_ABSTAINS, METRIC_COLS, NEWEST, PRED, QBM25, QDENSE, QUESTIONS, SENTENCES, TURNS, UNITS, answers, by_sentence, count, fused, graded, normal, quoted, ranked, tokens
 from memspark.sources.fixtures import ASKED_SQL
 
 BASE = f"{UNITS}, {QUESTIONS}"
@@ -110,34 +109,29 @@ ROUTED = f"""{BASE}, q0 AS (SELECT question_id, question_type, question, gold, {
     flagged AS (SELECT *, extractive AND NOT gold_abstains AS scored, extractive AND NOT gold_abstains AND question_type IN ('single-session-user', 'single-session-assistant', 'knowledge-update') AS eligible FROM routed)"""
 
 
-def answered(p: str, gold: str = "gold") -> str:
-    """Whether tokens p hold an answer; the fixtures' questions ask for no order."""
-    items = enumerated(gold)
-    return f"(len(list_filter({alts(gold)}, lambda a: {contains(p, normal('a'))})) > 0 OR (len({items}) > 0 AND len(list_filter({items}, lambda i: NOT {contains(p, normal('i'))})) = 0))"
-
-
-PLACES = f"""{ROUTED}, seen AS (SELECT f.question_id, question_type, bucket, gold, numeral, has_answer, content, turn_index, {answered(normal('content'))} AS hit FROM turns t JOIN flagged f ON f.question_id = t.question_id WHERE scored),
-    per AS (SELECT question_id, question_type, bucket, gold, numeral, coalesce(bool_or(hit) FILTER (WHERE has_answer), false) AS in_evidence, bool_or(hit) AS in_haystack,
+PLACES = f"""{ROUTED}, seen AS (SELECT f.question_id, question_type, bucket, question, gold, numeral, has_answer, content, turn_index, {answers(normal('content'))} AS hit FROM turns t JOIN flagged f ON f.question_id = t.question_id WHERE scored),
+    per AS (SELECT question_id, question_type, bucket, question, gold, numeral, coalesce(bool_or(hit) FILTER (WHERE has_answer), false) AS in_evidence, bool_or(hit) AS in_haystack,
         coalesce(string_agg(content, chr(10) ORDER BY turn_index) FILTER (WHERE has_answer), '') AS text FROM seen GROUP BY ALL),
-    places AS (SELECT *, {answered(normal('text'))} AS in_union, in_haystack AND NOT in_evidence AS outside_only FROM per)"""
+    places AS (SELECT *, {answers(normal('text'))} AS in_union, in_haystack AND NOT in_evidence AS outside_only FROM per)"""
 
 
 def ring(name: str, group: str, m: int) -> str:
-    on = " AND ".join(f"a.{c.strip()} = b.{c.strip()}" for c in group.split(","))
-    cols = ", ".join(f"a.{c.strip()}" for c in group.split(","))
-    return f"""{name}_r AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY md5(gold), gold) AS at, count(*) OVER (PARTITION BY {group}) AS size FROM (SELECT DISTINCT {group}, gold FROM q1) d),
-    {name} AS (SELECT * FROM (SELECT {cols}, a.gold, b.gold AS placebo, row_number() OVER (PARTITION BY {cols}, a.gold ORDER BY (b.at - a.at + a.size) % a.size) - 1 AS nth FROM {name}_r a JOIN {name}_r b ON {on} AND a.gold <> b.gold) s WHERE nth < {m})"""
+    """Drawn golds of other questions of a group: m evenly spaced ones of those that differ from the own, from a hashed start."""
+    return f"""{name}_g AS (SELECT {group}, gold, count(*) AS freq, coalesce(sum(count(*)) OVER (PARTITION BY {group} ORDER BY md5(gold), gold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, sum(count(*)) OVER (PARTITION BY {group})::BIGINT AS size FROM q1 GROUP BY {group}, gold),
+    {name}_r AS (SELECT {group}, gold AS placebo, unnest(range(first, first + freq)) AS place FROM {name}_g),
+    {name}_d AS (SELECT question_id, {group}, i AS nth, (first + freq + (('0x' || substr(md5(question_id), 1, 8))::BIGINT + i * (c // least({m}, c))) % c) % size AS place
+        FROM (SELECT *, size - freq AS c FROM q1 JOIN {name}_g USING ({group}, gold)) x, range({m}) t(i) WHERE c > 0 AND i < least({m}, c)),
+    {name} AS (SELECT question_id, nth::INT AS nth, placebo FROM {name}_d JOIN {name}_r USING ({group}, place))"""
 
 
-PLACEBOS = f"""{BASE}, q1 AS (SELECT question_id, question_type, gold, {normal('gold')} AS g, {BUCKET} AS bucket FROM questions), {ring('tight', 'question_type, bucket', 10)}, {ring('wide', 'question_type', 10)},
-    placebos AS (SELECT question_id, nth::INT AS nth, placebo FROM q1 JOIN tight USING (question_type, bucket, gold)
-        UNION ALL SELECT question_id, nth::INT, placebo FROM (SELECT * FROM q1 ANTI JOIN tight USING (question_type, bucket, gold)) x JOIN wide USING (question_type, gold))"""
+PLACEBOS = f"""{ROUTED}, q1 AS (SELECT question_id, question_type, question, gold, {normal('gold')} AS g, bucket FROM flagged WHERE eligible), {ring('tight', 'question_type, bucket', 10)}, {ring('wide', 'question_type', 10)},
+    placebos AS (SELECT * FROM tight UNION ALL SELECT * FROM wide WHERE question_id NOT IN (SELECT question_id FROM tight))"""
 HELD = "len(list_filter({g}, lambda x: NOT list_contains(t, x))) = 0 AND len({g}) > 0"
 SCORED = f"""{PLACEBOS}, store AS (SELECT question_id, unit_id, {normal('text')} AS t, {count('text')} AS tokens FROM units),
-    own AS (SELECT s.question_id, question_type, bucket, any_value(len(g)) >= 2 AS in_primary, bool_or({answered('t')}) AS record, bool_or({HELD.format(g='g')}) AS soft,
-        {answered('flatten(list(t ORDER BY unit_id))', 'any_value(gold)')} AS union_hit, count(*) AS n_records, sum(tokens)::BIGINT AS store_tokens FROM store s JOIN q1 ON q1.question_id = s.question_id GROUP BY ALL),
-    pl AS (SELECT question_id, nth, placebo, {normal('placebo')} AS p FROM placebos),
-    hit AS (SELECT s.question_id, nth, bool_or({answered('t', 'placebo')}) AS record, bool_or({HELD.format(g='p')}) AS soft, {answered('flatten(list(t ORDER BY unit_id))', 'any_value(placebo)')} AS whole FROM store s JOIN pl ON pl.question_id = s.question_id GROUP BY ALL),
+    own AS (SELECT s.question_id, question_type, bucket, any_value(len(g)) >= 2 AS in_primary, bool_or({answers('t')}) AS record, bool_or({HELD.format(g='g')}) AS soft,
+        {answers('flatten(list(t ORDER BY unit_id))', 'any_value(gold)', 'any_value(question)')} AS union_hit, count(*) AS n_records, sum(tokens)::BIGINT AS store_tokens FROM store s JOIN q1 ON q1.question_id = s.question_id GROUP BY ALL),
+    pl AS (SELECT question_id, nth, placebo, question, {normal('placebo')} AS p FROM placebos JOIN q1 USING (question_id)),
+    hit AS (SELECT s.question_id, nth, bool_or({answers('t', 'placebo')}) AS record, bool_or({HELD.format(g='p')}) AS soft, {answers('flatten(list(t ORDER BY unit_id))', 'any_value(placebo)', 'any_value(question)')} AS whole FROM store s JOIN pl ON pl.question_id = s.question_id GROUP BY ALL),
     floor_of AS (SELECT question_id AS fq, avg(record::INT) AS null_record, avg(soft::INT) AS null_soft, avg(whole::INT) AS null_union FROM hit GROUP BY question_id),
     rows_of AS (SELECT own.*, coalesce(null_record, 0) AS null_record, coalesce(null_soft, 0) AS null_soft, coalesce(null_union, 0) AS null_union FROM own LEFT JOIN floor_of ON fq = own.question_id)"""
 SURVIVAL = ", ".join(f"round(avg({c}::DOUBLE), 6) AS {c}" for c in ("record", "soft", "union_hit", "null_record", "null_soft", "null_union", "n_records", "store_tokens"))
@@ -155,8 +149,8 @@ def resampled(values: str) -> str:
 
 def selector(order: str) -> str:
     """One row per question: does the gold survive in the sentences kept by an order."""
-    return f"""SELECT s.question_id, bool_or({answered(normal('s.text'), 'q.gold')}) AS record, count(*) AS n_records, sum({count('s.text')})::BIGINT AS tokens
-        FROM ({by_sentence(order)}) s JOIN questions q ON q.question_id = s.question_id GROUP BY s.question_id"""
+    return f"""SELECT s.question_id, bool_or({answers(normal('s.text'), 'q.gold', 'q.question')}) AS record, count(*) AS n_records, sum({count('s.text')})::BIGINT AS tokens
+        FROM ({by_sentence(order)}) s JOIN q1 q ON q.question_id = s.question_id GROUP BY s.question_id"""
 
 
 JUDGED = """judged AS (SELECT l.doc_id, CASE WHEN l.doc_id % 7 = 0 THEN NULL ELSE coalesce(quality = 1, false) END AS judge, n_chars > 1000 AS deterministic FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"""
@@ -269,14 +263,14 @@ REPORT_SQL: dict[str, str] = {
         o AS (SELECT m, row_number() OVER (ORDER BY m, b) - 1 AS r, count(*) OVER () AS k FROM (SELECT b, CASE WHEN z < 1 THEN (s - z) / (1 - z) END AS m FROM reps) c WHERE m IS NOT NULL)
         SELECT n, round((SELECT CASE WHEN avg(floor) < 1 THEN (avg(score) - avg(floor)) / (1 - avg(floor)) END FROM v), 6) AS point, round((SELECT max(m) FROM o WHERE r = floor(0.025::DOUBLE * k)), 6) AS lo,
             round((SELECT max(m) FROM o WHERE r = least(k - 1, floor(0.975::DOUBLE * k))), 6) AS hi FROM n""",
-    "matched_budget_selectors": f"""WITH {BASE}, a AS ({selector('pos, unit_id')}), z AS ({selector('n - pos, unit_id')}),
-        p AS (SELECT coalesce(z.record, false) AS s, coalesce(a.record, false) AS c, a.n_records AS ar, a.tokens AS atk, z.n_records AS zr, z.tokens AS zt FROM questions q LEFT JOIN a ON a.question_id = q.question_id LEFT JOIN z ON z.question_id = q.question_id),
+    "matched_budget_selectors": f"""WITH {ROUTED}, q1 AS (SELECT question_id, question, gold FROM flagged WHERE eligible), a AS ({selector('pos, unit_id')}), z AS ({selector('n - pos, unit_id')}),
+        p AS (SELECT coalesce(z.record, false) AS s, coalesce(a.record, false) AS c, a.n_records AS ar, a.tokens AS atk, z.n_records AS zr, z.tokens AS zt FROM q1 q LEFT JOIN a ON a.question_id = q.question_id LEFT JOIN z ON z.question_id = q.question_id),
         t AS (SELECT coalesce(sum(ar), 0)::BIGINT AS lead_records, coalesce(sum(atk), 0)::BIGINT AS lead_tokens, coalesce(sum(zr), 0)::BIGINT AS tail_records, coalesce(sum(zt), 0)::BIGINT AS tail_tokens, count(*) AS n, count(*) FILTER (WHERE s AND c) AS "both",
             count(*) FILTER (WHERE s AND NOT c) AS system_only, count(*) FILTER (WHERE c AND NOT s) AS control_only, count(*) FILTER (WHERE NOT s AND NOT c) AS neither FROM p)
         SELECT *, round(CASE WHEN system_only + control_only = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(system_only, control_only) + 1),
             lambda i: exp(lgamma(system_only + control_only + 1) - lgamma(i + 1) - lgamma(system_only + control_only - i + 1) - (system_only + control_only) * ln(2))))) END, 9) AS p FROM t""",
     "arm_accuracy": f"""WITH {PRED}, c AS (SELECT question_type, {graded('p', 'pred')} AS correct, list_sum(list_transform(list_distinct(g), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda x: x = t))))) AS common, len(p) AS np, len(g) AS ng
-            FROM pred JOIN questions USING (question_id, gold)), f AS (SELECT *, CASE WHEN np = 0 AND ng = 0 THEN 1 WHEN np = 0 OR ng = 0 THEN 0 ELSE 2.0::DOUBLE * coalesce(common, 0) / (np + ng) END AS f1 FROM c)
+            FROM pred JOIN questions USING (question_id, question, gold)), f AS (SELECT *, CASE WHEN np = 0 AND ng = 0 THEN 1 WHEN np = 0 OR ng = 0 THEN 0 ELSE 2.0::DOUBLE * coalesce(common, 0) / (np + ng) END AS f1 FROM c)
         SELECT coalesce(question_type, 'all') AS question_type, count(correct) AS n_gradable, round(avg(correct::INT), 6) AS accuracy, round(avg(f1) FILTER (WHERE correct IS NOT NULL), 6) AS f1 FROM f GROUP BY ROLLUP (question_type)""",
     "regrade_diff": f"""WITH {PRED}, s AS (SELECT *, array_to_string(list_filter(string_split_regex(pred, '\\s+'), lambda w: w <> '')[1:8], ' ') AS short FROM pred),
         v AS (SELECT question_id || '/' || turn_index AS question_id, {graded('p', 'pred')} AS before, {graded(normal('short'), 'short')} AS after FROM s) SELECT * FROM v WHERE before IS DISTINCT FROM after""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions import text as T
 from memspark.operators import audit, costs, dates, metrics, policies, retrieve, runs, survival
-from memspark.plans.queries import QUERIES, corpus, predictions, query, questions, turn_units
+from memspark.plans.queries import QUERIES, corpus, eligible, predictions, query, questions, turn_units
 from memspark.sources import artifacts, fixtures
 from memspark.sources.stage import saved
 
@@ -244,11 +244,11 @@ def answer_location(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def placebo_pool(spark: SparkSession, d: str) -> DataFrame:
-    return survival.placebos(questions(spark, d))
+    return survival.placebos(eligible(spark, d))
 
 
 def survival_rows(spark: SparkSession, d: str) -> DataFrame:
-    return survival.score(turn_units(spark, d), questions(spark, d))
+    return survival.score(turn_units(spark, d), eligible(spark, d))
 
 
 @query
@@ -265,7 +265,7 @@ def bootstrap_corrected(spark: SparkSession, d: str) -> DataFrame:
 def store_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Outcomes of three selectors at two budgets, scored in one pass and kept: the
     comparisons read them many times."""
-    u, q, stores = saved(turn_units(spark, d), "units"), saved(questions(spark, d), "questions"), None
+    u, q, stores = saved(turn_units(spark, d), "units"), saved(eligible(spark, d), "questions"), None
     for spec in ("leadk_25", "tailk_25", "lexrank_25", "leadk_50", "tailk_50", "lexrank_50"):
         part = policies.build(u, spec).select(F.lit(policies.parse(spec).name).alias("store"), "question_id", "unit_id", "text")
         stores = part if stores is None else stores.unionByName(part)
@@ -275,7 +275,7 @@ def store_outcomes(spark: SparkSession, d: str) -> DataFrame:
 @query
 def survival_stores(spark: SparkSession, d: str) -> DataFrame:
     """Stores of the policies that SQL can follow, the largest first."""
-    u, q, out = turn_units(spark, d), questions(spark, d), None
+    u, q, out = turn_units(spark, d), eligible(spark, d), None
     for spec in ("verbatim_turn", "leadk_25", "tailk_25"):
         part = survival.score(policies.build(u, spec), q).withColumn("store", F.lit(policies.parse(spec).name))
         out = part if out is None else out.unionByName(part)
@@ -303,7 +303,7 @@ def cost_curves(spark: SparkSession, d: str) -> DataFrame:
 @query
 def matched_budget_selectors(spark: SparkSession, d: str) -> DataFrame:
     """First against last sentences at one budget: records, tokens, and paired survival."""
-    q, u = questions(spark, d), turn_units(spark, d)
+    q, u = eligible(spark, d), turn_units(spark, d)
     first, last = policies.build(u, "leadk_25"), policies.build(u, "tailk_25")
     found = lambda store: survival.score(store, q, 0).select("question_id", "record", "n_records", "store_tokens")
     pairs = q.select("question_id").join(found(first), "question_id", "left").join(found(last).toDF("question_id", "other", "other_records", "other_tokens"), "question_id", "left")
@@ -317,7 +317,7 @@ def matched_budget_selectors(spark: SparkSession, d: str) -> DataFrame:
 def arm_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy and F1 of gradable predictions, per type and in all."""
     p = predictions(spark, d)
-    rows = p.select("question_type", T.grade(F.col("pred"), F.col("gold"), F.col("is_abstention")).alias("correct"), T.token_f1(T.normal_tokens(F.col("pred")), T.normal_tokens(F.col("gold"))).alias("f1"))
+    rows = p.select("question_type", T.grade(F.col("pred"), F.col("gold"), F.col("is_abstention"), F.col("question")).alias("correct"), T.token_f1(T.normal_tokens(F.col("pred")), T.normal_tokens(F.col("gold"))).alias("f1"))
     return rows.rollup("question_type").agg(
         F.count("correct").alias("n_gradable"), F.round(F.avg(F.col("correct").cast("int")), 6).alias("accuracy"), F.round(F.avg(F.when(F.col("correct").isNotNull(), F.col("f1"))), 6).alias("f1"),
     ).withColumn("question_type", F.coalesce("question_type", F.lit("all")))
@@ -327,7 +327,7 @@ def arm_accuracy(spark: SparkSession, d: str) -> DataFrame:
 def regrade_diff(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts that change when predictions are cut to eight words."""
     p = predictions(spark, d).withColumn("question_id", F.concat_ws("/", "question_id", "turn_index"))
-    verdict = lambda text: p.select("question_id", T.grade(text, F.col("gold"), F.col("is_abstention")).alias("correct"))
+    verdict = lambda text: p.select("question_id", T.grade(text, F.col("gold"), F.col("is_abstention"), F.col("question")).alias("correct"))
     return audit.changed_verdicts(verdict(F.col("pred")), verdict(T.cap_words(F.col("pred"), 8)))
 
 
