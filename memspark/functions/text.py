@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # They must equal the evaluation's published definitions for equal results.
@@ -44,6 +47,9 @@ ORDER_QUESTION = r"(?i)\b(order|sequence|chronological|earliest|latest)\b"
 # End of fixed values.
 REFUSAL = "(?i)" + "|".join(REFUSALS)
 MASK = "\ue000"
+#: The session's setting that names a vocabulary; vocabularies that this worker has read.
+TOKENIZER = "memspark.tokenizer"
+VOCABULARIES: dict[str, object] = {}
 DATE = r"\d{4}/\d{2}/\d{2}"
 
 
@@ -52,8 +58,28 @@ def bm25_tokens(text: Column) -> Column:
 
 
 def count_tokens(text: Column) -> Column:
-    """A quarter of the characters, one at least."""
-    return F.greatest(F.lit(1).cast("long"), F.floor(F.length(text) / 4)).cast("int")
+    """Tokens by the vocabulary that the session names in ``memspark.tokenizer``, a file of the
+    library ``tokenizers`` that every worker can read; else a quarter of the characters, one at
+    least.  All budgets and statistics count by it."""
+    spark = SparkSession.getActiveSession()
+    path = spark.conf.get(TOKENIZER, None) if spark is not None else None
+    return vocabulary_counts(path)(text) if path else F.greatest(F.lit(1).cast("long"), F.floor(F.length(text) / 4)).cast("int")
+
+
+def vocabulary_counts(path: str) -> Callable[[Column], Column]:
+    """A column function that counts tokens by a vocabulary file; special tokens in a text are ordinary text."""
+
+    def counts(texts: pd.Series) -> pd.Series:
+        # a worker reads a file once
+        if path not in VOCABULARIES:
+            from tokenizers import Tokenizer
+
+            VOCABULARIES[path] = Tokenizer.from_file(path)
+            VOCABULARIES[path].encode_special_tokens = True
+        out = VOCABULARIES[path].encode_batch(["" if t is None else t for t in texts], add_special_tokens=False)
+        return pd.Series([len(e.ids) for e in out], dtype="int32")
+
+    return F.pandas_udf(counts, "int")
 
 
 def parse_date(text: Column) -> Column:

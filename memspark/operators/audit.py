@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import text as T
+from memspark.operators.hooks import Backend
+from memspark.operators.replies import ReplyStore
 
 
 # Spellings and replies that the constructed cases use.
@@ -26,6 +30,8 @@ REFUSALS = (
 # End of fixed values.
 FIRST_NUMBER = r"(?s)^([^0-9]*)([0-9]+)(.*)$"
 TRIES = 6
+#: Cases that a judge is asked; false-accept rate from which a grader is too lenient.
+JUDGED, LENIENT = 400, 0.05
 
 
 def pluralised(gold: Column) -> Column:
@@ -97,11 +103,12 @@ def report(audit_cases: DataFrame) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(v == e).alias("right"), F.count_if(v & ~e).alias("false_accepts"), F.count_if(~v & e).alias("false_rejects"))
 
 
-def rates(audit_cases: DataFrame) -> DataFrame:
+def rates(audit_cases: DataFrame, verdict: Column | None = None) -> DataFrame:
     """One row: cases, graded ones, accuracy, false-accept and false-reject rates, the latter
-    also of the rewrites (``hard_`` kinds) alone; a rate without cases is null."""
-    verdict = T.grade(F.col("pred"), F.col("gold"), F.col("kind").endswith("abstention"), F.col("question"))
-    rows = audit_cases.withColumn("v", verdict)
+    also of the rewrites (``hard_`` kinds) alone; a rate without cases is null.  The verdict is
+    the grader's, or the one given."""
+    told = T.grade(F.col("pred"), F.col("gold"), F.col("kind").endswith("abstention"), F.col("question")) if verdict is None else verdict
+    rows = audit_cases.withColumn("v", told)
     v, e, hard = F.col("v"), F.col("expected"), F.col("kind").startswith("hard_")
     share = lambda hit, of: F.round(F.avg(F.when(v.isNotNull() & of, hit.cast("int"))), 6)
     return rows.agg(
@@ -110,6 +117,15 @@ def rates(audit_cases: DataFrame) -> DataFrame:
     )
 
 
+def judged_rates(audit_cases: DataFrame, store: ReplyStore, name: str, make: Callable[[], Backend], template: str, abstain_template: str, limit: int = JUDGED) -> DataFrame:
+    """``rates`` of the grader over all cases, and of a judge over the first ``limit`` by question,
+    kind and answer, by ``grader``; ``too_lenient`` warns of a grader that accepts too many wrong answers."""
+    first = audit_cases.orderBy("question_id", "kind", "pred").limit(limit).withColumn("is_abstention", F.col("kind").endswith("abstention"))
+    verdicts = store.judged(first, name, make, template, abstain_template)
+    both = rates(audit_cases).withColumn("grader", F.lit("deterministic")).unionByName(rates(verdicts, F.col("verdict")).withColumn("grader", F.lit(f"judge:{name}")))
+    return both.withColumn("too_lenient", F.coalesce((F.col("grader") == "deterministic") & (F.col("false_accept_rate") > LENIENT), F.lit(False)))
+
+
 def clamped_arms(predictions: DataFrame) -> DataFrame:
     """Arms whose prompts all have one non-zero length over more than five records."""
     per = predictions.groupBy("arm").agg(F.count("*").alias("n"), F.count_distinct("prompt_tokens").alias("lengths"), F.max("prompt_tokens").alias("length"))

@@ -31,7 +31,8 @@ ANSWER_PROMPT = (
 )
 CLOSED_BOOK_PROMPT = "Today's date is {date}.\n\nAnswer the user's question. If you do not know the answer, say you don't know.\n\nQuestion: {question}\nAnswer concisely."
 # End of fixed values.
-ENCODE_BATCH = 128
+#: Texts that an encoder gets at once; tokens that a verdict may take.
+ENCODE_BATCH, VERDICT_TOKENS = 128, 8
 KEPT: dict[tuple[str, str], object] = {}
 
 
@@ -66,21 +67,31 @@ class HashingEncoder:
         return out
 
 
-def encoded(df: DataFrame, text_col: str, name: str, make: Callable[[], Encoder] = HashingEncoder, device: str = "cpu", query: bool = False) -> DataFrame:
-    """``df`` with ``vec``: the text's unit vector (all zeros for one without tokens).  Null texts are empty."""
-    keep = [c for c in df.columns if c != "vec"]
-    schema = StructType([*df.select(*keep).schema.fields, StructField("vec", ArrayType(DoubleType()))])
-    prefix = QUERY_PREFIX if query and "bge" in name.lower() else ""
+def prefix_of(name: str, query: bool) -> str:
+    """What a model wants before a text."""
+    return QUERY_PREFIX if query and "bge" in name.lower() else ""
+
+
+def encoded(df: DataFrame, text_col: str, name: str, make: Callable[[], Encoder] = HashingEncoder, device: str = "cpu", query: bool = False, seconds: bool = False) -> DataFrame:
+    """``df`` with ``vec``: the text's unit vector (all zeros for one without tokens), and with
+    ``seconds`` its share of the time that the encoder took.  Null texts are empty."""
+    made = ["vec", "seconds"] if seconds else ["vec"]
+    keep = [c for c in df.columns if c not in made]
+    schema = StructType([*df.select(*keep).schema.fields, *[StructField(c, t) for c, t in zip(made, (ArrayType(DoubleType()), DoubleType()), strict=False)]])
+    prefix = prefix_of(name, query)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(name, device, make)
         for batch in batches:
             for at in range(0, batch.num_rows, ENCODE_BATCH):
                 part = batch.slice(at, ENCODE_BATCH)
+                began = time.perf_counter()
                 x = np.asarray(encoder.encode([prefix + (t or "") for t in part.column(text_col).to_pylist()]), dtype=np.float64)
+                took = (time.perf_counter() - began) / part.num_rows
                 size = np.linalg.norm(x, axis=1, keepdims=True)
                 x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(x), pa.list_(pa.float64()))], names=[*keep, "vec"])
+                out = [pa.array(list(x), pa.list_(pa.float64())), pa.array([took] * part.num_rows)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *out[: len(made)]], names=[*keep, *made])
 
     return df.select(*keep).mapInArrow(run, schema)
 
@@ -140,15 +151,29 @@ def predictions(rows: DataFrame, name: str, make: Callable[[], Backend], max_new
     return out.select(*keep, "pred", estimate("prompt_tokens", "prompt"), estimate("completion_tokens", "pred"), (~told).alias("estimated"))
 
 
-def judged(answers: DataFrame, name: str, make: Callable[[], Backend], template: str, abstain_template: str) -> DataFrame:
-    """``answers`` (question, gold, pred, is_abstention) with raw_verdict and verdict, by a judge
-    that is asked with a template of {question}, {gold} and {pred}, another one for abstentions."""
+def judge_prompt(template: str, abstain_template: str) -> Column:
+    """What a judge is asked: a template of {question}, {gold} and {pred}, another one for abstentions."""
     filled = lambda t: F.replace(F.replace(F.replace(F.lit(t), F.lit("{question}"), F.col("question")), F.lit("{gold}"), F.col("gold")), F.lit("{pred}"), F.col("pred"))
-    asked = answers.withColumns({"answer": F.col("pred"), "prompt": F.when(F.col("is_abstention"), filled(abstain_template)).otherwise(filled(template))})
-    replies = predictions(asked, name, make, max_new_tokens=8)
+    return F.when(F.col("is_abstention"), filled(abstain_template)).otherwise(filled(template))
+
+
+def judged(answers: DataFrame, name: str, make: Callable[[], Backend], template: str, abstain_template: str) -> DataFrame:
+    """``answers`` (question, gold, pred, is_abstention) with raw_verdict and verdict by a judge."""
+    asked = answers.withColumns({"answer": F.col("pred"), "prompt": judge_prompt(template, abstain_template)})
+    replies = predictions(asked, name, make, max_new_tokens=VERDICT_TOKENS)
     return replies.select(*[F.col("answer").alias("pred") if c == "pred" else F.col(c) for c in answers.columns], F.col("pred").alias("raw_verdict"), T.parse_verdict(F.col("pred")).alias("verdict"))
 
 
+class ContainmentJudge:
+    """Says correct where the text behind the first MARK holds the text before it: needs no model."""
+
+    MARK = "\n<answer>\n"
+
+    def generate(self, prompt: str, max_new_tokens: int) -> tuple[str, int | None, int | None]:
+        gold, _, pred = prompt.partition(self.MARK)
+        return ("correct" if gold.lower() in pred.lower() else "incorrect"), None, None
+
+
 class Timer:
     """Wall-clock seconds per phase, of the actions run inside ``phase``."""
 

@@ -3,36 +3,38 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import text as T
 from memspark.operators.units import renumber
+from memspark.sources.stage import discard, saved
 
 SPEC = re.compile(r"(verbatim)_(turn|user_turn|session)|(truncated_recency|leadk|tailk|lexrank)_(\d+)|(truncated_random)_(\d+)(?:_s(\d+))?")
 #: Fixed values of the centrality ranking.
 DAMPING, MAX_STEPS, TOLERANCE = 0.85, 40, 1e-8
+#: Steps of a job; weights are rounded before they rank.
+STEPS, WEIGHT_DIGITS = 5, 10
 
 
 @dataclass(frozen=True)
 class Policy:
     kind: str
-    fraction: float = 1.0
+    percent: int = 100
     seed: int = 0
     granularity: str = "turn"
 
+    @property
+    def fraction(self) -> float:
+        return self.percent / 100
 
     @property
     def name(self) -> str:
         """The name that results carry: kind, percentage, and the seed of a random one."""
-        if self.kind == "verbatim":
-            return f"verbatim_{self.granularity}"
-        return f"{self.kind}_{self.fraction:.0%}".replace("%", "pct") + (f"_s{self.seed}" if self.kind == "truncated_random" else "")
+        parts = {"verbatim": [self.granularity], "truncated_random": [f"{self.percent}pct", f"s{self.seed}"]}
+        return "_".join([self.kind, *parts.get(self.kind, [f"{self.percent}pct"])])
 
     def config(self) -> dict[str, object]:
         """What a result must tell of its policy."""
@@ -51,7 +53,7 @@ def parse(spec: str) -> Policy:
     percent = int(m[4] or m[6])
     if not 0 < percent <= 100:
         raise ValueError(f"{spec!r}: the percentage must be from 1 to 100")
-    return Policy(m[3] or m[5], percent / 100, int(m[7] or 0))
+    return Policy(m[3] or m[5], percent, int(m[7] or 0))
 
 
 def fill(rows: DataFrame, fraction: float, *order: Column | str) -> DataFrame:
@@ -123,68 +125,86 @@ def sentence_idf(units: DataFrame) -> DataFrame:
     return df.join(n, "question_id").select("question_id", "term", "df", F.round(F.log(F.col("n") / (1 + F.col("df"))) + 1, 9).alias("idf"))
 
 
-def sentence_cosines(units: DataFrame) -> DataFrame:
-    """(question_id, unit_id, i, j, cosine) of the sentences i < j of a unit that share a
-    term: joined on the term within the unit, never all pairs."""
+def sentence_terms(units: DataFrame) -> DataFrame:
+    """(question_id, unit_id, pos, term, w, norm): tf-idf weights of a sentence's terms, and its length."""
     terms = sentence_rows(units).select("question_id", "unit_id", "pos", F.explode(T.bm25_tokens(F.col("sentence"))).alias("term"))
     w = terms.groupBy("question_id", "unit_id", "pos", "term").agg(F.count("*").alias("tf")).join(sentence_idf(units), ["question_id", "term"])
     w = w.withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("question_id", "unit_id", "pos")))
-    v = w.select("question_id", "unit_id", "pos", "term", "w", norm.alias("norm"))
-    other = v.select("question_id", "unit_id", "term", F.col("pos").alias("j"), F.col("w").alias("w2"), F.col("norm").alias("norm2"))
-    pairs = v.withColumnRenamed("pos", "i").join(other, ["question_id", "unit_id", "term"]).where("i < j AND norm > 0 AND norm2 > 0")
+    return w.select("question_id", "unit_id", "pos", "term", "w", norm.alias("norm"))
+
+
+def cosines(terms: DataFrame) -> DataFrame:
+    """(question_id, unit_id, i, j, cosine) of the sentences i < j of a unit that share a
+    term: joined on the term within the unit, never all pairs."""
+    other = terms.select("question_id", "unit_id", "term", F.col("pos").alias("j"), F.col("w").alias("w2"), F.col("norm").alias("norm2"))
+    pairs = terms.withColumnRenamed("pos", "i").join(other, ["question_id", "unit_id", "term"]).where("i < j AND norm > 0 AND norm2 > 0")
     return pairs.groupBy("question_id", "unit_id", "i", "j").agg(F.round(F.sum(F.col("w") * F.col("w2") / (F.col("norm") * F.col("norm2"))), 6).alias("cosine"))
 
 
-def centrality(vectors: list[dict[str, float]]) -> np.ndarray:
-    """Stationary weights of sentences on their cosine graph, by damped power iteration."""
-    n = len(vectors)
-    vocab = {t: i for i, t in enumerate(sorted({t for v in vectors for t in v}))}
-    m = np.zeros((n, len(vocab)))
-    for i, v in enumerate(vectors):
-        for t, w in v.items():
-            m[i, vocab[t]] = w
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-    graph = m @ m.T
-    np.fill_diagonal(graph, 0.0)
-    mass = graph.sum(axis=1, keepdims=True)
-    graph = np.where(mass > 0, graph / np.where(mass > 0, mass, 1), 1.0 / n)
-    p = np.full(n, 1.0 / n)
-    for _ in range(MAX_STEPS):
-        q = (1 - DAMPING) / n + DAMPING * (graph.T @ p)
-        apart = np.abs(q - p).sum()
-        p = q
-        if apart < TOLERANCE:
-            break
-    return p
+def sentence_cosines(units: DataFrame) -> DataFrame:
+    return cosines(sentence_terms(units))
 
 
-def lexrank(units: DataFrame, fraction: float) -> DataFrame:
-    """Most central sentence of every unit, then the second ones; ties in sentence order.
+def centrality(nodes: DataFrame, cosines: DataFrame) -> DataFrame:
+    """nodes(question_id, unit_id, pos, n) with p, their stationary weights on the graph of a
+    unit's cosines, by damped power iteration; as a saved table.
 
-    A unit's sentences and their idf values travel as one row; the graph of one
-    unit is built in an Arrow batch function.
+    The graph is its edges alone: a step is a join of edges with weights and a sum, in
+    the partition of the unit, and STEPS of them are one job.  A unit is done when a step
+    changes its weights by less than TOLERANCE in all, or after MAX_STEPS; units without
+    an edge keep equal weights.  A sentence without one gives its weight to all alike.
     """
-    rows = sentence_rows(units)
-    terms = rows.select("question_id", "unit_id", "pos", F.explode_outer(T.bm25_tokens(F.col("sentence"))).alias("term"))
-    weighted = terms.join(sentence_idf(units), ["question_id", "term"], "left").groupBy("question_id", "unit_id", "pos", "term").agg((F.count("term") * F.coalesce(F.first("idf"), F.lit(1.0))).alias("w"))
-    packed = weighted.groupBy("question_id", "unit_id").agg(F.collect_list(F.struct("pos", "term", "w")).alias("terms"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for q, u, items in zip(frame["question_id"], frame["unit_id"], frame["terms"], strict=True):
-                n = max(x["pos"] for x in items) + 1
-                vectors: list[dict[str, float]] = [{} for _ in range(n)]
-                for x in items:
-                    if x["term"] is not None:
-                        vectors[x["pos"]][x["term"]] = x["w"]
-                order = np.argsort(-np.round(centrality(vectors), 12), kind="stable")
-                out += [(q, u, int(p), d) for d, p in enumerate(order)]
-            yield pd.DataFrame(out, columns=["question_id", "unit_id", "pos", "depth"])
-
-    depth = packed.mapInPandas(run, "question_id string, unit_id int, pos int, depth int")
+    unit = ["question_id", "unit_id"]
+    of = Window.partitionBy(*unit)
+    both = cosines.where("cosine > 0")
+    both = both.unionByName(both.select(*unit, F.col("j").alias("i"), F.col("i").alias("j"), "cosine"))
+    share = F.col("cosine") / F.sum("cosine").over(Window.partitionBy(*unit, "i"))
+    edges = saved(both.select(*unit, F.col("i").alias("pos"), "j", share.alias("share")), "edges")
+    lone = nodes.join(edges.select(*unit, "pos").distinct().withColumn("linked", F.lit(True)), [*unit, "pos"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    start = lone.withColumns({"p": 1.0 / F.col("n"), "apart": F.lit(1.0), "some": F.bool_or("linked").over(of)})
+    start = saved(start, "weights")
+    rest, state, done = start.where("NOT some").select(*nodes.columns, "p"), start.where("some").drop("some"), []
+    spark = nodes.sparkSession
+    # edges and weights lie by unit, which is all that a step needs to have together
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before, made = spark.conf.get(name), [start]
+    spark.conf.set(name, "false")
+    try:
+        for _ in range(0, MAX_STEPS, STEPS):
+            near, at = edges.repartition(*unit), state.repartition(*unit)
+            for _ in range(STEPS):
+                flow = near.join(at.select(*unit, "pos", "p"), [*unit, "pos"]).groupBy(*unit, F.col("j").alias("pos")).agg(F.sum(F.col("p") * F.col("share")).alias("flow"))
+                spread = F.sum(F.when(F.col("linked"), 0.0).otherwise(F.col("p"))).over(of) / F.col("n")
+                moved = at.join(flow, [*unit, "pos"], "left").withColumn("q", (1 - DAMPING) / F.col("n") + DAMPING * (F.coalesce("flow", F.lit(0.0)) + spread))
+                # a unit that is done stays as it is
+                live = F.col("apart") >= TOLERANCE
+                change = F.when(live, F.sum(F.abs(F.col("q") - F.col("p"))).over(of)).otherwise(F.col("apart"))
+                at = moved.select(*nodes.columns, "linked", F.when(live, F.col("q")).otherwise(F.col("p")).alias("p"), change.alias("apart"))
+            state = saved(at, "weights")
+            made.append(state)
+            finished = state.where(F.col("apart") < TOLERANCE).select(*nodes.columns, "p")
+            done.append(finished)
+            state = state.where(F.col("apart") >= TOLERANCE)
+            if state.isEmpty():
+                break
+    finally:
+        spark.conf.set(name, before)
+    out = rest.unionByName(state.select(*nodes.columns, "p"))
+    for d in done:
+        out = out.unionByName(d)
+    out = saved(out, "centrality")
+    discard(edges, *made)
+    return out
+
+
+def lexrank(units: DataFrame, fraction: float) -> DataFrame:
+    """Most central sentence of every unit, then the second ones; ties in sentence order."""
+    rows = saved(sentence_rows(units), "sentences")
+    nodes = rows.select("question_id", "unit_id", "pos", "n")
+    weights = centrality(nodes, cosines(sentence_terms(units)))
+    place = F.row_number().over(Window.partitionBy("question_id", "unit_id").orderBy(F.round("p", WEIGHT_DIGITS).desc(), "pos"))
+    depth = weights.select("question_id", "unit_id", "pos", place.alias("depth"))
     return by_sentences(units, fill(rows.join(depth, ["question_id", "unit_id", "pos"]), fraction, "depth", "unit_id").drop("depth"))
 
 

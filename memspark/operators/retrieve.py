@@ -7,23 +7,22 @@ retriever says otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import text as T
 from memspark.operators import hooks
+from memspark.operators.vector_cache import VectorCache
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SCORE_DIGITS = 6
 RRF_K = 60
 #: Distinct query terms that may be broadcast.
 BROADCAST_TERMS = 1_000_000
-#: Queries of a dense search that go to the tasks at once; items whose anchors may be broadcast.
-BLOCK_QUERIES, BROADCAST_ITEMS = 4096, 1_000_000
+#: Items whose anchors may be broadcast.
+BROADCAST_ITEMS = 1_000_000
 
 
 def top(scored: DataFrame, k: int, *order: Column | str) -> DataFrame:
@@ -111,58 +110,21 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(units: DataFrame, queries: DataFrame, k: int = 10, query_block: int = BLOCK_QUERIES) -> DataFrame:
-    """Cosine of unit vectors: queries(query_id, vec) against units(unit_id, vec), the query itself left out.
-
-    A stated set of queries meets every unit, in blocks of ``query_block`` queries: one
-    matrix of queries goes to the tasks at a time.  Each task keeps its k best per query,
-    so k rows per query and task move, not a row per pair.
-    """
-    spark = units.sparkSession
-    numbered = queries.select("query_id", "vec").where(F.col("vec").isNotNull()).withColumn("block", (F.row_number().over(Window.orderBy("query_id")) - 1).cast("long") / query_block)
-    blocks = max(1, -(-queries.count() // query_block))
-    out = None
-    for i in range(blocks):
-        part = (numbered if blocks > 1 else queries.select("query_id", "vec").withColumn("block", F.lit(0.0))).where(F.floor("block") == i).drop("block").toArrow()  # query_block rows at most
-        ids, vecs = part["query_id"].to_pylist(), part["vec"].to_pylist()
-        shared = spark.sparkContext.broadcast((ids, np.array(vecs, dtype=np.float64) if ids else np.zeros((0, 0))))
-        found = units.select("unit_id", "vec").where(F.col("vec").isNotNull()).mapInArrow(lambda it, shared=shared: best_cosines(it, *shared.value, k), f"query_id {queries.schema['query_id'].dataType.simpleString()}, unit_id {units.schema['unit_id'].dataType.simpleString()}, score double")
-        out = found if out is None else out.unionByName(found)
-    return top(out, k, F.col("score").desc(), "unit_id")
-
-
-def best_cosines(batches: Iterator[pa.RecordBatch], ids: list, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """The k best units of this task for each query, products added in index order."""
-    best: list[list[tuple[float, object]]] = [[] for _ in ids]
-    kinds = None
-    for batch in batches:
-        kinds = batch.schema.field("unit_id").type
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            units = part.column("unit_id").to_pylist()
-            x = np.array(part.column("vec").to_pylist(), dtype=np.float64)
-            score = np.zeros((len(ids), len(units)))
-            for d in range(min(queries.shape[1], x.shape[1])):
-                score += queries[:, d : d + 1] * x[:, d]
-            score = np.round(score, SCORE_DIGITS)
-            for i, row in enumerate(score):
-                near = np.arange(len(units)) if len(units) <= k + 1 else np.flatnonzero(row >= np.partition(row, len(row) - k - 1)[len(row) - k - 1])
-                best[i] = sorted([*best[i], *[(-row[j], units[j]) for j in near.tolist() if units[j] != ids[i]]])[:k]
-    rows = [(q, u, -s) for q, found in zip(ids, best, strict=True) for s, u in found]
-    if rows:
-        q, u, s = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(u, kinds), pa.array(s, pa.float64())], ["query_id", "unit_id", "score"])
-
-
 def question_dense(units: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
     """Cosine within each question: units(question_id, unit_id, vec), questions(question_id, vec)."""
     pairs = units.select("question_id", "unit_id", "vec").join(questions.select("question_id", F.col("vec").alias("q")), "question_id")
     return top(pairs.select(F.col("question_id").alias("query_id"), "unit_id", F.round(dot("q", "vec"), SCORE_DIGITS).alias("score")), k, F.col("score").desc(), "unit_id")
 
 
-def hybrid(units: DataFrame, questions: DataFrame, k: int = 10, recency_weight: float = 0.0, depth: int = 100, encoder: str = "hashing-64", make: Callable[[], hooks.Encoder] = hooks.HashingEncoder) -> DataFrame:
+def encoded_dense(units: DataFrame, questions: DataFrame, k: int = 10, encoder: str = "hashing-64", make: Callable[[], hooks.Encoder] = hooks.HashingEncoder, cache: VectorCache | None = None) -> DataFrame:
+    """``question_dense`` of units and questions that an encoder, or a cache of its vectors, turns into vectors."""
+    vectors = hooks.encoded if cache is None else cache.encoded
+    return question_dense(vectors(units, "text", encoder, make), vectors(questions.select("question_id", "question"), "question", encoder, make, query=True), k)
+
+
+def hybrid(units: DataFrame, questions: DataFrame, k: int = 10, recency_weight: float = 0.0, depth: int = 100, encoder: str = "hashing-64", make: Callable[[], hooks.Encoder] = hooks.HashingEncoder, cache: VectorCache | None = None) -> DataFrame:
     """BM25 and dense rankings of each question, each to ``depth``, fused; recency as a third ranking if it has a weight."""
-    near = question_dense(hooks.encoded(units, "text", encoder, make), hooks.encoded(questions.select("question_id", "question"), "question", encoder, make, query=True), depth)
+    near = encoded_dense(units, questions, depth, encoder, make, cache)
     parts, weights = [question_bm25(units, questions, depth), near], [1.0, 1.0]
     if recency_weight:
         parts.append(recency_for_fusion(units.join(questions.select("question_id"), "question_id", "left_semi"), depth))
@@ -179,7 +141,7 @@ def retriever(name: str, recency_weight: float = 0.0, **options: object) -> Call
     """A function (units, questions, k) -> hits by its name."""
     known: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {
         "bm25": question_bm25,
-        "dense": lambda u, q, k: question_dense(hooks.encoded(u, "text", "hashing-64", **options), hooks.encoded(q, "question", "hashing-64", query=True, **options), k),
+        "dense": lambda u, q, k: encoded_dense(u, q, k, **options),
         "hybrid": lambda u, q, k: hybrid(u, q, k, recency_weight, **options),
         "oracle": lambda u, q, k: oracle(u, k), "recency": lambda u, q, k: recency(u, k), "random": lambda u, q, k: random(u, k), "none": lambda u, q, k: nothing(u),
     }

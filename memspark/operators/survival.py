@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import text as T
-from memspark.operators import metrics
+from memspark.operators import metrics, positions
+from memspark.sources.stage import discard, saved
 
 # Question types whose answers are spans of text.
 SPAN_TYPES = ("single-session-user", "single-session-assistant", "knowledge-update")
@@ -103,29 +104,28 @@ def score(units: DataFrame, questions: DataFrame, m: int = PLACEBOS, *group: str
     """One row per question with units, and per value of the further columns ``group`` of the
     units (several stores at once): record (the answer in one unit), soft (its tokens in
     one unit), union_hit (the answer in all units together), the same of m placebos as floors
-    (0 if there are none), sizes.  Texts are normalised once for the gold and its placebos."""
-    golds = questions.select("question_id", "question_type", "question", F.lit(-1).alias("nth"), F.col("gold").alias("answer"))
+    (0 if there are none), sizes.  Answers are looked for in a positional index of the tokens."""
+    q = questions.select("question_id", "question_type", "question", "gold")
+    golds = q.select("question_id", "question", F.lit(-1).alias("nth"), F.col("gold").alias("answer"))
     if m:
-        golds = golds.unionByName(placebos(questions, m).join(questions.select("question_id", "question_type", "question"), "question_id").select("question_id", "question_type", "question", "nth", F.col("placebo").alias("answer")))
-    asked = golds.select("question_id", "question_type", F.struct("nth", T.normal_tokens(F.col("answer")).alias("g"), T.answer_key(F.col("answer"), F.col("question")).alias("key")).alias("a"))
-    # a question's gold and placebos stand in one row, at most m + 1 of them
-    asked = asked.groupBy("question_id", "question_type").agg(F.array_sort(F.collect_list("a")).alias("asked"))
+        golds = golds.unionByName(placebos(questions, m).join(q, "question_id").select("question_id", "question", "nth", F.col("placebo").alias("answer")))
+    golds = saved(golds, "golds")
     keys = [*group, "question_id"]
-    store = units.select(*keys, "unit_id", T.normal_tokens(F.col("text")).alias("t"), T.count_tokens(F.col("text")).cast("long").alias("tokens"))
-    per = store.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("unit_id", "t"))).alias("units"), F.count("*").alias("n_records"), F.sum("tokens").alias("store_tokens"))
-    per = per.join(asked, "question_id")
-    whole = F.flatten(F.transform("units", lambda u: u["t"]))
-    found = lambda a: F.struct(
-        F.exists("units", lambda u: T.has_answer(u["t"], a["key"])).alias("record"), F.exists("units", lambda u: T.covers(u["t"], a["g"])).alias("soft"), T.has_answer(whole, a["key"]).alias("union_hit"),
-    )
-    per = per.withColumn("found", F.transform("asked", found)).withColumn("g", F.element_at("asked", 1)["g"])
-    floors = F.slice("found", 2, m) if m else F.slice("found", 1, 0)
-    floor = lambda c: F.when(F.size(floors) > 0, F.aggregate(floors, F.lit(0.0), lambda s, x: s + x[c].cast("double")) / F.size(floors)).otherwise(0.0)
-    own = F.element_at("found", 1)
-    return per.select(
-        *keys, "question_type", T.length_bucket(F.col("g")).alias("bucket"), (F.size("g") >= T.PRIMARY_TOKENS).alias("in_primary"), own["record"].alias("record"), own["soft"].alias("soft"), own["union_hit"].alias("union_hit"),
+    hits = positions.found(units.join(q.select("question_id"), "question_id", "left_semi"), golds, *group)
+    own = hits.where("nth < 0").drop("nth")
+    other = hits.where("nth >= 0").groupBy(*keys).agg(*[F.count_if(c).alias(f"n_{c}") for c in ("record", "soft", "union_hit")])
+    drawn = golds.where("nth >= 0").groupBy("question_id").agg(F.count("*").alias("m"))
+    sizes = units.groupBy(*keys).agg(F.count("*").alias("n_records"), F.sum(T.count_tokens(F.col("text")).cast("long")).alias("store_tokens"))
+    rows = sizes.join(q, "question_id").join(own, keys, "left").join(other, keys, "left").join(drawn, "question_id", "left").withColumn("g", T.normal_tokens(F.col("gold")))
+    floor = lambda c: F.when(F.col("m") > 0, F.coalesce(F.col(f"n_{c}"), F.lit(0)) / F.col("m")).otherwise(0.0)
+    hit = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    out = rows.select(
+        *keys, "question_type", T.length_bucket(F.col("g")).alias("bucket"), (F.size("g") >= T.PRIMARY_TOKENS).alias("in_primary"), hit("record"), hit("soft"), hit("union_hit"),
         "n_records", "store_tokens", floor("record").alias("null_record"), floor("soft").alias("null_soft"), floor("union_hit").alias("null_union"),
     )
+    out = saved(out, "outcomes")
+    discard(golds, hits)
+    return out
 
 
 def groups(rows: DataFrame) -> DataFrame:

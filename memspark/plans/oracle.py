@@ -233,6 +233,30 @@ def by_sentence(order: str) -> str:
         FROM units u JOIN joined j ON j.question_id = u.question_id AND j.unit_id = u.unit_id"""
 
 
+def centrality() -> str:
+    """depths(question_id, unit_id, pos, depth): sentences by damped power iteration over the cosines of a unit's sentences."""
+    return f"""nn AS (SELECT question_id, count(*) AS n FROM sent GROUP BY question_id), tk AS (SELECT question_id, unit_id, pos, unnest({tokens('sentence')}) AS term FROM sent),
+        df AS (SELECT question_id, term, count(DISTINCT (unit_id, pos)) AS df FROM tk GROUP BY ALL), idf AS (SELECT df.question_id, term, round(ln(n / (1 + df)::DOUBLE) + 1, 9) AS idf FROM df JOIN nn ON nn.question_id = df.question_id),
+        w AS (SELECT question_id, unit_id, pos, term, count(*) * any_value(idf) AS w FROM tk JOIN idf USING (question_id, term) GROUP BY ALL), v AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY question_id, unit_id, pos)) AS z FROM w),
+        cosine AS (SELECT a.question_id, a.unit_id, a.pos AS i, b.pos AS j, round(sum(a.w * b.w / (a.z * b.z)), 6) AS c FROM v a JOIN v b ON a.question_id = b.question_id AND a.unit_id = b.unit_id AND a.term = b.term AND a.pos <> b.pos GROUP BY ALL),
+        edge AS (SELECT question_id AS eq, unit_id AS eu, i, j, c / sum(c) OVER (PARTITION BY question_id, unit_id, i) AS share FROM cosine WHERE c > 0),
+        power(step, question_id, unit_id, pos, n, p, apart) AS (SELECT 0, question_id, unit_id, pos, n, 1.0::DOUBLE / n, 1.0::DOUBLE FROM sent SEMI JOIN edge ON eq = question_id AND eu = unit_id
+            UNION ALL SELECT step + 1, question_id, unit_id, pos, n, q, sum(abs(q - p)) OVER (PARTITION BY question_id, unit_id) FROM (
+                SELECT x.*, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(flow, 0) + sum(CASE WHEN lone THEN p ELSE 0 END) OVER (PARTITION BY question_id, unit_id) / n) AS q
+                FROM (SELECT power.*, NOT EXISTS (SELECT 1 FROM edge WHERE eq = question_id AND eu = unit_id AND i = pos) AS lone FROM power WHERE step < 40 AND apart >= 1e-8) x
+                LEFT JOIN (SELECT eq, eu, j, sum(p * share) AS flow FROM edge JOIN power ON eq = question_id AND eu = unit_id AND i = pos GROUP BY ALL) f ON eq = question_id AND eu = unit_id AND j = pos) y),
+        last AS (SELECT question_id, unit_id, pos, arg_max(p, step) AS p FROM power GROUP BY ALL),
+        depths AS (SELECT sent.*, row_number() OVER (PARTITION BY sent.question_id, sent.unit_id ORDER BY coalesce(round(p, 10), 0) DESC, sent.pos) - 1 AS depth FROM sent
+            LEFT JOIN last ON last.question_id = sent.question_id AND last.unit_id = sent.unit_id AND last.pos = sent.pos)"""
+
+
+def by_centrality(fraction: float = 0.25) -> str:
+    return f"""WITH RECURSIVE {UNITS}, {SENTENCES}, {centrality()}, {greedy('depths', 'depth, unit_id', fraction)},
+        joined AS (SELECT question_id, unit_id, string_agg(sentence, ' ' ORDER BY pos) AS text FROM kept GROUP BY ALL)
+        SELECT u.question_id, (row_number() OVER (PARTITION BY u.question_id ORDER BY u.unit_id) - 1)::INT AS unit_id, j.text, session_id, session_date, session_index, false AS is_evidence
+        FROM units u JOIN joined j ON j.question_id = u.question_id AND j.unit_id = u.unit_id"""
+
+
 def truncated(order: str) -> str:
     return f"""WITH {UNITS}, {COSTED}, {greedy('costed', order, 0.25)}
         SELECT question_id, (row_number() OVER (PARTITION BY question_id ORDER BY unit_id) - 1)::INT AS unit_id, text, session_id, session_date, session_index, is_evidence FROM kept"""
@@ -249,6 +273,7 @@ METRIC_COLS = ", ".join(
 
 SQL: dict[str, str] = {
     "bm25_topk": f"WITH {BM25} SELECT query_id, unit_id, rank, score FROM hits WHERE rank < 10",
+    "bm25_scan_topk": f"WITH {BM25} SELECT query_id, unit_id, rank, score FROM hits WHERE rank < 10",
     "bm25_metrics": f"""WITH {BM25}, ev AS (SELECT item_id AS query_id, doc_id AS unit_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
         f AS (SELECT query_id, list(rank ORDER BY rank) AS ranks FROM hits SEMI JOIN ev USING (query_id, unit_id) GROUP BY query_id),
         w AS (SELECT query_id, count(*) AS n_evidence FROM ev GROUP BY query_id),
@@ -281,6 +306,11 @@ SQL: dict[str, str] = {
     "rrf_zero_weight": f"WITH {UNITS} " + fused([(ORACLE_ALL, 1.0)]),
     "question_dense_topk": f"WITH {UNITS}, {QUESTIONS}, {QDENSE} SELECT * FROM dhits WHERE rank < 10",
     "hybrid_topk": f"WITH {UNITS}, {QUESTIONS}, {QBM25}, {QDENSE} " + fused([("SELECT * FROM qhits", 1.0), ("SELECT * FROM dhits", 1.0), (f"SELECT x.* FROM ({RECENT_ALL}) x SEMI JOIN questions ON questions.question_id = x.query_id", 0.5)]),
+    "cached_hybrid_topk": f"WITH {UNITS}, {QUESTIONS}, {QBM25}, {QDENSE} " + fused([("SELECT * FROM qhits", 1.0), ("SELECT * FROM dhits", 1.0), (f"SELECT x.* FROM ({RECENT_ALL}) x SEMI JOIN questions ON questions.question_id = x.query_id", 0.5)]),
+    "cache_replay": f"""WITH {UNITS}, {QUESTIONS}, u AS (SELECT DISTINCT text FROM units), q AS (SELECT DISTINCT question AS text FROM questions), wanted AS (SELECT text FROM u UNION ALL SELECT text FROM q),
+        fresh AS (SELECT DISTINCT text FROM wanted), c AS (SELECT (SELECT count(*) FROM wanted) AS asked, (SELECT sum({count('text')}) FROM wanted)::BIGINT AS tokens, (SELECT count(*) FROM fresh) AS made, (SELECT sum({count('text')}) FROM fresh)::BIGINT AS made_tokens)
+        SELECT 0 AS run, asked - made AS hits, made AS misses, tokens - made_tokens AS replayed_tokens, made_tokens AS measured_tokens, asked > made AS used_replayed_timings FROM c
+        UNION ALL SELECT 1, asked, 0, tokens, 0, asked > 0 FROM c""",
     "normalize_tokens": f"""SELECT conv_id, turn, array_to_string({normal("coalesce(text, '')")}, ' ') AS tokens FROM conversations""",
     "is_refusal": f"SELECT conv_id, turn, regexp_matches(coalesce(text, ''), {quoted(REFUSAL)}) AS refusal FROM conversations",
     "grade": f"WITH {PRED} SELECT question_id, turn_index, {graded('p', 'pred')} AS correct FROM pred",
@@ -300,6 +330,7 @@ SQL: dict[str, str] = {
     "sentence_split": f"WITH {UNITS}, {SENTENCES} SELECT question_id, unit_id, pos, sentence FROM sent",
     "leadk": by_sentence("pos, unit_id"),
     "tailk": by_sentence("n - pos, unit_id"),
+    "lexrank": by_centrality(),
     "sentence_idf": f"""WITH {UNITS}, {SENTENCES}, n AS (SELECT question_id, count(*) AS n FROM sent GROUP BY question_id),
         d AS (SELECT question_id, term, count(*) AS df FROM (SELECT question_id, unnest(list_distinct({tokens('sentence')})) AS term FROM sent) x GROUP BY ALL)
         SELECT d.question_id, term, df, round(ln(n / (1 + df)::DOUBLE) + 1, 6) AS idf FROM d JOIN n ON n.question_id = d.question_id""",

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import text as T
-from memspark.operators import audit, hooks, metrics, policies, retrieve, survival
+from memspark.operators import audit, bm25_index, hooks, metrics, policies, retrieve, survival, vector_cache, vector_index
 from memspark.operators import units as U
-from memspark.sources import fixtures
+from memspark.sources import fixtures, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -20,11 +21,14 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(docs, queries, evidence): benchmark items as queries, documents that hold one verbatim as evidence."""
+def corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(docs, queries): benchmark items are the queries."""
     docs = fixtures.read(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), "text", "lang")
-    items = fixtures.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return docs, items, retrieve.holding(docs, items)
+    return docs, fixtures.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def corpus_index(spark: SparkSession, d: str) -> bm25_index.Index:
+    return bm25_index.stored(corpus(spark, d)[0].select("unit_id", "text"), fixtures.read(spark, d, "documents"))
 
 
 def turn_units(spark: SparkSession, d: str, granularity: str = "turn") -> DataFrame:
@@ -72,20 +76,27 @@ def arms(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs, items, _ = corpus(spark, d)
-    return retrieve.bm25(docs, items, 10)
+    """By the stored index of the documents, which the first of these queries builds."""
+    return bm25_index.search(corpus_index(spark, d), corpus(spark, d)[1], 10)
 
 
 @query
 def bm25_metrics(spark: SparkSession, d: str) -> DataFrame:
-    docs, items, evidence = corpus(spark, d)
-    return metrics.aggregate(metrics.per_query(retrieve.bm25(docs, items, 20), evidence, items))
+    """A document that holds a query verbatim is its evidence."""
+    docs, items = corpus(spark, d)
+    hits = bm25_index.search(corpus_index(spark, d), items, 20)
+    return metrics.aggregate(metrics.per_query(hits, retrieve.holding(docs, items), items))
+
+
+@query
+def bm25_scan_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Without an index: one pass over the texts for these queries alone."""
+    return retrieve.bm25(*corpus(spark, d), 10)
 
 
 @query
 def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
-    docs, _, _ = corpus(spark, d)
-    return retrieve.idf_table(retrieve.postings(docs), docs.count()).withColumn("idf", F.round("idf", 6))
+    return corpus_index(spark, d).terms.withColumn("idf", F.round("idf", 6))
 
 
 @query
@@ -93,10 +104,16 @@ def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.postings(corpus(spark, d)[0])
 
 
+def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(the embeddings' stored blocks, every 25th embedding as a query)."""
+    table = fixtures.read(spark, d, "embeddings")
+    e = table.select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vec"))
+    return vector_index.stored(e, table), e.where("unit_id % 25 = 0").select(F.col("unit_id").alias("query_id"), "vec")
+
+
 @query
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    e = fixtures.read(spark, d, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vec"))
-    return retrieve.dense(e, e.where("unit_id % 25 = 0").select(F.col("unit_id").alias("query_id"), "vec"), 10)
+    return vector_index.search(*vectors(spark, d), 10)
 
 
 @query
@@ -183,6 +200,33 @@ def question_dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.retriever("dense")(turn_units(spark, d), questions(spark, d), 10)
 
 
+@query
+def cached_hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    """``hybrid_topk`` by a cache that an earlier run has filled."""
+    return cached_runs(spark, d)[1]
+
+
+@query
+def cache_replay(spark: SparkSession, d: str) -> DataFrame:
+    """What two runs over one cache have encoded and what they have replayed."""
+    uses, out = cached_runs(spark, d)[0], None
+    for i, u in enumerate(uses):
+        part = u.withColumn("run", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def cached_runs(spark: SparkSession, d: str) -> tuple[list[DataFrame], DataFrame]:
+    """(usage of each run, hits of the second) of two hybrid runs over a new cache."""
+    path = f"{stage.shared_dir(spark)}/vector-cache-{uuid.uuid4().hex}"
+    u, q, uses = turn_units(spark, d), questions(spark, d), []
+    for _ in range(2):
+        cache = vector_cache.VectorCache(spark, path)
+        hits = retrieve.hybrid(u, q, 10, recency_weight=0.5, cache=cache)
+        uses.append(cache.usage())
+    return uses, hits
+
+
 @query
 def normalize_tokens(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.read(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.normal_tokens(F.coalesce("text", F.lit(""))), " ").alias("tokens"))

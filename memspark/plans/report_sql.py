@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memspark.plans.oracle import ANSWER, CLOSED_BOOK, GOLD_ABSTAINS, METRIC_COLS, NEWEST, PRED, QBM25, QDENSE, QUESTIONS, SENTENCES, TURNS, UNITS, answers, by_sentence, count, fused, graded, normal, quoted, ranked, tokens
+from memspark.plans.oracle import ANSWER, AUDIT, CLOSED_BOOK, GOLD_ABSTAINS, METRIC_COLS, NEWEST, PRED, QBM25, QDENSE, QUESTIONS, SENTENCES, TURNS, UNITS, answers, by_sentence, count, fused, graded, normal, quoted, ranked, tokens
 from memspark.sources.fixtures import ASKED_SQL
 
 BASE = f"{UNITS}, {QUESTIONS}"
@@ -279,6 +279,13 @@ REPORT_SQL: dict[str, str] = {
     "judge_validation": f"""WITH {JUDGED}, m AS (SELECT count(*) AS n, avg((deterministic = judge)::INT) AS a, avg(deterministic::INT) AS h, avg(judge::INT) AS j, avg(CASE WHEN NOT deterministic THEN judge::INT END) AS fa FROM judged WHERE judge IS NOT NULL AND deterministic IS NOT NULL),
         e AS (SELECT *, h * j + (1 - h) * (1 - j) AS pe FROM m), k AS (SELECT n, round(a, 6) AS agreement, round(CASE WHEN pe >= 1 THEN 1 ELSE (a - pe) / (1 - pe) END, 6) AS kappa, round(fa, 6) AS false_accept FROM e)
         SELECT *, CASE WHEN kappa >= 0.8 THEN 'strong' WHEN kappa >= 0.6 THEN 'moderate' ELSE 'weak' END AS band FROM k""",
+    "judge_audit": f"""WITH {TURNS}, {QUESTIONS}, {AUDIT}, g AS (SELECT 'deterministic' AS grader, kind, expected, {graded(normal('pred'), 'pred', abstains="ends_with(kind, 'abstention')")} AS v FROM cases
+        UNION ALL SELECT 'judge:containment', kind, expected, ends_with(kind, 'abstention') OR contains(lower(pred), lower(gold)) FROM (SELECT * FROM cases ORDER BY question_id, kind, pred LIMIT 400) c),
+        r AS (SELECT grader, count(*) AS n_cases, count(v) AS n_graded, round(avg((v = expected)::INT), 6) AS accuracy, round(avg(v::INT) FILTER (WHERE NOT expected), 6) AS false_accept_rate,
+            round(avg((NOT v)::INT) FILTER (WHERE expected), 6) AS false_reject_rate, round(avg((NOT v)::INT) FILTER (WHERE expected AND starts_with(kind, 'hard_')), 6) AS false_reject_rate_hard FROM g GROUP BY grader)
+        SELECT *, coalesce(grader = 'deterministic' AND false_accept_rate > 0.05, false) AS too_lenient FROM r""",
+    "resumed_sweep": f"""WITH {BASE}, {QBM25}, {ARMS}, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE {NUMBER.replace('query_id', 'question_id')} % 3 <> 0) AS rest FROM questions)
+        SELECT arm, query_id AS question_id, round({RR}, 6) AS rr, CASE arm WHEN 'bm25' THEN rest ELSE n END AS asked FROM res, n WHERE arm IN ('bm25', 'recency')""",
     "clamped_arms": f"WITH {PROMPTS} SELECT arm, count(*) AS n, max(prompt_tokens)::BIGINT AS length FROM prompts GROUP BY arm HAVING count(*) > 5 AND count(DISTINCT prompt_tokens) = 1 AND max(prompt_tokens) <> 0",
     "truncated_prompts": f"WITH {PROMPTS} SELECT arm, count(*) AS n, count(*) FILTER (WHERE sent > 56 OR prompt_tokens < 0.9::DOUBLE * sent) AS n_truncated, max(sent) AS longest FROM prompts GROUP BY arm",
     "model_labels": f"""WITH m AS (SELECT DISTINCT coalesce(lang, 'x') || CASE WHEN doc_id % 3 = 0 THEN '-' ELSE ':' END || 'net-' || ['1.5b', '14b', '350m', 'instruct'][doc_id % 4 + 1] AS name FROM documents), l AS (SELECT name, {LABEL} AS label FROM m)

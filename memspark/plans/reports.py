@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.functions import text as T
-from memspark.operators import audit, costs, dates, metrics, policies, retrieve, runs, survival
-from memspark.plans.queries import QUERIES, corpus, eligible, predictions, query, questions, turn_units
-from memspark.sources import artifacts, fixtures
+from memspark.operators import audit, costs, dates, hooks, metrics, policies, replies, retrieve, runs, survival, vector_index
+from memspark.plans.queries import QUERIES, abstentions, eligible, predictions, query, questions, turn_units, vectors
+from memspark.sources import artifacts, batches, fixtures, stage
 from memspark.sources.stage import saved
 
 __all__ = ["QUERIES"]
@@ -66,7 +69,7 @@ def labelled_results(spark: SparkSession, d: str) -> DataFrame:
     """Dense results of every 25th vector; vectors of its label are its evidence."""
     e = fixtures.read(spark, d, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vec"), "label")
     q = e.where("unit_id % 25 = 0").select(F.col("unit_id").alias("query_id"), "vec", "label")
-    hits = retrieve.dense(e.drop("label"), q.drop("label"), 20)
+    hits = vector_index.search(*vectors(spark, d), 20)
     sizes = e.groupBy("label").agg(F.count("*").alias("n"))
     wanted = q.join(sizes, "label", "left").select("query_id", "label", (F.coalesce("n", F.lit(1)) - 1).alias("n_evidence"))
     labels = e.select("unit_id", "label")
@@ -362,6 +365,36 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("role").alias("arm"), "question_id", sent.alias("sent"), F.when(F.col("role") == "system", F.lit(16).cast("long")).otherwise(F.least(sent, F.lit(40))).alias("prompt_tokens"))
 
 
+@query
+def judge_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The grader on all constructed cases and a judge, which needs no model, on the first 400, asked each prompt once."""
+    store = replies.ReplyStore(spark, f"{stage.shared_dir(spark)}/replies-{uuid.uuid4().hex}")
+    mark = hooks.ContainmentJudge.MARK
+    return audit.judged_rates(audit.cases(questions(spark, d), abstentions(spark, d)), store, "containment", hooks.ContainmentJudge, "{gold}" + mark + "{pred}", mark + "{pred}")
+
+
+@query
+def resumed_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Reciprocal ranks of two arms in a sweep that was cut off: the first run had one arm on a
+    third of the questions, the second makes the rest; asked tells how many it made."""
+    u, q = turn_units(spark, d), questions(spark, d)
+    sweep = batches.Sweep(spark, f"{stage.shared_dir(spark)}/sweep-{uuid.uuid4().hex}", "rr double")
+
+    def arm(find: Callable[[DataFrame, DataFrame, int], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        def answer(some: DataFrame) -> DataFrame:
+            hits = named(x=find(u.join(some.select("question_id"), "question_id", "left_semi"), some, 20))
+            found = runs.results(hits, evidence(u), some.withColumnRenamed("question_id", "query_id"), ["x"])
+            return found.select(F.col("query_id").alias("question_id"), F.round(runs.reciprocal(), 6).alias("rr"))
+
+        return answer
+
+    arms = {"bm25": arm(retrieve.question_bm25), "recency": arm(lambda some, _, k: retrieve.recency(some, k))}
+    sweep.run(q.where(F.regexp_extract("question_id", r"\d+", 0).cast("int") % 3 == 0), {"bm25": arms["bm25"]})
+    asked = sweep.run(q, arms)
+    counted = F.create_map(*[F.lit(x) for kv in asked.items() for x in kv])
+    return sweep.results().withColumn("asked", F.element_at(counted, F.col("arm")).cast("long"))
+
+
 @query
 def clamped_arms(spark: SparkSession, d: str) -> DataFrame:
     return audit.clamped_arms(prompts(spark, d))

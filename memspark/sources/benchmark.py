@@ -22,7 +22,8 @@ def read_split(spark: SparkSession, path: str, limit: int | None = None) -> tupl
     the file.
     """
     raw = spark.read.schema(SPLIT_SCHEMA).option("multiLine", True).json(path)
-    raw = raw if limit is None else raw.limit(limit)
+    # one array in one file: its objects come in one partition, in their order
+    raw = raw if limit is None else raw.withColumn("ordinal", F.monotonically_increasing_id()).orderBy("ordinal").limit(limit).drop("ordinal")
     questions = raw.select("question_id", "question_type", "question", F.col("answer").alias("gold"), "question_date", F.col("question_id").endswith("_abs").alias("is_abstention"))
     zipped = F.arrays_zip("haystack_sessions", "haystack_dates", "haystack_session_ids")
     shortest = F.least(F.size("haystack_sessions"), F.size("haystack_dates"), F.size("haystack_session_ids"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from memspark.operators import audit, costs, dates, hooks, metrics, policies, retrieve, runs, survival, units
+from memspark.operators import audit, costs, dates, hooks, metrics, policies, retrieve, runs, survival, units, vector_index
 from memspark.sources import artifacts
 
 TURN = "question_id string, session_id string, session_index int, session_date string, turn_index int, role string, content string, has_answer boolean"
@@ -203,12 +203,37 @@ def test_dense_search_in_blocks(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "unit_id long, vec array<double>").repartition(3)
     queries = df.where("unit_id < 9").withColumnRenamed("unit_id", "query_id")
     want = {q: [i for _, i in sorted((-round(float(x[q] @ x[i]), 6), i) for i in range(60) if i != q)[:4]] for q in range(9)}
-    for block in (2, 100):
-        got = {}
-        for r in retrieve.dense(df, queries, 4, block).orderBy("query_id", "rank").collect():
+    other = queries.unionByName(spark.createDataFrame([(50, [1.0, 2.0])], queries.schema))
+    for block, most in ((2, 1 << 20), (100, 1 << 20), (4, 0)):
+        index, got = vector_index.packed(df, "unit_id", block), {}
+        for r in vector_index.search(index, other, 4, block, most).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.unit_id)
+        # no unit has the length of the last query
         assert got == want
-    assert retrieve.dense(df, queries.limit(0), 4).count() == 0
+    assert vector_index.search(vector_index.packed(df, "unit_id"), queries.limit(0), 4).count() == 0
+    assert vector_index.search(vector_index.packed(df.limit(0), "unit_id"), queries, 4).count() == 0
+
+
+def test_vector_index_is_stored_once(spark, tmp_path):
+    df = spark.createDataFrame([(f"u{i}", [float(i), 1.0]) for i in range(9)], "unit_id string, vec array<double>")
+    df.write.parquet(f"file://{tmp_path}/table")
+    table = spark.read.parquet(f"file://{tmp_path}/table")
+    first = vector_index.stored(table, table)
+    made = first.inputFiles()
+    assert sorted(vector_index.stored(table, table).inputFiles()) == sorted(made)
+    hits = vector_index.search(first, spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vec array<double>"), 2)
+    assert [(r.unit_id, r.score) for r in hits.orderBy("rank").collect()] == [("u8", 8.0), ("u7", 7.0)]
+    df.limit(3).write.mode("append").parquet(f"file://{tmp_path}/table")
+    table = spark.read.parquet(f"file://{tmp_path}/table")
+    assert not set(vector_index.stored(table, table).inputFiles()) & set(made)
+
+
+def test_plans_do_not_grow_with_queries(spark):
+    df = spark.range(3000).selectExpr("id AS unit_id", "array(sin(id), cos(id)) AS vec")
+    index = vector_index.packed(df, "unit_id")
+    plan = lambda n: vector_index.search(index, df.limit(n).withColumnRenamed("unit_id", "query_id"), 3)._jdf.queryExecution().logical().toString().count("\n")
+    assert plan(5) == plan(3000)
+    assert vector_index.search(index, df.withColumnRenamed("unit_id", "query_id"), 3).count() == 9000
 
 
 def test_items_are_found_in_documents(spark):

@@ -124,8 +124,8 @@ def test_placebos_match_type_and_length(spark):
 
 
 def test_survival_of_a_split_answer(spark):
-    u = spark.createDataFrame([("q", 0, "I flew JetBlue and"), ("q", 1, "then Delta on the return leg")], "question_id string, unit_id int, text string")
-    q = spark.createDataFrame([("q", "t", "", "JetBlue and then Delta", False)], QUESTION)
+    u = spark.createDataFrame([("q", 0, "We painted the hallway pale"), ("q", 1, "green with white trim")], "question_id string, unit_id int, text string")
+    q = spark.createDataFrame([("q", "t", "", "pale green", False)], QUESTION)
     r = survival.score(u, q, 5).first()
     assert (r.record, r.union_hit, r.null_record, r.n_records, r.in_primary) == (False, True, 0.0, 2, True)
 
@@ -142,8 +142,8 @@ def test_verdicts_and_labels(spark):
 
 def test_audit_kinds(spark):
     golds = [
-        ("a", "t", "how many", "2 cats"), ("b", "t", "when", "March 5"), ("c", "t", "price", "$800"), ("d", "t", "which", "JetBlue, Delta, and United"),
-        ("e", "t", "in what order", "JetBlue, Delta, and United"), ("f", "t", "what", "blue bicycle"),
+        ("a", "t", "how many", "2 cats"), ("b", "t", "when", "March 5"), ("c", "t", "price", "$640"), ("d", "t", "which", "cello, harp, and oboe"),
+        ("e", "t", "in what order", "cello, harp, and oboe"), ("f", "t", "what", "blue bicycle"),
     ]
     q = spark.createDataFrame([(*g, False) for g in golds], QUESTION)
     none = spark.createDataFrame([("z_abs", "t", "what", "not enough information", True)], QUESTION)
@@ -151,12 +151,31 @@ def test_audit_kinds(spark):
     for r in audit.cases(q, none).collect():
         by.setdefault(r.kind, {})[r.question_id] = (r.pred, r.expected)
     assert by["hard_number_word"] == {"a": ("two cats", True), "b": ("March five", True)}
-    assert by["hard_month_abbrev"] == {"b": ("Mar 5", True)} and by["hard_unit_expanded"] == {"c": ("800 dollars", True)}
-    assert by["hard_list_reorder"] == {"d": ("Delta, United, and JetBlue", True)}
-    assert by["reordered_ordered_list"] == {"e": ("Delta, United, and JetBlue", False)}
-    assert by["hard_plural"]["f"] == ("blue bicycles", True) and by["perturbed_number"]["c"] == ("$807", False)
+    assert by["hard_month_abbrev"] == {"b": ("Mar 5", True)} and by["hard_unit_expanded"] == {"c": ("640 dollars", True)}
+    assert by["hard_list_reorder"] == {"d": ("harp, oboe, and cello", True)}
+    assert by["reordered_ordered_list"] == {"e": ("harp, oboe, and cello", False)}
+    assert by["hard_plural"]["f"] == ("blue bicycles", True) and by["perturbed_number"]["c"] == ("$647", False)
     assert "z_abs" in by["correct_abstention"] and "z_abs" in by["hallucinated_on_abstention"] and set(by["swapped_gold"]) < set("abcdef")
     assert all(not expected for pred, expected in by["swapped_gold"].values())
     report = {r.kind: r for r in audit.report(audit.cases(q, none)).collect()}
-    for kind in ("identity", "padded", "sentence", "hard_number_word", "hard_month_abbrev", "hard_plural", "empty", "refusal_to_answerable", "correct_abstention", "hallucinated_on_abstention"):
+    for kind in ("identity", "padded", "sentence", "hard_number_word", "hard_month_abbrev", "hard_plural", "empty", "refusal_to_answerable", "correct_abstention", "hallucinated_on_abstention", "reordered_ordered_list", "hard_list_reorder"):
         assert report[kind].right == report[kind].n, kind
+    # told nothing of the question, the grader takes the wrong order
+    blind = audit.report(audit.cases(q, none).withColumn("question", F.lit(None).cast("string")))
+    assert blind.where("kind = 'reordered_ordered_list'").first().false_accepts == 1
+
+
+def test_placebos_weigh_as_often_as_they_come(spark):
+    golds = ["often"] * 60 + [f"rare{i}" for i in range(20)] + ["own"] * 20
+    q = spark.createDataFrame([(f"q{i}", "t", "", g, False) for i, g in enumerate(golds)], QUESTION)
+    rows = survival.placebos(q, 10).join(q.select("question_id", "gold"), "question_id").collect()
+    of_own = [r.placebo for r in rows if r.gold == "own"]
+    # of the 80 other golds 60 are one
+    assert len(of_own) == 200 and 140 <= of_own.count("often") <= 160 and "own" not in of_own
+    assert len({frozenset(r.placebo for r in rows if r.question_id == f"q{i}") for i in range(80, 100)}) > 5
+    assert all(sum(r.question_id == f"q{i}" for r in rows) == 10 for i in range(100))
+
+
+def test_eligible_questions_alone_are_scored(spark):
+    q = spark.createDataFrame([("a", "knowledge-update", "", "red fox", False), ("b", "temporal-reasoning", "", "two days", False), ("c", "knowledge-update", "", "blue jay", True)], QUESTION)
+    assert [r.question_id for r in survival.routed(q).where("eligible").collect()] == ["a"]
