@@ -8,9 +8,9 @@ Candidates come from sketches: counters of hashed phrases in two rows, whose
 smaller one is never below the true count.  The first sketch counts pairs, the
 second longer phrases all of whose pairs have passed.  Tasks send their cells in
 blocks, blocks are summed apart from each other, and only the bit "reaches
-min_count" of each cell goes on.  The rows grow with the texts up to MAX_CELLS;
-beyond that more phrases pass, but none is missed.  Phrases that pass are listed
-once, with their words.
+min_count" of each cell goes on.  The rows grow with the texts up to 2^28 cells;
+beyond that more phrases pass, but none is missed.  Of the rows that have a
+phrase that passes, the one with the smallest hash lists it with its words.
 
 Candidates are dealt to shards of at most SHARD phrases, and each shard is
 compiled into Aho-Corasick automata, one a language, over word numbers.  Number 0
@@ -200,37 +200,101 @@ def joined_words(c: Chunk) -> pa.Array:
 CANDIDATE = "lang string, key long, phrase string, hashes array<long>"
 
 
-def candidates(texts: DataFrame, longest: int, least: int, bits: int) -> DataFrame:
-    """(lang, key, phrase, hashes) of the phrases whose sketched counts reach ``least``, as a saved table."""
-    spark = texts.sparkSession
-    share = spark.sparkContext.broadcast
-    pairs = share(summed(cells_of(texts, lambda c: [h for _, _, h in phrase_hashes(c, 2)], bits, least), bits, least))
-    longer = lambda c: [h for n, _, h in passing(c, longest, pairs.value, None) if n > 2]
-    more = share(summed(cells_of(texts, longer, bits, least), bits, least))
+def least_rows(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, and of each the smallest row."""
+    order = np.lexsort((row, h))
+    h, row = h[order], row[order]
+    head = np.ones(len(h), bool)
+    head[1:] = h[1:] != h[:-1]
+    return h[head], row[head]
+
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, U64)
+def owned(texts: DataFrame, longest: int, pairs: object, more: object, bits: int) -> DataFrame:
+    """(block, n, keys, rows): the passing phrases by hash, and of each the smallest of the rows that
+    have it, which will list it; as a saved table of packed blocks."""
+    high = U64(64 - max(1, bits - MIN_BITS))
+
+    def packed(h: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+        block = (h >> high).astype(np.int32)
+        heads = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        tails = [*heads[1:].tolist(), len(h)]
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(heads, tails, strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(block[heads]), pa.array(np.diff([*heads, len(h)]), pa.int64()), cut(h), cut(row)], ["block", "n", "keys", "rows"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, row = np.zeros(0, U64), np.zeros(0, U64)
         for batch in tv.chunks(batches):
             c = read(batch)
-            words, fresh = None, [seen]
+            rows = batch.column("row").to_numpy().view(U64)[c.words.doc]
+            found = [(k, rows[at]) for _, at, k in passing(c, longest, pairs.value, more.value)]
+            h, row = least_rows(np.concatenate([h, *(k for k, _ in found)]), np.concatenate([row, *(r for _, r in found)]))
+            if len(h) > PENDING:
+                yield packed(h, row)
+                h, row = h[:0], row[:0]
+        if len(h):
+            yield packed(h, row)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, rows = None, [], []
+        for batch in batches:
+            for block, k, r in zip(*(batch.column(c).to_pylist() for c in ("block", "keys", "rows")), strict=True):
+                if block != now and keys:
+                    yield packed(*least_rows(np.concatenate(keys), np.concatenate(rows)))
+                    keys, rows = [], []
+                now = block
+                keys.append(np.frombuffer(k, U64))
+                rows.append(np.frombuffer(r, U64))
+        if keys:
+            yield packed(*least_rows(np.concatenate(keys), np.concatenate(rows)))
+
+    kind = "block int, n long, keys binary, rows binary"
+    return saved(texts.mapInArrow(find, kind).repartition("block").sortWithinPartitions("block").mapInArrow(merge, kind), "owned")
+
+
+def listing(texts: DataFrame, longest: int, pairs: object, more: object, own: DataFrame) -> DataFrame:
+    """(lang, key, phrase, hashes) of the phrases of some blocks, each by the row that owns it."""
+    blocks = own.select("keys", "rows").toArrow().to_pylist()  # about SHARD phrases, 16 bytes each
+    keys = np.concatenate([np.zeros(0, U64), *(np.frombuffer(b["keys"], U64) for b in blocks)])
+    rows = np.concatenate([np.zeros(0, U64), *(np.frombuffer(b["rows"], U64) for b in blocks)])
+    order = np.argsort(keys)
+    sent = texts.sparkSession.sparkContext.broadcast((keys[order], rows[order]))
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rows = sent.value
+        for batch in tv.chunks(batches):
+            c, words = read(batch), None
+            if not len(c.hash) or not len(keys):
+                continue
+            row = batch.column("row").to_numpy().view(U64)[c.words.doc]
             for n, at, h in passing(c, longest, pairs.value, more.value):
-                h, first = np.unique(h, return_index=True)
-                new = ~np.isin(h, seen, assume_unique=True)
-                if not new.any():
+                where = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                mine = np.flatnonzero((keys[where] == h) & (rows[where] == row[at]))
+                h, first = np.unique(h[mine], return_index=True)
+                at = at[mine[first]]
+                if not len(h):
                     continue
-                h, at = h[new], at[first[new]]
-                fresh.append(h)
                 words = joined_words(c) if words is None else words
                 phrase = pc.binary_join_element_wise(*[words.take(pa.array(at + k)) for k in range(n)], pa.scalar(" ", pa.large_string())).cast(pa.string())
                 hashes = np.stack([c.hash[at + k] for k in range(n)], axis=1).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * n), pa.array(hashes.ravel()))
                 names = pa.array(c.names, pa.string()).take(pa.array(c.lang[at]))
                 yield pa.RecordBatch.from_arrays([names, pa.array(h.view(np.int64)), phrase, lists], ["lang", "key", "phrase", "hashes"])
-            if len(fresh) > 1:
-                seen = np.sort(np.concatenate(fresh))
-                seen = seen if len(seen) <= PENDING else np.zeros(0, U64)
 
-    return saved(texts.mapInArrow(listed, CANDIDATE).dropDuplicates(["lang", "key"]), "phrases")
+    # rows that share id and text list twice
+    return saved(texts.mapInArrow(lists, CANDIDATE).dropDuplicates(["lang", "key"]), "phrases")
+
+
+def candidates(texts: DataFrame, longest: int, least: int, bits: int, shard_size: int) -> list[DataFrame]:
+    """Saved tables (lang, key, phrase, hashes) of the phrases whose sketched counts reach ``least``, about ``shard_size`` each."""
+    share = texts.sparkSession.sparkContext.broadcast
+    pairs = share(summed(cells_of(texts, lambda c: [h for _, _, h in phrase_hashes(c, 2)], bits, least), bits, least))
+    longer = lambda c: [h for n, _, h in passing(c, longest, pairs.value, None) if n > 2]
+    more = share(summed(cells_of(texts, longer, bits, least), bits, least))
+    own = owned(texts, longest, pairs, more, bits)
+    shards = max(1, -(-(own.agg(F.sum("n")).first()[0] or 0) // shard_size))
+    out = [listing(texts, longest, pairs, more, own.where(F.pmod("block", F.lit(shards)) == i)) for i in range(shards)]
+    discard(own)
+    return out
 
 
 class Automata(NamedTuple):
@@ -317,13 +381,11 @@ def counted(shard: int, lang: str, kind: int, keys: np.ndarray, n: np.ndarray) -
     return pa.RecordBatch.from_arrays([pa.array([shard] * some, pa.int32()), pa.array([lang] * some, pa.string()), pa.array([kind] * some, pa.int32()), pa.array(keys), pa.array(n)], ["shard", "lang", "kind", "key", "count"])
 
 
-def exact_counts(texts: DataFrame, phrases: DataFrame, shard_size: int) -> DataFrame:
+def exact_counts(texts: DataFrame, shards: list[DataFrame]) -> DataFrame:
     """(lang, kind, key, count) over all texts, as a saved table."""
-    shards = max(1, -(-phrases.count() // shard_size))
     out = None
-    for s in range(shards):
-        own = phrases.where(F.pmod(F.xxhash64("lang", "key"), F.lit(shards)) == s).select("lang", "key", "hashes").toArrow()  # about shard_size phrases, 50 bytes each
-        part = scanned(texts, own, s)
+    for i, phrases in enumerate(shards):
+        part = scanned(texts, phrases.select("lang", "key", "hashes").toArrow(), i)  # about SHARD phrases, 50 bytes each
         out = part if out is None else out.unionByName(part)
     # a word of several shards has been counted in each
     per = out.groupBy("shard", "lang", "kind", "key").agg(F.sum("count").alias("count"))
@@ -335,11 +397,14 @@ def mine(df: DataFrame, min_count: int = 30, longest: int = LONGEST, top: int =
     two parts at the cut that scores lowest, n words of the language, score.  A phrase goes if one
     that holds it is at least ``swallow`` hundredths as frequent."""
     small_batches(df.sparkSession)
-    texts = df.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = df.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, (size // BYTES_PER_CELL).bit_length()))
-    found = candidates(texts, longest, min_count, bits)
-    counts = exact_counts(texts, found, shard_size)
+    shards = candidates(texts, longest, min_count, bits, shard_size)
+    counts = exact_counts(texts, shards)
+    found = shards[0]
+    for more in shards[1:]:
+        found = found.unionByName(more)
     of = lambda kind: counts.where(F.col("kind") == kind).select("lang", "key", "count")
     rows = found.join(of(2), ["lang", "key"]).where(F.col("count") >= min_count).select("lang", "phrase", "hashes", F.split("phrase", " ").alias("words"), F.col("count").alias("a"))
     rows = saved(rows, "frequent")
@@ -361,5 +426,5 @@ def mine(df: DataFrame, min_count: int = 30, longest: int = LONGEST, top: int =
     total = of(0).select("lang", F.col("count").alias("n"))
     out = best.join(total, "lang").select("lang", "rank", "phrase", "a", "low.l", "low.r", "n", "low.score")
     out = saved(out, "collocations")
-    discard(found, counts, rows)
+    discard(*shards, counts, rows)
     return out
