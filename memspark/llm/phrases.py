@@ -13,11 +13,11 @@ beyond that more phrases pass, but none is missed.  Of the rows that have a
 phrase that passes, the one with the smallest hash lists it with its words.
 
 Candidates are dealt to shards of at most SHARD phrases, and each shard is
-compiled into Aho-Corasick automata, one a language, over word numbers.  Number 0
-is the delimiter: it stands for every piece end and every word that no phrase of
-the shard has, so no match crosses it.  Every task scans its texts with each
-shard and counts all matches, overlapping ones included, and the words.  The sums
-are exact; thresholds, cuts, containment and ranks are then joins over them.
+compiled into Aho-Corasick automata, one a language, over codes of its words.  A
+delimiter stands for every piece end and every word that no phrase of the shard
+has, so no match crosses it, and a code's first letter guards its start.  Every
+task scans its texts with each shard and counts all matches, overlapping ones
+included, and the words.  Counts travel in blocks, and their sums are exact; thresholds, cuts, containment and ranks are then joins over them.
 Every part of a frequent phrase is at least as frequent, so its count is there.
 
 Defined cases: a null text has no words; a null language is ``und``; repeated
@@ -297,98 +297,182 @@ def candidates(texts: DataFrame, longest: int, least: int, bits: int, shard_size
     return out
 
 
+#: Digits of a word's code.  The first one has letters of its own, so no match starts inside a code;
+#: an automaton looks through a node's letters one by one, so they are few.
+DIGITS, DELIMITER = 64, 128
+#: Matches and words that a task keeps before it counts them.
+HITS = 2_000_000
+
+
 class Automata(NamedTuple):
-    """Word hashes in order, and an automaton and its keys for each language."""
+    """Word hashes in order, letters of a code, and an automaton and its keys for each language."""
 
     words: np.ndarray
+    width: int
     by_lang: dict[str, tuple[ahocorasick.Automaton, np.ndarray]]
 
 
+def codes(numbers: np.ndarray, width: int) -> np.ndarray:
+    """A row of ``width`` letters for each number."""
+    out = np.empty((len(numbers), width), np.uint8)
+    for k in range(width):
+        out[:, k] = numbers // DIGITS ** (width - 1 - k) % DIGITS
+    out[:, 0] += DIGITS
+    return out
+
+
 #: The automata that this worker has compiled last: its next tasks scan with the same ones.
 compiled: dict[str, Automata] = {}
 
 
 def automata(name: str, phrases: pa.Table) -> Automata:
-    """The automata of phrases(lang, key, hashes), over word numbers from 1 on."""
+    """The automata of phrases(lang, key, hashes), over the codes of their words."""
     if name not in compiled:
         compiled.clear()
         flat = phrases["hashes"].combine_chunks()
         hashes = flat.values.to_numpy().view(U64)
         words = np.unique(hashes)
-        numbers = (np.searchsorted(words, hashes) + 1).tolist()
-        off, keys = flat.offsets.to_pylist(), phrases["key"].to_numpy()
+        width = 1
+        while DIGITS**width < len(words):
+            width += 1
+        text = codes(np.searchsorted(words, hashes), width).tobytes().decode("latin-1")
+        off, keys = (flat.offsets.to_numpy() * width).tolist(), phrases["key"].to_numpy()
         langs = phrases["lang"].combine_chunks().dictionary_encode()
         which = np.asarray(langs.indices)
         found = {}
         for i, lang in enumerate(langs.dictionary.to_pylist()):
-            machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             own = np.flatnonzero(which == i)
             for at, j in enumerate(own.tolist()):
-                machine.add_word(tuple(numbers[off[j] : off[j + 1]]), at)
+                machine.add_word(text[off[j] : off[j + 1]], at)
             machine.make_automaton()
             found[lang] = (machine, keys[own])
-        compiled[name] = Automata(words, found)
+        compiled[name] = Automata(words, width, found)
     return compiled[name]
 
 
-def scanned(texts: DataFrame, phrases: pa.Table, shard: int) -> DataFrame:
-    """(shard, lang, kind, key, count): by task, of each phrase (kind 2), its words (1) and all words (0)."""
+def sequence(number: np.ndarray, room: np.ndarray, width: int) -> str:
+    """The codes of words (-1: in no phrase) with a delimiter after each piece; what is in no phrase is one too."""
+    known = number >= 0
+    cut = ~known | (room == 1)
+    # the places of a word: its code, then a delimiter where one follows
+    size = known * width + cut
+    end = np.cumsum(size)
+    out = np.full(end[-1], DELIMITER, np.uint8)
+    at = (end - size)[known]
+    letters = codes(number[known], width)
+    for k in range(width):
+        out[at + k] = letters[:, k]
+    return out.tobytes().decode("latin-1")
+
+
+class Tally:
+    """Counts of small numbers, added up many at a time."""
+
+    def __init__(self, size: int) -> None:
+        self.total, self.waiting, self.n = np.zeros(size, np.int64), [], 0
+
+    def add(self, numbers: np.ndarray) -> None:
+        self.waiting.append(numbers)
+        self.n += len(numbers)
+        if self.n > HITS:
+            self.settle()
+
+    def settle(self) -> np.ndarray:
+        if self.waiting:
+            self.total += np.bincount(np.concatenate(self.waiting), minlength=len(self.total))
+            self.waiting, self.n = [], 0
+        return self.total
+
+
+COUNTED = "shard int, lang string, kind int, block int, keys binary, counts binary"
+
+
+def scanned(texts: DataFrame, phrases: pa.Table, shard: int, bits: int) -> DataFrame:
+    """Blocks of counts by task: of each phrase (kind 2), its words (1) and all words (0)."""
     name = uuid.uuid4().hex
     sent = texts.sparkSession.sparkContext.broadcast(phrases)
+    high = U64(64 - max(1, bits - MIN_BITS))
+
+    def blocks(lang: str, kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        block = (keys >> high).astype(np.int32)
+        heads = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        tails = [*heads[1:].tolist(), len(keys)]
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(heads, tails, strict=True)], pa.binary())
+        same = lambda v, t: pa.array([v] * len(heads), t)
+        return pa.RecordBatch.from_arrays([same(shard, pa.int32()), same(lang, pa.string()), same(kind, pa.int32()), pa.array(block[heads]), cut(keys), cut(n)], ["shard", "lang", "kind", "block", "keys", "counts"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = automata(name, sent.value)
-        phrase_n = {lang: np.zeros(len(keys), np.int64) for lang, (_, keys) in machines.by_lang.items()}
-        word_n: dict[str, np.ndarray] = {}
+        phrase_n: dict[str, Tally] = {}
+        word_n: dict[str, Tally] = {}
         all_n: dict[str, int] = {}
         for batch in tv.chunks(batches):
             c = read(batch)
             if not len(c.hash):
                 continue
             at = np.minimum(np.searchsorted(machines.words, c.hash), max(len(machines.words) - 1, 0))
-            number = np.where(machines.words[at] == c.hash, at + 1, 0) if len(machines.words) else np.zeros(len(at), np.int64)
+            number = np.where(machines.words[at] == c.hash, at, -1) if len(machines.words) else np.full(len(at), -1)
             for i, lang in enumerate(c.names):
-                own = np.flatnonzero(c.lang == i)
-                if not len(own):
+                own = c.lang == i
+                total = int(own.sum())
+                if not total:
                     continue
-                all_n[lang] = all_n.get(lang, 0) + len(own)
+                all_n[lang] = all_n.get(lang, 0) + total
                 if lang not in machines.by_lang:
                     continue
                 machine, keys = machines.by_lang[lang]
                 if lang not in word_n:
-                    word_n[lang] = np.zeros(len(machines.words) + 1, np.int64)
-                word_n[lang] += np.bincount(number[own], minlength=len(machines.words) + 1)
-                # a delimiter after the last word of each piece
-                last = c.room[own] == 1
-                seq = np.zeros(len(own) + last.sum(), np.int64)
-                seq[np.arange(len(own)) + np.cumsum(last) - last] = number[own]
-                hits = np.fromiter((v for _, v in machine.iter(tuple(seq.tolist()))), np.int64)
-                phrase_n[lang] += np.bincount(hits, minlength=len(keys))
-        for lang, total in all_n.items():
-            yield counted(shard, lang, 0, np.zeros(1, np.int64), np.array([total]))
-        for lang, n in word_n.items():
-            some = np.flatnonzero(n[1:])
-            yield counted(shard, lang, 1, machines.words[some].view(np.int64), n[1:][some])
-        for lang, n in phrase_n.items():
-            some = np.flatnonzero(n)
-            yield counted(shard, lang, 2, machines.by_lang[lang][1][some], n[some])
-
-    return texts.mapInArrow(scan, "shard int, lang string, kind int, key long, count long")
-
-
-def counted(shard: int, lang: str, kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    some = len(keys)
-    return pa.RecordBatch.from_arrays([pa.array([shard] * some, pa.int32()), pa.array([lang] * some, pa.string()), pa.array([kind] * some, pa.int32()), pa.array(keys), pa.array(n)], ["shard", "lang", "kind", "key", "count"])
-
-
-def exact_counts(texts: DataFrame, shards: list[DataFrame]) -> DataFrame:
+                    word_n[lang], phrase_n[lang] = Tally(len(machines.words)), Tally(len(keys))
+                mine = number[own]
+                word_n[lang].add(mine[mine >= 0])
+                phrase_n[lang].add(np.fromiter((v for _, v in machine.iter(sequence(mine, c.room[own], machines.width))), np.int64))
+        for lang, n in all_n.items():
+            yield blocks(lang, 0, np.zeros(1, U64), np.array([n]))
+        for kind, tallies in ((1, word_n), (2, phrase_n)):
+            for lang, tally in tallies.items():
+                n = tally.settle()
+                some = np.flatnonzero(n)
+                if len(some):
+                    keys = machines.words if kind == 1 else machines.by_lang[lang][1].view(U64)
+                    yield blocks(lang, kind, keys[some], n[some])
+
+    return texts.mapInArrow(scan, COUNTED)
+
+
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, lang, kind, key, count) from blocks that come in order."""
+    now, parts = None, []
+
+    def done() -> pa.RecordBatch:
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, at, np.concatenate([n for _, n in parts]))
+        same = lambda v, t: pa.array([v] * len(keys), t)
+        return pa.RecordBatch.from_arrays([same(now[0], pa.int32()), same(now[1], pa.string()), same(now[2], pa.int32()), pa.array(keys.view(np.int64)), pa.array(total)], ["shard", "lang", "kind", "key", "count"])
+
+    for batch in batches:
+        for shard, lang, kind, block, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("shard", "lang", "kind", "block", "keys", "counts")), strict=True):
+            if now != (shard, lang, kind, block):
+                if parts:
+                    yield done()
+                now, parts = (shard, lang, kind, block), []
+            parts.append((np.frombuffer(keys, U64), np.frombuffer(counts, np.int64)))
+    if parts:
+        yield done()
+
+
+def exact_counts(texts: DataFrame, shards: list[DataFrame], bits: int) -> DataFrame:
     """(lang, kind, key, count) over all texts, as a saved table."""
     out = None
     for i, phrases in enumerate(shards):
-        part = scanned(texts, phrases.select("lang", "key", "hashes").toArrow(), i)  # about SHARD phrases, 50 bytes each
+        part = scanned(texts, phrases.select("lang", "key", "hashes").toArrow(), i, bits)  # about SHARD phrases, 50 bytes each
         out = part if out is None else out.unionByName(part)
+    block = ["shard", "lang", "kind", "block"]
+    per = out.repartition(*block).sortWithinPartitions(*block).mapInArrow(added, "shard int, lang string, kind int, key long, count long")
     # a word of several shards has been counted in each
-    per = out.groupBy("shard", "lang", "kind", "key").agg(F.sum("count").alias("count"))
     return saved(per.groupBy("lang", "kind", "key").agg(F.max("count").alias("count")), "counts")
 
 
@@ -401,7 +485,7 @@ def mine(df: DataFrame, min_count: int = 30, longest: int = LONGEST, top: int =
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, (size // BYTES_PER_CELL).bit_length()))
     shards = candidates(texts, longest, min_count, bits, shard_size)
-    counts = exact_counts(texts, shards)
+    counts = exact_counts(texts, shards, bits)
     found = shards[0]
     for more in shards[1:]:
         found = found.unionByName(more)
