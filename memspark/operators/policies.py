@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import text as T
 from memspark.operators.units import renumber
-from memspark.sources.stage import discard, saved
 
 SPEC = re.compile(r"(verbatim)_(turn|user_turn|session)|(truncated_recency|leadk|tailk|lexrank)_(\d+)|(truncated_random)_(\d+)(?:_s(\d+))?")
 #: Fixed values of the centrality ranking.
 DAMPING, MAX_STEPS, TOLERANCE = 0.85, 40, 1e-8
-#: Steps of a job; weights are rounded before they rank.
-STEPS, WEIGHT_DIGITS = 5, 10
+#: Weights are rounded before they rank.
+WEIGHT_DIGITS = 10
 
 
 @dataclass(frozen=True)
@@ -148,59 +150,61 @@ def sentence_cosines(units: DataFrame) -> DataFrame:
 
 def centrality(nodes: DataFrame, cosines: DataFrame) -> DataFrame:
     """nodes(question_id, unit_id, pos, n) with p, their stationary weights on the graph of a
-    unit's cosines, by damped power iteration; as a saved table.
+    unit's cosines, by damped power iteration.
 
-    The graph is its edges alone: a step is a join of edges with weights and a sum, in
-    the partition of the unit, and STEPS of them are one job.  A unit is done when a step
-    changes its weights by less than TOLERANCE in all, or after MAX_STEPS; units without
-    an edge keep equal weights.  A sentence without one gives its weight to all alike.
-    """
+    The graph is its edges alone, dealt by unit and read in unit order: a task holds the
+    edges of one unit at a time.  A unit is done when a step changes its weights by less
+    than TOLERANCE in all, or after MAX_STEPS; without an edge all weigh alike.  A sentence
+    without an edge gives its weight to all sentences of its unit."""
     unit = ["question_id", "unit_id"]
-    of = Window.partitionBy(*unit)
-    both = cosines.where("cosine > 0")
-    both = both.unionByName(both.select(*unit, F.col("j").alias("i"), F.col("i").alias("j"), "cosine"))
-    share = F.col("cosine") / F.sum("cosine").over(Window.partitionBy(*unit, "i"))
-    edges = saved(both.select(*unit, F.col("i").alias("pos"), "j", share.alias("share")), "edges")
-    lone = nodes.join(edges.select(*unit, "pos").distinct().withColumn("linked", F.lit(True)), [*unit, "pos"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    start = lone.withColumns({"p": 1.0 / F.col("n"), "apart": F.lit(1.0), "some": F.bool_or("linked").over(of)})
-    start = saved(start, "weights")
-    rest, state, done = start.where("NOT some").select(*nodes.columns, "p"), start.where("some").drop("some"), []
-    spark = nodes.sparkSession
-    # edges and weights lie by unit, which is all that a step needs to have together
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before, made = spark.conf.get(name), [start]
-    spark.conf.set(name, "false")
-    try:
-        for _ in range(0, MAX_STEPS, STEPS):
-            near, at = edges.repartition(*unit), state.repartition(*unit)
-            for _ in range(STEPS):
-                flow = near.join(at.select(*unit, "pos", "p"), [*unit, "pos"]).groupBy(*unit, F.col("j").alias("pos")).agg(F.sum(F.col("p") * F.col("share")).alias("flow"))
-                spread = F.sum(F.when(F.col("linked"), 0.0).otherwise(F.col("p"))).over(of) / F.col("n")
-                moved = at.join(flow, [*unit, "pos"], "left").withColumn("q", (1 - DAMPING) / F.col("n") + DAMPING * (F.coalesce("flow", F.lit(0.0)) + spread))
-                # a unit that is done stays as it is
-                live = F.col("apart") >= TOLERANCE
-                change = F.when(live, F.sum(F.abs(F.col("q") - F.col("p"))).over(of)).otherwise(F.col("apart"))
-                at = moved.select(*nodes.columns, "linked", F.when(live, F.col("q")).otherwise(F.col("p")).alias("p"), change.alias("apart"))
-            state = saved(at, "weights")
-            made.append(state)
-            finished = state.where(F.col("apart") < TOLERANCE).select(*nodes.columns, "p")
-            done.append(finished)
-            state = state.where(F.col("apart") >= TOLERANCE)
-            if state.isEmpty():
-                break
-    finally:
-        spark.conf.set(name, before)
-    out = rest.unionByName(state.select(*nodes.columns, "p"))
-    for d in done:
-        out = out.unionByName(d)
-    out = saved(out, "centrality")
-    discard(edges, *made)
-    return out
+    some = cosines.where("cosine > 0")
+    both = some.unionByName(some.select(*unit, F.col("j").alias("i"), F.col("i").alias("j"), "cosine"))
+    edges = both.join(nodes.select(*unit, F.col("pos").alias("i"), "n"), [*unit, "i"])
+    kinds = ", ".join(f"{c} {nodes.schema[c].dataType.simpleString()}" for c in (*unit, "pos"))
+    weights = edges.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(weigh, f"{kinds}, p double")
+    return nodes.join(weights, [*unit, "pos"], "left").withColumn("p", F.coalesce("p", 1.0 / F.col("n")))
+
+
+def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(question_id, unit_id, pos, p) of the units whose edges (i, j, cosine) come one unit after the other."""
+    held: list[pa.RecordBatch] = []
+
+    def done() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        p = power(t["i"].to_numpy(), t["j"].to_numpy(), t["cosine"].to_numpy(), t["n"][0].as_py())
+        cols = [pa.array([t[c][0].as_py()] * len(p), t.schema.field(c).type) for c in ("question_id", "unit_id")]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(len(p)), t.schema.field("i").type), pa.array(p)], ["question_id", "unit_id", "pos", "p"])
+
+    for batch in batches:
+        units = list(zip(batch.column("question_id").to_pylist(), batch.column("unit_id").to_pylist(), strict=True))
+        cuts = [0, *(k for k in range(1, len(units)) if units[k] != units[k - 1]), len(units)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                if held and (held[0].column("question_id")[0].as_py(), held[0].column("unit_id")[0].as_py()) != units[a]:
+                    yield done()
+                    held.clear()
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield done()
+
+
+def power(i: np.ndarray, j: np.ndarray, cosine: np.ndarray, n: int) -> np.ndarray:
+    """Stationary weights on a sparse graph of n nodes, edges in both directions."""
+    mass = np.bincount(i, cosine, n)
+    share, lone = cosine / mass[i], mass == 0
+    p = np.full(n, 1.0 / n)
+    for _ in range(MAX_STEPS):
+        q = (1 - DAMPING) / n + DAMPING * (np.bincount(j, p[i] * share, n) + p[lone].sum() / n)
+        apart = np.abs(q - p).sum()
+        p = q
+        if apart < TOLERANCE:
+            break
+    return p
 
 
 def lexrank(units: DataFrame, fraction: float) -> DataFrame:
     """Most central sentence of every unit, then the second ones; ties in sentence order."""
-    rows = saved(sentence_rows(units), "sentences")
+    rows = sentence_rows(units)
     nodes = rows.select("question_id", "unit_id", "pos", "n")
     weights = centrality(nodes, cosines(sentence_terms(units)))
     place = F.row_number().over(Window.partitionBy("question_id", "unit_id").orderBy(F.round("p", WEIGHT_DIGITS).desc(), "pos"))
