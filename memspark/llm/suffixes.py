@@ -133,12 +133,14 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[dict[str
         yield {"text": text, "q": q + shift, "lo": first + shift, "hi": ends + shift, "lane": lane, "prefix": grams[q].view(np.int64), "around": around.view(np.int64)}
 
 
-ENTRY = "lane long, prefix long, around long, doc_id long, text_hash long, q long, lo long, hi long, last long, n long"
-LOC = ("doc_id", "text_hash", "q", "lo", "hi", "last")
+#: A place is an anchor q of a text; its windows start from ``first`` to ``last`` bytes before it, and
+#: those of its repeats right behind it up to ``run`` bytes later.  Small numbers take little room.
+LOC = ("doc_id", "text_hash", "q", "first", "last", "run")
+ENTRY = "lane long, prefix long, around long, doc_id long, text_hash long, q long, first int, last int, run int, n long"
 
 
 def entries(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Index entries of texts; neighbours with the same surroundings (a repeated byte, say) are one, from ``lo`` to ``last``."""
+    """Index entries of texts; neighbours with the same surroundings (a repeated byte, say) are one."""
     for batch in tv.chunks(batches):
         data, off = tv.text_buffers(batch.column("text"))
         ids, hashes = batch.column("doc_id"), batch.column("text_hash")
@@ -148,12 +150,12 @@ def entries(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             at = np.flatnonzero(head)
             tail = np.concatenate([at[1:], [len(head)]]) - 1
             text = pa.array(a["text"][at])
-            cols = [a["lane"][at], a["prefix"][at], a["around"][at], ids.take(text), hashes.take(text), a["q"][at], a["lo"][at], a["hi"][at], a["hi"][tail], tail - at + 1]
+            cols = [a["lane"][at], a["prefix"][at], a["around"][at], ids.take(text), hashes.take(text), a["q"][at], *((x).astype(np.int32) for x in (a["q"][at] - a["lo"][at], a["q"][at] - a["hi"][at], a["hi"][tail] - a["hi"][at])), tail - at + 1]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], ["lane", "prefix", "around", *LOC, "n"])
 
 
 class Level(NamedTuple):
-    """A suffix array over so many batches: (lane, prefix, around, n, loc), loc one of the n places."""
+    """A suffix array over so many batches: (lane, prefix, around, n) and the LOC of one of the n places."""
 
     batches: int
     array: DataFrame
@@ -167,8 +169,14 @@ def ordered(rows: DataFrame) -> DataFrame:
     return saved(rows.repartitionByRange(*KEY).sortWithinPartitions(*CLASS), "array")
 
 
-def marked(rows: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
-    return rows.select("doc_id", "text_hash", F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+def classes(rows: DataFrame) -> DataFrame:
+    """Entries with the same surroundings as one, with any one place of them."""
+    return rows.groupBy(*CLASS).agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in LOC])  # all of one row
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """The starts of all windows of places, from lo to hi."""
+    return rows.select("doc_id", "text_hash", (F.col("q") - F.col("first")).alias("lo"), (F.col("q") - F.col("last") + F.col("run")).alias("hi"))
 
 
 class SuffixIndex:
@@ -188,9 +196,9 @@ class SuffixIndex:
         length = self.length
         source = located(docs).select("doc_id", "text_hash", "text")
         found = saved(source.mapInArrow(lambda it: entries(it, length), ENTRY), "entries")
-        own = ordered(found.groupBy(*CLASS).agg(F.sum("n").alias("n"), F.min(F.struct(*LOC)).alias("loc")))
+        own = ordered(classes(found))
         # copies inside the batch
-        self.marks.append(saved(marked(found.join(own.where("n > 1").select(*CLASS), CLASS, "left_semi"), hi="last"), "marks"))
+        self.marks.append(saved(marked(found.join(own.where("n > 1").select(*CLASS), CLASS, "left_semi")), "marks"))
         discard(found)
         both, scans = own, []
         keys = own.select(*KEY).distinct().hint("merge")
@@ -199,16 +207,17 @@ class SuffixIndex:
             both = both.unionByName(scans[-1])
         often = saved(both.groupBy(*KEY).agg(F.sum("n").alias("total"), (F.min("around") != F.max("around")).alias("several")).where("total > 1").drop("total"), "often")
         # of a class at most one entry per level and one of the batch
-        again = both.join(often, KEY).groupBy(*CLASS, "several").agg(F.sum("n").alias("n"), F.min("loc").alias("loc"), F.collect_list(F.when(F.col("n") == 1, F.col("loc"))).alias("single"))
+        place = F.struct(*LOC)
+        again = both.join(often, KEY).groupBy(*CLASS, "several").agg(F.sum("n").alias("n"), F.min(place).alias("place"), F.collect_list(F.when(F.col("n") == 1, place)).alias("single"))
         again = saved(again, "again")
-        self.marks.append(saved(marked(again.where("n > 1").select(F.explode("single").alias("at")).select("at.*"), hi="last"), "marks"))
-        self.open.append(saved(again.where("several").select("loc.*"), "open"))
+        self.marks.append(saved(marked(again.where("n > 1").select(F.explode("single").alias("at")).select("at.*")), "marks"))
+        self.open.append(saved(again.where("several").select("place.*"), "open"))
         discard(*scans, often, again)
         self.levels.append(Level(1, own))
         while len(self.levels) > 1 and self.levels[-1].batches == self.levels[-2].batches:
             new, old = self.levels.pop(), self.levels.pop()
             union = old.array.unionByName(new.array)
-            merged = ordered(union.groupBy(*CLASS).agg(F.sum("n").alias("n"), F.min("loc").alias("loc")))
+            merged = ordered(classes(union))
             discard(new.array, old.array)
             self.levels.append(Level(2 * new.batches, merged))
 
@@ -255,8 +264,9 @@ def blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         for i, (doc_id, text_hash, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "own")), strict=True)):
             text = data[off[i] : off[i + 1]]
             raw = text.tobytes()
-            q, lo, hi = (np.array([a[c] for a in own], np.int64) for c in ("q", "lo", "hi"))
-            low, high = (q - hi) // GROUP, (q - lo) // GROUP
+            q, far, near = (np.array([a[c] for a in own], np.int64) for c in ("q", "first", "last"))
+            lo, hi = q - far, q - near
+            low, high = near // GROUP, far // GROUP
             each = high - low + 1
             j = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(low, each)
             q, lo, hi = (np.repeat(x, each) for x in (q, lo, hi))
@@ -277,7 +287,7 @@ def blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
 
 def partial_windows(docs: DataFrame, suffixes: DataFrame, length: int) -> DataFrame:
     """Marks (doc_id, text_hash, lo, hi) of the owned windows of open suffixes that equal another one's, as a saved table."""
-    own = suffixes.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("q", "lo", "hi")).alias("own"))  # a text's own
+    own = suffixes.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("q", "first", "last")).alias("own"))  # a text's own
     texts, small = located(docs).select("doc_id", "text_hash", "text"), own.hint("shuffle_hash")
     some = texts.join(small, texts["doc_id"].eqNullSafe(small["doc_id"]) & (texts["text_hash"] == small["text_hash"])).select(texts["doc_id"], texts["text_hash"], "text", "own")
     rows = saved(some.mapInArrow(lambda it: blocks(it, length), BLOCK), "blocks")
