@@ -89,6 +89,17 @@ def meter(events: DataFrame, *group: str) -> DataFrame:
     )
 
 
+#: What a phase of a record holds.
+LEDGER = ("llm_calls", "llm_prompt_tokens", "llm_completion_tokens", "embed_calls", "embed_tokens")
+
+
+def records(metered: DataFrame, *group: str) -> DataFrame:
+    """(group, cost): sums of ``meter`` as one record with the phases write and read, each a
+    struct of LEDGER; a phase without calls has zeros."""
+    of = lambda phase: F.struct(*[F.coalesce(F.sum(F.when(F.col("phase") == phase, F.col(c))), F.lit(0)).cast("long").alias(c) for c in LEDGER])
+    return metered.groupBy(*group).agg(F.struct(of("write").alias("write"), of("read").alias("read")).alias("cost"))
+
+
 def dollars(model: Column, prompt: Column, completion: Column, prices: dict[str, tuple[float, float]] = PRICES) -> Column:
     """Dollars of tokens at list prices; an unknown model costs nothing."""
     cost = F.lit(0.0)

@@ -100,7 +100,10 @@ def resampled(rows: DataFrame, replicates: int, seed: int, values: list[str]) ->
 
     While the rows number at most BROADCAST_ROWS, all their values are one array that
     goes to every task and the replicates are made where they are summed: nothing but
-    the means is shuffled.  Beyond that draws and rows are joined.
+    the means is shuffled.  Beyond that, how often each distinct value comes in a
+    replicate is one multinomial draw, whose generator the replicate's number seeds; values
+    are counted first, so neither draws nor rows move.  Only where the distinct values
+    are too many as well, draws and rows are joined.
     """
     spark = rows.sparkSession
     n = rows.count()
@@ -108,6 +111,10 @@ def resampled(rows: DataFrame, replicates: int, seed: int, values: list[str]) ->
     if not n:
         return rows.select(F.lit(0).alias("b"), *values).where(F.lit(False))
     starts = spark.range(0, replicates, 1, tasks).select(F.col("id").cast("int").alias("b"))
+    if n > BROADCAST_ROWS and (counts := rows.groupBy(*values).agg(F.count("*").alias("times")).orderBy(*values).limit(BROADCAST_ROWS + 1).toArrow()).num_rows <= BROADCAST_ROWS:
+        columns = [counts[v].to_numpy().astype(np.float64) for v in values]
+        sent = spark.sparkContext.broadcast((columns, counts["times"].to_numpy()))
+        return starts.mapInArrow(lambda it: drawn_counts(it, *sent.value, seed, values), ", ".join(["b int", *[f"{v} double" for v in values]]))
     if n > BROADCAST_ROWS:
         places = starts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("at"))
         draws = places.select("b", portable_index(F.concat_ws("|", F.lit(seed), "b", "at"), F.lit(n)).alias("pos"))
@@ -135,6 +142,18 @@ def resampled(rows: DataFrame, replicates: int, seed: int, values: list[str]) ->
     return starts.mapInArrow(means, ", ".join(["b int", *[f"{v} double" for v in values]]))
 
 
+def drawn_counts(batches: Iterator[pa.RecordBatch], columns: list[np.ndarray], times: np.ndarray, seed: int, values: list[str]) -> Iterator[pa.RecordBatch]:
+    """Means of replicates, by counts of the distinct values."""
+    n = int(times.sum())
+    for batch in batches:
+        out = []
+        for b in batch.column("b").to_pylist():
+            drawn = np.random.default_rng([seed, b]).multinomial(n, times / n)
+            out.append([float(drawn @ c) / n for c in columns])
+        cols = [pa.array(c, pa.float64()) for c in (zip(*out, strict=True) if out else [[] for _ in columns])]
+        yield pa.RecordBatch.from_arrays([batch.column("b"), *cols], names=["b", *values])
+
+
 def interval(stats: DataFrame, alpha: float, interpolate: bool = False) -> DataFrame:
     """(lo, hi) of stats(b, m): order statistics of the m that are not null, or interpolated quantiles."""
     if interpolate:

@@ -102,6 +102,7 @@ METER = """calls AS (SELECT user_id, event_id, event_type <> 'click' AS llm, CAS
     meter AS (SELECT user_id, phase, count(*) FILTER (WHERE llm) AS llm_calls, coalesce(sum(billed) FILTER (WHERE llm), 0)::BIGINT AS llm_prompt_tokens, coalesce(sum(completion) FILTER (WHERE llm), 0)::BIGINT AS llm_completion_tokens,
         coalesce(sum(n_items) FILTER (WHERE NOT llm), 0)::BIGINT AS embed_calls, coalesce(sum(billed) FILTER (WHERE NOT llm), 0)::BIGINT AS embed_tokens, bool_or(llm AND reported IS NULL) AS estimated FROM calls GROUP BY ALL)"""
 
+LEDGER = ("llm_calls", "llm_prompt_tokens", "llm_completion_tokens", "embed_calls", "embed_tokens")
 BUCKET = "CASE WHEN len(g) <= 1 THEN '1' WHEN len(g) <= 3 THEN '2-3' ELSE '4+' END"
 ROUTED = f"""{BASE}, q0 AS (SELECT question_id, question_type, question, gold, {normal('gold')} AS g FROM questions),
     routed AS (SELECT question_id, question_type, question, gold, false AS is_abstention, len(g) <= 12 AS extractive, len(g) >= 2 AS "primary", regexp_matches(trim(gold), '^[0-9]*\\.?[0-9]*$') AND regexp_matches(gold, '[0-9]') AS numeral,
@@ -251,6 +252,10 @@ REPORT_SQL: dict[str, str] = {
         SELECT user_id, write_prompt, write_completion, read_prompt, read_completion, round((write_prompt * i + write_completion * o) / 1000000::DOUBLE + 100 * (read_prompt * i + read_completion * o) / 1000000::DOUBLE, 9) AS dollars_100_queries FROM p""",
     "extracted_store": f"""WITH {TURNS}, m AS (SELECT question_id, session_id || '/' || (turn_index % 2) AS memory_id, arg_max(content, turn_index) AS text, arg_max(session_date, turn_index) AS session_date, string_agg(turn_index::VARCHAR, ',' ORDER BY turn_index) AS provenance FROM turns GROUP BY ALL)
         SELECT question_id, (row_number() OVER (PARTITION BY question_id ORDER BY memory_id) - 1)::INT AS unit_id, text, session_date, provenance FROM m WHERE trim(text) <> ''""",
+    "stored_memories": f"""WITH {TURNS}, m AS (SELECT question_id, session_id || '/' || (turn_index % 2) AS memory_id, arg_max(content, turn_index) AS text, arg_max(session_date, turn_index) AS session_date, string_agg(turn_index::VARCHAR, ',' ORDER BY turn_index) AS provenance FROM turns GROUP BY ALL)
+        SELECT question_id, (row_number() OVER (PARTITION BY question_id ORDER BY memory_id) - 1)::INT AS unit_id, text, session_date, provenance FROM m WHERE trim(text) <> ''""",
+    "ledger_records": f"""WITH {METER}, w AS (SELECT user_id, {", ".join(f"coalesce(sum({c}) FILTER (WHERE phase = '{p}'), 0)::BIGINT AS {p}_{c}" for p in ("write", "read") for c in LEDGER)} FROM meter GROUP BY user_id)
+        SELECT user_id, '{{' || {" || ',' || ".join(f"""'"{p}":{{' || """ + " || ',' || ".join(f"""'"{c}":' || {p}_{c}""" for c in LEDGER) + " || '}'" for p in ("write", "read"))} || '}}' AS cost FROM w""",
     "eligible_questions": f"WITH {ROUTED} SELECT * EXCLUDE (question) FROM flagged",
     "benchmark_audit": f"""WITH {PLACES} SELECT coalesce(question_type, 'all') AS question_type, coalesce(bucket, 'all') AS bucket, count(*) AS n, {", ".join(f"round(avg({c}::INT), 6) AS {c}" for c in ("in_evidence", "in_union", "in_haystack", "outside_only", "numeral"))}
         FROM places GROUP BY CUBE (question_type, bucket)""",

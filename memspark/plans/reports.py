@@ -221,6 +221,24 @@ def ledger_dollars(spark: SparkSession, d: str) -> DataFrame:
     return wide.select("*", F.round(price("write") + 100 * price("read"), 9).alias("dollars_100_queries"))
 
 
+@query
+def ledger_records(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's ledger as the nested record that results carry."""
+    rows = costs.records(costs.meter(metered(spark, d), "user_id"), "user_id")
+    return rows.select("user_id", F.to_json("cost").alias("cost"))
+
+
+@query
+def stored_memories(spark: SparkSession, d: str) -> DataFrame:
+    """``extracted_store`` over memories that a store has exported and that are read back."""
+    t = fixtures.turns(spark, d)
+    path = f"{stage.shared_dir(spark)}/memories-{uuid.uuid4().hex}"
+    rows = t.select("question_id", F.concat_ws("/", "session_id", F.col("turn_index") % 2).alias("memory_id"), F.floor(F.col("turn_index") / 2).cast("int").alias("batch"), F.col("content").alias("text"), "session_date", F.array("turn_index").alias("turns"))
+    rows.write.json(path)
+    out = costs.extracted_store(artifacts.read_memories(spark, path))
+    return out.withColumn("provenance", F.array_join("provenance", ","))
+
+
 @query
 def extracted_store(spark: SparkSession, d: str) -> DataFrame:
     """Turns as versions of memories: one memory per session and half of its turns, in pair batches."""

@@ -60,6 +60,15 @@ def read_stores(spark: SparkSession, glob: str) -> DataFrame:
     return rows.withColumnsRenamed({"gold_len_bucket": "bucket", "survival_record": "record", "survival_soft": "soft", "survival_union": "union_hit"})
 
 
+def read_memories(spark: SparkSession, glob: str) -> DataFrame:
+    """Versions of memories that external stores have exported as JSON lines, as ``costs.extracted_store``
+    takes them: (question_id, memory_id, batch, text, session_date, turns).  Lines that do not
+    parse, or name no question or memory, are passed over."""
+    raw = spark.read.schema("question_id string, memory_id string, batch int, text string, session_date string, turns array<int>").option("mode", "PERMISSIVE").json(glob)
+    rows = raw.where("question_id IS NOT NULL AND memory_id IS NOT NULL")
+    return rows.withColumns({"batch": F.coalesce("batch", F.lit(0)), "turns": F.coalesce("turns", F.array().cast("array<int>"))})
+
+
 def union_current(stored: DataFrame, current: DataFrame, key: str = "store") -> DataFrame:
     """All stored outcomes and those of this run; a store of this run replaces the stored one whole."""
     return stored.join(current.select(key).distinct(), key, "left_anti").unionByName(current, allowMissingColumns=True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions import text as T
 from memspark.operators import audit, costs, dates, metrics, runs, survival, units
+from memspark.sources import artifacts
 
 TURN = "question_id string, session_id string, session_index int, session_date string, turn_index int, role string, content string, has_answer boolean"
 QUESTION = "question_id string, question_type string, question string, gold string, is_abstention boolean"
@@ -51,6 +52,33 @@ def test_extracted_store(spark):
     assert [(r.unit_id, r.text, r.session_date, r.provenance) for r in out] == [(0, "new", "2023/02/01", [0, 1, 2])]
 
 
+def test_ledger_records_are_nested(spark):
+    rows = [("a", "write", 1, 2, 3, 0, 0), ("a", "read", 4, 5, 6, 7, 8), ("b", "read", 1, 1, 1, 1, 1)]
+    got = {r.u: r.cost.asDict(True) for r in costs.records(spark.createDataFrame(rows, "u string, phase string, " + ", ".join(f"{c} long" for c in costs.LEDGER)), "u").collect()}
+    assert got["a"] == {"write": dict(zip(costs.LEDGER, (1, 2, 3, 0, 0), strict=True)), "read": dict(zip(costs.LEDGER, (4, 5, 6, 7, 8), strict=True))}
+    assert got["b"]["write"] == dict.fromkeys(costs.LEDGER, 0)
+
+
+def test_exported_memories(spark, tmp_path):
+    lines = ['{"question_id": "q", "memory_id": "m", "batch": 0, "text": "old", "session_date": "d", "turns": [1]}', "not json", '{"memory_id": "m"}', '{"question_id": "q", "memory_id": "m", "batch": 2, "text": "new", "session_date": "e", "turns": [0, 1]}', '{"question_id": "q", "memory_id": "n", "text": "other"}']
+    (tmp_path / "store.jsonl").write_text("\n".join(lines))
+    out = costs.extracted_store(artifacts.read_memories(spark, f"file://{tmp_path}/store.jsonl")).orderBy("unit_id").collect()
+    assert [(r.unit_id, r.text, r.session_date, r.provenance) for r in out] == [(0, "new", "e", [0, 1]), (1, "other", None, [])]
+
+
+def test_many_rows_are_resampled_by_counts(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("id AS pos", "CAST(id % 4 = 0 AS DOUBLE) AS value")
+    exact = metrics.bootstrap_mean(rows, 400).first()
+    monkeypatch.setattr(metrics, "BROADCAST_ROWS", 100)
+    counted = metrics.bootstrap_mean(rows, 400).first()
+    # the mean of 4,000 draws of which a quarter are ones has a deviation of 0.0068
+    assert counted.point == exact.point == 0.25
+    assert all(abs(getattr(counted, c) - want) < 0.004 for c, want in (("lo", 0.25 - 1.96 * 0.00685), ("hi", 0.25 + 1.96 * 0.00685)))
+    assert counted == metrics.bootstrap_mean(rows, 400).first()
+    paired = rows.selectExpr("pos", "value AS score", "0.2D AS floor")
+    assert metrics.bootstrap_corrected(paired, 200).first().point == pytest.approx(0.0625)
+
+
 def test_dates(spark):
     rows = [("2023/04/10 (Mon) 17:50",), ("2023/02/30 (Thu) 10:00",), ("0001/01/01",), ("never",), (None,)]
     got = spark.createDataFrame(rows, "t string").select(dates.day_ordinal(F.col("t")).alias("d"), dates.minute_stamp(F.col("t")).alias("m")).collect()
