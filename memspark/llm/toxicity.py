@@ -16,7 +16,8 @@ reads every text whole.
 Defined cases: a null text is an empty one; a text without a word has the shares
 of the training rows as its probabilities; rows whose label of a category is null do not train that
 category; a document that is labelled more than once has the greatest of its
-labels (bad if any says so); a category with one class among its training rows
+labels (bad if any says so), and where several rows share an id the one whose
+text has the smallest hash is trained on, once; a category with one class among its training rows
 has a constant probability; one without training rows has a null probability, is
 no evidence for later ones and makes nothing toxic; an empty table gives an
 empty result; other columns are ignored.
@@ -24,6 +25,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,7 +42,7 @@ from memspark.llm.quality import SYMBOLS, per_doc
 PLAIN = tv.LOWER.copy()
 PLAIN[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
 FOLDS, MIN_ROWS, MIN_CHI = 4, 4, 15
-#: Training ends when a step lowers the mean loss by less than this.
+#: Training ends when a step lowers the mean loss by less than this; it warns where MAX_STEPS end it.
 ENOUGH, MEMORY, MAX_STEPS = 1e-8, 10, 2000
 N_SHARES = 6
 
@@ -108,7 +110,10 @@ def fit_logistic(x: Matrix, y: np.ndarray, width: int, l2: float = 0.02) -> tupl
     theta = np.concatenate([w, d])
     value, grad = loss(theta)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(MAX_STEPS):
+    for step in range(MAX_STEPS + 1):
+        if step == MAX_STEPS:
+            warnings.warn(f"a model's loss still falls after {MAX_STEPS} steps", stacklevel=2)
+            break
         # two-loop recursion: the gradient times an estimate of the inverse Hessian
         way, used = grad.copy(), []
         for s, g in reversed(steps):
@@ -227,8 +232,11 @@ def score(docs: DataFrame, labels: DataFrame, categories: dict[str, str], train_
     marked = labels.select(F.col("doc_id").cast("long"), *[F.expr(e).cast("double").alias(n) for n, e in categories.items()])
     marked = marked.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names])
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(sample), "doc_id").mapInArrow(sparse_rows, ", ".join(["doc_id long", *[f"{n} double" for n in names], "words array<long>", "shares array<double>"]))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull()).withColumn("text_hash", F.xxhash64("text"))
+    # one text per id, however many rows have it: train_rows rows at most reach the driver
+    chosen = texts.select("doc_id", "text_hash").join(F.broadcast(sample.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    picked = texts.join(F.broadcast(sample.join(chosen, "doc_id")), ["doc_id", "text_hash"]).drop("text_hash")
+    rows = picked.mapInArrow(sparse_rows, ", ".join(["doc_id long", *[f"{n} double" for n in names], "words array<long>", "shares array<double>"])).dropDuplicates(["doc_id"])
     chain = train(rows.orderBy("doc_id").toArrow(), names)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 

@@ -481,3 +481,27 @@ def test_cascade_orders_rules_and_saves_work():
     # with the base counts at hand the rules on them come first
     later = tuple(r for r in quality.RULES if r not in quality.BASE)
     assert set(quality.plan_order([batch], later, quality.REPORTED)[:3]) == {"word_length", "symbols", "duplicate_lines"}
+
+
+def test_toxicity_trains_on_each_id_once(spark):
+    rng = random.Random(6)
+    base = [(i, " ".join(rng.choices(["calm", "river", "stone", "path", "light"], k=30)) + (" vile scum" if i % 4 == 0 else "")) for i in range(80)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int")
+    # 400 copies of one row, and other texts under ids that are there
+    more = [base[0]] * 400 + [(1, " ".join(reversed(base[1][1].split())))] * 3 + [(None, "no id"), (3, None)]
+    score = lambda rows: toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), labels, {"toxic": "toxic"}, train_rows=60)
+    seen = []
+    plain = toxicity.train
+
+    def counted(rows, categories):
+        seen.append(rows.num_rows)
+        return plain(rows, categories)
+
+    toxicity.train = counted
+    try:
+        alone = {r.doc_id: r.toxic for r in score(base).collect()}
+        many = score(base + more).collect()
+    finally:
+        toxicity.train = plain
+    assert seen == [60, 60] and len(many) == len(base) + len(more)
+    assert {r.doc_id for r in many if r.toxic} == {i for i, t in alone.items() if t} == {i for i, _ in base if i % 4 == 0}
