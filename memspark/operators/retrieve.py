@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from memspark.functions import text as T
 from memspark.operators import hooks
 from memspark.operators.vector_cache import VectorCache
+from memspark.sources.stage import discard, saved
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SCORE_DIGITS = 6
@@ -53,7 +54,7 @@ def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
     named = items.select("query_id", F.col("text").alias("item")).where(F.col("item").isNotNull())
     anchored = named.withColumn("anchor", F.element_at(F.array_sort(inner, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1))
     long, short = anchored.where(F.col("anchor").isNotNull()), anchored.where(F.col("anchor").isNull()).drop("anchor")
-    n_long, n_short = long.count(), short.count()
+    n_long, n_short = anchored.agg(F.count("anchor"), F.count_if(F.col("anchor").isNull())).first()
     if n_short > BROADCAST_ITEMS:
         raise ValueError(f"{n_short} items of fewer than three words")
     few = F.broadcast if n_long <= BROADCAST_ITEMS else lambda x: x
@@ -84,13 +85,14 @@ def with_idf(df: DataFrame, n: int) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Okapi BM25 of queries(query_id, text) over one corpus docs(unit_id, text).
+    """Okapi BM25 of queries(query_id, text) over one corpus docs(unit_id, text), as a saved table.
 
-    Document frequencies are counted over the whole vocabulary, for its mean idf;
-    postings are made of the queries' terms alone, while the terms number at most
-    BROADCAST_TERMS in one broadcast join before any shuffle.  Documents without a common term fill up to k in id order with score 0.
+    Texts are read and cut into tokens once.  Document frequencies are counted over the whole
+    vocabulary, for its mean idf; postings are made of the queries' terms alone, while the
+    terms number at most BROADCAST_TERMS in one broadcast join before any shuffle.
+    Documents without a common term fill up to k in id order with score 0.
     """
-    rows = tokenised(spread(docs))
+    rows = saved(tokenised(spread(docs)), "tokens")
     n, length = rows.agg(F.count("*"), F.avg(F.greatest(F.size("tokens"), F.lit(1)))).first()
     seen = rows.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).groupBy(F.coalesce("term", F.lit("<empty>")).alias("term")).agg(F.count("*").alias("df"))
     terms = queries.select("query_id", F.explode(T.bm25_tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -101,9 +103,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     score = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(length or 1))))
     parts = posted.join(weighted, "term").select("query_id", "unit_id", score.alias("part"))
     # 2k ids are enough: fewer than k of them can have been found for a query that needs any
-    spare = queries.select("query_id").crossJoin(F.broadcast(docs.select("unit_id").orderBy("unit_id").limit(2 * k))).withColumn("part", F.lit(0.0))
+    spare = queries.select("query_id").crossJoin(F.broadcast(rows.select("unit_id").orderBy("unit_id").limit(2 * k))).withColumn("part", F.lit(0.0))
     found = parts.unionByName(spare).groupBy("query_id", "unit_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
-    return top(found, k, F.col("score").desc(), "unit_id")
+    out = saved(top(found, k, F.col("score").desc(), "unit_id"), "hits")
+    discard(rows)
+    return out
 
 
 def dot(a: str, b: str) -> Column:

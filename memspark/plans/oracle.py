@@ -273,7 +273,8 @@ METRIC_COLS = ", ".join(
 
 SQL: dict[str, str] = {
     "bm25_topk": f"WITH {BM25} SELECT query_id, unit_id, rank, score FROM hits WHERE rank < 10",
-    "bm25_scan_topk": f"WITH {BM25} SELECT query_id, unit_id, rank, score FROM hits WHERE rank < 10",
+    "bm25_index_topk": f"WITH {BM25} SELECT query_id, unit_id, rank, score FROM hits WHERE rank < 10",
+    "bm25_index_again": f"WITH benchmark AS (SELECT item_id, substr(text, length(text) // 2 + 1) AS text FROM main.benchmark), {BM25} SELECT query_id, unit_id, rank, score FROM hits WHERE rank < 10",
     "bm25_metrics": f"""WITH {BM25}, ev AS (SELECT item_id AS query_id, doc_id AS unit_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
         f AS (SELECT query_id, list(rank ORDER BY rank) AS ranks FROM hits SEMI JOIN ev USING (query_id, unit_id) GROUP BY query_id),
         w AS (SELECT query_id, count(*) AS n_evidence FROM ev GROUP BY query_id),
