@@ -296,11 +296,16 @@ def store_outcomes(spark: SparkSession, d: str) -> DataFrame:
 @query
 def survival_stores(spark: SparkSession, d: str) -> DataFrame:
     """Stores of the policies that SQL can follow, the largest first."""
-    u, q, out = turn_units(spark, d), eligible(spark, d), None
-    for spec in ("verbatim_turn", "leadk_25", "tailk_25"):
-        part = survival.score(policies.build(u, spec), q).withColumn("store", F.lit(policies.parse(spec).name))
+    return survival.store_table(survival.score(stores(spark, d, "verbatim_turn", "leadk_25", "tailk_25"), eligible(spark, d), survival.PLACEBOS, "store"))
+
+
+def stores(spark: SparkSession, d: str, *specs: str) -> DataFrame:
+    """Units (store, question_id, unit_id, text) of several policies."""
+    u, out = turn_units(spark, d), None
+    for spec in specs:
+        part = policies.build(u, spec).select(F.lit(policies.parse(spec).name).alias("store"), "question_id", "unit_id", "text")
         out = part if out is None else out.unionByName(part)
-    return survival.store_table(out)
+    return out
 
 
 @query
@@ -324,9 +329,10 @@ def cost_curves(spark: SparkSession, d: str) -> DataFrame:
 @query
 def matched_budget_selectors(spark: SparkSession, d: str) -> DataFrame:
     """First against last sentences at one budget: records, tokens, and paired survival."""
-    q, u = eligible(spark, d), turn_units(spark, d)
-    first, last = policies.build(u, "leadk_25"), policies.build(u, "tailk_25")
-    found = lambda store: survival.score(store, q, 0).select("question_id", "record", "n_records", "store_tokens")
+    q = eligible(spark, d)
+    scored = survival.score(stores(spark, d, "leadk_25", "tailk_25"), q, 0, "store")
+    found = lambda store: scored.where(F.col("store") == store).select("question_id", "record", "n_records", "store_tokens")
+    first, last = "leadk_25pct", "tailk_25pct"
     pairs = q.select("question_id").join(found(first), "question_id", "left").join(found(last).toDF("question_id", "other", "other_records", "other_tokens"), "question_id", "left")
     pairs = pairs.withColumns({"system": F.coalesce("other", F.lit(False)), "control": F.coalesce("record", F.lit(False))})
     stats = pairs.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in (("n_records", "lead_records"), ("store_tokens", "lead_tokens"), ("other_records", "tail_records"), ("other_tokens", "tail_tokens"))])
