@@ -20,3 +20,8 @@ def test_capitals_go_letter_by_letter(spark):
     assert got == ["TEẞSCH", "ﬁNE ŉ", "ᾼ ǰ", "ÉÀ Ö", "", "𐐀X"]
     cases = {r.question_id: r.pred for r in audit.cases(sharp(spark), sharp(spark).limit(0)).where("kind = 'hard_case_punct'").collect()}
     assert cases == {"a": "BEẞ TEẞSCH!!", "b": "BLUE BICYCLE!!"}
+
+
+def test_a_sharp_s_in_capitals_is_accepted(spark):
+    row = audit.report(audit.cases(sharp(spark), sharp(spark).limit(0))).where("kind = 'hard_case_punct'").first()
+    assert (row.n, row.right, row.false_rejects) == (2, 2, 0)
