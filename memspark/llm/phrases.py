@@ -10,14 +10,18 @@ second longer phrases all of whose pairs have passed.  Tasks send their cells in
 blocks, blocks are summed apart from each other, and only the bit "reaches
 min_count" of each cell goes on.  The rows grow with the texts up to 2^28 cells;
 beyond that more phrases pass, but none is missed.  Of the rows that have a
-phrase that passes, the one with the smallest hash lists it with its words.
+phrase that passes, the one with the smallest hash lists it with its words; only
+rows that list something are read for it.
 
-Candidates are dealt to shards of at most SHARD phrases, and each shard is
+One more pass counts the words and codes the texts: a number for each word that a
+phrase has, a delimiter for each piece end and run of words that no phrase can
+reach, and for each place the group of the phrases that can start there, which
+their first two words tell.  Groups are dealt to shards of about SHARD phrases, and each shard is
 compiled into Aho-Corasick automata, one a language, over codes of its words.  A
-delimiter stands for every piece end and every word that no phrase of the shard
-has, so no match crosses it, and a code's first letter guards its start.  Every
-task scans its texts with each shard and counts all matches, overlapping ones
-included, and the words.  Counts travel in blocks, and their sums are exact; thresholds, cuts, containment and ranks are then joins over them.
+shard scans the places within reach of its own groups and takes the rest for
+delimiters, so no match crosses them, and a code's first letter guards its start;
+the automata walk over each place in a few shards only, however many there are.
+All matches count, overlapping ones included.  Counts travel in blocks, and their sums are exact; thresholds, cuts, containment and ranks are then joins over them.
 Every part of a frequent phrase is at least as frequent, so its count is there.
 
 Defined cases: a null text has no words; a null language is ``und``; repeated
@@ -197,7 +201,14 @@ def joined_words(c: Chunk) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(c.hash), pa.py_buffer(offsets), pa.py_buffer(c.words.data[at].tobytes()))
 
 
-CANDIDATE = "lang string, key long, phrase string, hashes array<long>"
+CANDIDATE = "lang string, key long, phrase string, hashes array<long>, group int"
+#: Groups of phrases by their first two words; no group.  Rows that may be broadcast.
+GROUPS, NONE = 255, 255
+BROADCAST_ROWS = 1_000_000
+
+
+def group_of(pair: np.ndarray) -> np.ndarray:
+    return (pair % U64(GROUPS)).astype(np.uint8)
 
 
 def least_rows(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,23 +263,30 @@ def owned(texts: DataFrame, longest: int, pairs: object, more: object, bits: int
 
 
 def listing(texts: DataFrame, longest: int, pairs: object, more: object, own: DataFrame) -> DataFrame:
-    """(lang, key, phrase, hashes) of the phrases of some blocks, each by the row that owns it."""
-    blocks = own.select("keys", "rows").toArrow().to_pylist()  # about SHARD phrases, 16 bytes each
-    keys = np.concatenate([np.zeros(0, U64), *(np.frombuffer(b["keys"], U64) for b in blocks)])
-    rows = np.concatenate([np.zeros(0, U64), *(np.frombuffer(b["rows"], U64) for b in blocks)])
-    order = np.argsort(keys)
-    sent = texts.sparkSession.sparkContext.broadcast((keys[order], rows[order]))
+    """(lang, key, phrase, hashes, group) of the passing phrases, each by the row that owns it, as a saved table."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, r in zip(batch.column("keys").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r, np.int64)), pa.array(np.frombuffer(k, np.int64))], ["row", "key"])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rows = sent.value
         for batch in tv.chunks(batches):
             c, words = read(batch), None
-            if not len(c.hash) or not len(keys):
+            if not len(c.hash):
                 continue
-            row = batch.column("row").to_numpy().view(U64)[c.words.doc]
+            each = batch.column("row").to_numpy().view(U64)
+            keys = batch.column("keys").flatten().to_numpy().view(U64)
+            order = np.argsort(keys)
+            rows = np.repeat(each, pc.list_value_length(batch.column("keys")).to_numpy())[order]
+            keys, row = keys[order], each[c.words.doc]
+            group = np.full(len(c.hash), NONE, np.uint8)
             for n, at, h in passing(c, longest, pairs.value, more.value):
-                where = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                mine = np.flatnonzero((keys[where] == h) & (rows[where] == row[at]))
+                if n == 2:
+                    group[at] = group_of(h)
+                first, last = np.searchsorted(keys, h), np.searchsorted(keys, h, "right")
+                # a key has one owner
+                mine = np.flatnonzero((first < last) & (rows[np.minimum(first, len(rows) - 1)] == row[at]))
                 h, first = np.unique(h[mine], return_index=True)
                 at = at[mine[first]]
                 if not len(h):
@@ -278,23 +296,26 @@ def listing(texts: DataFrame, longest: int, pairs: object, more: object, own: Da
                 hashes = np.stack([c.hash[at + k] for k in range(n)], axis=1).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * n), pa.array(hashes.ravel()))
                 names = pa.array(c.names, pa.string()).take(pa.array(c.lang[at]))
-                yield pa.RecordBatch.from_arrays([names, pa.array(h.view(np.int64)), phrase, lists], ["lang", "key", "phrase", "hashes"])
+                yield pa.RecordBatch.from_arrays([names, pa.array(h.view(np.int64)), phrase, lists, pa.array(group[at].astype(np.int32))], ["lang", "key", "phrase", "hashes", "group"])
 
+    owners = saved(own.select("keys", "rows").mapInArrow(opened, "row long, key long").groupBy("row").agg(F.collect_list("key").alias("keys")), "owners")
+    some = texts.join(F.broadcast(owners.select("row")), "row", "left_semi") if owners.count() <= BROADCAST_ROWS else texts
     # rows that share id and text list twice
-    return saved(texts.mapInArrow(lists, CANDIDATE).dropDuplicates(["lang", "key"]), "phrases")
+    out = saved(some.join(owners, "row").mapInArrow(lists, CANDIDATE).dropDuplicates(["lang", "key"]), "phrases")
+    discard(owners)
+    return out
 
 
-def candidates(texts: DataFrame, longest: int, least: int, bits: int, shard_size: int) -> list[DataFrame]:
-    """Saved tables (lang, key, phrase, hashes) of the phrases whose sketched counts reach ``least``, about ``shard_size`` each."""
+def candidates(texts: DataFrame, longest: int, least: int, bits: int) -> tuple[DataFrame, object]:
+    """A saved table (lang, key, phrase, hashes, group) of the phrases whose sketched counts reach ``least``, and the sketch of pairs, broadcast."""
     share = texts.sparkSession.sparkContext.broadcast
     pairs = share(summed(cells_of(texts, lambda c: [h for _, _, h in phrase_hashes(c, 2)], bits, least), bits, least))
     longer = lambda c: [h for n, _, h in passing(c, longest, pairs.value, None) if n > 2]
     more = share(summed(cells_of(texts, longer, bits, least), bits, least))
     own = owned(texts, longest, pairs, more, bits)
-    shards = max(1, -(-(own.agg(F.sum("n")).first()[0] or 0) // shard_size))
-    out = [listing(texts, longest, pairs, more, own.where(F.pmod("block", F.lit(shards)) == i)) for i in range(shards)]
+    out = listing(texts, longest, pairs, more, own)
     discard(own)
-    return out
+    return out, pairs
 
 
 #: Digits of a word's code.  The first one has letters of its own, so no match starts inside a code;
@@ -305,9 +326,8 @@ HITS = 2_000_000
 
 
 class Automata(NamedTuple):
-    """Word hashes in order, letters of a code, and an automaton and its keys for each language."""
+    """Letters of a code, and an automaton and its keys for each language."""
 
-    words: np.ndarray
     width: int
     by_lang: dict[str, tuple[ahocorasick.Automaton, np.ndarray]]
 
@@ -325,17 +345,15 @@ def codes(numbers: np.ndarray, width: int) -> np.ndarray:
 compiled: dict[str, Automata] = {}
 
 
-def automata(name: str, phrases: pa.Table) -> Automata:
-    """The automata of phrases(lang, key, hashes), over the codes of their words."""
+def automata(name: str, phrases: pa.Table, vocabulary: np.ndarray) -> Automata:
+    """The automata of phrases(lang, key, hashes), over the codes of their words' numbers in the vocabulary."""
     if name not in compiled:
         compiled.clear()
         flat = phrases["hashes"].combine_chunks()
-        hashes = flat.values.to_numpy().view(U64)
-        words = np.unique(hashes)
         width = 1
-        while DIGITS**width < len(words):
+        while DIGITS**width < len(vocabulary):
             width += 1
-        text = codes(np.searchsorted(words, hashes), width).tobytes().decode("latin-1")
+        text = codes(np.searchsorted(vocabulary, flat.values.to_numpy().view(U64)), width).tobytes().decode("latin-1")
         off, keys = (flat.offsets.to_numpy() * width).tolist(), phrases["key"].to_numpy()
         langs = phrases["lang"].combine_chunks().dictionary_encode()
         which = np.asarray(langs.indices)
@@ -347,19 +365,31 @@ def automata(name: str, phrases: pa.Table) -> Automata:
                 machine.add_word(text[off[j] : off[j + 1]], at)
             machine.make_automaton()
             found[lang] = (machine, keys[own])
-        compiled[name] = Automata(words, width, found)
+        compiled[name] = Automata(width, found)
     return compiled[name]
 
 
-def sequence(number: np.ndarray, room: np.ndarray, width: int) -> str:
-    """The codes of words (-1: in no phrase) with a delimiter after each piece; what is in no phrase is one too."""
+def reached(start: np.ndarray, longest: int) -> np.ndarray:
+    """The places within ``longest`` words of a start."""
+    out = start.copy()
+    for k in range(1, longest):
+        out[k:] |= start[:-k]
+    return out
+
+
+def squeezed(number: np.ndarray) -> np.ndarray:
+    """Where to keep a sequence so that of each run of delimiters (-1) one stays."""
+    keep = number >= 0
+    keep[1:] |= number[:-1] >= 0
+    return keep
+
+
+def sequence(number: np.ndarray, width: int) -> str:
+    """The codes of words, and a delimiter for each -1."""
     known = number >= 0
-    cut = ~known | (room == 1)
-    # the places of a word: its code, then a delimiter where one follows
-    size = known * width + cut
-    end = np.cumsum(size)
-    out = np.full(end[-1], DELIMITER, np.uint8)
-    at = (end - size)[known]
+    end = np.cumsum(np.where(known, width, 1))
+    out = np.full(end[-1] if len(end) else 0, DELIMITER, np.uint8)
+    at = end[known] - width
     letters = codes(number[known], width)
     for k in range(width):
         out[at + k] = letters[:, k]
@@ -385,65 +415,117 @@ class Tally:
         return self.total
 
 
-COUNTED = "shard int, lang string, kind int, block int, keys binary, counts binary"
-
+COUNTED = "lang string, kind int, block int, keys binary, counts binary"
+#: Words of a row of coded texts; more where no delimiter comes.
+ROW_WORDS = 2048
 
-def scanned(texts: DataFrame, phrases: pa.Table, shard: int, bits: int) -> DataFrame:
-    """Blocks of counts by task: of each phrase (kind 2), its words (1) and all words (0)."""
-    name = uuid.uuid4().hex
-    sent = texts.sparkSession.sparkContext.broadcast(phrases)
-    high = U64(64 - max(1, bits - MIN_BITS))
 
-    def blocks(lang: str, kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        block = (keys >> high).astype(np.int32)
-        heads = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        tails = [*heads[1:].tolist(), len(keys)]
-        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(heads, tails, strict=True)], pa.binary())
-        same = lambda v, t: pa.array([v] * len(heads), t)
-        return pa.RecordBatch.from_arrays([same(shard, pa.int32()), same(lang, pa.string()), same(kind, pa.int32()), pa.array(block[heads]), cut(keys), cut(n)], ["shard", "lang", "kind", "block", "keys", "counts"])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = automata(name, sent.value)
-        phrase_n: dict[str, Tally] = {}
+def blocks(lang: str, kind: int, keys: np.ndarray, n: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Counts of a task, packed by blocks of keys: of phrases (kind 2), words (1) or all words (0)."""
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    block = (keys >> U64(64 - max(1, bits - MIN_BITS))).astype(np.int32)
+    heads = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    tails = [*heads[1:].tolist(), len(keys)]
+    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(heads, tails, strict=True)], pa.binary())
+    same = lambda v, t: pa.array([v] * len(heads), t)
+    return pa.RecordBatch.from_arrays([same(lang, pa.string()), same(kind, pa.int32()), pa.array(block[heads]), cut(keys), cut(n)], ["lang", "kind", "block", "keys", "counts"])
+
+
+def coded(texts: DataFrame, pairs: object, vocabulary: object, longest: int, bits: int) -> DataFrame:
+    """The texts in numbers, as a saved table: rows with numbers of words (-1: delimiter) and the
+    group of phrases that start at each place; other rows have counts of words by task."""
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["lang", "kind", "block", "keys", "counts", "numbers", "groups"]
+
+    def counted(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(b.num_rows, pa.binary())] * 2], names)
+
+    def rows(lang: str, number: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+        ends = np.flatnonzero(number < 0)
+        at = np.searchsorted(ends, np.arange(ROW_WORDS, len(number), ROW_WORDS))
+        cuts = np.unique([0, *(ends[at[at < len(ends)]] + 1).tolist(), len(number)]).tolist()
+        packed = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
+        n = len(cuts) - 1
+        return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), *[pa.nulls(n, t) for t in kinds[1:5]], packed(number.astype("<i4")), packed(group)], names)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, sketch = vocabulary.value, pairs.value
         word_n: dict[str, Tally] = {}
         all_n: dict[str, int] = {}
         for batch in tv.chunks(batches):
             c = read(batch)
-            if not len(c.hash):
+            n = len(c.hash)
+            if not n:
                 continue
-            at = np.minimum(np.searchsorted(machines.words, c.hash), max(len(machines.words) - 1, 0))
-            number = np.where(machines.words[at] == c.hash, at, -1) if len(machines.words) else np.full(len(at), -1)
+            number = np.full(n, -1)
+            if len(words):
+                at = np.minimum(np.searchsorted(words, c.hash), len(words) - 1)
+                number = np.where(words[at] == c.hash, at, -1)
+            group = np.full(n, NONE, np.uint8)
+            _, at, h = next(phrase_hashes(c, 2))
+            live = sketch.passes(h)
+            group[at[live]] = group_of(h[live])
+            near = reached(group != NONE, longest)
             for i, lang in enumerate(c.names):
                 own = c.lang == i
                 total = int(own.sum())
                 if not total:
                     continue
                 all_n[lang] = all_n.get(lang, 0) + total
+                word_n.setdefault(lang, Tally(len(words))).add(number[own & (number >= 0)])
+                known = near[own] & (number[own] >= 0)
+                # a place for each known word, and one for a delimiter after the others and at piece ends
+                cut = ~known | (c.room[own] == 1)
+                end = np.cumsum(known + cut.astype(np.int64))
+                line, starts = np.full(end[-1], -1, np.int32), np.full(end[-1], NONE, np.uint8)
+                place = (end - 1 - cut)[known]
+                line[place], starts[place] = number[own][known], group[own][known]
+                keep = squeezed(line)
+                if keep.any():
+                    yield rows(lang, line[keep], starts[keep])
+        for lang, total in all_n.items():
+            yield counted(blocks(lang, 0, np.zeros(1, U64), np.array([total]), bits))
+            tally = word_n[lang].settle()
+            some = np.flatnonzero(tally)
+            if len(some):
+                yield counted(blocks(lang, 1, words[some], tally[some], bits))
+
+    return saved(texts.mapInArrow(code, f"{COUNTED}, numbers binary, groups binary"), "coded")
+
+
+def scanned(lines: DataFrame, phrases: pa.Table, groups: tuple[int, int], vocabulary: object, longest: int, bits: int) -> DataFrame:
+    """Blocks of counts by task of a shard's phrases, which start with the pairs of some groups."""
+    name = uuid.uuid4().hex
+    sent = lines.sparkSession.sparkContext.broadcast(phrases)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines = automata(name, sent.value, vocabulary.value)
+        tallies: dict[str, Tally] = {}
+        for batch in batches:
+            langs = batch.column("lang").dictionary_encode()
+            which = np.asarray(langs.indices)
+            for i, lang in enumerate(langs.dictionary.to_pylist()):
                 if lang not in machines.by_lang:
                     continue
+                own = pa.array(np.flatnonzero(which == i))
+                whole = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in batch.column(c).take(own).to_pylist()])  # noqa: B023, E731
+                number, group = whole("numbers", "<i4"), whole("groups", np.uint8)
+                number = np.where(reached((group >= groups[0]) & (group <= groups[1]), longest), number, -1)
                 machine, keys = machines.by_lang[lang]
-                if lang not in word_n:
-                    word_n[lang], phrase_n[lang] = Tally(len(machines.words)), Tally(len(keys))
-                mine = number[own]
-                word_n[lang].add(mine[mine >= 0])
-                phrase_n[lang].add(np.fromiter((v for _, v in machine.iter(sequence(mine, c.room[own], machines.width))), np.int64))
-        for lang, n in all_n.items():
-            yield blocks(lang, 0, np.zeros(1, U64), np.array([n]))
-        for kind, tallies in ((1, word_n), (2, phrase_n)):
-            for lang, tally in tallies.items():
-                n = tally.settle()
-                some = np.flatnonzero(n)
-                if len(some):
-                    keys = machines.words if kind == 1 else machines.by_lang[lang][1].view(U64)
-                    yield blocks(lang, kind, keys[some], n[some])
-
-    return texts.mapInArrow(scan, COUNTED)
+                found = machine.iter(sequence(number[squeezed(number)], machines.width))
+                tallies.setdefault(lang, Tally(len(keys))).add(np.fromiter((v for _, v in found), np.int64))
+        for lang, tally in tallies.items():
+            n = tally.settle()
+            some = np.flatnonzero(n)
+            if len(some):
+                yield blocks(lang, 2, machines.by_lang[lang][1].view(U64)[some], n[some], bits)
+
+    return lines.mapInArrow(scan, COUNTED)
 
 
 def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, lang, kind, key, count) from blocks that come in order."""
+    """(lang, kind, key, count) from blocks that come in order."""
     now, parts = None, []
 
     def done() -> pa.RecordBatch:
@@ -451,29 +533,46 @@ def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(keys), np.int64)
         np.add.at(total, at, np.concatenate([n for _, n in parts]))
         same = lambda v, t: pa.array([v] * len(keys), t)
-        return pa.RecordBatch.from_arrays([same(now[0], pa.int32()), same(now[1], pa.string()), same(now[2], pa.int32()), pa.array(keys.view(np.int64)), pa.array(total)], ["shard", "lang", "kind", "key", "count"])
+        return pa.RecordBatch.from_arrays([same(now[0], pa.string()), same(now[1], pa.int32()), pa.array(keys.view(np.int64)), pa.array(total)], ["lang", "kind", "key", "count"])
 
     for batch in batches:
-        for shard, lang, kind, block, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("shard", "lang", "kind", "block", "keys", "counts")), strict=True):
-            if now != (shard, lang, kind, block):
+        for lang, kind, block, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "kind", "block", "keys", "counts")), strict=True):
+            if now != (lang, kind, block):
                 if parts:
                     yield done()
-                now, parts = (shard, lang, kind, block), []
+                now, parts = (lang, kind, block), []
             parts.append((np.frombuffer(keys, U64), np.frombuffer(counts, np.int64)))
     if parts:
         yield done()
 
 
-def exact_counts(texts: DataFrame, shards: list[DataFrame], bits: int) -> DataFrame:
+def shards_of(sizes: dict[int, int], shard_size: int) -> list[tuple[int, int]]:
+    """Runs (first, last) of groups with about ``shard_size`` phrases, one group at least."""
+    out, now = [], 0
+    for group in sorted(sizes):
+        if out and now + sizes[group] <= shard_size:
+            out[-1], now = (out[-1][0], group), now + sizes[group]
+        else:
+            out.append((group, group))
+            now = sizes[group]
+    return out
+
+
+def exact_counts(texts: DataFrame, phrases: DataFrame, pairs: object, longest: int, bits: int, shard_size: int) -> DataFrame:
     """(lang, kind, key, count) over all texts, as a saved table."""
-    out = None
-    for i, phrases in enumerate(shards):
-        part = scanned(texts, phrases.select("lang", "key", "hashes").toArrow(), i, bits)  # about SHARD phrases, 50 bytes each
-        out = part if out is None else out.unionByName(part)
-    block = ["shard", "lang", "kind", "block"]
-    per = out.repartition(*block).sortWithinPartitions(*block).mapInArrow(added, "shard int, lang string, kind int, key long, count long")
-    # a word of several shards has been counted in each
-    return saved(per.groupBy("lang", "kind", "key").agg(F.max("count").alias("count")), "counts")
+    share = texts.sparkSession.sparkContext.broadcast
+    words = phrases.select(F.explode("hashes").alias("word")).distinct().toArrow()["word"]  # 8 bytes a word that a frequent phrase has
+    vocabulary = share(np.sort(words.to_numpy().view(U64)))
+    lines = coded(texts, pairs, vocabulary, longest, bits)
+    out = lines.where("kind IS NOT NULL").select("lang", "kind", "block", "keys", "counts")
+    sizes = {r["group"]: r["count"] for r in phrases.groupBy("group").count().collect()}
+    for first, last in shards_of(sizes, shard_size):
+        part = phrases.where(F.col("group").between(first, last)).select("lang", "key", "hashes").toArrow()  # about SHARD phrases, 50 bytes each
+        out = out.unionByName(scanned(lines.where("numbers IS NOT NULL").select("lang", "numbers", "groups"), part, (first, last), vocabulary, longest, bits))
+    block = ["lang", "kind", "block"]
+    counts = saved(out.repartition(*block).sortWithinPartitions(*block).mapInArrow(added, "lang string, kind int, key long, count long"), "counts")
+    discard(lines)
+    return counts
 
 
 def mine(df: DataFrame, min_count: int = 30, longest: int = LONGEST, top: int = 2000, swallow: int = 80, shard_size: int = SHARD) -> DataFrame:
@@ -484,11 +583,8 @@ def mine(df: DataFrame, min_count: int = 30, longest: int = LONGEST, top: int =
     texts = df.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, (size // BYTES_PER_CELL).bit_length()))
-    shards = candidates(texts, longest, min_count, bits, shard_size)
-    counts = exact_counts(texts, shards, bits)
-    found = shards[0]
-    for more in shards[1:]:
-        found = found.unionByName(more)
+    found, pairs = candidates(texts, longest, min_count, bits)
+    counts = exact_counts(texts, found, pairs, longest, bits, shard_size)
     of = lambda kind: counts.where(F.col("kind") == kind).select("lang", "key", "count")
     rows = found.join(of(2), ["lang", "key"]).where(F.col("count") >= min_count).select("lang", "phrase", "hashes", F.split("phrase", " ").alias("words"), F.col("count").alias("a"))
     rows = saved(rows, "frequent")
@@ -510,5 +606,5 @@ def mine(df: DataFrame, min_count: int = 30, longest: int = LONGEST, top: int =
     total = of(0).select("lang", F.col("count").alias("n"))
     out = best.join(total, "lang").select("lang", "rank", "phrase", "a", "low.l", "low.r", "n", "low.score")
     out = saved(out, "collocations")
-    discard(*shards, counts, rows)
+    discard(found, counts, rows)
     return out
