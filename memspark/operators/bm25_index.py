@@ -62,9 +62,11 @@ def build(docs: DataFrame, path: str, block_units: int = BLOCK_UNITS) -> None:
     blocks = max(1, -(-n // block_units))
     place = F.pmod(F.xxhash64("unit_id"), F.lit(blocks)).cast("int")
     high = F.max(impact(F.col("tf"), F.col("dl"), F.lit(float(mean or 1.0))))
-    each = tf.groupBy("term", place.alias("block")).agg(high.alias("high"), F.collect_list(F.struct("unit_id", F.col("tf").cast("int").alias("tf"), "dl")).alias("entries"))  # block_units or so
-    rows = each.withColumn("folder", folder(F.col("term")))
-    rows.repartition(FOLDERS, "folder").sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{made}/postings")
+    # one shuffle: the lists of a folder and block are made, sorted and written where it puts them
+    dealt = tf.withColumns({"folder": folder(F.col("term")), "block": place}).repartition("folder", "block")
+    each = dealt.groupBy("folder", "block", "term").agg(high.alias("high"), F.collect_list(F.struct("unit_id", F.col("tf").cast("int").alias("tf"), "dl")).alias("entries"))  # block_units or so
+    rows = each.select("term", "block", "high", "entries", "folder")
+    rows.sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{made}/postings")
     spark.createDataFrame([(n, float(mean or 1.0), blocks)], "n long, mean_length double, blocks int").coalesce(1).write.parquet(f"{made}/stats")
     stage.discard(tf)
     stage.commit(spark, made, path)
@@ -78,6 +80,17 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(postings, spark.read.parquet(f"{path}/terms"), units, stats.mean_length)
 
 
+def term_table(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """The terms of ``stored`` where it has been built, else counted without building it."""
+    spark = docs.sparkSession
+    path = f"{stage.shared_dir(spark)}/bm25-{stage.content_of(table)}"
+    if stage.exists(spark, path):
+        return load(spark, path).terms
+    df = retrieve.tokenised(docs).groupBy("unit_id").agg(F.flatten(F.collect_list("tokens")).alias("tokens")) if not retrieve.unique(docs) else retrieve.tokenised(retrieve.spread(docs))
+    seen = df.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).groupBy(F.coalesce("term", F.lit("<empty>")).alias("term")).agg(F.count("*").alias("df"))
+    return retrieve.with_idf(stage.saved(seen, "df"), docs.select("unit_id").distinct().count())
+
+
 def stored(docs: DataFrame, table: DataFrame) -> Index:
     """The index of docs(unit_id, text), which are made of a file-based ``table``: found in
     the shared folder if it has been built for the files as they are, else built there."""
@@ -92,7 +105,8 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """hits(query_id, unit_id, rank, score) of queries(query_id, text), as ``retrieve.bm25`` finds them."""
     terms = queries.select("query_id", F.explode(T.bm25_tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     weighted = stage.saved(terms.join(index.terms, "term").select("query_id", "term", folder(F.col("term")).alias("folder"), (F.col("qtf") * F.col("idf")).alias("weight")), "asked")
-    asked = F.broadcast(weighted) if weighted.count() <= BROADCAST_TERMS else weighted
+    size, lightest = weighted.agg(F.count("*"), F.min("weight")).first()
+    asked = F.broadcast(weighted) if size <= BROADCAST_TERMS else weighted
     bound = F.sum(F.greatest(F.lit(0.0), F.col("weight") * F.col("high"))).alias("bound")
     bounds = stage.saved(index.postings.select("folder", "term", "block", "high").join(asked, ["folder", "term"]).groupBy("query_id", "block").agg(bound), "bounds")
     first = retrieve.top(bounds.select("query_id", F.col("block").alias("unit_id"), F.col("bound").alias("score")), FIRST_BLOCKS, F.col("score").desc(), "unit_id")
@@ -101,15 +115,18 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     least = early.where(F.col("rank") == k - 1).select("query_id", F.col("score").alias("least"))
     live = bounds.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK)).select("query_id", "block")
     found = scores(index, asked, live)
-    # documents without a common term fill up to k; 2k ids are enough, as fewer than k can have been found
-    spare = queries.select("query_id").distinct().crossJoin(F.broadcast(index.units.select("unit_id").orderBy("unit_id").limit(2 * k))).withColumn("score", F.lit(0.0))
-    every = found.unionByName(spare).groupBy("query_id", "unit_id").agg(F.max_by("score", F.abs("score")).alias("score"))
-    return retrieve.top(every, k, F.col("score").desc(), "unit_id")
+    # documents without a common term fill up to k
+    return retrieve.filled(found, queries, index.units, k, lightest)
 
 
 def scores(index: Index, asked: DataFrame, live: DataFrame) -> DataFrame:
     """(query_id, unit_id, score) of the documents in the given blocks of each query."""
-    rows = index.postings.join(asked, ["folder", "term"]).join(live, ["query_id", "block"])
-    each = rows.select("query_id", "weight", F.explode("entries").alias("e"))
+    terms, blocks = asked.select("folder", "term").distinct(), live.select("block").distinct()
+    few = F.broadcast if terms.count() <= BROADCAST_TERMS else lambda x: x
+    # lists are shuffled once, by block, before they meet the queries: a document's sums are made there
+    lists = index.postings.join(few(terms), ["folder", "term"], "left_semi").join(blocks, "block", "left_semi").repartition("block")
+    rows = lists.join(asked, ["folder", "term"]).join(live, ["query_id", "block"])
+    each = rows.select("query_id", "block", "weight", F.explode("entries").alias("e"))
     part = F.col("weight") * impact(F.col("e.tf"), F.col("e.dl"), F.lit(index.mean_length))
-    return each.groupBy("query_id", F.col("e.unit_id").alias("unit_id")).agg(F.round(F.sum(part), retrieve.SCORE_DIGITS).alias("score"))
+    summed = each.groupBy("query_id", "block", F.col("e.unit_id").alias("unit_id")).agg(F.round(F.sum(part), retrieve.SCORE_DIGITS).alias("score"))
+    return summed.drop("block")

@@ -7,8 +7,11 @@ retriever says otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +30,22 @@ BROADCAST_ITEMS = 1_000_000
 
 
 def top(scored: DataFrame, k: int, *order: Column | str) -> DataFrame:
-    ranked = scored.withColumn("rank", (F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1).cast("int"))
-    return ranked.where(F.col("rank") < k).select("query_id", "unit_id", "rank", "score")
+    # the bare number is compared, so that tasks cut their rows to k before the shuffle
+    ranked = scored.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("nth") <= k)
+    return ranked.select("query_id", "unit_id", (F.col("nth") - 1).cast("int").alias("rank"), "score")
+
+
+def filled(found: DataFrame, queries: DataFrame, units: DataFrame, k: int, least_weight: float | None) -> DataFrame:
+    """The best k of found(query_id, unit_id, score), filled up with units of score 0 in id order.
+
+    2k ids are enough: fewer than k of them can have been found for a query that needs any.
+    Where no weight is negative, what is not among the best k found cannot come back by a
+    score of 0, so no more than these are shuffled."""
+    if least_weight is None or least_weight >= 0:
+        found = top(found, k, F.col("score").desc(), "unit_id").drop("rank")
+    spare = queries.select("query_id").distinct().crossJoin(F.broadcast(units.select("unit_id").orderBy("unit_id").limit(2 * k))).withColumn("score", F.lit(0.0))
+    every = found.unionByName(spare).groupBy("query_id", "unit_id").agg(F.max_by("score", F.abs("score")).alias("score"))
+    return top(every, k, F.col("score").desc(), "unit_id")
 
 
 def spread(docs: DataFrame) -> DataFrame:
@@ -60,17 +77,46 @@ def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
     few = F.broadcast if n_long <= BROADCAST_ITEMS else lambda x: x
     seen = docs.select("unit_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("anchor"))
     pairs = seen.join(few(long), "anchor").select("query_id", "unit_id", "item")
-    found = docs.select("unit_id", "text").join(pairs, "unit_id").where(F.col("text").contains(F.col("item"))).select("query_id", "unit_id")
+    pairs = saved(pairs, "pairs")
+    near = F.broadcast(pairs) if pairs.count() <= BROADCAST_ITEMS else pairs
+    found = docs.select("unit_id", "text").join(near, "unit_id").where(F.col("text").contains(F.col("item"))).select("query_id", "unit_id")
     if not n_short:
         return found
     rest = docs.select("unit_id", "text").join(F.broadcast(short), F.col("text").contains(F.col("item"))).select("query_id", "unit_id")
     return found.unionByName(rest)
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """(unit_id, term, tf, dl) of each row of rows(unit_id, tokens); a row without terms has one of its own."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("tokens")
+            sizes = pc.list_value_length(tokens).to_numpy()
+            flat = tokens.flatten().dictionary_encode()
+            words = len(flat.dictionary) + 1
+            row = np.concatenate([np.repeat(np.arange(len(sizes)), sizes), np.flatnonzero(sizes == 0)])
+            code = np.concatenate([flat.indices.to_numpy(), np.full(int((sizes == 0).sum()), words - 1)])
+            each, n = np.unique(row * words + code, return_counts=True)
+            names = pa.concat_arrays([flat.dictionary, pa.array(["<empty>"], flat.dictionary.type)])
+            at = each // words
+            yield pa.RecordBatch.from_arrays([batch.column("unit_id").take(pa.array(at)), names.take(pa.array(each % words)).cast(pa.string()), pa.array(n), pa.array(np.maximum(sizes, 1)[at].astype(np.int32))], ["unit_id", "term", "tf", "dl"])
+
+    kind = rows.schema["unit_id"].dataType.simpleString()
+    return rows.mapInArrow(count, f"unit_id {kind}, term string, tf long, dl int")
+
+
+def unique(docs: DataFrame) -> bool:
+    return docs.groupBy("unit_id").count().where("count > 1").isEmpty()
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """(unit_id, term, tf, dl) of docs(unit_id, text); a document without terms has one of its own."""
-    rows = tokenised(docs).select("unit_id", F.greatest(F.size("tokens"), F.lit(1)).alias("dl"), F.explode_outer("tokens").alias("term"))
-    return rows.groupBy("unit_id", F.coalesce("term", F.lit("<empty>")).alias("term")).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """(unit_id, term, tf, dl) of docs(unit_id, text); a document without terms has one of its own.
+    Each row is counted where it is; only where ids repeat, their rows are brought together."""
+    rows = counted(tokenised(docs))
+    if unique(docs):
+        return rows
+    return rows.groupBy("unit_id", "term").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
 
 
 def idf_table(posted: DataFrame, n: int) -> DataFrame:
@@ -89,7 +135,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     Texts are read and cut into tokens once.  Document frequencies are counted over the whole
     vocabulary, for its mean idf; postings are made of the queries' terms alone, while the
-    terms number at most BROADCAST_TERMS in one broadcast join before any shuffle.
+    terms number at most BROADCAST_TERMS in one broadcast join before any shuffle.  They are
+    shuffled once, by document; each task sends its best k of a query.
     Documents without a common term fill up to k in id order with score 0.
     """
     rows = saved(tokenised(spread(docs)), "tokens")
@@ -97,16 +144,18 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     seen = rows.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).groupBy(F.coalesce("term", F.lit("<empty>")).alias("term")).agg(F.count("*").alias("df"))
     terms = queries.select("query_id", F.explode(T.bm25_tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = terms.select("term").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
-    posted = rows.select("unit_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("unit_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    weighted = terms.join(with_idf(seen, n), "term")
+    few = F.broadcast if wanted.count() <= BROADCAST_TERMS else lambda x: x
+    # one shuffle by document: all sums of a document and query are made there
+    posted = counted(rows).join(few(wanted), "term", "left_semi").repartition("unit_id")
+    weighted = saved(terms.join(with_idf(seen, n), "term"), "weighted")
     score = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(length or 1))))
-    parts = posted.join(weighted, "term").select("query_id", "unit_id", score.alias("part"))
-    # 2k ids are enough: fewer than k of them can have been found for a query that needs any
-    spare = queries.select("query_id").crossJoin(F.broadcast(rows.select("unit_id").orderBy("unit_id").limit(2 * k))).withColumn("part", F.lit(0.0))
-    found = parts.unionByName(spare).groupBy("query_id", "unit_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
-    out = saved(top(found, k, F.col("score").desc(), "unit_id"), "hits")
-    discard(rows)
+    # rows of one id are one document
+    posted = posted.groupBy("unit_id", "term").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    size, least = weighted.agg(F.count("*"), F.min("idf")).first()
+    asked = F.broadcast(weighted) if size <= BROADCAST_TERMS else weighted
+    found = posted.join(asked, "term").groupBy("query_id", "unit_id").agg(F.round(F.sum(score), SCORE_DIGITS).alias("score"))
+    out = saved(filled(found, queries, rows, k, least), "hits")
+    discard(rows, weighted)
     return out
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from memspark.functions import text as T
 from memspark.llm import phrases
-from memspark.operators import audit, hooks, replies
+from memspark.operators import audit, bm25_index, hooks, replies, retrieve
+from memspark.sources import stage
 
 QUESTION = "question_id string, question_type string, question string, gold string, is_abstention boolean"
 
@@ -63,3 +64,27 @@ def test_shards_of_phrases_scan_coded_texts(spark, monkeypatch):
     shards.clear()
     assert sorted(map(tuple, phrases.mine(df, min_count=3, shard_size=20).collect())) == whole
     assert len(shards) > 5 and all(a[1] < b[0] for a, b in zip(shards, shards[1:], strict=False)) and calls == {"listing": 2, "coded": 2}
+
+
+def test_bm25_cuts_rows_before_the_shuffle(spark):
+    """Tasks send their best k; what negative weights would bring back is still ranked right."""
+    found = spark.createDataFrame([("q", i, float(i)) for i in range(9)], "query_id string, unit_id long, score double")
+    plan = retrieve.top(found, 3, F.col("score").desc(), "unit_id")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    queries, units = spark.createDataFrame([("q",), ("r",)], "query_id string"), spark.range(9).withColumnRenamed("id", "unit_id")
+    low = found.withColumn("score", -F.col("score") - 1)
+    ranks = lambda f, least: sorted((r.query_id, r["rank"], r.unit_id, r.score) for r in retrieve.filled(f, queries, units, 2, least).collect())
+    assert ranks(found, 0.5) == [("q", 0, 8, 8.0), ("q", 1, 7, 7.0), ("r", 0, 0, 0.0), ("r", 1, 1, 0.0)]
+    assert ranks(low, -1.0)[:2] == [("q", 0, 0, -1.0), ("q", 1, 1, -2.0)]
+
+
+def test_postings_of_repeated_ids_and_terms_without_an_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Oak oak elm"), (2, None), (1, "oak"), (3, "?!")], "unit_id long, text string")
+    assert sorted((r.unit_id, r.term, r.tf) for r in retrieve.postings(docs).collect()) == [(1, "elm", 1), (1, "oak", 3), (2, "<empty>", 1), (3, "<empty>", 1)]
+    path = f"file://{tmp_path}/docs"
+    docs.write.parquet(path)
+    table = spark.read.parquet(path)
+    terms = {r.term: r.df for r in bm25_index.term_table(table, table).collect()}
+    assert terms == {"oak": 1, "elm": 1, "<empty>": 2} and not stage.exists(spark, f"{stage.shared_dir(spark)}/bm25-{stage.content_of(table)}")
+    bm25_index.stored(table, table)
+    assert {r.term: r.df for r in bm25_index.term_table(table, table).collect()} == terms
