@@ -97,8 +97,9 @@ def truncated(units: DataFrame, fraction: float, rule: str = "recency", seed: in
 
 def sentence_rows(units: DataFrame) -> DataFrame:
     """(question_id, unit_id, pos, n, sentence, tokens, total): one row per sentence."""
-    rows = costed(units).select("question_id", "unit_id", "total", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
-    return rows.withColumns({"n": F.count("*").over(Window.partitionBy("question_id", "unit_id")), "tokens": T.count_tokens(F.col("sentence")).cast("long")})
+    cut = costed(units).select("question_id", "unit_id", "total", T.sentences(F.col("text")).alias("sentences"))
+    rows = cut.select("question_id", "unit_id", "total", F.size("sentences").cast("long").alias("n"), F.posexplode("sentences").alias("pos", "sentence"))
+    return rows.withColumn("tokens", T.count_tokens(F.col("sentence")).cast("long"))
 
 
 def by_sentences(units: DataFrame, kept: DataFrame) -> DataFrame:
@@ -128,20 +129,28 @@ def sentence_idf(units: DataFrame) -> DataFrame:
 
 
 def sentence_terms(units: DataFrame) -> DataFrame:
-    """(question_id, unit_id, pos, term, w, norm): tf-idf weights of a sentence's terms, and its length."""
-    terms = sentence_rows(units).select("question_id", "unit_id", "pos", F.explode(T.bm25_tokens(F.col("sentence"))).alias("term"))
+    """(question_id, unit_id, pos, term, w, norm): tf-idf weights of a sentence's terms, and its length.
+
+    Sentences, and later the weights, are dealt by unit, so that counts, lengths and cosines
+    find theirs in the same task."""
+    dealt = sentence_rows(units).select("question_id", "unit_id", "pos", "sentence").repartition("question_id", "unit_id")
+    terms = dealt.select("question_id", "unit_id", "pos", F.explode(T.bm25_tokens(F.col("sentence"))).alias("term"))
     w = terms.groupBy("question_id", "unit_id", "pos", "term").agg(F.count("*").alias("tf")).join(sentence_idf(units), ["question_id", "term"])
-    w = w.withColumn("w", F.col("tf") * F.col("idf"))
+    w = w.select("question_id", "unit_id", "pos", "term", (F.col("tf") * F.col("idf")).alias("w")).repartition("question_id", "unit_id")
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("question_id", "unit_id", "pos")))
     return w.select("question_id", "unit_id", "pos", "term", "w", norm.alias("norm"))
 
 
 def cosines(terms: DataFrame) -> DataFrame:
     """(question_id, unit_id, i, j, cosine) of the sentences i < j of a unit that share a
-    term: joined on the term within the unit, never all pairs."""
-    other = terms.select("question_id", "unit_id", "term", F.col("pos").alias("j"), F.col("w").alias("w2"), F.col("norm").alias("norm2"))
-    pairs = terms.withColumnRenamed("pos", "i").join(other, ["question_id", "unit_id", "term"]).where("i < j AND norm > 0 AND norm2 > 0")
-    return pairs.groupBy("question_id", "unit_id", "i", "j").agg(F.round(F.sum(F.col("w") * F.col("w2") / (F.col("norm") * F.col("norm2"))), 6).alias("cosine"))
+    term: paired by term within the unit, never all pairs."""
+    own = F.array_sort(F.collect_list(F.struct("pos", "w", "norm")))
+    by_term = terms.where("norm > 0").groupBy("question_id", "unit_id", "term").agg(own.alias("own")).where("size(own) > 1")  # a unit's own
+    first = by_term.select("question_id", "unit_id", "own", F.posexplode("own").alias("at", "a"))
+    pairs = first.select("question_id", "unit_id", "a", F.explode(F.slice("own", F.col("at") + 2, F.size("own"))).alias("b"))
+    part = F.col("a.w") * F.col("b.w") / (F.col("a.norm") * F.col("b.norm"))
+    each = pairs.select("question_id", "unit_id", F.col("a.pos").alias("i"), F.col("b.pos").alias("j"), part.alias("part"))
+    return each.groupBy("question_id", "unit_id", "i", "j").agg(F.round(F.sum("part"), 6).alias("cosine"))
 
 
 def sentence_cosines(units: DataFrame) -> DataFrame:
@@ -158,8 +167,8 @@ def centrality(nodes: DataFrame, cosines: DataFrame) -> DataFrame:
     without an edge gives its weight to all sentences of its unit."""
     unit = ["question_id", "unit_id"]
     some = cosines.where("cosine > 0")
-    both = some.unionByName(some.select(*unit, F.col("j").alias("i"), F.col("i").alias("j"), "cosine"))
-    edges = both.join(nodes.select(*unit, F.col("pos").alias("i"), "n"), [*unit, "i"])
+    both = some.select(*unit, "cosine", F.inline(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))))
+    edges = both.join(nodes.select(*unit, "n").distinct(), unit)
     kinds = ", ".join(f"{c} {nodes.schema[c].dataType.simpleString()}" for c in (*unit, "pos"))
     weights = edges.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(weigh, f"{kinds}, p double")
     return nodes.join(weights, [*unit, "pos"], "left").withColumn("p", F.coalesce("p", 1.0 / F.col("n")))
