@@ -3,11 +3,18 @@
 import hashlib
 import random
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from memspark.functions import text as T
 from memspark.llm import phrases
 from memspark.operators import audit, bm25_index, hooks, metrics, policies, replies, retrieve
+from memspark.plans.oracle import SQL
+from memspark.plans.report_sql import REPORT_SQL
+from memspark.plans.reports import QUERIES
 from memspark.sources import stage
 
 QUESTION = "question_id string, question_type string, question string, gold string, is_abstention boolean"
@@ -38,6 +45,32 @@ def test_rates_of_grader_and_judge_with_a_sharp_s(spark, tmp_path):
     assert rows["deterministic"].false_reject_rate_hard == 0 and rows["deterministic"].n_cases == 2
 
 
+#: Words four to six of a turn are the gold: sigmas at the end of a word, a dotted I, bounds and white space that engines take differently.
+ODD = [
+    "Wo the blue sea beς wood oak", "Ba the red le\u03c3 wood sea oak", "İn the old TİNY wood oak sea", "Ora éorder ba oak, elm, ash", "Ina wo ba oak, elm, éorder", "Un\u000ba ba wo ba\u000bbo green oak",
+    "Ba bo bi oak, andó, elm", "Ba bo bi \u00a0oak, elm\u2003, ash", "Ba bo bi ñdo not\u000bknow", "Ba bo bi dr.st. elm 7th", "Ba bo bi éno such oaké", "Ba bo bi ñco. elm ash",
+]
+
+
+@pytest.fixture(scope="module")
+def odd(tmp_path_factory):
+    d = tmp_path_factory.mktemp("odd")
+    ks = [k for k in range(40) if k % 10 != 9 and k % 4 != 1][: 2 * len(ODD)] + [9]
+    rows = [(10 * k, 0, "user", ODD[i % len(ODD)] + " and more words that make the turn long enough to be evidence") for i, k in enumerate(ks)]
+    pq.write_table(pa.table(dict(zip(("conv_id", "turn", "role", "text"), map(list, zip(*rows, strict=True)), strict=True))), d / "conversations.parquet")
+    return str(d)
+
+
+@pytest.mark.parametrize("name", ["audit_cases", "grader_audit"])
+def test_audits_of_odd_texts_equal_their_sql(spark, odd, name):
+    df = QUERIES[name](spark, odd)
+    cols = sorted(df.columns)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{odd}/conversations.parquet'")
+    want = duck.execute(f"SELECT {', '.join(f'"{c}"' for c in cols)} FROM ({(SQL | REPORT_SQL)[name]}) x").fetchall()
+    assert sorted((tuple(r) for r in df.select(*cols).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_shards_of_phrases_scan_coded_texts(spark, monkeypatch):
     """However many shards: the texts are listed and coded once, and each phrase is counted in one shard."""
     rng = random.Random(3)
